@@ -1,20 +1,21 @@
-"""Device features: one definition, three physical forms.
-
-Rows are first rolled up to one row per (device, day), with map-side partial
-aggregation, so that nothing after the roll-up depends on how many raw rows one
-device has. The feature columns are written once over an ``Over`` object:
-
-* ``asof_features``   one date: conditional aggregates per device;
-* ``features_range``  many dates, ``fanout`` form: every day goes to the feature
-  dates that see it, then one aggregation (sparse dates, such as Mondays);
-* ``features_range``  many dates, ``window`` form: range frames per device over
-  its days, one sort for all frames (dense dates, such as every day).
+"""Device features as of one date, every Monday, or every day of a range.
+
+All of them are one plan:
+
+1. The raw rows are rolled up to one row per (device, day), with partial
+   aggregation in the map tasks. Nothing after this depends on how many raw
+   rows a device has, only on its number of days.
+2. The days are shuffled once by device; all later steps keep that layout.
+3. Each day is sent to the feature dates whose windows reach it, and summed per
+   (device, date) in a hash aggregation over numbers only. Besides, each day
+   keeps a row of its own for the values that are carried, not summed.
+4. One ordered pass per device carries the newest residuals, battery state and
+   service days to the feature dates, whatever the distance.
 """
 
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -66,7 +67,7 @@ def usage_daily(usage: DataFrame, keep_null: bool = True) -> DataFrame:
         F.sum(drop).cast("double").alias("drop_sum"),
         F.count(drop).alias("drop_n"),
         *[
-            F.max(latest_part(F.col("start_time"), F.col(c), keep_null)).alias(name)
+            F.max(latest_part(F.col("start_time"), F.col(c), keep_null))["value"].alias(name)
             for name, c in _LATEST_USAGE.items()
         ],
     )
@@ -90,34 +91,21 @@ def status_daily(status: DataFrame, keep_null: bool = True) -> DataFrame:
     """(device, day) mean charge and last cycle count and health."""
     at = F.col("poll_ts")
     soc = F.col("battery_soc")
-    return (
-        status.groupBy("serial_number", F.to_date("poll_ts").alias("day"))
-        .agg(
-            ratio(F.sum(soc), F.count(soc)).alias("avg_battery_soc"),
-            F.max(latest_part(at, F.col("battery_cycle_times"), keep_null)).alias("_cycles"),
-            F.max(latest_part(at, F.col("battery_health"), keep_null)).alias("_health"),
-        )
-        .select(
-            "serial_number",
-            "day",
-            "avg_battery_soc",
-            F.col("_cycles.value").alias("battery_cycle_times"),
-            F.col("_health.value").alias("battery_health"),
-        )
+    return status.groupBy("serial_number", F.to_date("poll_ts").alias("day")).agg(
+        ratio(F.sum(soc), F.count(soc)).alias("avg_battery_soc"),
+        *[
+            F.max(latest_part(at, F.col(c), keep_null))["value"].alias(c)
+            for c in ("battery_cycle_times", "battery_health")
+        ],
     )
 
 
-def _status_parts(daily: DataFrame, keep_null: bool) -> DataFrame:
-    """Daily telemetry in a form that adds up: an average of daily averages."""
-    day = F.col("day")
-    return daily.select(
-        "serial_number",
-        "day",
-        F.col("avg_battery_soc").alias("soc_sum"),
-        F.col("avg_battery_soc").isNotNull().cast("int").alias("soc_n"),
-        latest_part(day, F.col("battery_cycle_times"), keep_null).alias("cycles_at"),
-        latest_part(day, F.col("battery_health"), keep_null).alias("health_at"),
-    )
+# ------------------------------------------------------------------ inputs
+
+# Which table a daily row comes from.
+MISSION, SERVICE, POLL = 1, 2, 3
+_CARRIED = (*_LATEST_USAGE, "battery_cycle_times", "battery_health")
+_DAY = dt.timedelta(days=1)
 
 
 @dataclass(frozen=True)
@@ -128,32 +116,15 @@ class Inputs:
     maintenance: DataFrame | None = None
     status: DataFrame | None = None
 
-    def daily(
-        self,
-        lo: dt.date,
-        hi: dt.date,
-        lookback: int | None,
-        keep_null: bool,
-    ) -> DataFrame:
-        """Roll-ups of all days that can matter to feature dates ``lo..hi``."""
-        rows = usage_daily(_days(self.usage, "start_time", lo, LONGEST, hi), keep_null)
+    def names(self) -> list[str]:
+        names = [*KEYS, *USAGE_FEATURES]
         if self.maintenance is not None:
-            last = hi + _DAY * HORIZON
-            events = _days(self.maintenance, "completed_at", lo, _reach(lookback), last)
-            rows = rows.unionByName(maintenance_daily(events), allowMissingColumns=True)
+            names += MAINTENANCE_FEATURES
         if self.status is not None:
-            polls = _days(self.status, "poll_ts", lo, WEEK, hi)
-            parts = _status_parts(status_daily(polls, keep_null), keep_null)
-            rows = rows.unionByName(parts, allowMissingColumns=True)
-        return rows
-
-
-_DAY = dt.timedelta(days=1)
-
-
-def _reach(lookback: int | None) -> int | None:
-    """Days of service history to read; None is all of it."""
-    return None if lookback is None else max(lookback, LONGEST)
+            names += STATUS_FEATURES
+        if self.maintenance is not None:
+            names.append(LABEL)
+        return names
 
 
 def _days(df: DataFrame, time_col: str, lo: dt.date, back: int | None, hi: dt.date) -> DataFrame:
@@ -162,95 +133,166 @@ def _days(df: DataFrame, time_col: str, lo: dt.date, back: int | None, hi: dt.da
     return df if back is None else df.where(day >= F.lit(lo - _DAY * back))
 
 
-# ---------------------------------------------------------- feature columns
+def _daily(inputs: Inputs, lo: dt.date, hi: dt.date, lookback: int | None, keep_null: bool) -> DataFrame:
+    """Roll-ups of all days that can matter to the dates ``lo..hi``, by device."""
+    rows = usage_daily(_days(inputs.usage, "start_time", lo, LONGEST, hi), keep_null)
+    rows = rows.withColumn("kind", F.lit(MISSION))
+    if inputs.maintenance is not None:
+        reach = None if lookback is None else max(lookback, LONGEST)
+        events = _days(inputs.maintenance, "completed_at", lo, reach, hi + _DAY * HORIZON)
+        events = maintenance_daily(events).withColumn("kind", F.lit(SERVICE))
+        rows = rows.unionByName(events, allowMissingColumns=True)
+    if inputs.status is not None:
+        polls = status_daily(_days(inputs.status, "poll_ts", lo, WEEK, hi), keep_null)
+        polls = polls.withColumns(
+            {"kind": F.lit(POLL), "soc_n": F.col("avg_battery_soc").isNotNull().cast("int")}
+        )
+        rows = rows.unionByName(polls, allowMissingColumns=True)
+    return rows.repartition("serial_number")
 
-# Evaluates an aggregate of a daily column over the days whose age (feature date
-# minus day) lies in near..far; far None is without bound.
-Over = Callable[[Callable[[Column], Column], str, int, "int | None"], Column]
 
+# ------------------------------------------------------------- feature plan
 
-def _feature_columns(over: Over, inputs: Inputs, near: int, lookback: int | None) -> list[Column]:
-    """All features as columns. ``near`` is 0 if the date itself counts, else 1."""
 
-    def total(part: str, far: int) -> Column:
-        return over(F.sum, part, near, far)
+def _features(
+    inputs: Inputs,
+    lo: dt.date,
+    hi: dt.date,
+    step: int,
+    near: int,
+    ahead: int,
+    active: Column,
+    lookback: int | None,
+    keep_null: bool,
+) -> DataFrame:
+    """Features on ``lo, lo + step .. hi``.
 
-    def count(part: str, far: int) -> Column:
-        return F.coalesce(total(part, far), F.lit(0)).cast("long")
+    ``near`` is 0 if the feature date itself belongs to the windows, else 1.
+    A device must have missions in the 90 days back, and, if ``ahead`` is
+    positive, an ``active`` day within the date and ``ahead`` days after it.
+    """
+    daily = _daily(inputs, lo, hi, lookback, keep_null)
+    daily = daily.withColumn("active", F.when(active, F.col("missions")))
+    sums = _windowed_sums(_fan_out(daily, lo, hi, step, near, ahead), inputs, near, ahead)
+    return _carry(sums, inputs, near, lookback, keep_null).select(*inputs.names())
 
-    def mean(part: str, far: int) -> Column:
-        return ratio(total(f"{part}_sum", far), total(f"{part}_n", far))
 
-    def newest(part: str, far: int) -> Column:
-        return over(F.max, part, near, far)["value"]
+def _fan_out(daily: DataFrame, lo: dt.date, hi: dt.date, step: int, near: int, ahead: int) -> DataFrame:
+    """A row per day and feature date that sees it, and the day's own row.
+
+    Own rows have no ``feature_date``; only they hold the carried values.
+    """
+    offset = F.date_diff(F.col("day"), F.lit(lo))
+    kind = F.col("kind")
+    earliest = F.when(kind == SERVICE, -HORIZON).when(kind == MISSION, -ahead if ahead else near)
+    latest = F.when(kind == POLL, WEEK).otherwise(LONGEST)
+    first = F.ceil((offset + earliest.otherwise(near)) / F.lit(step)).cast("int")
+    last = F.floor((offset + latest) / F.lit(step)).cast("int")
+    first = F.greatest(first, F.lit(0))
+    last = F.least(last, F.lit((hi - lo).days // step))
+    own = F.array(F.lit(None).cast("int"))
+    targets = F.when(first <= last, F.concat(own, F.sequence(first, last))).otherwise(own)
+    rows = daily.withColumn("_i", F.explode(targets))
+    rows = rows.withColumn("feature_date", F.date_add(F.lit(lo), F.col("_i") * step))
+    is_own = F.col("_i").isNull()
+    carried = [c for c in _CARRIED if c in daily.columns]
+    if "failures" in daily.columns:
+        rows = rows.withColumn("failed", F.when(is_own, F.col("failures") > 0))
+    return rows.withColumns(
+        {
+            "age": F.date_diff("feature_date", "day"),
+            "own_day": F.when(is_own, F.col("day")),
+            "own_kind": F.when(is_own, kind),
+            **{c: F.when(is_own, F.col(c)) for c in carried},
+        }
+    )
 
-    def age(part: str) -> Column:
-        seen = over(F.max, part, near, lookback)
-        return F.coalesce(whole_days(F.col("feature_date"), seen), F.lit(NEVER))
 
-    named = {name: newest(name, LONGEST) for name in _LATEST_USAGE}
-    named |= {
+def _windowed_sums(rows: DataFrame, inputs: Inputs, near: int, ahead: int) -> DataFrame:
+    """Sums per (device, feature date) over the windows; own rows stay apart."""
+
+    def total(part: str, far: int, start: int = near) -> Column:
+        return F.sum(F.when(F.col("age").between(start, far), F.col(part)))
+
+    def count(part: str, far: int) -> Column:
+        return F.coalesce(total(part, far), F.lit(0)).cast("long")
+
+    def mean(part: str, n: str, far: int) -> Column:
+        return ratio(total(part, far), total(n, far))
+
+    seen = total("missions", LONGEST)
+    sums = {
+        "_seen": seen,
+        "_spine": total("active", 0, -ahead) if ahead else seen,
         "missions_7d": count("missions", WEEK),
         "missions_30d": count("missions", RECENT),
         "area_30d": F.coalesce(total("area", RECENT), F.lit(0.0)),
         "area_90d": F.coalesce(total("area", LONGEST), F.lit(0.0)),
-        "avg_completion_7d": mean("done", WEEK),
-        "avg_completion_30d": mean("done", RECENT),
-        "avg_battery_drop_30d": mean("drop", RECENT),
+        "avg_completion_7d": mean("done_sum", "done_n", WEEK),
+        "avg_completion_30d": mean("done_sum", "done_n", RECENT),
+        "avg_battery_drop_30d": mean("drop_sum", "drop_n", RECENT),
     }
+    keys = ["own_day", "own_kind", *(c for c in (*_CARRIED, "failed") if c in rows.columns)]
     if inputs.maintenance is not None:
-        named |= {
-            "days_since_last_maintenance": age("service_day"),
-            "days_since_last_failure": age("failure_day"),
+        sums |= {
             "maint_count_30d": count("services", RECENT),
             "maint_count_90d": count("services", LONGEST),
             "downtime_30d": count("downtime", RECENT),
             "failure_count_90d": count("failures", LONGEST),
             "corrective_count_90d": count("corrective", LONGEST),
+            LABEL: (F.coalesce(total("failures", -1, -HORIZON), F.lit(0)) > 0).cast("int"),
         }
     if inputs.status is not None:
-        named |= {
-            "battery_cycle_times_last": newest("cycles_at", WEEK),
-            "battery_health_last": newest("health_at", WEEK),
-            "avg_battery_soc_7d": mean("soc", WEEK),
-        }
-    if inputs.maintenance is not None:
-        ahead = over(F.max, "failures", -HORIZON, -1)
-        named[LABEL] = (F.coalesce(ahead, F.lit(0)) > 0).cast("int")
-    return [c.alias(name) for name, c in named.items()]
+        sums["avg_battery_soc_7d"] = mean("avg_battery_soc", "soc_n", WEEK)
+    # The carried values are keys, not aggregates: text in a buffer would turn
+    # the hash aggregation into a sort.
+    return rows.groupBy(*KEYS, *keys).agg(*[c.alias(name) for name, c in sums.items()])
 
 
-def _with_event_days(daily: DataFrame, inputs: Inputs) -> DataFrame:
-    if inputs.maintenance is None:
-        return daily
-    return daily.withColumns(
-        {
-            "service_day": F.when(F.col("services") > 0, F.col("day")),
-            "failure_day": F.when(F.col("failures") > 0, F.col("day")),
-        }
-    )
+def _carry(rows: DataFrame, inputs: Inputs, near: int, lookback: int | None, keep_null: bool) -> DataFrame:
+    """Bring the newest own values to the feature dates after them."""
+    date, is_date = F.col("feature_date"), F.col("feature_date").isNotNull()
+    visible = F.coalesce(date, F.date_add("own_day", near))
+    so_far = Window.partitionBy("serial_number").orderBy(visible, is_date)
+    so_far = so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
+    def day_of(kind: int) -> Column:
+        return F.when(F.col("own_kind") == kind, F.col("own_day"))
 
-def _names(inputs: Inputs) -> list[str]:
-    names = [*KEYS, *USAGE_FEATURES]
+    def pair(kind: int, value: str) -> Column:
+        return F.max(latest_part(day_of(kind), F.col(value), keep_null)).over(so_far)
+
+    carried = {name: pair(MISSION, name) for name in _LATEST_USAGE}
+    if inputs.status is not None:
+        carried["_cycles"] = pair(POLL, "battery_cycle_times")
+        carried["_health"] = pair(POLL, "battery_health")
     if inputs.maintenance is not None:
-        names += MAINTENANCE_FEATURES
+        service = day_of(SERVICE)
+        carried["_service"] = F.max(service).over(so_far)
+        carried["_failure"] = F.max(F.when(F.col("failed"), service)).over(so_far)
+    rows = rows.withColumns(carried)
+
+    def within(name: str, far: int) -> Column:
+        at = F.col(name)["at"]
+        return F.when(whole_days(date, at) <= far, F.col(name)["value"])
+
+    def age(name: str) -> Column:
+        days = whole_days(date, F.col(name))
+        if lookback is not None:
+            days = F.when(days <= lookback, days)
+        return F.coalesce(days, F.lit(NEVER))
+
+    found = {name: within(name, LONGEST) for name in _LATEST_USAGE}
     if inputs.status is not None:
-        names += STATUS_FEATURES
+        found["battery_cycle_times_last"] = within("_cycles", WEEK)
+        found["battery_health_last"] = within("_health", WEEK)
     if inputs.maintenance is not None:
-        names.append(LABEL)
-    return names
+        found["days_since_last_maintenance"] = age("_service")
+        found["days_since_last_failure"] = age("_failure")
+    return rows.where(is_date & (F.col("_seen") > 0) & (F.col("_spine") > 0)).withColumns(found)
 
 
-def _by_age(age: Column) -> Over:
-    def over(fn, part, near, far):
-        seen = age >= near if far is None else age.between(near, far)
-        return fn(F.when(seen, F.col(part)))
-
-    return over
-
-
-# ------------------------------------------------------------- single date
+# ------------------------------------------------------------ entry points
 
 
 def spine_asof(usage: DataFrame, day: dt.date, lookback: int = LONGEST) -> DataFrame:
@@ -261,31 +303,6 @@ def spine_asof(usage: DataFrame, day: dt.date, lookback: int = LONGEST) -> DataF
     ).distinct()
 
 
-def asof_features(
-    inputs: Inputs,
-    day: dt.date,
-    lookback: int | None = None,
-    closed_end: bool = True,
-    keep_null: bool = True,
-) -> DataFrame:
-    """Features of the devices active in the 90 days up to ``day``."""
-    near = 0 if closed_end else 1
-    daily = _with_event_days(inputs.daily(day, day, lookback, keep_null), inputs)
-    over = _by_age(whole_days(F.lit(day), F.col("day")))
-    return (
-        daily.groupBy("serial_number", F.lit(day).alias("feature_date"))
-        .agg(
-            over(F.sum, "missions", near, LONGEST).alias("_active"),
-            *_feature_columns(over, inputs, near, lookback),
-        )
-        .where("_active > 0")
-        .select(*_names(inputs))
-    )
-
-
-# -------------------------------------------------------------- date range
-
-
 def spine_weekly(usage: DataFrame, lo: dt.date, hi: dt.date) -> DataFrame:
     """(device, Monday) of every week with a mission dated ``lo..hi``."""
     day = F.to_date("start_time")
@@ -299,154 +316,37 @@ def spine_weekly(usage: DataFrame, lo: dt.date, hi: dt.date) -> DataFrame:
     )
 
 
-def weekly_features(
-    inputs: Inputs,
-    lo: dt.date,
-    hi: dt.date,
-    lookback: int | None = None,
-    keep_null: bool = False,
-    form: str = "fanout",
-) -> DataFrame:
-    """Features on every Monday whose week has a mission dated ``lo..hi``.
-
-    Windows end the day before the Monday; devices without a mission in the 90
-    days before it are left out.
-    """
-    monday = lo - _DAY * lo.weekday()
-    active = F.col("day").between(F.lit(lo), F.lit(hi))
-    return _range(inputs, monday, hi, WEEK, 1, active, WEEK - 1, lookback, keep_null, form)
-
-
 def features_range(
     inputs: Inputs,
     lo: dt.date,
     hi: dt.date,
     lookback: int | None = None,
+    closed_end: bool = True,
     keep_null: bool = True,
-    form: str = "window",
 ) -> DataFrame:
-    """What ``asof_features`` gives for each date of ``lo..hi``, in one pass."""
-    return _range(inputs, lo, hi, 1, 0, F.lit(True), 0, lookback, keep_null, form)
+    """Features for each date of ``lo..hi`` of the devices active in the 90
+    days up to it. With ``closed_end`` the date itself belongs to the windows."""
+    near = 0 if closed_end else 1
+    return _features(inputs, lo, hi, 1, near, 0, F.lit(True), lookback, keep_null)
 
 
-def _range(
+def asof_features(inputs: Inputs, day: dt.date, lookback: int | None = None, **flags: bool) -> DataFrame:
+    """Features for one date."""
+    return features_range(inputs, day, day, lookback, **flags)
+
+
+def weekly_features(
     inputs: Inputs,
     lo: dt.date,
     hi: dt.date,
-    step: int,
-    near: int,
-    active: Column,
-    ahead: int,
-    lookback: int | None,
-    keep_null: bool,
-    form: str,
+    lookback: int | None = None,
+    keep_null: bool = False,
 ) -> DataFrame:
-    """Feature dates ``lo, lo + step .. hi``.
-
-    ``active`` marks the days that put a device on the spine: those up to
-    ``ahead`` days past the feature date if ``ahead`` is positive, else the
-    ordinary 90 days back.
-    """
-    daily = _with_event_days(inputs.daily(lo, hi, lookback, keep_null), inputs)
-    daily = daily.withColumn("active", F.when(active, F.col("missions")))
-    build = {"fanout": _fanout, "window": _window}[form]
-    rows = build(daily, inputs, lo, hi, step, near, ahead, lookback)
-    return rows.where("_spine > 0 and _active > 0").select(*_names(inputs))
-
-
-def _spine_and_activity(over: Over, near: int, ahead: int) -> list[Column]:
-    recent = over(F.sum, "missions", near, LONGEST)
-    spine = over(F.sum, "active", -ahead, 0) if ahead else recent
-    return [recent.alias("_active"), spine.alias("_spine")]
-
-
-def _fanout(daily, inputs, lo, hi, step, near, ahead, lookback) -> DataFrame:
-    """Send each day to the feature dates that see it, then aggregate once.
-
-    Every device-day has at most 90/step targets back and 30/step ahead. Older
-    service days, needed only for the days-since columns, go to the first date
-    after them; a running maximum per device carries them on.
-    """
-    n = (hi - lo).days // step
-    offset = F.date_diff(F.col("day"), F.lit(lo))
-
-    def index_on_or_after(days: Column) -> Column:
-        return F.ceil(days / F.lit(step)).cast("int")
-
-    first = index_on_or_after(offset + near)
-    if inputs.maintenance is not None:
-        has_service = F.col("services") > 0
-        first = F.when(has_service, index_on_or_after(offset - HORIZON)).otherwise(first)
-    if ahead:
-        first = F.least(first, index_on_or_after(offset - ahead))
-    first = F.greatest(first, F.lit(0))
-    last = F.floor((offset + LONGEST) / F.lit(step)).cast("int")
-    last = F.least(F.greatest(last, first), F.lit(n))
-    targets = daily.where(first <= F.lit(n)).withColumn("_i", F.explode(F.sequence(first, last)))
-    targets = targets.withColumn("feature_date", F.date_add(F.lit(lo), F.col("_i") * step))
-    over = _by_age(whole_days(F.col("feature_date"), F.col("day")))
-    if lookback is not None or inputs.maintenance is None:
-        return targets.groupBy(*KEYS).agg(
-            *_spine_and_activity(over, near, ahead),
-            *_feature_columns(over, inputs, near, lookback),
-        )
-    seen = ("service_day", "failure_day")
-    columns = _feature_columns(over, inputs, near, None)
-    rows = targets.groupBy(*KEYS).agg(
-        *_spine_and_activity(over, near, ahead),
-        *[over(F.max, part, near, None).alias(part) for part in seen],
-        *columns,
-    )
-    so_far = Window.partitionBy("serial_number").orderBy("feature_date")
-    return rows.withColumns(
-        {
-            name: F.coalesce(
-                whole_days(F.col("feature_date"), F.max(part).over(so_far)), F.lit(NEVER)
-            )
-            for name, part in zip(MAINTENANCE_FEATURES[:2], seen, strict=True)
-        }
-    )
-
-
-def _window(daily, inputs, lo, hi, step, near, ahead, lookback) -> DataFrame:
-    """Range frames over the days of each device; spine rows carry no values.
+    """Features on every Monday whose week has a mission dated ``lo..hi``.
 
-    A mission day adds the feature dates for which it is the newest mission in
-    sight, so every date with activity appears once. All steps share the
-    shuffle by device, and a device has one row per day, table and date at most.
+    Windows end the day before the Monday; devices without a mission in the 90
+    days before it are left out.
     """
-    spec = "(partition by serial_number order by day)"
-    daily = daily.withColumn("mission_day", F.when(F.col("missions") > 0, F.col("day")))
-    daily = daily.withColumn("next_day", F.expr(f"lead(mission_day) ignore nulls over {spec}"))
-
-    def index(day: Column, rounded: Callable) -> Column:
-        return rounded(F.date_diff(day, F.lit(lo)) / F.lit(step)).cast("int")
-
-    first = index(F.date_add("mission_day", near), F.ceil)
-    until = F.least(
-        F.date_add("mission_day", LONGEST), F.date_add("next_day", near - 1), F.lit(hi)
-    )
-    first, last = F.greatest(first, F.lit(0)), index(until, F.floor)
-    own = F.array(F.lit(None).cast("int"))
-    dates = F.when(first <= last, F.concat(own, F.sequence(first, last))).otherwise(own)
-    parts = [c for c in daily.columns if c not in ("serial_number", "day")]
-    rows = daily.withColumn("_i", F.explode(dates))
-    is_spine = F.col("_i").isNotNull()
-    date = F.date_add(F.lit(lo), F.col("_i") * step)
-    rows = rows.select(
-        "serial_number",
-        F.unix_date(F.when(is_spine, date).otherwise(F.col("day"))).alias("day_no"),
-        F.when(is_spine, date).alias("feature_date"),
-        *[F.when(~is_spine, F.col(c)).alias(c) for c in parts],
-    )
-    by_day = Window.partitionBy("serial_number").orderBy("day_no")
-
-    def over(fn, part, near, far):
-        start = Window.unboundedPreceding if far is None else -far
-        return fn(F.col(part)).over(by_day.rangeBetween(start, -near))
-
-    return rows.select(
-        *KEYS,
-        *_spine_and_activity(over, near, ahead),
-        *_feature_columns(over, inputs, near, lookback),
-    ).where(F.col("feature_date").isNotNull())
+    monday = lo - _DAY * lo.weekday()
+    active = F.col("day").between(F.lit(lo), F.lit(hi))
+    return _features(inputs, monday, hi, WEEK, 1, WEEK - 1, active, lookback, keep_null)
