@@ -176,7 +176,7 @@ def all_inputs(t: Tables) -> Inputs:
     return Inputs(usage(t), maintenance(t), status(t, shifted=True))
 
 
-def _rounded(df: DataFrame) -> DataFrame:
+def rounded(df: DataFrame) -> DataFrame:
     """A mean of daily means depends on the order of addition in its last bits."""
     return df.withColumn("avg_battery_soc_7d", F.round("avg_battery_soc_7d", 6))
 
@@ -247,12 +247,12 @@ def asof_status(t):
         ],
     )
     rows = asof_features(Inputs(active, None, polls), ASOF_STATUS)
-    return _rounded(rows.select(*KEYS, *STATUS_FEATURES))
+    return rounded(rows.select(*KEYS, *STATUS_FEATURES))
 
 
 @query("asof_features", ASOF_SQL)
 def asof_all(t):
-    return _rounded(asof_features(all_inputs(t), ASOF))
+    return rounded(asof_features(all_inputs(t), ASOF))
 
 
 @query(
@@ -283,15 +283,15 @@ def weekly_maintenance(t):
 )
 def weekly_status(t):
     rows = weekly_features(Inputs(usage(t), None, status(t, shifted=True)), FIRST, LAST)
-    return _rounded(rows.select(*KEYS, *STATUS_FEATURES))
+    return rounded(rows.select(*KEYS, *STATUS_FEATURES))
 
 
 @query("weekly_features", WEEKLY_SQL)
 def weekly_all(t):
-    return _rounded(weekly_features(all_inputs(t), FIRST, LAST))
+    return rounded(weekly_features(all_inputs(t), FIRST, LAST))
 
 
 @query("features_backfill", BACKFILL_SQL)
 def features_backfill(t):
-    return _rounded(features_range(all_inputs(t), FIRST, LAST))
+    return rounded(features_range(all_inputs(t), FIRST, LAST))
 

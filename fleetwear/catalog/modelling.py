@@ -1 +1,265 @@
-"""Placeholder."""
+"""Model matrix, metrics and classifier queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fleetwear.catalog.features import WEEKLY_SQL, all_inputs, rounded
+from fleetwear.catalog.registry import query
+from fleetwear.catalog.roles import FIRST, LAST, SCORED, scored
+from fleetwear.operators import evaluate, models, prepare, profile
+from fleetwear.operators.correlation import corr_target
+from fleetwear.plans.features import (
+    KEYS,
+    LABEL,
+    MAINTENANCE_FEATURES,
+    STATUS_FEATURES,
+    USAGE_FEATURES,
+    weekly_features,
+)
+from fleetwear.session import stage
+
+# The battery state becomes a flag before modelling.
+MODEL_COLUMNS = (
+    *USAGE_FEATURES, *MAINTENANCE_FEATURES,
+    *(c for c in STATUS_FEATURES if c != "battery_health_last"), "battery_aging",
+)
+# Rounds of boosting in the registered queries; jobs use the full number.
+ROUNDS = 10
+
+GOLD = f"gold as ({WEEKLY_SQL})"
+_SPLIT = """cut as (
+  select min(d) as cutoff from (select distinct feature_date as d from gold order by d desc limit 4)),
+marked as (select g.*, feature_date >= cutoff as is_test from gold g, cut)"""
+
+
+def _with(*parts: str) -> str:
+    return "with " + ",\n".join(parts) + "\n"
+
+
+def gold(t):
+    return rounded(weekly_features(all_inputs(t), FIRST, LAST))
+
+
+@query("class_balance", _with(GOLD) + f"""select {LABEL}, count(*) as n,
+  count(*) * 100::double / sum(count(*)) over () as pct from gold group by 1""")
+def class_balance(t):
+    return profile.share(gold(t), [LABEL])
+
+
+@query("positive_rate", _with(GOLD) + f"""select serial_number, feature_date, avg({LABEL}) as positive_rate
+from gold group by grouping sets ((serial_number), (feature_date))""")
+def positive_rate(t):
+    serial, date = F.col("serial_number"), F.col("feature_date")
+    sets = gold(t).groupingSets([[serial], [date]], serial, date)
+    return sets.agg(F.avg(LABEL).alias("positive_rate"))
+
+
+@query("gold_postprocess", _with(GOLD) + """select * exclude (battery_health_last, brush_residual_last,
+    filter_residual_last, squeegee_residual_last),
+  coalesce(battery_health_last = 'AGING', false)::int as battery_aging,
+  coalesce(brush_residual_last::double, 100) as brush_residual_last,
+  coalesce(filter_residual_last::double, 100) as filter_residual_last,
+  coalesce(squeegee_residual_last::double, 100) as squeegee_residual_last from gold""")
+def gold_postprocess(t):
+    return prepare.postprocess(gold(t))
+
+
+@query("temporal_split", _with(GOLD, _SPLIT) + f"select serial_number, feature_date, {LABEL}, is_test from marked")
+def temporal_split(t):
+    return prepare.with_split(gold(t)).select(*KEYS, LABEL, "is_test")
+
+
+_IMPUTED = ("battery_cycle_times_last", "avg_completion_7d", "avg_battery_soc_7d")
+
+
+@query("impute_median", _with(GOLD, _SPLIT, """med as (select """ + ", ".join(
+    f"quantile_cont({c}, 0.5) as {c}" for c in _IMPUTED
+) + """ from marked where not is_test)""") + "select serial_number, feature_date, " + ", ".join(
+    f"round(coalesce(g.{c}::double, med.{c}), 8) as {c}" for c in _IMPUTED
+) + " from gold g, med")
+def impute_median(t):
+    rows = stage(gold(t), "gold")
+    train, _ = prepare.temporal_split(rows)
+    filled = prepare.impute(rows, prepare.fit_medians(train, _IMPUTED))
+    return filled.select(*KEYS, *[F.round(c, 8).alias(c) for c in _IMPUTED])
+
+
+_SCALED = ("missions_30d", "area_90d", "days_since_last_failure")
+
+
+@query("standardize", _with(GOLD, _SPLIT, "fit as (select " + ", ".join(
+    f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in _SCALED
+) + " from marked where not is_test)") + "select serial_number, feature_date, " + ", ".join(
+    f"round(({c} - m_{c}) / s_{c}, 6) + 0.0::double as {c}" for c in _SCALED
+) + " from gold, fit")
+def standardize(t):
+    rows = stage(gold(t), "gold")
+    train, _ = prepare.temporal_split(rows)
+    scaled = prepare.standardize(rows, prepare.fit_scaling(train, _SCALED))
+    return scaled.select(*KEYS, *[(F.round(c, 6) + 0.0).alias(c) for c in _SCALED])
+
+
+@query("stratified_folds", _with(GOLD, f"sizes as (select {LABEL}, count(*) as n from gold group by 1)") + f"""
+select {LABEL}, f::int as fold, n // 5 + (f < n % 5)::int as n_rows from sizes, range(5) r(f)""")
+def stratified_folds(t):
+    folded = prepare.stratified_folds(stage(gold(t), "gold"), LABEL, KEYS)
+    return profile.profile(folded, [LABEL, "fold"], n_rows=F.count(F.lit(1)))
+
+
+# ----------------------------------------------------------------- metrics
+
+_RANKED = """counts as (select score, sum(label) as pos, sum(1 - label) as neg from scored group by 1),
+up as (select *, sum(pos) over w as cum_pos, sum(neg) over w as cum_neg,
+    sum(pos) over () as p, sum(neg) over () as n
+  from counts window w as (order by score desc))"""
+_RANKS = _with(SCORED, _RANKED)
+
+
+@query("roc_auc", _with(SCORED, """ranks as (
+  select label, rank() over (order by score) + (count(*) over (partition by score) - 1) / 2::double as r
+  from scored)""") + """select round((sum(r) filter (where label = 1) - p * (p + 1) / 2) / (p * n), 9) as roc_auc
+from ranks, (select sum(label)::double as p, sum(1 - label)::double as n from scored) group by p, n""")
+def roc_auc(t):
+    return evaluate.roc_auc(scored(t), "score", "label").select(F.round("roc_auc", 9).alias("roc_auc"))
+
+
+@query("average_precision", _RANKS + """select round(sum(pos / p::double * (cum_pos / (cum_pos + cum_neg)::double)), 9)
+  as average_precision from up""")
+def average_precision(t):
+    rows = evaluate.average_precision(scored(t), "score", "label")
+    return rows.select(F.round("average_precision", 9).alias("average_precision"))
+
+
+@query("roc_curve", _RANKS + """select score as threshold, cum_neg / n::double as fpr, cum_pos / p::double as tpr from up
+union all select null, 0, 0""")
+def roc_curve(t):
+    return evaluate.roc_curve(scored(t), "score", "label")
+
+
+@query("pr_curve", _RANKS + """select score as threshold, cum_pos / (cum_pos + cum_neg)::double as precision,
+  cum_pos / p::double as recall, p / (p + n)::double as base_rate from up
+union all select null, 1, 0, avg(label) from scored""")
+def pr_curve(t):
+    return evaluate.pr_curve(scored(t), "score", "label")
+
+
+_CELLS = """cells as (select count(*) filter (where label = 0 and score <= 0.5) as tn,
+  count(*) filter (where label = 0 and score > 0.5) as fp,
+  count(*) filter (where label = 1 and score <= 0.5) as fn,
+  count(*) filter (where label = 1 and score > 0.5) as tp from scored)"""
+
+
+@query("confusion_matrix", _with(SCORED, _CELLS) + """select 0 as label, 0 as predicted, tn as n from cells
+union all select 0, 1, fp from cells union all select 1, 0, fn from cells union all select 1, 1, tp from cells""")
+def confusion_matrix(t):
+    return evaluate.confusion(scored(t), "score", "label")
+
+
+@query("classification_report", _with(SCORED, _CELLS, """m as (select *, tn + fp as s0, tp + fn as s1,
+  tn / (tn + fn)::double as p0, tn / (tn + fp)::double as r0,
+  tp / (tp + fp)::double as p1, tp / (tp + fn)::double as r1 from cells)""", """f as (
+  select *, p0 * r0 * 2 / (p0 + r0) as f0, p1 * r1 * 2 / (p1 + r1) as f1, s0 + s1 as n from m)""", """r as (
+  select '0' as class, p0 as precision, r0 as recall, f0 as f1, s0 as support from f
+  union all select '1', p1, r1, f1, s1 from f
+  union all select 'accuracy', null, null, (tn + tp) / n::double, n from f
+  union all select 'macro avg', (p0 + p1) / 2, (r0 + r1) / 2, (f0 + f1) / 2, n from f
+  union all select 'weighted avg', (p0 * s0 + p1 * s1) / n, (r0 * s0 + r1 * s1) / n, (f0 * s0 + f1 * s1) / n, n
+  from f)""") + """select class, round(precision, 9) as precision, round(recall, 9) as recall,
+  round(f1, 9) as f1, support from r""")
+def classification_report(t):
+    rows = evaluate.classification_report(scored(t), "score", "label")
+    return rows.withColumns({c: F.round(c, 9) for c in ("precision", "recall", "f1")})
+
+
+_GRID = ", ".join(repr(v) for v in evaluate.threshold_grid())
+_SWEEP = _with(SCORED, f"""grid as (
+  select unnest([{_GRID}]::double[]) as threshold)""", """base as (
+  select threshold, count(*) filter (where score >= threshold and label = 1) as tp,
+    count(*) filter (where score >= threshold and label = 0) as fp,
+    count(*) filter (where score < threshold and label = 1) as fn,
+    count(*) filter (where score < threshold and label = 0) as tn
+  from grid cross join scored group by 1)""", """pr as (
+  select *, case when tp + fp = 0 then 0 else tp / (tp + fp)::double end as precision,
+    case when tp + fn = 0 then 0 else tp / (tp + fn)::double end as recall from base)""", """sweep as (
+  select *, case when precision + recall = 0 then 0 else precision * recall * 2 / (precision + recall) end as f1,
+    tp * 239 - fp * 60 - fn * 239 as net_saving from pr)""")
+
+
+@query("threshold_sweep", _SWEEP + "select * from sweep")
+def threshold_sweep(t):
+    return evaluate.threshold_sweep(scored(t), "score", "label")
+
+
+@query("best_threshold", _SWEEP + """select threshold, tp, fp, fn, tn, net_saving,
+  tp * 239 / 60::double as prevented_h, fp * 60 / 60::double as checks_h,
+  fn * 239 / 60::double as missed_h, net_saving / 60::double as net_h
+from sweep order by net_saving desc, threshold limit 1""")
+def best_threshold(t):
+    return evaluate.best_threshold(evaluate.threshold_sweep(scored(t), "score", "label"))
+
+
+# ------------------------------------------------------------- classifiers
+
+
+def _matrix(t):
+    return stage(prepare.postprocess(gold(t)), "matrix")
+
+
+@query("corr_features", _with(GOLD, _SPLIT, "c as (" + " union all ".join(
+    f"select '{c}' as column_name, coalesce(round(corr({c}, {LABEL}), 6), 0) as r from marked where not is_test"
+    for c in (*USAGE_FEATURES[3:9], *MAINTENANCE_FEATURES)
+) + ")") + "select * from c order by abs(r) desc, column_name limit 5")
+def corr_features(t):
+    train, _ = prepare.temporal_split(stage(gold(t), "gold"))
+    rows = corr_target(train, (*USAGE_FEATURES[3:9], *MAINTENANCE_FEATURES), LABEL, 5)
+    return rows.withColumn("r", F.round("r", 6) + 0.0)
+
+
+@query("lr_scores")
+def lr_scores(t):
+    train, test = prepare.temporal_split(_matrix(t))
+    model = models.fit_lr(train, MODEL_COLUMNS, LABEL)
+    return models.score(model, test, MODEL_COLUMNS).select(*KEYS, LABEL, "score", "predicted")
+
+
+@query("gbt_scores")
+def gbt_scores(t):
+    train, test = prepare.temporal_split(_matrix(t))
+    model = models.fit_gbt(train, MODEL_COLUMNS, LABEL, ROUNDS)
+    return models.score(model, test, MODEL_COLUMNS).select(*KEYS, LABEL, "score", "predicted")
+
+
+@query("top_importance")
+def top_importance(t):
+    train, _ = prepare.temporal_split(_matrix(t))
+    model = models.fit_gbt(train, MODEL_COLUMNS, LABEL, ROUNDS)
+    ranked = models.importance(model, MODEL_COLUMNS)[:5]
+    return t.spark.createDataFrame(ranked, "column_name string, importance double")
+
+
+@query("risk_surface")
+def risk_surface(t):
+    rows = _matrix(t)
+    train, _ = prepare.temporal_split(rows)
+    model = models.fit_gbt(train, MODEL_COLUMNS, LABEL, ROUNDS)
+    return models.risk_surface(model, rows, MODEL_COLUMNS, KEYS)
+
+
+@query("model_comparison")
+def model_comparison(t):
+    train, test = prepare.temporal_split(_matrix(t))
+    fitted = {
+        "Logistic Regression": models.fit_lr(train, MODEL_COLUMNS, LABEL),
+        "Gradient Boosting": models.fit_gbt(train, MODEL_COLUMNS, LABEL, ROUNDS),
+    }
+    return models.compare(fitted, test, MODEL_COLUMNS, LABEL)
+
+
+@query("cv_auc")
+def cv_auc(t):
+    train, _ = prepare.temporal_split(_matrix(t))
+    folded = stage(prepare.stratified_folds(train, LABEL, KEYS), "folds")
+    pipeline = models.lr_pipeline(MODEL_COLUMNS, LABEL, folded.count())
+    found = models.cross_validate(pipeline, folded, MODEL_COLUMNS, LABEL)
+    return t.spark.createDataFrame([("Logistic Regression", *found)], "model string, mean_auc double, sd_auc double")

@@ -96,7 +96,7 @@ def status(t: Tables, shifted: bool = False) -> DataFrame:
         F.col("user_id").alias("serial_number"),
         at.alias("poll_ts"),
         F.col("event_type").alias("task_state"),
-        F.round(F.col("value") * 100).cast("int").alias("battery_soc"),
+        F.round("value").cast("int").alias("battery_soc"),
         F.when(F.col("event_type") != "signup", k).alias("battery_cycle_times"),
         F.when(k >= 85, "AGING").otherwise("HEALTHY").alias("battery_health"),
         k.alias("battery_temp1"),
@@ -110,7 +110,7 @@ def status_sql(shifted: bool = False) -> str:
     at = f"ts - interval {SHIFT_DAYS} day" if shifted else "ts"
     return f"""status as (
   select user_id as serial_number, {at} as poll_ts, event_type as task_state,
-    round(value * 100)::int as battery_soc,
+    round(value)::int as battery_soc,
     case when event_type <> 'signup' then {_K} end as battery_cycle_times,
     case when {_K} >= 85 then 'AGING' else 'HEALTHY' end as battery_health,
     {_K} as battery_temp1

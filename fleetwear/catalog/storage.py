@@ -1 +1,378 @@
-"""Placeholder."""
+"""Source, Silver, deduplication and sink queries.
+
+The raw documents are derived from the given tables, written to the shared
+scratch folder, and read back through the scans.
+"""
+
+from __future__ import annotations
+
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from fleetwear import schemas
+from fleetwear.catalog.registry import query
+from fleetwear.catalog.roles import Tables
+from fleetwear.operators.dedup import dedup
+from fleetwear.plans.silver import MAINTENANCE, MISSIONS, STATUS, silver
+from fleetwear.session import scratch_path
+from fleetwear.sinks import merge_partitions, table_report, write_partitions
+from fleetwear.sources import (
+    date_window,
+    read_envelope,
+    read_jsonl,
+    read_paged,
+    read_partitions,
+    read_window,
+)
+
+PAGE_ROWS = 500
+PAGES_PER_FILE = 40
+
+
+def _with(*parts: str) -> str:
+    return "with " + ",\n".join(parts) + "\n"
+
+
+# --------------------------------------------------------- bronze documents
+
+
+def _records(df: DataFrame, record: T.StructType, **given: Column) -> DataFrame:
+    """Rows of a declared raw record; fields not given are null."""
+    return df.select(
+        *[
+            given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name)
+            for f in record.fields
+        ]
+    )
+
+
+def _iso(ts: str) -> Column:
+    return F.concat(F.replace(F.col(ts).cast("string"), F.lit(" "), F.lit("T")), F.lit("Z"))
+
+
+def maintenance_records(t: Tables) -> DataFrame:
+    """Service events: several versions per order, some not completed."""
+    return _records(
+        t.lineitem, schemas.MAINTENANCE_RECORD,
+        maintenance_id=F.col("l_orderkey"),
+        robot_id=F.col("l_suppkey"),
+        maintenance_type=F.col("l_returnflag"),
+        maintenance_status=F.when(F.col("l_linestatus") == "F", "completed").otherwise("planned"),
+        completed_at=F.when(F.col("l_linenumber") > 1, _iso("l_shipdate")),
+        failure_detected=F.when(F.col("l_returnflag") == "R", "true").otherwise("false"),
+        downtime_minutes=F.when(F.col("l_linenumber") == 7, "unknown").otherwise(F.col("l_extendedprice").cast("string")),
+        updated_at=_iso("l_shipdate"),
+        parts_replaced=F.array(F.col("l_partkey").cast("string")),
+    )
+
+
+def mission_records(t: Tables) -> DataFrame:
+    """Mission reports: repeated ids, some ids and start times missing."""
+    return _records(
+        t.lineitem, schemas.MISSION_RECORD,
+        id=F.when(F.col("l_quantity") < 50, F.concat_ws("-", "l_orderkey", "l_linenumber")),
+        robotSerialNumber=F.col("l_suppkey"),
+        completionPercentage=F.col("l_discount") + 0.0,
+        actualCleaningAreaSquareMeter=F.col("l_quantity"),
+        startBatteryPercentage=F.lit("90"),
+        endBatteryPercentage=F.when(F.col("l_linenumber") < 7, F.col("l_quantity").cast("string")).otherwise("n/a"),
+        taskEndStatus=F.col("l_extendedprice"),
+        startTime=F.when(F.col("l_returnflag") != "N", _iso("l_shipdate")),
+        consumablesResidualPercentage=F.struct(
+            F.col("l_linenumber").cast("string").alias("brush"),
+            F.col("l_tax").cast("string").alias("filter"),
+            F.lit("3000000000").alias("suctionBlade"),
+        ),
+    )
+
+
+def status_records(t: Tables) -> DataFrame:
+    """Polls with nested battery and map fields."""
+
+    def filled(name: str, **given: Column) -> Column:
+        fields = schemas.STATUS_RECORD[name].dataType.fields
+        return F.struct(
+            *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields]
+        )
+
+    k = F.get_json_object("props", "$.k")
+    place = F.struct(k.alias("x"), F.lit("x").alias("y"))
+    area = F.struct(F.col("user_id").cast("string").alias("id"), F.lit("hall").alias("name"))
+    return _records(
+        t.events, schemas.STATUS_RECORD,
+        serialNumber=F.col("user_id"),
+        _poll_ts=F.when(F.col("event_type") != "view", _iso("ts")),
+        taskState=F.col("event_type"),
+        online=F.when(F.col("event_type") == "error", "false").otherwise("true"),
+        battery=filled("battery", soc=F.col("value").cast("string"), cycleTimes=k),
+        localizationInfo=filled("localizationInfo", map=area, mapPosition=place),
+    )
+
+
+def _number_pages(df: DataFrame, rows: int) -> Column:
+    """Page numbers of at most ``rows`` consecutive rows each."""
+    return F.floor(F.monotonically_increasing_id() / rows)
+
+
+def _nest(records: DataFrame, rows: int, name: str) -> DataFrame:
+    """Bounded arrays of records."""
+    record = F.struct(*records.columns).alias("rec")
+    paged = records.select(_number_pages(records, rows).alias("page"), record)
+    return paged.groupBy("page").agg(F.collect_list("rec").alias(name))
+
+
+def _write_documents(docs: DataFrame, path: str) -> None:
+    docs.write.option("maxRecordsPerFile", 1).json(path)
+
+
+def write_envelopes(records: DataFrame, path: str) -> None:
+    docs = _nest(records, PAGE_ROWS * PAGES_PER_FILE, "data")
+    _write_documents(docs.select(F.struct(F.lit("v1").alias("schema")).alias("_meta"), "data"), path)
+
+
+def write_paged(records: DataFrame, path: str, items: str) -> None:
+    pages = _nest(records, PAGE_ROWS, items)
+    page = F.struct(items, F.col("page").alias("number")).alias("one")
+    # Numbers of pages are sparse, so files take the pages of a task in turn.
+    files = pages.select(_number_pages(pages, PAGES_PER_FILE).alias("file"), page)
+    _write_documents(files.groupBy("file").agg(F.collect_list("one").alias("data")).drop("file"), path)
+
+
+# -------------------------------------------------------------- oracle texts
+
+
+
+_MAINT_ROWS = """rows as (
+  select l_orderkey::varchar as maintenance_id, l_suppkey::varchar as robot_id,
+    l_returnflag as maintenance_type, 'completed' as maintenance_status, l_shipdate as completed_at,
+    l_returnflag = 'R' as failure_detected,
+    case when l_linenumber = 7 then null else trunc(l_extendedprice)::int end as downtime_minutes,
+    l_shipdate as updated_at, [l_partkey::varchar] as parts_replaced, l_shipdate::date as dt
+  from lineitem where l_linestatus = 'F' and l_linenumber > 1)"""
+
+_MISSION_ROWS = """rows as (
+  select l_orderkey::varchar || '-' || l_linenumber::varchar as report_id,
+    l_suppkey::varchar as robot_serial_number, trunc(l_extendedprice)::int as task_end_status,
+    l_discount + 0.0::double as completion_percentage, l_quantity as actual_area_m2,
+    90 as start_battery_pct,
+    case when l_linenumber < 7 then l_quantity::int end as end_battery_pct,
+    case when l_linenumber < 7 then l_quantity::int - 90 end as battery_delta_pct,
+    l_linenumber as brush_residual_pct, 0 as filter_residual_pct,
+    null::int as suction_blade_residual_pct, l_shipdate as start_time, l_shipdate::date as dt
+  from lineitem where l_quantity < 50 and l_returnflag <> 'N')"""
+
+_STATUS_ROWS = r"""rows as (
+  select user_id::varchar as serial_number, ts as poll_ts, event_type as task_state,
+    event_type <> 'error' as online, trunc(value)::int as battery_soc,
+    regexp_extract(props, '\d+')::int as battery_cycle_times,
+    user_id::varchar as map_id, 'hall' as map_name,
+    regexp_extract(props, '\d+')::int as pos_x, null::int as pos_y, ts::date as dt
+  from events where event_type <> 'view')"""
+
+
+def _first(rows: str, keys: str, order: str, columns: str = "*") -> str:
+    return f"""select {columns} from (select *, row_number() over (partition by {keys} order by {order}) as _rank
+  from {rows}) where _rank = 1"""
+
+
+_MAINT_COLS = (
+    "maintenance_id", "robot_id", "maintenance_type", "maintenance_status", "completed_at",
+    "failure_detected", "downtime_minutes", "parts_replaced", "updated_at", "dt",
+)
+_MISSION_COLS = (
+    "report_id", "robot_serial_number", "task_end_status", "completion_percentage", "actual_area_m2",
+    "start_battery_pct", "end_battery_pct", "battery_delta_pct", "brush_residual_pct",
+    "filter_residual_pct", "suction_blade_residual_pct", "start_time", "dt",
+)
+_STATUS_COLS = (
+    "serial_number", "poll_ts", "task_state", "online", "battery_soc", "battery_cycle_times",
+    "map_id", "map_name", "pos_x", "pos_y", "dt",
+)
+
+
+def _ties(cols: tuple[str, ...], keys: tuple[str, ...]) -> str:
+    return ", ".join(f"{c} nulls first" for c in cols if c not in keys)
+
+
+_MAINT_SQL = _with(_MAINT_ROWS) + _first(
+    "rows", "maintenance_id", "updated_at desc, " + _ties(_MAINT_COLS, ("maintenance_id",)),
+    "* exclude (_rank, parts_replaced), parts_replaced[1] as first_part",
+)
+_MISSION_SQL = _with(_MISSION_ROWS) + _first(
+    "rows", "report_id", "start_time, " + _ties(_MISSION_COLS, ("report_id",)), "* exclude (_rank)"
+)
+_STATUS_SQL = _with(_STATUS_ROWS) + _first(
+    "rows", "serial_number, poll_ts", _ties(_STATUS_COLS, ("serial_number", "poll_ts")),
+    "* exclude (_rank)",
+)
+
+
+def _maintenance_out(df: DataFrame) -> DataFrame:
+    first = F.col("parts_replaced")[0].alias("first_part")
+    return df.select(*[c for c in _MAINT_COLS if c != "parts_replaced"], first)
+
+
+# ------------------------------------------------------------------- scans
+
+
+@query("scan_envelope", _MAINT_SQL)
+def scan_envelope(t):
+    path = scratch_path(t.spark, "envelope")
+    write_envelopes(maintenance_records(t), path)
+    records = read_envelope(t.spark, path, schemas.MAINTENANCE_RECORD)
+    return _maintenance_out(silver(records, MAINTENANCE))
+
+
+@query("scan_paged", _MISSION_SQL)
+def scan_paged(t):
+    path = scratch_path(t.spark, "paged")
+    write_paged(mission_records(t), path, schemas.MISSION_ITEMS)
+    records = read_paged(t.spark, path, schemas.MISSION_RECORD, schemas.MISSION_ITEMS)
+    return silver(records, MISSIONS).select(*_MISSION_COLS)
+
+
+@query("scan_jsonl_malformed", _STATUS_SQL)
+def scan_jsonl_malformed(t):
+    path = scratch_path(t.spark, "lines")
+    records = status_records(t)
+    line = F.to_json(F.struct(*records.columns))
+    # A second, broken copy of each line ends after ten characters.
+    broken = F.left(line, F.lit(10))
+    records.select(F.explode(F.array(line, broken)).alias("value")).write.text(path)
+    return silver(read_jsonl(t.spark, path, schemas.STATUS_RECORD), STATUS).select(*_STATUS_COLS)
+
+
+@query("silver_maintenance", _MAINT_SQL)
+def silver_maintenance(t):
+    return _maintenance_out(silver(maintenance_records(t), MAINTENANCE))
+
+
+@query("silver_missions", _MISSION_SQL)
+def silver_missions(t):
+    return silver(mission_records(t), MISSIONS).select(*_MISSION_COLS)
+
+
+@query("silver_status", _STATUS_SQL)
+def silver_status(t):
+    return silver(status_records(t), STATUS).select(*_STATUS_COLS)
+
+
+# ------------------------------------------------------------ deduplication
+
+_LINE_COLS = (
+    "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
+    "l_returnflag", "l_linestatus", "l_shipdate",
+)
+
+
+def _lines(t: Tables) -> DataFrame:
+    return t.lineitem.select(*_LINE_COLS)
+
+
+def _dedup_sql(keys: tuple[str, ...], order: str = "") -> str:
+    return _first(
+        f"(select {', '.join(_LINE_COLS)} from lineitem)", ", ".join(keys),
+        order + _ties(_LINE_COLS, keys), "* exclude (_rank)",
+    )
+
+
+@query("dedup_latest", _dedup_sql(("l_orderkey",), "l_shipdate desc, "))
+def dedup_latest(t):
+    return dedup(_lines(t), ["l_orderkey"], [F.col("l_shipdate").desc_nulls_last()])
+
+
+@query("dedup_first", _dedup_sql(("l_orderkey", "l_linenumber"), "l_shipdate, "))
+def dedup_first(t):
+    return dedup(_lines(t), ["l_orderkey", "l_linenumber"], [F.col("l_shipdate").asc()])
+
+
+@query("dedup_composite", _dedup_sql(("l_suppkey", "l_shipdate")))
+def dedup_composite(t):
+    return dedup(_lines(t), ["l_suppkey", "l_shipdate"])
+
+
+# ------------------------------------------------------------------- tables
+
+CHANGE = dt.date(1998, 1, 1)
+_STORED = schemas.table("id string, robot bigint, at timestamp_ntz, area double, version int, dt date")
+
+
+def _stored(t: Tables, version: int = 1) -> DataFrame:
+    """Lines by ship month; later versions hold only later months."""
+    df = t.lineitem.select(
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey", "l_partkey").alias("id"),
+        F.col("l_suppkey").alias("robot"),
+        F.col("l_shipdate").alias("at"),
+        (F.col("l_quantity") * version).alias("area"),
+        F.lit(version).alias("version"),
+        F.trunc(F.to_date("l_shipdate"), "month").alias("dt"),
+    )
+    return df if version == 1 else df.where(F.col("at") >= F.lit(CHANGE))
+
+
+def _totals(df: DataFrame) -> DataFrame:
+    return df.groupBy("dt").agg(F.count(F.lit(1)).alias("n"), F.sum("area").alias("area"))
+
+
+_MONTH = "date_trunc('month', l_shipdate)::date"
+_BY_MONTH = f"select {_MONTH} as dt, count(*) as n, sum(l_quantity) as area from lineitem"
+
+
+@query("scan_partitions", f"{_BY_MONTH} where {_MONTH} in (date '1996-02-01', date '1998-06-01', date '1999-12-01') group by 1")
+def scan_partitions(t):
+    path = scratch_path(t.spark, "table")
+    write_partitions(_stored(t), path)
+    days = [dt.date(1996, 2, 1), dt.date(1998, 6, 1), dt.date(1999, 12, 1), dt.date(2050, 1, 1)]
+    return _totals(read_partitions(t.spark, path, _STORED, days))
+
+
+@query("scan_date_window", f"{_BY_MONTH} where {_MONTH} between date '1998-06-01' - 90 and date '1998-06-01' + 30 group by 1")
+def scan_date_window(t):
+    path = scratch_path(t.spark, "table")
+    write_partitions(_stored(t), path)
+    lo, hi = date_window(dt.date(1998, 6, 1), 90, 30)
+    return _totals(read_window(t.spark, path, _STORED, lo, hi))
+
+
+@query("sink_dynamic_overwrite", f"""select {_MONTH} as dt, count(*) as n,
+  sum(case when l_shipdate >= date '{CHANGE}' then l_quantity * 2 else l_quantity end) as area
+from lineitem group by 1""")
+def sink_dynamic_overwrite(t):
+    path = scratch_path(t.spark, "table")
+    write_partitions(_stored(t), path)
+    write_partitions(_stored(t, 2), path)
+    return _totals(read_window(t.spark, path, _STORED))
+
+
+@query("sink_rebuild", f"""select {_MONTH} as dt, count(*) as n, sum(l_quantity * 2) as area
+from lineitem where l_shipdate >= date '{CHANGE}' group by 1""")
+def sink_rebuild(t):
+    path = scratch_path(t.spark, "table")
+    write_partitions(_stored(t), path)
+    write_partitions(_stored(t, 2), path, mode="rebuild")
+    return _totals(read_window(t.spark, path, _STORED))
+
+
+@query("sink_merge", f"""with one as (
+  select {_MONTH} as dt, l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_partkey, max(l_quantity) as q
+  from lineitem group by all)
+select dt, count(*) as n, sum(case when l_shipdate >= date '{CHANGE}' then q * 2 else q end) as area
+from one group by 1""")
+def sink_merge(t):
+    """Two loads of the same rows: the second version wins, nothing is lost."""
+    path = scratch_path(t.spark, "table")
+    newest = [F.col("version").desc(), F.col("area").desc()]
+    for version in (1, 2):
+        merge_partitions(_stored(t, version), path, _STORED, ["id", "at"], newest, sort=["robot", "at"])
+    return _totals(read_window(t.spark, path, _STORED))
+
+
+@query("load_report", f"""select 'missions' as table_name, count(*) as rows,
+  count(distinct {_MONTH}) as partitions from lineitem""")
+def load_report(t):
+    path = scratch_path(t.spark, "table")
+    write_partitions(_stored(t), path)
+    return table_report(t.spark, path, name="missions").select("table_name", "rows", "partitions")

@@ -109,3 +109,17 @@ def compare(models: Mapping[str, PipelineModel], test: DataFrame, cols: Sequence
         )
         rows = one if rows is None else rows.unionByName(one)
     return rows
+
+
+def risk_surface(
+    model: PipelineModel, df: DataFrame, cols: Sequence[str], keys: Sequence[str]
+) -> DataFrame:
+    """The two strongest features of each row beside its probability."""
+    top = [name for name, _ in importance(model, cols)[:2]]
+    scored = score(model, df, cols)
+    pairs = [
+        c
+        for i, name in enumerate(top, 1)
+        for c in (F.lit(name).alias(f"feature_{i}"), F.col(name).cast("double").alias(f"value_{i}"))
+    ]
+    return scored.select(*keys, *pairs, "score")

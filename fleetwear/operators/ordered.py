@@ -46,8 +46,8 @@ def running_totals(
             F.when(present, F.col("value")), [i / buckets for i in range(1, buckets)], 4 * buckets
         )
     ).scalar()
-    piece = F.size(F.filter(F.coalesce(cuts, F.array()), lambda cut: cut <= F.col("value")))
-    rows = counts.withColumn("_piece", piece)
+    below = F.filter("_cuts", lambda cut: cut <= F.col("value"))
+    rows = counts.withColumn("_cuts", cuts).withColumn("_piece", F.size(below)).drop("_cuts")
 
     def sort_key(name: str) -> Column:
         return F.col(name).desc() if descending else F.col(name).asc()

@@ -18,9 +18,11 @@ def profile(df: DataFrame, keys: Sequence[str], **measures: Column) -> DataFrame
     return df.groupBy(*keys).agg(*[c.alias(name) for name, c in measures.items()])
 
 
-def frequency(df: DataFrame, col: str) -> DataFrame:
-    """Values with counts, most frequent first."""
-    return df.groupBy(col).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), col)
+def frequency(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column_name, value, n) for each column, most frequent first."""
+    pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).cast("string").alias("value")) for c in cols]
+    counts = df.select(F.inline(F.array(*pairs))).groupBy("column_name", "value")
+    return counts.agg(F.count(F.lit(1)).alias("n")).orderBy("column_name", F.desc("n"), "value")
 
 
 def frequency_in(df: DataFrame, col: str, domain: Sequence[str]) -> DataFrame:
@@ -37,8 +39,13 @@ def crosstab(
     df: DataFrame, rows: Sequence[str], col: str, values: Mapping[object, str]
 ) -> DataFrame:
     """Row keys against the listed values; absent combinations count 0."""
-    cells = [F.count_if(F.col(col) == v).alias(name) for v, name in values.items()]
-    return df.groupBy(*rows).agg(*cells)
+    table = df.groupBy(*rows).pivot(col, list(values)).count()
+    found = [F.coalesce(F.col(f"`{_pivot_name(v)}`"), F.lit(0)).alias(n) for v, n in values.items()]
+    return table.select(*rows, *found)
+
+
+def _pivot_name(value: object) -> str:
+    return str(value).lower() if isinstance(value, bool) else str(value)
 
 
 def share(df: DataFrame, keys: Sequence[str], within: Sequence[str] = ()) -> DataFrame:

@@ -68,11 +68,25 @@ FLEET_RECORD = _record(
 FLEET_ITEMS = "robots"
 
 
-def _table(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+_TYPES = {
+    "string": T.StringType(),
+    "int": T.IntegerType(),
+    "bigint": T.LongType(),
+    "double": T.DoubleType(),
+    "boolean": T.BooleanType(),
+    "date": T.DateType(),
+    "timestamp_ntz": T.TimestampNTZType(),
+    "array<string>": T.ArrayType(T.StringType()),
+}
 
 
-MAINTENANCE = _table(
+def table(columns: str) -> T.StructType:
+    """Schema from "name type, ..."; needs no running session."""
+    pairs = (c.split() for c in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
+MAINTENANCE = table(
     "maintenance_id string, robot_id string, service_ticket_id string, service_source string,"
     "maintenance_type string, maintenance_category string, maintenance_status string,"
     "reported_at timestamp_ntz, started_at timestamp_ntz, completed_at timestamp_ntz,"
@@ -82,7 +96,7 @@ MAINTENANCE = _table(
     "dt date"
 )
 
-MISSIONS = _table(
+MISSIONS = table(
     "report_id string, robot_serial_number string, robot_display_name string, operator string,"
     "map_name string, cleaning_mode string, task_end_status int, completion_percentage double,"
     "duration_seconds int, planned_area_m2 double, actual_area_m2 double,"
@@ -92,7 +106,7 @@ MISSIONS = _table(
     "start_time timestamp_ntz, end_time timestamp_ntz, dt date"
 )
 
-STATUS = _table(
+STATUS = table(
     "serial_number string, poll_ts timestamp_ntz, task_state string, online boolean,"
     "speed_kmh double, battery_soc int, battery_charging boolean, battery_cycle_times int,"
     "battery_health string, battery_temp1 int, battery_temp2 int, total_voltage_mv int,"
@@ -103,7 +117,7 @@ STATUS = _table(
     "clean_water_filter_used_life_h double, hepa_sensor_used_life_h double, dt date"
 )
 
-FEATURES = _table(
+FEATURES = table(
     "serial_number string, feature_date date, brush_residual_last int, filter_residual_last int,"
     "squeegee_residual_last int, missions_7d bigint, missions_30d bigint, area_30d double,"
     "area_90d double, avg_completion_7d double, avg_completion_30d double,"

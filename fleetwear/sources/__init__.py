@@ -1,6 +1,7 @@
 from fleetwear.sources.bronze import (
     MissingData,
     day_paths,
+    path_exists,
     read_envelope,
     read_jsonl,
     read_load_dates,
@@ -14,6 +15,7 @@ __all__ = [
     "MissingData",
     "date_window",
     "day_paths",
+    "path_exists",
     "read_envelope",
     "read_jsonl",
     "read_load_dates",

@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,25 +78,35 @@ def day_paths(root: str, day: dt.date, source: str = "*") -> str:
     return f"{root}/source={source}/{LOAD_DATE}={day.isoformat()}"
 
 
-def read_load_dates(read: Callable[..., DataFrame], root: str, lo: dt.date, hi: dt.date) -> DataFrame:
-    """Apply one of the readers above to the load dates ``lo..hi``.
+def read_load_dates(
+    spark: SparkSession,
+    read: Callable[..., DataFrame],
+    root: str,
+    lo: dt.date,
+    hi: dt.date,
+) -> DataFrame | None:
+    """Apply one of the readers above to the load dates ``lo..hi``; None if absent.
 
     A single date lists only its own folders; a range scans the root and lets
     partition pruning pick the dates.
     """
     if lo == hi:
-        return read(day_paths(root, lo), root=root)
-    return read(root, root=root, where=F.col(LOAD_DATE).between(F.lit(lo), F.lit(hi)))
-
-
-def read_or_none(read: Callable[[], DataFrame]) -> DataFrame | None:
-    """The scan, or None where its path does not exist."""
-    try:
-        return read()
-    except AnalysisException as error:
-        if error.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
+        path = day_paths(root, lo)
+        return read_or_none(spark, path, lambda: read(path, root=root))
+    dates = F.col(LOAD_DATE).between(F.lit(lo), F.lit(hi))
+    return read_or_none(spark, root, lambda: read(root, root=root, where=dates))
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether ``path`` (globs allowed) matches anything in its file system."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)
+    return found is not None and len(found) > 0
+
+
+def read_or_none(spark: SparkSession, path: str, read: Callable[[], DataFrame]) -> DataFrame | None:
+    """The scan of ``path``, or None where it does not exist."""
+    return read() if path_exists(spark, path) else None
 
 
 def require_rows(df: DataFrame | None, dataset: str) -> DataFrame:

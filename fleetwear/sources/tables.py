@@ -29,7 +29,7 @@ def read_window(
 
     The bounds reach the scan as partition filters.
     """
-    df = read_or_none(lambda: spark.read.schema(schema).parquet(root))
+    df = read_or_none(spark, root, lambda: spark.read.schema(schema).parquet(root))
     if df is None:
         return spark.createDataFrame([], schema)
     if lo is not None:
@@ -48,7 +48,7 @@ def read_partitions(
 ) -> DataFrame:
     """Rows of the listed partitions; absent ones count as empty."""
     days = list(days)
-    df = read_or_none(lambda: spark.read.schema(schema).parquet(root))
+    df = read_or_none(spark, root, lambda: spark.read.schema(schema).parquet(root))
     if df is None or not days:
         return spark.createDataFrame([], schema)
     return df.where(F.col(key).isin(days))
