@@ -102,14 +102,17 @@ def _inputs(spark: SparkSession, layout: Layout, lo: dt.date, hi: dt.date, lookb
     )
 
 
-def _store(features: DataFrame, layout: Layout) -> int:
+def _store(features: DataFrame, layout: Layout, lo: dt.date, hi: dt.date) -> int:
     dated = features.withColumn("dt", F.col("feature_date"))
-    return write_partitions(dated, layout.features, order=["serial_number"])
+    write_partitions(dated, layout.features, order=["serial_number"])
+    # Answered from the Parquet footers of the partitions written.
+    return read_window(features.sparkSession, layout.features, schemas.FEATURES, lo, hi).count()
 
 
 def run_gold(spark: SparkSession, layout: Layout, day: dt.date, lookback: int | None = LONGEST) -> int:
     """Features of one date as its partition of the feature table."""
-    return _store(asof_features(_inputs(spark, layout, day, day, lookback), day, lookback), layout)
+    features = asof_features(_inputs(spark, layout, day, day, lookback), day, lookback)
+    return _store(features, layout, day, day)
 
 
 def run_day(spark: SparkSession, layout: Layout, day: dt.date) -> dict[str, int]:
@@ -124,4 +127,4 @@ def run_range(
     """Backfill: the same tables as a daily run of every date, in one pass each."""
     rows = run_silver(spark, layout, lo, hi)
     features = features_range(_inputs(spark, layout, lo, hi, lookback), lo, hi, lookback)
-    return {**rows, GOLD_TABLE: _store(features, layout)}
+    return {**rows, GOLD_TABLE: _store(features, layout, lo, hi)}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,8 +20,8 @@ def write_partitions(
     mode: str = "dynamic",
     order: Sequence[str] = (),
     files_per_partition: int | None = None,
-) -> int:
-    """Write ``df`` partitioned by ``key`` and return the rows written.
+) -> None:
+    """Write ``df`` partitioned by ``key``.
 
     ``dynamic`` replaces only the partitions present in ``df`` (none if it is
     empty); ``rebuild`` replaces the table. By default the adaptive rebalance
@@ -30,8 +30,6 @@ def write_partitions(
     """
     if mode not in ("dynamic", "rebuild"):
         raise ValueError(f"mode: {mode}")
-    rows = Observation()
-    df = df.observe(rows, F.count(F.lit(1)).alias("rows"))
     if files_per_partition is None:
         df = df.hint("rebalance", key)
     else:
@@ -46,7 +44,6 @@ def write_partitions(
         .partitionBy(key)
         .parquet(path)
     )
-    return rows.get["rows"]
 
 
 def merge_partitions(
