@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetwear.functions import ratio
@@ -77,15 +77,14 @@ def _binned(rows: DataFrame, groups: Sequence[str], bins: int) -> DataFrame:
     domain = spark.range(1).select(F.explode(F.array(*[F.lit(g) for g in groups])).alias("grp"))
     domain = domain.select("grp", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
     full = domain.join(counts, ["grp", "bin"], "left").na.fill(0, ["n"])
-    sizes = counts.groupBy("grp").agg(F.sum("n").alias("size"))
-    full = full.join(sizes, "grp", "left")
+    size = F.sum("n").over(Window.partitionBy("grp"))  # over `bins` rows per group
     return full.select(
         "grp",
         "bin",
         (lo + width * F.col("bin")).alias("bin_lo"),
         (lo + width * (F.col("bin") + 1)).alias("bin_hi"),
         "n",
-        ratio(F.col("n"), F.col("size") * width).alias("density"),
+        ratio(F.col("n"), size * width).alias("density"),
     )
 
 

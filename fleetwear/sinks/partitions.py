@@ -19,26 +19,19 @@ def write_partitions(
     key: str = "dt",
     mode: str = "dynamic",
     order: Sequence[str] = (),
-    files_per_partition: int | None = None,
 ) -> None:
     """Write ``df`` partitioned by ``key``.
 
     ``dynamic`` replaces only the partitions present in ``df`` (none if it is
-    empty); ``rebuild`` replaces the table. By default the adaptive rebalance
-    packs a small partition into one file and splits a large one over several
-    tasks; ``files_per_partition`` fixes the number instead.
+    empty); ``rebuild`` replaces the table. The adaptive rebalance packs a small
+    partition into one file and splits a large one over several tasks.
     """
     if mode not in ("dynamic", "rebuild"):
         raise ValueError(f"mode: {mode}")
-    if files_per_partition is None:
-        df = df.hint("rebalance", key)
-    else:
-        rest = [c for c in df.columns if c != key]
-        slot = F.pmod(F.xxhash64(*rest), F.lit(files_per_partition))
-        df = df.repartition(F.col(key), slot)
     overwrite = "dynamic" if mode == "dynamic" else "static"
     (
-        df.sortWithinPartitions(key, *order)
+        df.hint("rebalance", key)
+        .sortWithinPartitions(key, *order)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", overwrite)
         .partitionBy(key)

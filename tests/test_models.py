@@ -56,8 +56,8 @@ def test_class_weights_balance(matrix):
 
 
 def test_cross_validation(matrix):
-    folded = prepare.stratified_folds(matrix, "label", ["id"])
-    mean, sd = models.cross_validate(models.lr_pipeline(COLS, "label", 2000), folded, COLS, "label")
+    folded = prepare.stratified_folds(matrix, "label", ["id"], k=3).cache()
+    mean, sd = models.cross_validate(models.lr_pipeline(COLS, "label", 2000), folded, COLS, "label", k=3)
     assert 0.9 < mean <= 1 and 0 <= sd < 0.1
 
 
