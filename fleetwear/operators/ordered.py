@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 256
+BUCKETS = 1024  # a power of two
 
 
 def value_counts(
@@ -46,8 +46,14 @@ def running_totals(
             F.when(present, F.col("value")), [i / buckets for i in range(1, buckets)], 4 * buckets
         )
     ).scalar()
-    below = F.filter("_cuts", lambda cut: cut <= F.col("value"))
-    rows = counts.withColumn("_cuts", cuts).withColumn("_piece", F.size(below)).drop("_cuts")
+    rows = counts.withColumns({"_cuts": cuts, "_piece": F.lit(0)})
+    step = buckets // 2
+    while step:  # binary search: how many cut points are not above the value
+        cut = F.get("_cuts", F.col("_piece") + F.lit(step - 1))
+        passed = F.coalesce(cut <= F.col("value"), F.lit(False))
+        rows = rows.withColumn("_piece", F.col("_piece") + F.when(passed, step).otherwise(0))
+        step //= 2
+    rows = rows.drop("_cuts")
 
     def sort_key(name: str) -> Column:
         return F.col(name).desc() if descending else F.col(name).asc()

@@ -148,7 +148,9 @@ def _daily(inputs: Inputs, lo: dt.date, hi: dt.date, lookback: int | None, keep_
             {"kind": F.lit(POLL), "soc_n": F.col("avg_battery_soc").isNotNull().cast("int")}
         )
         rows = rows.unionByName(polls, allowMissingColumns=True)
-    return rows.repartition("serial_number")
+    # A fixed number: the fan-out multiplies what the adaptive coalescing sees.
+    spark = inputs.usage.sparkSession
+    return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "serial_number")
 
 
 # ------------------------------------------------------------- feature plan
