@@ -25,7 +25,7 @@ MODEL_COLUMNS = (
     *(c for c in STATUS_FEATURES if c != "battery_health_last"), "battery_aging",
 )
 # Rounds of boosting in the registered queries; jobs use the full number.
-ROUNDS = 10
+ROUNDS = 5
 
 GOLD = f"gold as ({WEEKLY_SQL})"
 _SPLIT = """cut as (
@@ -260,6 +260,11 @@ def model_comparison(t):
 def cv_auc(t):
     train, _ = prepare.temporal_split(_matrix(t))
     folded = stage(prepare.stratified_folds(train, LABEL, KEYS), "folds")
-    pipeline = models.lr_pipeline(MODEL_COLUMNS, LABEL, folded.count())
-    found = models.cross_validate(pipeline, folded, MODEL_COLUMNS, LABEL)
-    return t.spark.createDataFrame([("Logistic Regression", *found)], "model string, mean_auc double, sd_auc double")
+    pipelines = {
+        "Logistic Regression": models.lr_pipeline(MODEL_COLUMNS, LABEL, folded.count()),
+        "Gradient Boosting": models.gbt_pipeline(MODEL_COLUMNS, LABEL, ROUNDS),
+    }
+    found = [
+        (name, *models.cross_validate(p, folded, MODEL_COLUMNS, LABEL)) for name, p in pipelines.items()
+    ]
+    return t.spark.createDataFrame(found, "model string, mean_auc double, sd_auc double")

@@ -28,8 +28,8 @@ from fleetwear.sources import (
     read_window,
 )
 
-PAGE_ROWS = 500
-PAGES_PER_FILE = 40
+PAGE_ROWS = 1000
+PAGES_PER_FILE = 100
 
 
 def _with(*parts: str) -> str:
@@ -112,15 +112,11 @@ def status_records(t: Tables) -> DataFrame:
     )
 
 
-def _number_pages(df: DataFrame, rows: int) -> Column:
-    """Page numbers of at most ``rows`` consecutive rows each."""
-    return F.floor(F.monotonically_increasing_id() / rows)
-
-
 def _nest(records: DataFrame, rows: int, name: str) -> DataFrame:
-    """Bounded arrays of records."""
+    """Arrays of at most ``rows`` consecutive records, numbered by ``page``."""
     record = F.struct(*records.columns).alias("rec")
-    paged = records.select(_number_pages(records, rows).alias("page"), record)
+    page = F.floor(F.monotonically_increasing_id() / rows).alias("page")
+    paged = records.select(page, record)
     return paged.groupBy("page").agg(F.collect_list("rec").alias(name))
 
 
@@ -136,8 +132,7 @@ def write_envelopes(records: DataFrame, path: str) -> None:
 def write_paged(records: DataFrame, path: str, items: str) -> None:
     pages = _nest(records, PAGE_ROWS, items)
     page = F.struct(items, F.col("page").alias("number")).alias("one")
-    # Numbers of pages are sparse, so files take the pages of a task in turn.
-    files = pages.select(_number_pages(pages, PAGES_PER_FILE).alias("file"), page)
+    files = pages.select(F.floor(F.col("page") / PAGES_PER_FILE).alias("file"), page)
     _write_documents(files.groupBy("file").agg(F.collect_list("one").alias("data")).drop("file"), path)
 
 

@@ -84,7 +84,7 @@ def cross_validate(pipeline: Pipeline, folded: DataFrame, cols: Sequence[str], l
     evaluator = BinaryClassificationEvaluator(labelCol=label, numBins=0)
     cv = CrossValidator(
         estimator=pipeline, evaluator=evaluator, estimatorParamMaps=ParamGridBuilder().build(),
-        numFolds=k, foldCol="fold",
+        numFolds=k, foldCol="fold", parallelism=k,
     )
     fitted = cv.fit(df)
     return float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])

@@ -14,6 +14,8 @@ def build_session(app: str = "fleetwear", **conf: str) -> SparkSession:
         SparkSession.builder.appName(app)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        # Call sites per column expression cost more than building the plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
