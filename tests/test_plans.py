@@ -51,7 +51,7 @@ def test_rollup_aggregates_before_the_shuffle(tables):
 
 
 @pytest.mark.parametrize("key", sorted(set(entry.queries()) - {
-    "lr_scores", "gbt_scores", "top_importance", "risk_surface", "model_comparison", "cv_auc",
+    "lr_scores", "gbt_scores", "top_importance", "risk_surface", "model_comparison", "cv_auc", "cv_auc_gbt",
     "scan_envelope", "scan_paged", "scan_jsonl_malformed", "scan_partitions", "scan_date_window",
     "sink_dynamic_overwrite", "sink_rebuild", "sink_merge", "load_report",
 }))
