@@ -12,8 +12,13 @@ MODEL_OTHER = "W1"
 
 
 def narrow_int(c: Column) -> Column:
-    """Text or number to int: fractions truncate, bad or too large gives null."""
-    return c.try_cast("double").try_cast("int")
+    """Text or number to int: fractions truncate, bad or too large gives null.
+
+    The range is tested first: an overflow caught by the cast costs an exception
+    per value.
+    """
+    d = c.try_cast("double")
+    return F.when((d > -2147483649.0) & (d < 2147483648.0), d.cast("int"))
 
 
 def to_double(c: Column) -> Column:
