@@ -3,11 +3,34 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from fleetwear.llm import sharding
+from fleetwear.llm import pii, secrets, sharding, spans
 from fleetwear.llm.common import documents
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.col("base_spans")
+    return found.select(
+        "doc_id",
+        *[spans.count(base, k).alias(f"n_{k}") for k in ("assign", "access", "hex")],
+        F.sha2(spans.listed(base), 256).alias("base_sha256"),
+        spans.listed(F.col("secret_spans")).alias("spans"),
+    )
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.col("base_spans")
+    return found.select(
+        "doc_id",
+        *[spans.count(base, k).alias(f"n_{k}") for k in pii.BASE],
+        F.sha2(spans.listed(base), 256).alias("base_sha256"),
+        spans.listed(F.col("pii_spans")).alias("spans"),
+    )
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir), ["doc_id"]).select("doc_id", "slot", "shard")
 
@@ -21,6 +44,8 @@ select doc_id, slot, 'shard-' || lpad(cast(o[slot + 1] as varchar), 2, '0') as s
 """
 
 QUERIES = {
+    "op2_secrets": op2_secrets,
+    "op8_pii": op8_pii,
     "op10_sharding": op10_sharding,
 }
 ORACLES = {
