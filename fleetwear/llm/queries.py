@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwear.llm import pii, secrets, sharding, spans
+from fleetwear.llm import imatch, pii, secrets, sharding, spans
 from fleetwear.llm.common import documents
 
 
@@ -31,6 +31,10 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edited_pairs(documents(spark, sf_dir))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir), ["doc_id"]).select("doc_id", "slot", "shard")
 
@@ -45,6 +49,7 @@ select doc_id, slot, 'shard-' || lpad(cast(o[slot + 1] as varchar), 2, '0') as s
 
 QUERIES = {
     "op2_secrets": op2_secrets,
+    "op7_fingerprints": op7_fingerprints,
     "op8_pii": op8_pii,
     "op10_sharding": op10_sharding,
 }
