@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwear.llm import imatch, pii, secrets, sharding, spans
+from fleetwear.llm import imatch, packing, pii, secrets, sharding, spans
 from fleetwear.llm.common import documents
 
 
@@ -35,6 +35,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edited_pairs(documents(spark, sf_dir))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.digest(packing.pack(documents(spark, sf_dir)))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir), ["doc_id"]).select("doc_id", "slot", "shard")
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op7_fingerprints": op7_fingerprints,
     "op8_pii": op8_pii,
+    "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
 }
 ORACLES = {
