@@ -5,8 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwear.llm import imatch, packing, pii, secrets, sharding, spans
-from fleetwear.llm.common import documents
+from fleetwear.llm import imatch, packing, pii, secrets, sharding, spans, toxicity
+from fleetwear.llm.common import documents, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id",
+        toxicity.held_out().alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+    )
 
 
 def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,6 +63,7 @@ select doc_id, slot, 'shard-' || lpad(cast(o[slot + 1] as varchar), 2, '0') as s
 """
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
     "op7_fingerprints": op7_fingerprints,
     "op8_pii": op8_pii,
