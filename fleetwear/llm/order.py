@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetwear.llm.common import partitions
 
 
-def piece_of(value: Column, cuts: list) -> Column:
-    """How many of the sorted ``cuts`` are not above ``value``, by binary search; 0 for null."""
+def with_piece(df: DataFrame, key: str, cuts: list) -> DataFrame:
+    """Add ``piece``: how many of the sorted ``cuts`` are not above the key, by binary search; 0 for null.
+
+    Every step is a column of its own: nested in one expression, the steps
+    would double its size each time.
+    """
+    rows = df.withColumn("piece", F.lit(0))
     if not cuts:
-        return F.lit(0)
+        return rows
+    array = F.lit(cuts)
     steps = 1 << (len(cuts).bit_length() - 1)
-    array = F.array(*[F.lit(c) for c in cuts])
-    at: Column = F.lit(0)
     while steps:
-        at = at + F.when(F.get(array, at + F.lit(steps - 1)) <= value, steps).otherwise(0)
+        passed = F.coalesce(F.get(array, F.col("piece") + F.lit(steps - 1)) <= F.col(key), F.lit(False))
+        rows = rows.withColumn("piece", F.col("piece") + F.when(passed, steps).otherwise(0))
         steps //= 2
-    return at
+    return rows
 
 
 def with_next(df: DataFrame, key: str, tie: str) -> DataFrame:
@@ -36,7 +41,7 @@ def with_next(df: DataFrame, key: str, tie: str) -> DataFrame:
     pieces = 4 * partitions(df.sparkSession)
     cuts = df.agg(F.percentile_approx(key, [i / pieces for i in range(1, pieces)], 10 * pieces)).first()[0]
     cuts = sorted(set(cuts or []))
-    rows = df.withColumn("piece", piece_of(F.col(key), cuts))
+    rows = with_piece(df, key, cuts)
     firsts = sorted(
         (r["piece"], r["first"])
         for r in rows.select("piece", key).groupBy("piece").agg(F.max(key).alias("first")).collect()
