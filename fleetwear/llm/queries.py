@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwear.llm import decontamination, imatch, packing, pii, secrets, sharding, spans, toxicity
+from fleetwear.llm import decontamination, imatch, packing, pii, secrets, sharding, spans, token_counts, toxicity
 from fleetwear.llm.common import documents, table
 
 
@@ -42,6 +42,11 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.count_tokens(documents(spark, sf_dir).select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = decontamination.judged(docs, table(spark, sf_dir, "benchmark"))
@@ -71,6 +76,7 @@ select doc_id, slot, 'shard-' || lpad(cast(o[slot + 1] as varchar), 2, '0') as s
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
+    "op3_token_counts": op3_token_counts,
     "op6_decontamination": op6_decontamination,
     "op7_fingerprints": op7_fingerprints,
     "op8_pii": op8_pii,
