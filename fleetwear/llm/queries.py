@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwear.llm import decontamination, imatch, packing, pii, secrets, sharding, spans, token_counts, toxicity
+from fleetwear.llm import decontamination, imatch, jaccard_join, packing, pii, secrets, sharding, spans, token_counts, toxicity
 from fleetwear.llm.common import documents, table
 
 
@@ -47,6 +47,10 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.grouped(documents(spark, sf_dir), width=4, percent=85)
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = decontamination.judged(docs, table(spark, sf_dir, "benchmark"))
@@ -77,6 +81,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
     "op3_token_counts": op3_token_counts,
+    "op4_jaccard_join": op4_jaccard_join,
     "op6_decontamination": op6_decontamination,
     "op7_fingerprints": op7_fingerprints,
     "op8_pii": op8_pii,
