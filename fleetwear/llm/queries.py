@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from fleetwear.llm import decontamination, imatch, jaccard_join, packing, pii, secrets, sharding, spans, token_counts, toxicity
 from fleetwear.llm.common import documents, table
 
@@ -48,7 +49,8 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.grouped(documents(spark, sf_dir), width=4, percent=85)
+    found = jaccard_join.grouped(documents(spark, sf_dir), width=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id")
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +89,10 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op10_sharding": OP10_SQL,
 }
+if corpus_pipeline.ORACLE_SQL:
+    ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL

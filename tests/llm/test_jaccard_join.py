@@ -46,7 +46,7 @@ def brute(rows, width, percent):
 
 def run(spark, rows, width, percent):
     df = spark.createDataFrame([(k, t, 0, 0) for k, t in rows], "doc_id long, text string, node int, n int")
-    return sorted([tuple(r) for r in J.grouped(df, width=width, percent=percent).collect()], key=repr)
+    return sorted([tuple(r)[:3] for r in J.grouped(df, width=width, percent=percent).collect()], key=repr)
 
 
 def test_query(spark):
@@ -83,6 +83,16 @@ def test_odd_rows(spark):
     assert run(spark, [], 4, 85) == []
 
 
+def test_one_of_each(spark):
+    near = " ".join(f"w{i}" for i in range(60))
+    rows = [(3, near), (3, near), (2, near + " x"), (7, near + " y"), (None, near), (5, ""), (5, None), (9, "other text entirely"), (3, "third text here"), (None, "null id alone")]
+    df = spark.createDataFrame([(k, t, "en") for k, t in rows], "doc_id long, text string, lang string")
+    got = sorted([(r["doc_id"], r["text"]) for r in J.one_of_each(df).collect()], key=repr)
+    want = [(2, near + " x"), (5, ""), (5, None), (9, "other text entirely"), (3, "third text here"), (None, "null id alone")]
+    assert got == sorted(want, key=repr)
+    assert J.one_of_each(df.limit(0)).columns == df.columns
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 100 + i) for i in range(50)] + [(200, 200)]
