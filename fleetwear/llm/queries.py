@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetwear.llm import decontamination, imatch, jaccard_join, packing, pii, secrets, sharding, spans, token_counts, toxicity
+from fleetwear.llm import decontamination, imatch, jaccard_join, packing, pii, secrets, sharding, spans, substrings, token_counts, toxicity
 from fleetwear.llm.common import documents, table
 
 
@@ -53,6 +53,18 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
+def op5_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.without_repeats(documents(spark, sf_dir))
+    removed = F.aggregate("removed", F.lit(0).cast("long"), lambda n, r: n + r["e"] - r["b"])
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        removed.alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     found = decontamination.judged(docs, table(spark, sf_dir, "benchmark"))
@@ -84,6 +96,7 @@ QUERIES = {
     "op2_secrets": op2_secrets,
     "op3_token_counts": op3_token_counts,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_substrings": op5_substrings,
     "op6_decontamination": op6_decontamination,
     "op7_fingerprints": op7_fingerprints,
     "op8_pii": op8_pii,
