@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,138 +38,127 @@ from fleetwear.plans.features import (
     weekly_features,
 )
 
-# ------------------------------------------------------------ oracle texts
+# ------------------------------------------------------------ expected answers
+#
+# All expected answers have one shape. ``moments`` lists whatever happened to a
+# device, of any kind; ``grid`` lists the devices and dates asked for; ``seen``
+# pairs every date with its device's moments and their distance in days (positive:
+# before the date). Every feature is then one aggregate over ``seen``.
 
 _DATE = f"date '{ASOF}'"
 _STATUS_DATE = f"date '{ASOF_STATUS}'"
 
 
-def _newest(at: str, value: str, nulls: bool) -> str:
-    keep = "" if nulls else f" filter (where {value} is not null)"
-    return f"(max({{'at': {at}, 'v': {value}}}){keep}).v"
-
-
-def _usage_sql(end: str, join: str, nulls: bool) -> str:
-    def since(n: int) -> str:
-        return f"filter (where t.start_time::date >= fd.feature_date - {n})"
-
-    def last(c: str) -> str:
-        keep = "t.start_time is not null" if nulls else f"t.{c} is not null"
-        return f"(max({{'at': t.start_time, 'v': t.{c}}}) filter (where {keep})).v"
-
-    return f"""task_feat as (
-  select fd.serial_number, fd.feature_date,
-    {last("brush_residual_pct")} as brush_residual_last,
-    {last("filter_residual_pct")} as filter_residual_last,
-    {last("suction_blade_residual_pct")} as squeegee_residual_last,
-    count(*) {since(7)} as missions_7d, count(*) {since(30)} as missions_30d,
-    coalesce(sum(t.actual_area_m2) {since(30)}, 0) as area_30d,
-    coalesce(sum(t.actual_area_m2) {since(90)}, 0) as area_90d,
-    avg(t.completion_percentage) {since(7)} as avg_completion_7d,
-    avg(t.completion_percentage) {since(30)} as avg_completion_30d,
-    avg(t.battery_delta_pct) {since(30)} as avg_battery_drop_30d
-  from fd {join} join usage t on t.robot_serial_number = fd.serial_number
-    and t.start_time::date {end} fd.feature_date
-    and t.start_time::date >= fd.feature_date - 90
-  group by fd.serial_number, fd.feature_date)"""
-
-
-def _maint_sql(end: str) -> str:
-    day = "m.completed_at::date"
-
-    def seen(n: int, extra: str = "") -> str:
-        return f"filter (where {day} >= fd.feature_date - {n} and {day} {end} fd.feature_date {extra})"
-
-    return f"""maint_feat as (
-  select fd.serial_number, fd.feature_date,
-    coalesce(date_diff('day', max({day}) filter (where {day} {end} fd.feature_date),
-      fd.feature_date), 999)::int as days_since_last_maintenance,
-    coalesce(date_diff('day', max({day}) filter (where {day} {end} fd.feature_date
-      and m.failure_detected), fd.feature_date), 999)::int as days_since_last_failure,
-    count(*) {seen(30)} as maint_count_30d, count(*) {seen(90)} as maint_count_90d,
-    coalesce(sum(m.downtime_minutes) {seen(30)}, 0)::bigint as downtime_30d,
-    count(*) {seen(90, "and m.failure_detected")} as failure_count_90d,
-    count(*) {seen(90, "and m.maintenance_type = 'corrective'")} as corrective_count_90d
-  from fd left join maint m on m.robot_id = fd.serial_number
-  group by fd.serial_number, fd.feature_date)"""
-
-
-_LABEL_SQL = """target as (
-  select fd.serial_number, fd.feature_date,
-    coalesce(max(case when m.failure_detected then 1 else 0 end), 0)::int as has_failure_next_30d
-  from fd left join maint m on m.robot_id = fd.serial_number
-    and m.completed_at::date > fd.feature_date
-    and m.completed_at::date <= fd.feature_date + 30
-  group by fd.serial_number, fd.feature_date)"""
-
-
-def _daily_sql(nulls: bool) -> str:
-    return f"""status_daily as (
+def _newest(value: str, at: str, where: str, nulls: bool) -> str:
+    """Value of the latest moment; of equal times the larger, a null is the smallest."""
+    only = where if nulls else f"{where} and {value} is not null"
+    return f"last({value} order by {at}, {value} nulls first) filter (where {only})"
+
+
+def _polled(nulls: bool) -> str:
+    return f"""polled as (
   select serial_number, poll_ts::date as day, avg(battery_soc) as avg_battery_soc,
-    {_newest("poll_ts", "battery_cycle_times", nulls)} as battery_cycle_times,
-    {_newest("poll_ts", "battery_health", nulls)} as battery_health
-  from status group by all)"""
+    {_newest("battery_cycle_times", "poll_ts", "true", nulls)} as battery_cycle_times,
+    {_newest("battery_health", "poll_ts", "true", nulls)} as battery_health
+  from status group by serial_number, poll_ts::date)"""
+
+
+_WORK = """select 'work' as kind, robot_serial_number as device, start_time::timestamp as happened, actual_area_m2 as area,
+    completion_percentage as done, battery_delta_pct as drained, brush_residual_pct as brush,
+    filter_residual_pct as sieve, suction_blade_residual_pct as blade from usage"""
+_SERVICE = """select 'service' as kind, robot_id as device, completed_at::timestamp as happened, downtime_minutes as idle,
+    failure_detected as broken, maintenance_type = 'corrective' as repaired from maint"""
+_POLL = """select 'poll' as kind, serial_number as device, day::timestamp as happened, avg_battery_soc as charge,
+    battery_cycle_times as cycles, battery_health as health from polled"""
+
+
+def _moments(*kinds: str) -> str:
+    return "moments as (\n  " + "\n  union all by name ".join(kinds) + ")"
 
 
-def _status_sql(end: str, nulls: bool) -> str:
-    def last(c: str) -> str:
-        keep = "sd.day is not null" if nulls else f"sd.{c} is not null"
-        return f"(max({{'at': sd.day, 'v': sd.{c}}}) filter (where {keep})).v"
+_SEEN = """seen as (
+  select serial_number, feature_date, date_diff('day', happened::date, feature_date) as gap, moments.*
+  from grid left join moments on device = serial_number
+    and (kind = 'service' or date_diff('day', happened::date, feature_date) between 0 and 90))"""
 
-    return f"""status_feat as (
-  select fd.serial_number, fd.feature_date,
-    {last("battery_cycle_times")} as battery_cycle_times_last,
-    {last("battery_health")} as battery_health_last,
-    round(avg(sd.avg_battery_soc), 6) as avg_battery_soc_7d
-  from fd left join status_daily sd on sd.serial_number = fd.serial_number
-    and sd.day {end} fd.feature_date and sd.day >= fd.feature_date - 7
-  group by fd.serial_number, fd.feature_date)"""
 
+def _grid(table: str = "usage", device: str = "robot_serial_number", at: str = "start_time", day: str = _DATE) -> str:
+    """Devices active in the 90 days up to one date."""
+    return f"""grid as (
+  select {device} as serial_number, {day} as feature_date from {table}
+  where date_diff('day', {at}::date, {day}) between 0 and 90 group by {device})"""
 
-def _asof_fd(table: str = "usage", robot: str = "robot_serial_number", at: str = "start_time", day: str = _DATE) -> str:
-    return f"""fd as (
-  select distinct {robot} as serial_number, {day} as feature_date from {table}
-  where {at}::date between {day} - 90 and {day})"""
 
+_MONDAYS = f"""grid as (
+  select robot_serial_number as serial_number, date_trunc('week', start_time::date)::date as feature_date
+  from usage where start_time::date >= date '{FIRST}' and start_time::date <= date '{LAST}' group by all)"""
 
-_WEEKLY_FD = f"""fd as (
-  select distinct robot_serial_number as serial_number,
-    date_trunc('week', start_time::date)::date as feature_date
-  from usage where start_time::date between date '{FIRST}' and date '{LAST}')"""
+_EVERY_DAY = f"""grid as (
+  select robot_serial_number as serial_number, asked.d::date as feature_date
+  from (select distinct robot_serial_number, start_time::date as worked from usage),
+    generate_series(date '{FIRST}', date '{LAST}', interval 1 day) as asked(d)
+  where date_diff('day', worked, asked.d::date) between 0 and 90 group by all)"""
 
-_DAILY_FD = f"""days as (
-  select unnest(generate_series(date '{FIRST}', date '{LAST}', interval 1 day))::date as feature_date),
-fd as (
-  select distinct robot_serial_number as serial_number, feature_date
-  from (select distinct robot_serial_number, start_time::date as d from usage) join days
-    on d between feature_date - 90 and feature_date)"""
 
-_ALL = ", ".join(["tf.*", *(f"mf.{c}" for c in MAINTENANCE_FEATURES)])
-_ASSEMBLE = f"""
-select {_ALL}, {", ".join(f"sf.{c}" for c in STATUS_FEATURES)}, t.{LABEL}
-from task_feat tf
-left join maint_feat mf on mf.serial_number = tf.serial_number and mf.feature_date = tf.feature_date
-left join status_feat sf on sf.serial_number = tf.serial_number and sf.feature_date = tf.feature_date
-left join target t on t.serial_number = tf.serial_number and t.feature_date = tf.feature_date"""
+def _features(near: int, nulls: bool) -> dict[str, str]:
+    """Name of each feature and its aggregate; windows begin ``near`` days before the date."""
+
+    def within(kind: str, far: int, also: str = "") -> str:
+        return f"kind = '{kind}' and gap between {near} and {far}{also and ' and ' + also}"
+
+    def n(kind: str, far: int, also: str = "") -> str:
+        return f"count(*) filter (where {within(kind, far, also)})"
+
+    def of(aggregate: str, kind: str, far: int) -> str:
+        return f"{aggregate} filter (where {within(kind, far)})"
+
+    def age(also: str) -> str:
+        return f"coalesce(min(gap) filter (where kind = 'service' and gap >= {near}{also}), 999)::int"
+
+    newest = {
+        "brush_residual_last": ("brush", "work", 90), "filter_residual_last": ("sieve", "work", 90),
+        "squeegee_residual_last": ("blade", "work", 90), "battery_cycle_times_last": ("cycles", "poll", 7),
+        "battery_health_last": ("health", "poll", 7),
+    }
+    return {
+        **{name: _newest(v, "happened", within(kind, far), nulls) for name, (v, kind, far) in newest.items()},
+        "missions_7d": n("work", 7),
+        "missions_30d": n("work", 30),
+        "area_30d": f"coalesce({of('sum(area)', 'work', 30)}, 0)",
+        "area_90d": f"coalesce({of('sum(area)', 'work', 90)}, 0)",
+        "avg_completion_7d": of("avg(done)", "work", 7),
+        "avg_completion_30d": of("avg(done)", "work", 30),
+        "avg_battery_drop_30d": of("avg(drained)", "work", 30),
+        "days_since_last_maintenance": age(""),
+        "days_since_last_failure": age(" and broken"),
+        "maint_count_30d": n("service", 30),
+        "maint_count_90d": n("service", 90),
+        "downtime_30d": f"coalesce({of('sum(idle)', 'service', 30)}, 0)::bigint",
+        "failure_count_90d": n("service", 90, "broken"),
+        "corrective_count_90d": n("service", 90, "repaired"),
+        "avg_battery_soc_7d": f"round({of('avg(charge)', 'poll', 7)}, 6)",
+        LABEL: "(count(*) filter (where kind = 'service' and broken and gap between -30 and -1) > 0)::int",
+    }
 
 
 def _with(*parts: str) -> str:
     return "with " + ",\n".join(parts)
 
 
-ASOF_SQL = _with(
-    USAGE, MAINTENANCE, status_sql(True), _asof_fd(), _usage_sql("<=", "left", True), _maint_sql("<="),
-    _daily_sql(True), _status_sql("<=", True), _LABEL_SQL,
-) + _ASSEMBLE
-WEEKLY_SQL = _with(
-    USAGE, MAINTENANCE, status_sql(True), _WEEKLY_FD, _usage_sql("<", "inner", False), _maint_sql("<"),
-    _daily_sql(False), _status_sql("<", False), _LABEL_SQL,
-) + _ASSEMBLE
-BACKFILL_SQL = _with(
-    USAGE, MAINTENANCE, status_sql(True), _DAILY_FD, _usage_sql("<=", "left", True), _maint_sql("<="),
-    _daily_sql(True), _status_sql("<=", True), _LABEL_SQL,
-) + _ASSEMBLE
+def _expected(grid: str, names: Sequence[str], near: int, nulls: bool, *tables: str, kinds: Sequence[str]) -> str:
+    made = _features(near, nulls)
+    columns = ",\n  ".join(f"{made[c]} as {c}" for c in names)
+    sources = [*tables, *([_polled(nulls)] if _POLL in kinds else []), grid, _moments(*kinds), _SEEN]
+    active = f" having count(*) filter (where kind = 'work' and gap between {near} and 90) > 0" if _WORK in kinds else ""
+    return f"{_with(*sources)}\nselect serial_number, feature_date,\n  {columns}\nfrom seen group by all{active}"
+
 
+_EVERY = (*USAGE_FEATURES, *MAINTENANCE_FEATURES, *STATUS_FEATURES, LABEL)
+_TABLES = (USAGE, MAINTENANCE, status_sql(True))
+_KINDS = (_WORK, _SERVICE, _POLL)
+ASOF_SQL = _expected(_grid(), _EVERY, 0, True, *_TABLES, kinds=_KINDS)
+WEEKLY_SQL = _expected(_MONDAYS, _EVERY, 1, False, *_TABLES, kinds=_KINDS)
+BACKFILL_SQL = _expected(_EVERY_DAY, _EVERY, 0, True, *_TABLES, kinds=_KINDS)
 
 # ----------------------------------------------------------------- queries
 
@@ -181,12 +172,12 @@ def rounded(df: DataFrame) -> DataFrame:
     return df.withColumn("avg_battery_soc_7d", F.round("avg_battery_soc_7d", 6))
 
 
-@query("feature_spine", _with(USAGE, _asof_fd()) + " select * from fd")
+@query("feature_spine", _with(USAGE, _grid()) + " select * from grid")
 def feature_spine(t):
     return spine_asof(usage(t), ASOF)
 
 
-@query("weekly_spine", _with(USAGE, _WEEKLY_FD) + " select * from fd")
+@query("weekly_spine", _with(USAGE, _MONDAYS) + " select * from grid")
 def weekly_spine(t):
     return spine_weekly(usage(t), FIRST, LAST)
 
@@ -194,42 +185,41 @@ def weekly_spine(t):
 @query(
     "latest_value",
     _with(USAGE)
-    + f""" select robot_serial_number, {_newest("start_time", "brush_residual_pct", True)}
+    + f""" select robot_serial_number, {_newest("brush_residual_pct", "start_time", "true", True)}
   as brush_residual_pct from usage group by 1""",
 )
 def latest_value(t):
     return latest(usage(t), ["robot_serial_number"], "start_time", "brush_residual_pct")
 
 
-@query("asof_usage", _with(USAGE, _asof_fd(), _usage_sql("<=", "left", True)) + " select * from task_feat")
+@query("asof_usage", _expected(_grid(), USAGE_FEATURES, 0, True, USAGE, kinds=[_WORK]))
 def asof_usage(t):
     return asof_features(Inputs(usage(t)), ASOF)
 
 
 @query(
     "asof_maintenance",
-    _with(USAGE, MAINTENANCE, _asof_fd(), _maint_sql("<=")) + " select * from maint_feat",
+    _expected(_grid(), MAINTENANCE_FEATURES, 0, True, USAGE, MAINTENANCE, kinds=[_WORK, _SERVICE]),
 )
 def asof_maintenance(t):
     return asof_features(Inputs(usage(t), maintenance(t)), ASOF).select(*KEYS, *MAINTENANCE_FEATURES)
 
 
-@query("failure_label", _with(USAGE, MAINTENANCE, _asof_fd(), _LABEL_SQL) + " select * from target")
+@query("failure_label", _expected(_grid(), [LABEL], 0, True, USAGE, MAINTENANCE, kinds=[_WORK, _SERVICE]))
 def failure_label(t):
     return asof_features(Inputs(usage(t), maintenance(t)), ASOF).select(*KEYS, LABEL)
 
 
-@query("status_daily", _with(STATUS, _daily_sql(True)) + " select * from status_daily")
+@query("status_daily", _with(STATUS, _polled(True)) + " select * from polled")
 def daily_status(t):
     return status_daily(status(t))
 
 
 @query(
     "asof_status",
-    _with(
-        STATUS, _asof_fd("status", "serial_number", "poll_ts", _STATUS_DATE),
-        _daily_sql(True), _status_sql("<=", True),
-    ) + " select * from status_feat",
+    _expected(
+        _grid("status", "serial_number", "poll_ts", _STATUS_DATE), STATUS_FEATURES, 0, True, STATUS, kinds=[_POLL]
+    ),
 )
 def asof_status(t):
     polls = status(t)
@@ -257,7 +247,7 @@ def asof_all(t):
 
 @query(
     "weekly_usage_features",
-    _with(USAGE, _WEEKLY_FD, _usage_sql("<", "inner", False)) + " select * from task_feat",
+    _expected(_MONDAYS, USAGE_FEATURES, 1, False, USAGE, kinds=[_WORK]),
 )
 def weekly_usage(t):
     return weekly_features(Inputs(usage(t)), FIRST, LAST)
@@ -265,8 +255,7 @@ def weekly_usage(t):
 
 @query(
     "weekly_maintenance",
-    _with(USAGE, MAINTENANCE, _WEEKLY_FD, _usage_sql("<", "inner", False), _maint_sql("<"))
-    + " select mf.* from maint_feat mf semi join task_feat tf using (serial_number, feature_date)",
+    _expected(_MONDAYS, MAINTENANCE_FEATURES, 1, False, USAGE, MAINTENANCE, kinds=[_WORK, _SERVICE]),
 )
 def weekly_maintenance(t):
     rows = weekly_features(Inputs(usage(t), maintenance(t)), FIRST, LAST)
@@ -275,11 +264,7 @@ def weekly_maintenance(t):
 
 @query(
     "weekly_status",
-    _with(
-        USAGE, status_sql(True), _WEEKLY_FD, _usage_sql("<", "inner", False),
-        _daily_sql(False), _status_sql("<", False),
-    )
-    + " select sf.* from status_feat sf semi join task_feat tf using (serial_number, feature_date)",
+    _expected(_MONDAYS, STATUS_FEATURES, 1, False, USAGE, status_sql(True), kinds=[_WORK, _POLL]),
 )
 def weekly_status(t):
     rows = weekly_features(Inputs(usage(t), None, status(t, shifted=True)), FIRST, LAST)

@@ -11,6 +11,9 @@ MODEL_WITH_PREFIX = "W50H"
 MODEL_OTHER = "W1"
 
 
+OFFSET = r"\d:\d\d.*[+-]\d{1,2}(:?\d{2})?\s*$"
+
+
 def narrow_int(c: Column) -> Column:
     """Text or number to int: fractions truncate, bad or too large gives null.
 
@@ -30,8 +33,15 @@ def to_bool(c: Column) -> Column:
 
 
 def parse_ts(c: Column) -> Column:
-    """ISO text to UTC wall time, whatever the session zone is."""
-    return c.try_cast("timestamp_ntz")
+    """ISO text to UTC wall time, whatever the session zone is.
+
+    Text without an offset is UTC already. With one it names an instant, whose
+    distance from the epoch does not depend on the session zone either.
+    """
+    instant = F.unix_micros(c.try_cast("timestamp"))
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    shifted = epoch + F.make_dt_interval(secs=(instant.cast("decimal(20,0)") / 1_000_000).cast("decimal(18,6)"))
+    return F.when(F.rlike(c, F.lit(OFFSET)), shifted).otherwise(c.try_cast("timestamp_ntz"))
 
 
 def whole_days(later: Column, earlier: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ def _pick(fields: Iterable[tuple[str, str, str]]) -> list[Column]:
     return [_CAST[kind](F.col(path)).alias(name) for path, name, kind in fields]
 
 
+# Raw fields, the table columns they become, and their types.
+
 _MAINTENANCE_FIELDS = [
     *[(c, c, "string") for c in (
         "maintenance_id", "robot_id", "service_ticket_id", "service_source",
@@ -98,23 +100,23 @@ def _dated(df: DataFrame, time_col: str) -> DataFrame:
     return df.withColumn("dt", F.to_date(time_col))
 
 
-def flatten_maintenance(records: DataFrame) -> DataFrame:
+def flatten_maintenance(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Completed maintenance events with a completion time."""
-    df = records.select(_pick(_MAINTENANCE_FIELDS))
+    df = records.select(*keep, *_pick(_MAINTENANCE_FIELDS))
     df = df.where((F.col("maintenance_status") == COMPLETED) & F.col("completed_at").isNotNull())
     return _dated(df, "completed_at")
 
 
-def flatten_missions(records: DataFrame) -> DataFrame:
+def flatten_missions(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Mission reports having an id and a start time."""
-    df = records.select(_pick(_MISSION_FIELDS))
+    df = records.select(*keep, *_pick(_MISSION_FIELDS))
     df = df.where(F.col("report_id").isNotNull() & F.col("start_time").isNotNull())
     delta = F.expr("try_subtract(end_battery_pct, start_battery_pct)")
     return _dated(df.withColumn("battery_delta_pct", delta), "start_time")
 
 
-def flatten_status(records: DataFrame) -> DataFrame:
+def flatten_status(records: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     """Telemetry polls having a serial number and a poll time."""
-    df = records.select(_pick(_STATUS_FIELDS))
+    df = records.select(*keep, *_pick(_STATUS_FIELDS))
     df = df.where(F.col("poll_ts").isNotNull() & F.col("serial_number").isNotNull())
     return _dated(df, "poll_ts")

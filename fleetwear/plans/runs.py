@@ -15,6 +15,7 @@ from fleetwear.plans import silver as tables
 from fleetwear.plans.features import LONGEST, WEEK, HORIZON, Inputs, asof_features, features_range
 from fleetwear.plans.silver import SilverTable, silver
 from fleetwear.sinks import merge_partitions, write_partitions
+from fleetwear.sources.bronze import LOAD_DATE
 from fleetwear.sources import (
     date_window,
     read_envelope,
@@ -31,13 +32,18 @@ FLEET_DATASET = "list_robots"
 
 @dataclass(frozen=True)
 class Layout:
-    """Roots of the three layers; ``keys`` replaces a table's dedup key, for
-    sources that use an id again on another day."""
+    """Roots of the three layers; ``keys`` replaces a table's dedup key.
+
+    An id names one event of its date: another day may use it again. Tables in
+    ``lasting`` have ids that name one event for ever; there a newer version on
+    another date replaces the old row, wherever it is.
+    """
 
     bronze: str
     silver: str
     gold: str
     keys: Mapping[str, tuple[str, ...]] = field(default_factory=dict)
+    lasting: frozenset[str] = frozenset()
 
     def raw(self, dataset: str) -> str:
         return f"{self.bronze}/{dataset}"
@@ -67,12 +73,13 @@ def read_fleet(spark: SparkSession, layout: Layout, day: dt.date) -> DataFrame |
 def run_silver(spark: SparkSession, layout: Layout, lo: dt.date, hi: dt.date | None = None) -> dict[str, int]:
     """Load the dates ``lo..hi`` of all datasets; rows merged per table.
 
-    Absent service events count as none; absent missions or telemetry are an
-    error naming the dataset.
+    Every load date is deduplicated by itself and a range gives the same rows as
+    its days one after the other. Absent service events count as none; absent
+    missions or telemetry are an error naming the dataset.
     """
     rows = {}
     for table in tables.TABLES:
-        raw = read_load_dates(spark, _reader(spark, table), layout.raw(table.name), lo, hi or lo)
+        raw = read_load_dates(spark, _reader(spark, table), layout.raw(table.name), lo, hi or lo, [LOAD_DATE])
         if table.required:
             raw = require_rows(raw, table.name)
         if raw is None:
@@ -80,8 +87,8 @@ def run_silver(spark: SparkSession, layout: Layout, lo: dt.date, hi: dt.date | N
             continue
         keys = layout.keys.get(table.name, table.keys)
         rows[table.name] = merge_partitions(
-            silver(raw, table, keys), layout.table(table.name), table.schema, keys,
-            table.order(), sort=table.sort,
+            silver(raw, table, keys, [LOAD_DATE]), layout.table(table.name), table.schema, keys,
+            table.order(), sort=table.sort, lasting=table.name in layout.lasting,
         )
     return rows
 

@@ -18,7 +18,7 @@ from fleetwear.operators.flatten import flatten_maintenance, flatten_missions, f
 class SilverTable:
     name: str
     schema: T.StructType
-    flatten: Callable[[DataFrame], DataFrame]
+    flatten: Callable[..., DataFrame]
     keys: tuple[str, ...]
     order: Callable[[], Sequence[Column]]
     sort: tuple[str, ...]
@@ -41,7 +41,14 @@ STATUS = SilverTable(
 TABLES = (MAINTENANCE, MISSIONS, STATUS)
 
 
-def silver(records: DataFrame, table: SilverTable, keys: Sequence[str] | None = None) -> DataFrame:
-    """Typed, filtered and deduplicated rows in the table's column order."""
-    rows = table.flatten(records).select(*table.schema.fieldNames())
-    return dedup(rows, list(keys or table.keys), table.order())
+def silver(
+    records: DataFrame, table: SilverTable, keys: Sequence[str] | None = None, loads: Sequence[str] = ()
+) -> DataFrame:
+    """Typed and filtered rows in the table's column order, one per key.
+
+    ``loads`` are columns of ``records`` that tell the load apart: several loads
+    are deduplicated each by itself, as if they had come one after the other.
+    """
+    columns = [*loads, *table.schema.fieldNames()]
+    rows = table.flatten(records, loads).select(*columns)
+    return dedup(rows, [*loads, *(keys or table.keys)], table.order()).drop(*loads)

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetwear.operators.dedup import dedup
-from fleetwear.session import stage
-from fleetwear.sources.tables import read_partitions
+from fleetwear.sources.tables import read_partitions, read_window
 
 
 def write_partitions(
@@ -29,8 +28,10 @@ def write_partitions(
     if mode not in ("dynamic", "rebuild"):
         raise ValueError(f"mode: {mode}")
     overwrite = "dynamic" if mode == "dynamic" else "static"
+    adaptive = df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
+    # Without adaptive execution the hint does nothing, so the key is dealt out plainly.
     (
-        df.hint("rebalance", key)
+        (df.hint("rebalance", key) if adaptive else df.repartition(key))
         .sortWithinPartitions(key, *order)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", overwrite)
@@ -47,25 +48,52 @@ def merge_partitions(
     order: Sequence[Column],
     key: str = "dt",
     sort: Sequence[str] = (),
+    lasting: bool = False,
 ) -> int:
     """Merge ``df`` into the partitions it touches and return the rows of ``df``.
 
     A load may hold rows of neighbouring dates, so a plain replacement of the
     touched partitions would lose rows that came with other loads. The old rows
-    of those partitions are read, merged and deduplicated, and the result is
-    staged before it replaces them.
+    of those partitions are read, merged and deduplicated within each date.
+
+    ``lasting`` keys are unique over all dates: the dates where incoming keys
+    already stand are rewritten too, and a date left without rows is removed.
+
+    The old files are replaced when the new ones are complete; a merge that
+    was broken off can be repeated.
     """
     spark = df.sparkSession
-    columns = schema.fieldNames()
-    incoming = stage(df.select(*columns), "incoming")
-    # Distinct calendar dates of one load: bounded by the calendar.
-    days = [r[0] for r in incoming.select(key).distinct().collect()]
-    if not days:
-        return 0
-    old = read_partitions(spark, path, schema, days, key).select(*columns)
-    merged = stage(dedup(old.unionByName(incoming), keys, order), "merged")
-    write_partitions(merged, path, key, order=sort)
-    return incoming.count()
+    incoming = df.select(*schema.fieldNames()).persist()
+    try:
+        # Distinct calendar dates of one load: bounded by the calendar.
+        days = {r[0] for r in incoming.select(key).distinct().collect()}
+        if not days:
+            return 0
+        if lasting:
+            held = read_window(spark, path, schema).select(*keys, key)
+            moved = held.join(incoming.select(*keys).distinct(), list(keys), "left_semi")
+            days |= {r[0] for r in moved.select(key).distinct().collect()}
+        old = read_partitions(spark, path, schema, days, key).select(*schema.fieldNames())
+        unique = list(keys) if lasting or key in keys else [*keys, key]
+        merged = dedup(old.unionByName(incoming), unique, order)
+        if lasting:
+            merged = merged.persist()
+            left = {r[0] for r in merged.select(key).distinct().collect()}
+            write_partitions(merged, path, key, order=sort)
+            merged.unpersist()
+            remove_partitions(spark, path, days - left, key)
+        else:
+            write_partitions(merged, path, key, order=sort)
+        return incoming.count()
+    finally:
+        incoming.unpersist()
+
+
+def remove_partitions(spark: SparkSession, path: str, days: Iterable[object], key: str = "dt") -> None:
+    """Delete the partitions of the given values; absent ones are no error."""
+    for day in days:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}={day}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table_report(spark: SparkSession, path: str, key: str = "dt", name: str | None = None) -> DataFrame:

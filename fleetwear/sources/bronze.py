@@ -30,13 +30,17 @@ def read_envelope(
     record: T.StructType,
     root: str | None = None,
     where=None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """One row per element of ``data``; null or empty ``data`` gives no rows."""
+    """One row per element of ``data``; null or empty ``data`` gives no rows.
+
+    ``keep``: folder columns under ``root`` that stay beside the record.
+    """
     reader = spark.read.schema(envelope(record)).option("multiLine", True)
     raw = _json(reader, paths, root)
     if where is not None:
         raw = raw.where(where)
-    return raw.select(F.explode("data").alias("rec")).select("rec.*")
+    return raw.select(*keep, F.explode("data").alias("rec")).select(*keep, "rec.*")
 
 
 def read_paged(
@@ -46,6 +50,7 @@ def read_paged(
     items: str,
     root: str | None = None,
     where=None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per element of ``data[].<items>``."""
     reader = spark.read.schema(paged(items, record)).option("multiLine", True)
@@ -53,9 +58,9 @@ def read_paged(
     if where is not None:
         raw = raw.where(where)
     return (
-        raw.select(F.explode("data").alias("page"))
-        .select(F.explode(F.col("page").getField(items)).alias("rec"))
-        .select("rec.*")
+        raw.select(*keep, F.explode("data").alias("page"))
+        .select(*keep, F.explode(F.col("page").getField(items)).alias("rec"))
+        .select(*keep, "rec.*")
     )
 
 
@@ -65,13 +70,14 @@ def read_jsonl(
     record: T.StructType,
     root: str | None = None,
     where=None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """One row per line; lines that are no JSON object are dropped."""
     reader = spark.read.schema(record).option("mode", "DROPMALFORMED")
     raw = _json(reader, paths, root)
     if where is not None:
         raw = raw.where(where)
-    return raw.select(*record.fieldNames())
+    return raw.select(*keep, *record.fieldNames())
 
 
 def day_paths(root: str, day: dt.date, source: str = "*") -> str:
@@ -84,6 +90,7 @@ def read_load_dates(
     root: str,
     lo: dt.date,
     hi: dt.date,
+    keep: Sequence[str] = (),
 ) -> DataFrame | None:
     """Apply one of the readers above to the load dates ``lo..hi``; None if absent.
 
@@ -92,9 +99,9 @@ def read_load_dates(
     """
     if lo == hi:
         path = day_paths(root, lo)
-        return read_or_none(spark, path, lambda: read(path, root=root))
+        return read_or_none(spark, path, lambda: read(path, root=root, keep=keep))
     dates = F.col(LOAD_DATE).between(F.lit(lo), F.lit(hi))
-    return read_or_none(spark, root, lambda: read(root, root=root, where=dates))
+    return read_or_none(spark, root, lambda: read(root, root=root, where=dates, keep=keep))
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:

@@ -252,3 +252,64 @@ def test_window_reads(spark, tmp_path):
     assert (lo, hi) == (D2, D3)
     assert sorted(r.k for r in read_window(spark, path, SCHEMA, lo, hi).collect()) == [2, 3]
     assert read_window(spark, path, SCHEMA, hi, lo).count() == 0
+
+
+@pytest.mark.parametrize("ranged", [False, True])
+def test_ids_used_again_on_other_days(spark, bronze, ranged):
+    for day in (D1, D2, D3):
+        bronze.day(day, [mission("a", f"{day}T10:00:00Z")], [maintenance("mnt_000001", f"{day}T12:00:00Z")], [poll(f"{day}T10:00:00Z")])
+    if ranged:
+        run_silver(spark, bronze.layout, D1, D3)
+    else:
+        for day in (D1, D2, D3):
+            run_silver(spark, bronze.layout, day)
+    assert sorted(r.dt for r in rows(spark, bronze, "maintenance_events")) == [D1, D2, D3]
+    assert sorted(r.dt for r in rows(spark, bronze, "task_reports")) == [D1, D2, D3]
+
+
+@pytest.mark.parametrize("ranged", [False, True])
+@pytest.mark.parametrize("lasting", [False, True])
+def test_event_moved_to_another_date(spark, bronze, lasting, ranged):
+    kept = mission("a", f"{D1}T10:00:00Z"), poll(f"{D1}T10:00:00Z")
+    bronze.day(D1, [kept[0]], [maintenance("m1", f"{D1}T12:00:00Z", updated=f"{D1}T12:00:00Z")], [kept[1]])
+    bronze.day(D2, [mission("b", f"{D2}T10:00:00Z")], [maintenance("m1", f"{D2}T09:00:00Z", updated=f"{D2}T12:00:00Z")], [poll(f"{D2}T10:00:00Z")])
+    layout = Layout(bronze.layout.bronze, bronze.layout.silver, bronze.layout.gold, lasting=frozenset({"maintenance_events"} if lasting else ()))
+    for _ in range(2):  # repeated loads change nothing
+        if ranged:
+            run_silver(spark, layout, D1, D2)
+        else:
+            run_silver(spark, layout, D1)
+            run_silver(spark, layout, D2)
+        found = sorted(r.dt for r in rows(spark, bronze, "maintenance_events"))
+        assert found == ([D2] if lasting else [D1, D2])
+        assert sorted(r.dt for r in rows(spark, bronze, "task_reports")) == [D1, D2]
+
+
+def test_offsets_become_utc(spark):
+    from fleetwear.functions import parse_ts
+
+    texts = ["2026-03-01T01:00:00+03:00", "2026-03-01T01:00:00.250-05:30", "2026-03-01T01:00:00Z", "2026-03-01 01:00:00", "2026-03-01", "x", None, "2026-03-29T02:30:00+00:00", "1969-12-31T23:00:00-01:00"]
+    want = [
+        dt.datetime(2026, 2, 28, 22), dt.datetime(2026, 3, 1, 6, 30, 0, 250000), dt.datetime(2026, 3, 1, 1), dt.datetime(2026, 3, 1, 1),
+        dt.datetime(2026, 3, 1), None, None, dt.datetime(2026, 3, 29, 2, 30), dt.datetime(1970, 1, 1),
+    ]
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        for zone in ("UTC", "America/New_York", "Europe/Berlin"):
+            spark.conf.set("spark.sql.session.timeZone", zone)
+            df = spark.createDataFrame([(t,) for t in texts], "t string")
+            assert [r[0] for r in df.select(parse_ts(F.col("t"))).collect()] == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_no_staging_off_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from fleetwear.session import shared_folder
+
+    elsewhere = SimpleNamespace(
+        conf=SimpleNamespace(get=lambda key, default=None: default), sparkContext=SimpleNamespace(master="spark://host:7077")
+    )
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(elsewhere)
