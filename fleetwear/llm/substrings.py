@@ -44,7 +44,7 @@ LENGTH = 400
 GRAM = 64
 SLAB = 1 << 20
 SHALLOW = 32  # bytes after the gram that are sorted word by word
-SPLIT = 4096  # surroundings of a gram handled in one task
+SPLIT = 32_768  # surroundings of a gram handled in one task: about 150 MB there
 GATHER = 8192  # suffixes sorted together
 BROADCAST_ROWS = 400_000
 VALUES = np.random.Generator(np.random.PCG64(977)).integers(0, 1 << 64, 256, np.uint64)
@@ -350,10 +350,8 @@ def _string_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _large_groups(contexts: DataFrame) -> DataFrame:
     """The same result as ``_sorted_groups`` by counting hashes, with no group in one task."""
-    rows = stage(
-        contexts.mapInArrow(_string_hashes, "gram long, around long, n long, d int, h long").dropDuplicates(["gram", "around", "d"]),
-        "substring-hashes",
-    )
+    once = contexts.dropDuplicates(["gram", "around"])
+    rows = once.mapInArrow(_string_hashes, "gram long, around long, n long, d int, h long")
     twice = rows.groupBy("gram", "d", "h").agg(F.sum("n").alias("n")).where("n > 1").select("gram", "d", "h")
     run = F.struct((-F.col("d")).alias("b"), (LENGTH - F.col("d")).cast("int").alias("e"))
     return rows.join(twice, ["gram", "d", "h"]).groupBy("gram", "around").agg(F.collect_list(run).alias("runs"))
