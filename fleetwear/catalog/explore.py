@@ -125,7 +125,8 @@ def severity_counts(t):
     "crosstab_type_failure",
     _with(MAINTENANCE)
     + """select maintenance_type, count(*) filter (where failure_detected) as failed,
-  count(*) filter (where not failure_detected) as not_failed from maint group by 1""",
+  count(*) filter (where not failure_detected) as not_failed,
+  count(*) filter (where failure_detected is null) as other from maint group by 1""",
 )
 def crosstab_type_failure(t):
     values = {True: "failed", False: "not_failed"}
@@ -140,7 +141,8 @@ def crosstab_type_failure(t):
         f"count(*) filter (where date_trunc('month', completed_at)::date = date '{m}') as {n}"
         for m, n in MONTHS.items()
     )
-    + " from maint group by 1",
+    + f", count(*) filter (where completed_at is null or completed_at::date not between date '{FIRST}' and date '{LAST}')"
+    + " as other from maint group by 1",
 )
 def crosstab_robot_month(t):
     return explore.services_by_month(maintenance(t), MONTHS)
@@ -150,7 +152,9 @@ def crosstab_robot_month(t):
     "crosstab_robot_health",
     _with(STATUS)
     + """select serial_number, count(*) filter (where battery_health = 'AGING') as aging,
-  count(*) filter (where battery_health = 'HEALTHY') as healthy from status group by 1""",
+  count(*) filter (where battery_health = 'HEALTHY') as healthy,
+  count(*) filter (where battery_health is null or battery_health not in ('AGING', 'HEALTHY')) as other
+from status group by 1""",
 )
 def crosstab_robot_health(t):
     values = {"AGING": "aging", "HEALTHY": "healthy"}
@@ -241,6 +245,26 @@ def histogram(t):
     return distribution.histogram(usage(t), F.col("efficiency_m2_per_hour"), 30)
 
 
+_MEASURES = ("completion_percentage", "battery_delta_pct", "actual_area_m2", "water_consumption_l")
+
+
+@query(
+    "mission_histograms",
+    _with(USAGE, "long as (" + " union all ".join(
+        f"select '{c}' as column_name, {c}::double as v from usage" for c in _MEASURES
+    ) + ")", """r as (
+  select column_name, min(v) as lo, max(v) as hi from long group by 1)""", """b as (
+  select column_name, least(floor((v - lo) / ((hi - lo) / 30))::int, 29) as bin, count(*) as n
+  from long join r using (column_name) group by 1, 2)""")
+    + """select r.column_name, i::int as bin, lo + (hi - lo) / 30 * i as bin_lo,
+  lo + (hi - lo) / 30 * (i + 1) as bin_hi, coalesce(n, 0) as n
+from r cross join range(30) d(i) left join b on b.bin = i and b.column_name = r.column_name""",
+)
+def mission_histograms(t):
+    rows = distribution.long_form(usage(t), _MEASURES)
+    return distribution.histogram_by(rows, F.col("value"), "column_name", _MEASURES, 30).drop("density")
+
+
 @query(
     "wear_daily",
     _with(USAGE)
@@ -291,6 +315,7 @@ def hourly_profile(t):
     + ", ".join(
         f"count(*) filter (where task_state = '{s}') * 100::double / count(*) as {s}" for s in STATES
     )
+    + f", count(*) filter (where task_state is null or task_state not in {STATES}) * 100::double / count(*) as other"
     + " from status group by 1",
 )
 def state_share_hour(t):
@@ -345,18 +370,6 @@ def temp_by_state(t):
     return rows.withColumn("density", F.round("density", 12))
 
 
-@query(
-    "null_profile",
-    _with(STATUS)
-    + " union all ".join(
-        f"select '{c}' as column_name, count(*) filter (where {c} is null) as n_missing from status"
-        for c in ("battery_soc", "battery_cycle_times", "battery_health")
-    ),
-)
-def null_profile(t):
-    return profile.null_profile(status(t), ["battery_soc", "battery_cycle_times", "battery_health"])
-
-
 # ------------------------------------------------- usage against maintenance
 
 _WEEKLY_SQL = _with(USAGE, MAINTENANCE, """weekly as (
@@ -396,6 +409,16 @@ def corr_pair(t):
     )
 
 
+@query(
+    "corr_pair_area",
+    _WEEKLY_SQL + f"select {_corr_sql('area_m2', 'maint_events')} as r from weekly",
+)
+def corr_pair_area(t):
+    return correlation.corr_pair(_weekly(t), "area_m2", "maint_events").select(
+        positive_zero(F.round("r", 6)).alias("r")
+    )
+
+
 @query(
     "corr_matrix",
     _PROFILE_SQL
@@ -423,10 +446,10 @@ _OTHERS = [c for c in explore.PROFILE_COLUMNS if c != "failure_count"]
         f"select '{a}' as column_name, {_corr_sql(a, 'failure_count')} as r from robot_profile"
         for a in _OTHERS
     )
-    + ") select * from c order by abs(r) desc limit 5",
+    + ") select * from c",
 )
 def corr_target(t):
     rows = correlation.corr_target(
-        explore.robot_profile(usage(t), maintenance(t)), _OTHERS, "failure_count", 5
+        explore.robot_profile(usage(t), maintenance(t)), _OTHERS, "failure_count"
     )
     return rows.withColumn("r", positive_zero(F.round("r", 6)))

@@ -8,7 +8,7 @@ from fleetwear.catalog.features import WEEKLY_SQL, all_inputs, rounded
 from fleetwear.catalog.registry import query
 from fleetwear.catalog.roles import FIRST, LAST, SCORED, scored
 from fleetwear.operators import evaluate, models, prepare, profile
-from fleetwear.operators.correlation import corr_target
+from fleetwear.operators.correlation import corr_matrix, corr_target
 from fleetwear.plans.features import (
     KEYS,
     LABEL,
@@ -24,8 +24,6 @@ MODEL_COLUMNS = (
     *USAGE_FEATURES, *MAINTENANCE_FEATURES,
     *(c for c in STATUS_FEATURES if c != "battery_health_last"), "battery_aging",
 )
-# Rounds of boosting in the registered queries; jobs use the full number.
-ROUNDS = 5
 
 GOLD = f"gold as ({WEEKLY_SQL})"
 _SPLIT = """cut as (
@@ -70,34 +68,49 @@ def temporal_split(t):
     return prepare.with_split(gold(t)).select(*KEYS, LABEL, "is_test")
 
 
-_IMPUTED = ("battery_cycle_times_last", "avg_completion_7d", "avg_battery_soc_7d")
+_READY = f"""ready as (select * exclude (battery_health_last, brush_residual_last, filter_residual_last,
+    squeegee_residual_last), coalesce(battery_health_last = 'AGING', false)::int as battery_aging,
+  coalesce(brush_residual_last::double, 100) as brush_residual_last,
+  coalesce(filter_residual_last::double, 100) as filter_residual_last,
+  coalesce(squeegee_residual_last::double, 100) as squeegee_residual_last from marked),
+middle as (select {", ".join(f"coalesce(quantile_cont({c}::double, 0.5), 0) as {c}" for c in MODEL_COLUMNS)}
+  from ready where not is_test),
+filled as (select serial_number, feature_date, is_test, {LABEL},
+  {", ".join(f"coalesce(r.{c}::double, middle.{c}) as {c}" for c in MODEL_COLUMNS)} from ready r, middle)"""
+_FILLED = _with(GOLD, _SPLIT, _READY)
 
 
-@query("impute_median", _with(GOLD, _SPLIT, """med as (select """ + ", ".join(
-    f"quantile_cont({c}, 0.5) as {c}" for c in _IMPUTED
-) + """ from marked where not is_test)""") + "select serial_number, feature_date, " + ", ".join(
-    f"round(coalesce(g.{c}::double, med.{c}), 8) as {c}" for c in _IMPUTED
-) + " from gold g, med")
+@query("impute_median", _FILLED + "select serial_number, feature_date, " + ", ".join(
+    f"round({c}, 8) as {c}" for c in MODEL_COLUMNS
+) + " from filled")
 def impute_median(t):
-    rows = stage(gold(t), "gold")
+    rows = _matrix(t)
     train, _ = prepare.temporal_split(rows)
-    filled = prepare.impute(rows, prepare.fit_medians(train, _IMPUTED))
-    return filled.select(*KEYS, *[F.round(c, 8).alias(c) for c in _IMPUTED])
-
+    filled = prepare.impute(rows, prepare.fit_medians(train, MODEL_COLUMNS))
+    return filled.select(*KEYS, *[F.round(c, 8).alias(c) for c in MODEL_COLUMNS])
 
-_SCALED = ("missions_30d", "area_90d", "days_since_last_failure")
 
-
-@query("standardize", _with(GOLD, _SPLIT, "fit as (select " + ", ".join(
-    f"avg({c}) as m_{c}, stddev_pop({c}) as s_{c}" for c in _SCALED
-) + " from marked where not is_test)") + "select serial_number, feature_date, " + ", ".join(
-    f"round(({c} - m_{c}) / s_{c}, 6) + 0.0::double as {c}" for c in _SCALED
-) + " from gold, fit")
+@query("standardize", _with(GOLD, _SPLIT, _READY, "fit as (select " + ", ".join(
+    f"avg({c}) as m_{c}, coalesce(nullif(stddev_pop({c}), 0), 1) as s_{c}" for c in MODEL_COLUMNS
+) + " from filled where not is_test)") + "select serial_number, feature_date, " + ", ".join(
+    f"round(({c} - m_{c}) / s_{c}, 6) + 0.0::double as {c}" for c in MODEL_COLUMNS
+) + " from filled, fit")
 def standardize(t):
-    rows = stage(gold(t), "gold")
+    rows = _matrix(t)
     train, _ = prepare.temporal_split(rows)
-    scaled = prepare.standardize(rows, prepare.fit_scaling(train, _SCALED))
-    return scaled.select(*KEYS, *[(F.round(c, 6) + 0.0).alias(c) for c in _SCALED])
+    fills = prepare.fit_medians(train, MODEL_COLUMNS)
+    scaling = prepare.fit_scaling(prepare.impute(train, fills), MODEL_COLUMNS)
+    scaled = prepare.standardize(prepare.impute(rows, fills), scaling)
+    return scaled.select(*KEYS, *[(F.round(c, 6) + 0.0).alias(c) for c in MODEL_COLUMNS])
+
+
+@query("null_profile", _with(GOLD) + " union all ".join(
+    f"select '{c}' as column_name, count(*) filter (where {c} is null) as n_missing from gold"
+    for c in (*KEYS, *USAGE_FEATURES, *MAINTENANCE_FEATURES, *STATUS_FEATURES, LABEL)
+))
+def null_profile(t):
+    rows = gold(t)
+    return profile.null_profile(rows, rows.columns)
 
 
 @query("stratified_folds", _with(GOLD, f"sizes as (select {LABEL}, count(*) as n from gold group by 1)") + f"""
@@ -206,35 +219,94 @@ def _matrix(t):
     return stage(prepare.postprocess(gold(t)), "matrix")
 
 
-@query("corr_features", _with(GOLD, _SPLIT, "c as (" + " union all ".join(
-    f"select '{c}' as column_name, coalesce(round(corr({c}, {LABEL}), 6), 0) as r from marked where not is_test"
-    for c in (*USAGE_FEATURES[3:9], *MAINTENANCE_FEATURES)
+def _filled_train(t):
+    train, _ = prepare.temporal_split(_matrix(t))
+    return prepare.impute(train, prepare.fit_medians(train, MODEL_COLUMNS))
+
+
+@query("corr_features", _with(GOLD, _SPLIT, _READY, "c as (" + " union all ".join(
+    f"select '{c}' as column_name, coalesce(round(corr({c}, {LABEL}), 6), 0) as r from filled where not is_test"
+    for c in MODEL_COLUMNS
 ) + ")") + "select * from c order by abs(r) desc, column_name limit 5")
 def corr_features(t):
-    train, _ = prepare.temporal_split(stage(gold(t), "gold"))
-    rows = corr_target(train, (*USAGE_FEATURES[3:9], *MAINTENANCE_FEATURES), LABEL, 5)
-    return rows.withColumn("r", F.round("r", 6) + 0.0)
+    ranked = corr_target(_filled_train(t), MODEL_COLUMNS, LABEL)
+    # Ties in the rounded value go by name, as the report shows them.
+    rounded_r = ranked.withColumn("r", F.coalesce(F.round("r", 6), F.lit(0.0)) + 0.0)
+    return rounded_r.orderBy(F.abs("r").desc(), "column_name").limit(5)
+
+
+_PAIRED = (*MODEL_COLUMNS, LABEL)
+
+
+@query("corr_matrix_features", _FILLED + " union all ".join(
+    f"select '{a}' as col_a, '{b}' as col_b, coalesce(round(corr({a}, {b}), 6), 0) as r from filled where not is_test"
+    for a in _PAIRED for b in _PAIRED
+))
+def corr_matrix_features(t):
+    rows = corr_matrix(_filled_train(t), _PAIRED)
+    return rows.withColumn("r", F.coalesce(F.round("r", 6), F.lit(0.0)) + 0.0)
+
+
+def _split(t):
+    return prepare.temporal_split(_matrix(t))
+
+
+def _fit_lr(train):
+    return models.fit_lr(train, MODEL_COLUMNS, LABEL)
+
+
+def _fit_gbt(train):
+    return models.fit_gbt(train, MODEL_COLUMNS, LABEL)
 
 
 @query("lr_scores")
 def lr_scores(t):
-    train, test = prepare.temporal_split(_matrix(t))
-    model = models.fit_lr(train, MODEL_COLUMNS, LABEL)
-    return models.score(model, test, MODEL_COLUMNS).select(*KEYS, LABEL, "score", "predicted")
+    train, test = _split(t)
+    return models.score(_fit_lr(train), test).select(*KEYS, LABEL, "score", "predicted")
+
+
+@query("lr_gradient", "select unnest(['(intercept)', " + ", ".join(f"'{c}'" for c in MODEL_COLUMNS) + """]) as column_name,
+  0.0::double as gradient""")
+def lr_gradient(t):
+    """Every derivative of the loss vanishes at the fitted coefficients."""
+    train, _ = _split(t)
+    rows = models.gradient(_fit_lr(train), train, LABEL)
+    return rows.withColumn("gradient", F.round("gradient", 5) + 0.0)
 
 
 @query("gbt_scores")
 def gbt_scores(t):
-    train, test = prepare.temporal_split(_matrix(t))
-    model = models.fit_gbt(train, MODEL_COLUMNS, LABEL, ROUNDS)
-    return models.score(model, test, MODEL_COLUMNS).select(*KEYS, LABEL, "score", "predicted")
+    train, test = _split(t)
+    return models.score(_fit_gbt(train), test).select(*KEYS, LABEL, "score", "predicted")
+
+
+_FACTS = _with(GOLD, _SPLIT) + f"""select name as model, serial_number, feature_date, {LABEL},
+  true as in_range, true as follows_score, true as importance_is_one
+from marked, (values ('Logistic Regression'), ('Gradient Boosting')) m(name) where is_test"""
+
+
+@query("model_facts", _FACTS)
+def model_facts(t):
+    """What must hold for the scores of both classifiers, row by row."""
+    train, test = _split(t)
+    boosted = _fit_gbt(train)
+    total = sum(w for _, w in models.importance(boosted))
+    parts = [
+        models.score(fitted, test).select(
+            F.lit(name).alias("model"), *KEYS, LABEL,
+            F.col("score").between(0.0, 1.0).alias("in_range"),
+            (F.col("predicted") == (F.col("score") > 0.5).cast("int")).alias("follows_score"),
+            F.lit(abs(total - 1) < 1e-9 or name != "Gradient Boosting").alias("importance_is_one"),
+        )
+        for name, fitted in (("Logistic Regression", _fit_lr(train)), ("Gradient Boosting", boosted))
+    ]
+    return parts[0].unionByName(parts[1])
 
 
 @query("top_importance")
 def top_importance(t):
-    train, _ = prepare.temporal_split(_matrix(t))
-    model = models.fit_gbt(train, MODEL_COLUMNS, LABEL, ROUNDS)
-    ranked = models.importance(model, MODEL_COLUMNS)[:5]
+    train, _ = _split(t)
+    ranked = models.importance(_fit_gbt(train))[:5]
     return t.spark.createDataFrame(ranked, "column_name string, importance double")
 
 
@@ -242,36 +314,29 @@ def top_importance(t):
 def risk_surface(t):
     rows = _matrix(t)
     train, _ = prepare.temporal_split(rows)
-    model = models.fit_gbt(train, MODEL_COLUMNS, LABEL, ROUNDS)
-    return models.risk_surface(model, rows, MODEL_COLUMNS, KEYS)
+    return models.risk_surface(_fit_gbt(train), rows, KEYS)
 
 
 @query("model_comparison")
 def model_comparison(t):
-    train, test = prepare.temporal_split(_matrix(t))
-    fitted = {
-        "Logistic Regression": models.fit_lr(train, MODEL_COLUMNS, LABEL),
-        "Gradient Boosting": models.fit_gbt(train, MODEL_COLUMNS, LABEL, ROUNDS),
-    }
-    return models.compare(fitted, test, MODEL_COLUMNS, LABEL)
+    train, test = _split(t)
+    fitted = {"Logistic Regression": _fit_lr(train), "Gradient Boosting": _fit_gbt(train)}
+    return models.compare(fitted, test, LABEL)
 
 
-def _cross_validated(t, name, pipeline):
-    train, _ = prepare.temporal_split(_matrix(t))
-    folded = stage(prepare.stratified_folds(train, LABEL, KEYS), "folds")
-    found = models.cross_validate(pipeline(folded), folded, MODEL_COLUMNS, LABEL)
+def _cross_validated(t, name, rows, fit):
+    folded = stage(prepare.stratified_folds(rows, LABEL, KEYS), "folds")
+    found = models.cross_validate(fit, folded, LABEL)
     return t.spark.createDataFrame([(name, *found)], "model string, mean_auc double, sd_auc double")
 
 
 @query("cv_auc")
 def cv_auc(t):
-    return _cross_validated(
-        t, "Logistic Regression", lambda rows: models.lr_pipeline(MODEL_COLUMNS, LABEL, rows.count())
-    )
+    """On the training dates."""
+    return _cross_validated(t, "Logistic Regression", _split(t)[0], _fit_lr)
 
 
 @query("cv_auc_gbt")
 def cv_auc_gbt(t):
-    return _cross_validated(
-        t, "Gradient Boosting", lambda rows: models.gbt_pipeline(MODEL_COLUMNS, LABEL, ROUNDS)
-    )
+    """On all dates."""
+    return _cross_validated(t, "Gradient Boosting", _matrix(t), _fit_gbt)

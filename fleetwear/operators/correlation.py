@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,18 +23,36 @@ def corr_pair(df: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(col_a, col_b, r) for every ordered pair, the diagonal included."""
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    names = {}
-    for i, (a, b) in enumerate(pairs):
-        names[a, b] = names[b, a] = f"r{i}"
-    row = df.agg(*[pearson(a, b).alias(names[a, b]) for a, b in pairs])
-    cells = [
-        F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.col(names[a, b]).alias("r"))
-        for a in cols
-        for b in cols
-    ]
-    return row.select(F.inline(F.array(*cells)))
+    """(col_a, col_b, r) for every ordered pair, the diagonal included.
+
+    Columns without nulls share one covariance matrix; a pair with a column that
+    has nulls looks at the rows where both are present. Constant columns have
+    a null r.
+    """
+    gone = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    full = [c for c in cols if not gone[c]]
+    found = {}
+    if full:
+        ready = VectorAssembler(inputCols=full, outputCol="v").transform(
+            df.select(*[F.col(c).cast("double").alias(c) for c in full])
+        ).select("v").persist()
+        if not ready.isEmpty():
+            matrix = Correlation.corr(ready, "v").first()[0].toArray()
+            # A constant column has no correlation, with itself neither; the matrix holds 1 there.
+            spread = df.agg(*[(F.min(c) == F.max(c)).alias(c) for c in full]).first()
+            constant = {c for c in full if spread[c]}
+            for i, a in enumerate(full):
+                for j, b in enumerate(full):
+                    r = float(matrix[i][j])
+                    found[a, b] = None if r != r or a in constant or b in constant else r
+        ready.unpersist()
+    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:] if (a, b) not in found]
+    if pairs:
+        row = df.agg(*[pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
+        for i, (a, b) in enumerate(pairs):
+            found[a, b] = found[b, a] = row[i]
+    cells = [(a, b, found[a, b]) for a in cols for b in cols]
+    return df.sparkSession.createDataFrame(cells, "col_a string, col_b string, r double")
 
 
 def corr_target(df: DataFrame, cols: Sequence[str], target: str, k: int | None = None) -> DataFrame:

@@ -43,6 +43,18 @@ def average_precision(df: DataFrame, score: str, label: str) -> DataFrame:
     return ranked.agg(F.sum(precision * gained).alias("average_precision"))
 
 
+def ranking_summary(df: DataFrame, score: str, label: str) -> DataFrame:
+    """``roc_auc`` and ``average_precision`` from one ranking."""
+    ranked = _ranked(df, score, label, descending=True)
+    below = (F.col("all_neg") - F.col("cum_neg")).cast("double")
+    wins = F.sum(F.col("pos") * (below + F.col("neg") / F.lit(2.0)))
+    precision = ratio(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg"))
+    return ranked.agg(
+        F.try_divide(wins, F.max("all_pos").cast("double") * F.max("all_neg")).alias("roc_auc"),
+        F.sum(precision * ratio(F.col("pos"), F.col("all_pos"))).alias("average_precision"),
+    )
+
+
 def roc_curve(df: DataFrame, score: str, label: str) -> DataFrame:
     """A point per distinct score, and the origin (threshold null)."""
     points = _ranked(df, score, label, descending=True).select(

@@ -1,28 +1,62 @@
-"""Failure classifiers on the feature table, with Spark ML."""
+"""Failure classifiers on the feature table, with Spark ML.
+
+Preparation (exact medians, population scaling) is that of ``prepare``, fitted
+on the training rows of each fit. The filled rows are persisted in as many
+partitions as their number asks for: iterations are many small jobs.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel, inheritable_thread_target
+from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetwear.operators.evaluate import average_precision, roc_auc
+from fleetwear.operators import prepare
+from fleetwear.operators.evaluate import ranking_summary, roc_auc
+from fleetwear.session import shared_folder
 
 SEED = 42
 # Boosting rounds, depth, step, leaf size, row sample.
 ROUNDS, DEPTH, STEP, LEAF, SAMPLE = 200, 3, 0.05, 5, 0.8
 MAX_ITER = 1000
+TOLERANCE = 1e-8
+ROWS_A_PARTITION = 100_000
+CHECKPOINT_EVERY = 25  # rounds
 
 WEIGHT = "class_weight"
 
 
+@dataclass(frozen=True)
+class Fitted:
+    """A model with the preparation it was fitted on."""
+
+    model: Model
+    columns: tuple[str, ...]
+    fills: dict[str, float]
+    scaling: dict[str, tuple[float, float]] | None = None
+
+    def inputs(self, df: DataFrame) -> DataFrame:
+        """``df`` with its model columns filled (and scaled), and the vector ``features``."""
+        return _vectors(_prepared(df, self.fills, self.scaling), self.columns)
+
+
+def _prepared(df: DataFrame, fills: dict, scaling: dict | None) -> DataFrame:
+    filled = prepare.impute(df, fills)
+    return filled if scaling is None else prepare.standardize(filled, scaling)
+
+
+def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return VectorAssembler(inputCols=list(cols), outputCol="features").transform(df)
+
+
 def with_class_weight(df: DataFrame, label: str) -> DataFrame:
     """Weight rows so that both classes count the same in total."""
     sizes = df.agg(F.struct(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("p"))).scalar()
@@ -30,96 +64,123 @@ def with_class_weight(df: DataFrame, label: str) -> DataFrame:
     return df.withColumn(WEIGHT, F.try_divide(sizes["n"].cast("double"), own * 2.0))
 
 
-def _inputs(cols: Sequence[str]) -> tuple[Imputer, VectorAssembler]:
-    filled = [f"{c}_filled" for c in cols]
-    imputer = Imputer(inputCols=list(cols), outputCols=filled, strategy="median")
-    return imputer, VectorAssembler(inputCols=filled, outputCol="raw_features")
+def _held(df: DataFrame, rows: int) -> DataFrame:
+    """Persisted in partitions of a useful size."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_PARTITION))).persist(StorageLevel.MEMORY_AND_DISK)
+
 
+def _checkpoints(df: DataFrame) -> None:
+    """Long boosting cuts its lineage in the folder all executors share."""
+    context = df.sparkSession.sparkContext
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/fleetwear")
 
-def lr_pipeline(cols: Sequence[str], label: str, rows: int) -> Pipeline:
-    """Impute, scale, logistic regression. Unit penalty on the summed loss is
-    1 / rows on Spark's averaged loss."""
-    imputer, assembler = _inputs(cols)
-    scaler = StandardScaler(inputCol="raw_features", outputCol="features", withMean=True)
+
+def fit_lr(train: DataFrame, cols: Sequence[str], label: str) -> Fitted:
+    """Impute, scale, logistic regression with balanced classes. The weights sum
+    up to the row count, so unit penalty on the summed loss is 1 / rows on
+    Spark's averaged loss."""
+    rows = train.count()
+    fills = prepare.fit_medians(train, cols)
+    scaling = prepare.fit_scaling(prepare.impute(train, fills), cols)
+    ready = _held(_vectors(with_class_weight(_prepared(train, fills, scaling), label), cols).select("features", label, WEIGHT), rows)
     clf = LogisticRegression(
-        labelCol=label, weightCol=WEIGHT, maxIter=MAX_ITER, regParam=1.0 / max(rows, 1),
+        labelCol=label, weightCol=WEIGHT, maxIter=MAX_ITER, tol=TOLERANCE, regParam=1.0 / max(rows, 1),
         elasticNetParam=0.0, standardization=False,
     )
-    return Pipeline(stages=[imputer, assembler, scaler, clf])
+    try:
+        return Fitted(clf.fit(ready), tuple(cols), fills, scaling)
+    finally:
+        ready.unpersist()
 
 
-def gbt_pipeline(cols: Sequence[str], label: str, rounds: int = ROUNDS) -> Pipeline:
-    imputer, assembler = _inputs(cols)
+def fit_gbt(train: DataFrame, cols: Sequence[str], label: str, rounds: int = ROUNDS) -> Fitted:
+    """Impute, boosted trees."""
+    _checkpoints(train)
+    fills = prepare.fit_medians(train, cols)
+    ready = _held(_vectors(prepare.impute(train, fills), cols).select("features", label), train.count())
     clf = GBTClassifier(
-        labelCol=label, featuresCol="raw_features", maxIter=rounds, maxDepth=DEPTH, stepSize=STEP,
-        minInstancesPerNode=LEAF, subsamplingRate=SAMPLE, seed=SEED,
+        labelCol=label, maxIter=rounds, maxDepth=DEPTH, stepSize=STEP, minInstancesPerNode=LEAF,
+        subsamplingRate=SAMPLE, seed=SEED, checkpointInterval=CHECKPOINT_EVERY,
     )
-    return Pipeline(stages=[imputer, assembler, clf])
-
-
-def _doubles(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.withColumns({c: F.col(c).cast("double") for c in cols})
-
-
-def fit_lr(train: DataFrame, cols: Sequence[str], label: str) -> PipelineModel:
-    weighted = with_class_weight(_doubles(train, cols), label)
-    return lr_pipeline(cols, label, train.count()).fit(weighted)
+    try:
+        return Fitted(clf.fit(ready), tuple(cols), fills)
+    finally:
+        ready.unpersist()
 
 
-def fit_gbt(train: DataFrame, cols: Sequence[str], label: str, rounds: int = ROUNDS) -> PipelineModel:
-    return gbt_pipeline(cols, label, rounds).fit(_doubles(train, cols))
+def score(fitted: Fitted, df: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """Add ``score`` (probability of failure) and the 0/1 ``predicted``; model columns are shown filled."""
+    filled = prepare.impute(df, fitted.fills)
+    shown = filled.withColumns({f"_shown_{c}": F.col(c) for c in fitted.columns})
+    ready = shown if fitted.scaling is None else prepare.standardize(shown, fitted.scaling)
+    p = vector_to_array("probability")[1]
+    kept = [F.col(f"_shown_{c}").alias(c) if c in fitted.columns else F.col(c) for c in df.columns]
+    scored = fitted.model.transform(_vectors(ready, fitted.columns))
+    return scored.select(*kept, p.alias("score"), (p > threshold).cast("int").alias("predicted"))
+
+
+def gradient(fitted: Fitted, train: DataFrame, label: str) -> DataFrame:
+    """(column_name, gradient) of the penalised loss at the fitted coefficients: zero at the optimum.
+
+    The intercept, which is not penalised, is ``(intercept)``.
+    """
+    rows = train.count()
+    ready = with_class_weight(_prepared(train, fitted.fills, fitted.scaling), label)
+    linear = F.lit(float(fitted.model.intercept))
+    weights = dict(zip(fitted.columns, (float(w) for w in fitted.model.coefficients), strict=True))
+    for c, w in weights.items():
+        linear = linear + F.lit(w) * F.col(c)
+    miss = (1 / (1 + F.exp(-linear)) - F.col(label)) * F.col(WEIGHT) / F.lit(float(rows))
+    missed = ready.withColumn("_miss", miss)
+    sums = missed.agg(
+        F.sum("_miss").alias("(intercept)"),
+        *[(F.sum(F.col("_miss") * F.col(c)) + F.lit(w / rows)).alias(c) for c, w in weights.items()],
+    )
+    names = ["(intercept)", *weights]
+    cells = [F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("gradient")) for c in names]
+    return sums.select(F.inline(F.array(*cells)))
 
 
-def score(model: PipelineModel, df: DataFrame, cols: Sequence[str], threshold: float = 0.5) -> DataFrame:
-    """Add ``score`` (probability of failure) and the 0/1 ``predicted``."""
-    scored = model.transform(_doubles(df, cols))
-    p = vector_to_array("probability")[1]
-    return scored.select(*df.columns, p.alias("score"), (p > threshold).cast("int").alias("predicted"))
+def cross_validate(fit, folded: DataFrame, label: str, k: int = 5) -> tuple[float, float]:
+    """(mean, population deviation) of the exact AUC over ``fold``.
 
+    ``fit`` is called with the training rows of each fold, so preparation, class
+    weights and penalty come from those rows alone. Folds run side by side.
+    """
+    def one(i: int) -> float:
+        fitted = fit(folded.where(F.col("fold") != i))
+        scored = score(fitted, folded.where(F.col("fold") == i))
+        return roc_auc(scored, "score", label).first()[0]
 
-def cross_validate(pipeline: Pipeline, folded: DataFrame, cols: Sequence[str], label: str, k: int = 5) -> tuple[float, float]:
-    """(mean, population deviation) of the AUC over ``fold``; preparation is
-    fitted inside each fold."""
-    df = with_class_weight(_doubles(folded, cols), label)
-    evaluator = BinaryClassificationEvaluator(labelCol=label, numBins=0)
-    cv = CrossValidator(
-        estimator=pipeline, evaluator=evaluator, estimatorParamMaps=ParamGridBuilder().build(),
-        numFolds=k, foldCol="fold", parallelism=k,
-    )
-    fitted = cv.fit(df)
-    return float(fitted.avgMetrics[0]), float(fitted.stdMetrics[0])
+    with ThreadPoolExecutor(k) as pool:
+        areas = [a for a in pool.map(inheritable_thread_target(folded.sparkSession)(one), range(k)) if a is not None]
+    mean = sum(areas) / len(areas)
+    return mean, (sum((a - mean) ** 2 for a in areas) / len(areas)) ** 0.5
 
 
-def importance(model: PipelineModel, cols: Sequence[str]) -> list[tuple[str, float]]:
+def importance(fitted: Fitted) -> list[tuple[str, float]]:
     """(column, importance), strongest first."""
-    weights = model.stages[-1].featureImportances.toArray()
-    ranked = zip(cols, (float(w) for w in weights), strict=True)
+    weights = fitted.model.featureImportances.toArray()
+    ranked = zip(fitted.columns, (float(w) for w in weights), strict=True)
     return sorted(ranked, key=lambda item: (-item[1], item[0]))
 
 
-def compare(models: Mapping[str, PipelineModel], test: DataFrame, cols: Sequence[str], label: str) -> DataFrame:
-    """Exact AUC and average precision of each model on the same rows."""
+def compare(models: Mapping[str, Fitted], test: DataFrame, label: str) -> DataFrame:
+    """Exact AUC and average precision of each model on the same rows, each scored once."""
     rows = None
-    for name, model in models.items():
-        scored = score(model, test, cols)
-        one = roc_auc(scored, "score", label).select(
-            F.lit(name).alias("model"),
-            "roc_auc",
-            average_precision(scored, "score", label).scalar().alias("average_precision"),
-        )
+    for name, fitted in models.items():
+        one = ranking_summary(score(fitted, test), "score", label).withColumn("model", F.lit(name))
         rows = one if rows is None else rows.unionByName(one)
     return rows
 
 
-def risk_surface(
-    model: PipelineModel, df: DataFrame, cols: Sequence[str], keys: Sequence[str]
-) -> DataFrame:
-    """The two strongest features of each row beside its probability."""
-    top = [name for name, _ in importance(model, cols)[:2]]
-    scored = score(model, df, cols)
+def risk_surface(fitted: Fitted, df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The two strongest features of each row, filled as the model saw them, beside its probability."""
+    top = [name for name, _ in importance(fitted)[:2]]
     pairs = [
         c
         for i, name in enumerate(top, 1)
         for c in (F.lit(name).alias(f"feature_{i}"), F.col(name).cast("double").alias(f"value_{i}"))
     ]
-    return scored.select(*keys, *pairs, "score")
+    return score(fitted, df).select(*keys, *pairs, "score")

@@ -35,17 +35,20 @@ def frequency_in(df: DataFrame, col: str, domain: Sequence[str]) -> DataFrame:
     return counts.select(F.inline(F.array(*rows)))
 
 
+OTHER = "other"
+
+
 def crosstab(
     df: DataFrame, rows: Sequence[str], col: str, values: Mapping[object, str]
 ) -> DataFrame:
-    """Row keys against the listed values; absent combinations count 0."""
-    table = df.groupBy(*rows).pivot(col, list(values)).count()
-    found = [F.coalesce(F.col(f"`{_pivot_name(v)}`"), F.lit(0)).alias(n) for v, n in values.items()]
-    return table.select(*rows, *found)
-
+    """Row keys against the listed values; absent combinations count 0.
 
-def _pivot_name(value: object) -> str:
-    return str(value).lower() if isinstance(value, bool) else str(value)
+    Rows with any other value, or none, count in ``other``.
+    """
+    hits = {n: F.count_if(F.col(col).eqNullSafe(F.lit(v))) for v, n in values.items()}
+    table = profile(df, rows, **hits, **{OTHER: F.count(F.lit(1))})
+    listed = sum((F.col(n) for n in values.values()), F.lit(0))
+    return table.withColumn(OTHER, F.col(OTHER) - listed)
 
 
 def share(df: DataFrame, keys: Sequence[str], within: Sequence[str] = ()) -> DataFrame:
@@ -62,9 +65,9 @@ def share(df: DataFrame, keys: Sequence[str], within: Sequence[str] = ()) -> Dat
 def shares_of(
     df: DataFrame, keys: Sequence[str], col: str, values: Mapping[object, str]
 ) -> DataFrame:
-    """Percentage of each listed value among all listed, one column per value."""
+    """Percentage of each listed value, and of all others, among all rows."""
+    names = [*values.values(), OTHER]
     table = crosstab(df, keys, col, values)
-    names = list(values.values())
     whole = sum((F.col(n) for n in names), F.lit(0))
     return table.select(*keys, *[share_pct(F.col(n), whole).alias(n) for n in names])
 

@@ -14,6 +14,7 @@ from fleetwear.operators.profile import crosstab, left_fill, mean, profile
 SEVERITIES = ("low", "medium", "high", "critical")
 WORN_BELOW = 20
 
+# Names and order of the device profile's columns.
 PROFILE_COLUMNS = (
     "missions_total", "area_total_m2", "avg_completion", "avg_battery_drop",
     "avg_brush_residual", "avg_filter_residual", "avg_squeegee_residual",

@@ -30,6 +30,7 @@ WEEK = 7
 HORIZON = 30
 KEYS = ("serial_number", "feature_date")
 
+# Names and order of the feature table's columns.
 USAGE_FEATURES = (
     "brush_residual_last", "filter_residual_last", "squeegee_residual_last",
     "missions_7d", "missions_30d", "area_30d", "area_90d",

@@ -55,4 +55,12 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._staged_at = path
+    return staged
+
+
+def release(staged: DataFrame) -> None:
+    """Delete what ``stage`` wrote, once everything computed from it is written elsewhere."""
+    path = staged.sparkSession._jvm.org.apache.hadoop.fs.Path(staged._staged_at)
+    path.getFileSystem(staged.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

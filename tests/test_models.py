@@ -25,14 +25,14 @@ def split(matrix):
 
 
 def auc(model, test):
-    return roc_auc(models.score(model, test, COLS), "score", "label").first()[0]
+    return roc_auc(models.score(model, test), "score", "label").first()[0]
 
 
 def test_logistic_regression(split):
     train, test = split
     model = models.fit_lr(train, COLS, "label")
     assert auc(model, test) > 0.9
-    scored = models.score(model, test, COLS)
+    scored = models.score(model, test)
     assert scored.where("predicted <> cast(score > 0.5 as int)").isEmpty()
 
 
@@ -40,9 +40,9 @@ def test_boosting_and_importance(split):
     train, test = split
     model = models.fit_gbt(train, COLS, "label", rounds=10)
     assert auc(model, test) > 0.9
-    ranked = models.importance(model, COLS)
+    ranked = models.importance(model)
     assert ranked[0][0] == "x1" and sum(w for _, w in ranked) == pytest.approx(1.0)
-    surface = models.risk_surface(model, test, COLS, ["id"])
+    surface = models.risk_surface(model, test, ["id"])
     assert surface.columns == ["id", "feature_1", "value_1", "feature_2", "value_2", "score"]
     again = models.fit_gbt(train, COLS, "label", rounds=10)
     assert auc(model, test) == auc(again, test)
@@ -57,12 +57,20 @@ def test_class_weights_balance(matrix):
 
 def test_cross_validation(matrix):
     folded = prepare.stratified_folds(matrix, "label", ["id"], k=3).cache()
-    mean, sd = models.cross_validate(models.lr_pipeline(COLS, "label", 2000), folded, COLS, "label", k=3)
+    mean, sd = models.cross_validate(lambda rows: models.fit_lr(rows, COLS, "label"), folded, "label", k=3)
     assert 0.9 < mean <= 1 and 0 <= sd < 0.1
 
 
 def test_comparison(split):
     train, test = split
     fitted = {"lr": models.fit_lr(train, COLS, "label"), "gbt": models.fit_gbt(train, COLS, "label", 3)}
-    rows = models.compare(fitted, test, COLS, "label").collect()
+    rows = models.compare(fitted, test, "label").collect()
     assert {r.model for r in rows} == {"lr", "gbt"} and all(r.roc_auc > 0.8 for r in rows)
+
+
+def test_gradient_vanishes_only_at_the_optimum(split):
+    train, _ = split
+    model = models.fit_lr(train, COLS, "label")
+    assert all(abs(r.gradient) < 1e-6 for r in models.gradient(model, train, "label").collect())
+    other = models.gradient(model, train.where("x1 < 0.8"), "label").collect()
+    assert any(abs(r.gradient) > 1e-3 for r in other)

@@ -1,10 +1,11 @@
 import pytest
 
 import __spark_entry__ as entry
+from fleetwear.catalog import ORACLES, QUERIES
 import oracle
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+SQL = ORACLES
 
 
 @pytest.fixture(scope="module")
