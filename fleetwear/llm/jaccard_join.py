@@ -43,10 +43,10 @@ from pyspark.sql.functions import pandas_udf
 from fleetwear.llm.common import python_workers
 from fleetwear.llm.components import components
 from fleetwear.llm.shingles import mix, shingle_sets
-from fleetwear.session import stage
+from fleetwear.session import release, stage
 
 WIDTH, PERCENT = 5, 80
-SLICE_BYTES = 4_000_000  # text hashed at once
+SLICE_BYTES = 500_000  # text hashed at once
 BLOCK = 256  # members compared at once with as many others
 LIGHT_MOST = 64  # largest size for which pairs of shingles may be keys
 BROADCAST_IDS = 1_000_000
@@ -156,12 +156,11 @@ def _postings(ordered: DataFrame, percent: int, boundary: int) -> DataFrame:
 def _compared(percent: int):
     """Links within sorted runs of one block pair; see ``links``."""
 
-    def links_of(nodes: np.ndarray, sides: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    def links_of(nodes: np.ndarray, sides: np.ndarray, sizes: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
         m = len(nodes)
-        sizes = np.array([len(s) for s in sets])
         flat = np.concatenate(sets)
         tokens, index, count = np.unique(flat, return_inverse=True, return_counts=True)
-        row = np.repeat(np.arange(m), sizes)
+        row = np.repeat(np.arange(m), [len(s) for s in sets])
         shared = count[index] > 1
         place = (np.cumsum(count > 1) - 1)[index[shared]]
         row = row[shared]
@@ -195,26 +194,27 @@ def _compared(percent: int):
         return out
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, nodes, sides, sets = None, [], [], []
+        current, nodes, sides, sizes, sets = None, [], [], [], []
 
         def done() -> pa.RecordBatch:
-            found = links_of(np.array(nodes), np.array(sides, bool), sets) if len(nodes) > 1 else []
+            found = links_of(np.array(nodes), np.array(sides, bool), np.array(sizes), sets) if len(nodes) > 1 else []
             return pa.RecordBatch.from_arrays(
                 [pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["a", "b"]
             )
 
         for batch in batches:
             keys = list(zip(*[batch.column(c).to_pylist() for c in (0, 1, 2)], strict=True))
-            tokens = batch.column(5)
-            for i, (key, node, side) in enumerate(
-                zip(keys, batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True)
+            tokens = batch.column(6)
+            for i, (key, node, side, n) in enumerate(
+                zip(keys, *[batch.column(c).to_pylist() for c in (3, 4, 5)], strict=True)
             ):
                 if key != current:
                     if nodes:
                         yield done()
-                    current, nodes, sides, sets = key, [], [], []
+                    current, nodes, sides, sizes, sets = key, [], [], [], []
                 nodes.append(node)
                 sides.append(side)
+                sizes.append(n)
                 sets.append(tokens[i].values.to_numpy().view(np.uint64))
         if nodes:
             yield done()
@@ -222,8 +222,11 @@ def _compared(percent: int):
     return compare
 
 
-def links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Rows (a, b): links that connect the linked members of every list of ``postings``."""
+def links(postings: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
+    """Rows (a, b): links that connect the linked members of every list of ``postings``.
+
+    Only the shingles that several sets hold travel, with the full size of the set.
+    """
     lists = postings.groupBy("k").agg(
         F.count(F.lit(1)).alias("members"),
         F.bit_xor(F.xxhash64("node")).alias("x"),
@@ -238,7 +241,8 @@ def links(postings: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     ).select(
         "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", (F.col("own") > F.col("other")).alias("side")
     )
-    filled = spread.join(sets.select("node", "tokens"), "node").select("k", "i", "j", "node", "side", "tokens")
+    sets = ordered.select("node", "n", F.transform("common", lambda x: x["h"]).alias("tokens"))
+    filled = spread.join(sets, "node").select("k", "i", "j", "node", "side", "n", "tokens")
     runs = filled.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "node")
     return runs.mapInArrow(_compared(percent), "a long, b long")
 
@@ -252,8 +256,10 @@ def grouped(
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
-    rows = stage(sets_of(df, key, text, width, True), "jaccard-rows")
-    rest = stage(_survivors(rows, percent), "jaccard-rest")
+    sampled = stage(sets_of(df, key, text, width, True), "jaccard-sample")
+    rows = stage(sampled.select("key", "n", "node"), "jaccard-rows")
+    rest = stage(_survivors(sampled, percent), "jaccard-rest")
+    release(sampled)
     ids = rest.select(F.col("key").alias("_key")).distinct()
     if rest.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -266,8 +272,9 @@ def grouped(
         F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common")
     ).withColumn("alone", F.col("n") - F.size("common"))
     ordered = stage(ordered.where(F.col("alone") < _prefix(F.col("n"), percent, 2)), "jaccard-ordered")
+    release(sets)
     postings = stage(_postings(ordered, percent, _boundary(ordered, percent)), "jaccard-postings")
-    labels = components(links(postings, sets, percent))
+    labels = components(links(postings, ordered, percent))
     nodes = rows.where("n > 0").groupBy("node").agg(F.min("key").alias("least"))
     labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
