@@ -42,10 +42,10 @@ from fleetwear.session import stage
 
 LENGTH = 400
 GRAM = 64
-SLAB = 1 << 20
+SLAB = 1 << 17
 SHALLOW = 32  # bytes after the gram that are sorted word by word
 SPLIT = 32_768  # surroundings of a gram handled in one task: about 150 MB there
-GATHER = 8192  # suffixes sorted together
+GATHER = 4096  # suffixes sorted together
 BROADCAST_ROWS = 400_000
 VALUES = np.random.Generator(np.random.PCG64(977)).integers(0, 1 << 64, 256, np.uint64)
 
