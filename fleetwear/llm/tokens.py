@@ -14,7 +14,7 @@ BYTE_BPE, BYTE_BPE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: characters below, where the standard ``re`` classes agree with Unicode's.
 SPLIT = re.compile(r"""'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+""")
 ODD = re.compile("[^\t\n\r -~¡-¬®-±´-¸º»¿-ɏ‐-‧€]|<\\|endoftext\\|>")
-REMEMBERED = 300_000  # words whose ids a worker keeps
+REMEMBERED = 150_000  # words whose ids a worker keeps
 LONG_WORD = 64
 
 

@@ -54,7 +54,7 @@ STEMS = (4, 8)  # lengths of learned stems
 PRECISION, SUPPORT = 0.95, 5  # of a learned stem among labelled rows, both classes weighted alike
 REACH = 8  # words on either side of a hit
 EDIT_FROM = 5  # shortest term that may be misspelled
-STATES = 200_000  # automaton states and remembered words a worker keeps
+STATES = 60_000  # automaton states and remembered words a worker keeps
 
 
 class Automaton:
