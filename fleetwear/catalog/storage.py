@@ -365,6 +365,31 @@ def sink_merge(t):
     return _totals(read_window(t.spark, path, _STORED))
 
 
+_MOVED = "l_shipdate + interval 40 day"
+
+
+@query("sink_merge_moved", f"""with versions as (
+  select l_orderkey, l_linenumber, l_suppkey, l_partkey, l_shipdate::timestamp as moment, l_quantity as area, 1 as version
+  from lineitem
+  union all
+  select l_orderkey, l_linenumber, l_suppkey, l_partkey, {_MOVED}, l_quantity * 2, 2
+  from lineitem where l_shipdate >= date '{CHANGE}'),
+newest as (
+  select moment, area, row_number() over (
+    partition by l_orderkey, l_linenumber, l_suppkey, l_partkey order by version desc, area desc, moment) as place
+  from versions)
+select date_trunc('month', moment)::date as dt, count(*) as n, sum(area) as area from newest where place = 1 group by 1""")
+def sink_merge_moved(t):
+    """The second load moves rows to later dates; their old rows go, wherever they stand."""
+    path = scratch_path(t.spark, "table")
+    newest = [F.col("version").desc(), F.col("area").desc(), F.col("at").asc()]
+    later = _stored(t, 2).withColumn("at", F.col("at") + F.expr("interval 40 days"))
+    later = later.withColumn("dt", F.trunc(F.to_date("at"), "month"))
+    for rows in (_stored(t), later.select(*_STORED.fieldNames())):
+        merge_partitions(rows, path, _STORED, ["id"], newest, sort=["robot", "at"], lasting=True)
+    return _totals(read_window(t.spark, path, _STORED))
+
+
 @query("load_report", f"""select 'missions' as table_name, count(*) as rows,
   count(distinct {_MONTH}) as partitions from lineitem""")
 def load_report(t):

@@ -2,6 +2,7 @@ from fleetwear.functions.columns import (
     latest_part,
     model_line,
     narrow_int,
+    newest_int,
     parse_ts,
     positive_zero,
     ratio,
@@ -16,6 +17,7 @@ __all__ = [
     "latest_part",
     "model_line",
     "narrow_int",
+    "newest_int",
     "parse_ts",
     "positive_zero",
     "ratio",

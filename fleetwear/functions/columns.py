@@ -79,3 +79,21 @@ def latest_part(at: Column, value: Column, keep_null: bool) -> Column:
     """
     pair = F.struct(at.alias("at"), value.alias("value"))
     return F.when(at.isNotNull() if keep_null else at.isNotNull() & value.isNotNull(), pair)
+
+
+_SPAN = 1 << 33  # room for an int, shifted to be positive, and for null as 0
+
+
+def newest_int(at: Column, value: Column, keep_null: bool) -> Column:
+    """Aggregate: the int ``value`` at the newest ``at``, with the rules of ``latest_part``.
+
+    Time and value share one decimal, so the buffer has a fixed width and the
+    aggregation hashes; a struct in the buffer would make it sort all rows.
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    micros = F.timestamp_diff("MICROSECOND", epoch, at.cast("timestamp_ntz")).cast("decimal(20,0)")
+    shifted = F.coalesce(value.cast("long") + F.lit((1 << 31) + 1), F.lit(0)).cast("decimal(11,0)")
+    code = micros * F.lit(_SPAN).cast("decimal(11,0)") + shifted
+    best = F.max(code if keep_null else F.when(value.isNotNull(), code))
+    low = F.pmod(best, F.lit(_SPAN).cast("decimal(11,0)")).cast("long")
+    return F.when(low > 0, low - F.lit((1 << 31) + 1)).cast("int")

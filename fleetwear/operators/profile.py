@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetwear.functions import latest_part, ratio, share_pct
+from fleetwear.functions import latest_part, newest_int, ratio, share_pct
 
 
 def mean(c: str | Column) -> Column:
@@ -100,6 +100,8 @@ def latest(
     df: DataFrame, keys: Sequence[str], at: str, value: str, keep_null: bool = True
 ) -> DataFrame:
     """Newest value of each group; of equal times the larger value."""
+    if dict(df.dtypes)[value] == "int":
+        return df.groupBy(*keys).agg(newest_int(F.col(at), F.col(value), keep_null).alias(value))
     newest = F.max(latest_part(F.col(at), F.col(value), keep_null))
     return df.groupBy(*keys).agg(newest.alias("_pair")).select(*keys, F.col("_pair.value").alias(value))
 

@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetwear.functions import latest_part, ratio, whole_days
+from fleetwear.functions import latest_part, newest_int, ratio, whole_days
 
 NEVER = 999  # fixed value: days since an event that never happened
 LONGEST = 90
@@ -68,7 +68,7 @@ def usage_daily(usage: DataFrame, keep_null: bool = True) -> DataFrame:
         F.sum(drop).cast("double").alias("drop_sum"),
         F.count(drop).alias("drop_n"),
         *[
-            F.max(latest_part(F.col("start_time"), F.col(c), keep_null))["value"].alias(name)
+            newest_int(F.col("start_time"), F.col(c), keep_null).alias(name)
             for name, c in _LATEST_USAGE.items()
         ],
     )
@@ -94,10 +94,8 @@ def status_daily(status: DataFrame, keep_null: bool = True) -> DataFrame:
     soc = F.col("battery_soc")
     return status.groupBy("serial_number", F.to_date("poll_ts").alias("day")).agg(
         ratio(F.sum(soc), F.count(soc)).alias("avg_battery_soc"),
-        *[
-            F.max(latest_part(at, F.col(c), keep_null))["value"].alias(c)
-            for c in ("battery_cycle_times", "battery_health")
-        ],
+        newest_int(at, F.col("battery_cycle_times"), keep_null).alias("battery_cycle_times"),
+        F.max(latest_part(at, F.col("battery_health"), keep_null))["value"].alias("battery_health"),
     )
 
 

@@ -188,3 +188,17 @@ def test_weekly_equals_half_open_single_dates(inputs, lookback):
         rows = asof_features(data, monday, lookback, closed_end=False, keep_null=False).collect()
         single |= {tuple(r) for r in rows if r.serial_number in active}
     assert weekly and weekly == single
+
+
+def test_newest_int(spark):
+    from fleetwear.functions import newest_int
+
+    t = dt.datetime
+    rows = [
+        (1, t(2026, 1, 1), 5), (1, t(2026, 1, 2), None), (2, t(1950, 1, 1, 0, 0, 0, 1), -(2**31)), (2, t(1950, 1, 1), 7),
+        (3, t(2026, 1, 1), -3), (3, t(2026, 1, 1), 2**31 - 1), (4, None, 9), (5, t(2026, 1, 1), None), (5, t(2026, 1, 1), 0),
+    ]
+    df = spark.createDataFrame(rows, "k int, at timestamp_ntz, v int")
+    for keep, first in ((True, None), (False, 5)):
+        got = dict(df.groupBy("k").agg(newest_int(F.col("at"), F.col("v"), keep).alias("v")).collect())
+        assert got == {1: first, 2: -(2**31), 3: 2**31 - 1, 4: None, 5: 0}
