@@ -17,8 +17,10 @@ else, in the same document or another, is removed. Matches never cross documents
    with a longer common prefix by a blind trie. Neighbours' common prefixes
    give classes of equal right parts for every depth, and rolling hashes
    classes of equal left parts; places in both of a class repeat.
-   Grams with over ``SPLIT`` surroundings are not gathered in one task: hashes
-   of their strings are counted instead.
+   Grams with over ``SPLIT`` surroundings are split: a string reaches far to the
+   left or to the right of its anchor, so equal ones share the bytes of one side,
+   and their hash parts the group. A part that is still over ``LARGEST`` is not
+   gathered in one task: hashes of its strings are counted instead.
 4. The runs go back to all documents with the same text.
 
 Nulls and ties: a null text counts as empty; equal rows have equal results and
@@ -44,9 +46,9 @@ LENGTH = 400
 GRAM = 64
 SLAB = 1 << 17
 SHALLOW = 32  # bytes after the gram that are sorted word by word
-SPLIT = 32_768  # surroundings of a gram handled in one task: about 150 MB there
+SPLIT = 2048  # surroundings of a gram that are not split by side
+LARGEST = 32_768  # of a part handled in one task: about 150 MB there
 GATHER = 4096  # suffixes sorted together
-BROADCAST_ROWS = 400_000
 VALUES = np.random.Generator(np.random.PCG64(977)).integers(0, 1 << 64, 256, np.uint64)
 
 
@@ -223,9 +225,14 @@ def deep_shallow(group: np.ndarray, rows: np.ndarray, shallow: int = SHALLOW) ->
     return order
 
 
-def repeated(group: np.ndarray, count: np.ndarray, contexts: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+def repeated(
+    group: np.ndarray, count: np.ndarray, contexts: np.ndarray, left: np.ndarray, right: np.ndarray,
+    least: np.ndarray, most: np.ndarray,
+) -> np.ndarray:
     """For surroundings of anchors, whether the string that starts 0, 1, ... bytes before the anchor repeats.
 
+    Only starts of ``least`` to ``most`` bytes before the anchor are looked at.
+
     ``contexts``: bytes from ``reach`` before the anchor to ``reach`` after its gram, filled up with zeros.
     """
     reach = LENGTH - GRAM
@@ -236,13 +243,13 @@ def repeated(group: np.ndarray, count: np.ndarray, contexts: np.ndarray, left: n
     differ = ordered[1:] != ordered[:-1]
     common = np.where(differ.any(axis=1), differ.argmax(axis=1), LENGTH)
     common[groups[1:] != groups[:-1]] = -1
-    left, right, count = left[order], right[order], count[order]
+    left, right, count, least, most = (x[order] for x in (left, right, count, least, most))
     prefix = np.zeros(m, np.uint64)  # hash of the bytes to the left so far
     out = np.zeros((m, reach + 1), bool)
     for d in range(reach + 1):
         if d:
             prefix = prefix * np.uint64(BASE) + VALUES[contexts[order, reach - d]]
-        fits = np.flatnonzero((left >= d) & (right >= reach - d))
+        fits = np.flatnonzero((left >= d) & (right >= reach - d) & (least <= d) & (most >= d))
         if not len(fits):
             continue
         same = np.concatenate(([0], np.cumsum(common < LENGTH - d)))
@@ -256,19 +263,15 @@ def repeated(group: np.ndarray, count: np.ndarray, contexts: np.ndarray, left: n
     return out
 
 
-def runs_of(found: np.ndarray) -> list[list[dict[str, int]]]:
-    """Runs of bytes relative to the anchor, for each row of ``repeated``."""
-    m = len(found)
-    edge = np.diff(np.pad(found.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-    row, first = np.nonzero(edge == 1)
-    end = np.nonzero(edge == -1)[1]
-    out: list[list[dict[str, int]]] = [[] for _ in range(m)]
-    for r, a, b in zip(row.tolist(), first.tolist(), end.tolist(), strict=True):
-        out[r].append({"b": -(b - 1), "e": LENGTH - a})
-    return out
-
+def covered(found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of ``repeated`` with any string, and the first and end byte they cover, relative to the anchor.
 
-RUN = pa.list_(pa.struct([("b", pa.int32()), ("e", pa.int32())]))
+    All strings hold the anchor, so what they cover is one run.
+    """
+    rows = np.flatnonzero(found.any(axis=1))
+    first = found[rows].argmax(axis=1)
+    last = found.shape[1] - 1 - found[rows][:, ::-1].argmax(axis=1)
+    return rows, -last, LENGTH - first
 
 
 def _contexts(texts: DataFrame) -> DataFrame:
@@ -308,15 +311,44 @@ def _filled(contexts: list[bytes], left: np.ndarray) -> np.ndarray:
     return out
 
 
+WIDE = "key long, gram long, around long, n long, least int, most int, left int, right int, context binary"
+COVER = "gram long, around long, b int, e int"
+
+
+def _sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows once for strings that reach far to the left, once for the others; the bytes of that side are in the key."""
+    reach = LENGTH - GRAM
+    half = reach // 2
+    for batch in batches:
+        out = []
+        for gram, around, n, _, left, right, context in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            data = np.frombuffer(context, np.uint8)
+            ends = [left - half, left + GRAM] if left >= half else [0, 0]
+            later = [left, left + GRAM + reach - half] if right >= reach - half else [0, 0]
+            h = Hashes(data).part(np.array([ends[0], later[0]]), np.array([ends[1], later[1]])).view(np.int64).tolist()
+            if left >= half:
+                out.append((h[0], gram, around, n, half, reach, left, right, context))
+            if right >= reach - half:
+                out.append((h[1] ^ 1, gram, around, n, 0, half - 1, left, right, context))
+        if out:
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 4 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)],
+                ["key", "gram", "around", "n", "least", "most", "left", "right", "context"],
+            )
+
+
 def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole groups of a sorted partition at a time; equal (gram, around) that come twice count once."""
+    """Whole groups of a sorted partition at a time; equal surroundings that come twice count once."""
     held: list[tuple] = []
 
     def done(rows: list[tuple]) -> pa.RecordBatch:
-        gram, around, n, left, right = (np.array([r[i] for r in rows], np.int64) for i in (0, 1, 2, 4, 5))
-        found = repeated(gram, n, _filled([r[6] for r in rows], left), left, right)
+        key, gram, around, n, least, most, left, right = (np.array([r[i] for r in rows], np.int64) for i in range(8))
+        found = repeated(key, n, _filled([r[8] for r in rows], left), left, right, least, most)
+        which, b, e = covered(found)
         return pa.RecordBatch.from_arrays(
-            [pa.array(gram), pa.array(around), pa.array(runs_of(found), RUN)], ["gram", "around", "runs"]
+            [pa.array(gram[which]), pa.array(around[which]), pa.array(b, pa.int32()), pa.array(e, pa.int32())],
+            ["gram", "around", "b", "e"],
         )
 
     for batch in batches:
@@ -324,37 +356,59 @@ def _sorted_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             if held and held[-1][0] != row[0] and len(held) >= GATHER:
                 yield done(held)
                 held = []
-            if not held or held[-1][:2] != row[:2]:
+            if not held or held[-1][:3] != row[:3]:
                 held.append(row)
     if held:
         yield done(held)
 
 
 def _string_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (gram, around, n, d, h): hashes of all strings through the anchor, for the largest groups."""
+    """Rows (key, gram, around, n, d, h): hashes of all strings through the anchor, for the largest parts."""
     reach = LENGTH - GRAM
     for batch in batches:
         for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-            gram, around, n, _, left, right, context = row
-            d = np.arange(max(0, reach - right), left + 1)
+            key, gram, around, n, least, most, left, right, context = row
+            d = np.arange(max(0, reach - right, least), min(left, most) + 1)
             if len(d):
                 start = left - d
                 h = Hashes(np.frombuffer(context, np.uint8)).part(start, start + LENGTH)
-                size = len(d)
+                same = [pa.array(np.full(len(d), x)) for x in (key, gram, around, n)]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(size, gram)), pa.array(np.full(size, around)), pa.array(np.full(size, n)),
-                     pa.array(d.astype(np.int32)), pa.array(h.view(np.int64))],
-                    ["gram", "around", "n", "d", "h"],
+                    [*same, pa.array(d.astype(np.int32)), pa.array(h.view(np.int64))], ["key", "gram", "around", "n", "d", "h"]
                 )
 
 
-def _large_groups(contexts: DataFrame) -> DataFrame:
+def _largest(parts: DataFrame) -> DataFrame:
     """The same result as ``_sorted_groups`` by counting hashes, with no group in one task."""
-    once = contexts.dropDuplicates(["gram", "around"])
-    rows = once.mapInArrow(_string_hashes, "gram long, around long, n long, d int, h long")
-    twice = rows.groupBy("gram", "d", "h").agg(F.sum("n").alias("n")).where("n > 1").select("gram", "d", "h")
-    run = F.struct((-F.col("d")).alias("b"), (LENGTH - F.col("d")).cast("int").alias("e"))
-    return rows.join(twice, ["gram", "d", "h"]).groupBy("gram", "around").agg(F.collect_list(run).alias("runs"))
+    once = parts.dropDuplicates(["key", "gram", "around"])
+    rows = once.mapInArrow(_string_hashes, "key long, gram long, around long, n long, d int, h long")
+    twice = rows.groupBy("key", "d", "h").agg(F.sum("n").alias("t")).where("t > 1").select("key", "d", "h")
+    return rows.join(twice, ["key", "d", "h"]).select(
+        "gram", "around", (-F.col("d")).alias("b"), (LENGTH - F.col("d")).cast("int").alias("e")
+    )
+
+
+def _covers(contexts: DataFrame, split: bool) -> DataFrame:
+    """Rows (gram, around, b, e): what repeats around the anchors, relative to them."""
+    whole = contexts.where(F.col("m") <= SPLIT).select(
+        F.col("gram").alias("key"), "gram", "around", "n", F.lit(0).alias("least"), F.lit(LENGTH - GRAM).alias("most"),
+        "left", "right", "context",
+    )
+    if not split:
+        return _sort(whole)
+    parts = stage(contexts.where(F.col("m") > SPLIT).mapInArrow(_sides, WIDE), "substring-sides")
+    sizes = parts.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > LARGEST).select("key")
+    found = _sort(whole.unionByName(parts.join(sizes, "key", "left_anti")))
+    if not sizes.isEmpty():
+        found = found.unionByName(_largest(parts.join(sizes, "key", "left_semi")))
+    return found.groupBy("gram", "around").agg(F.min("b").alias("b"), F.max("e").alias("e"))
+
+
+def _sort(rows: DataFrame) -> DataFrame:
+    names = [f.split()[0] for f in WIDE.split(", ")]
+    return (
+        rows.select(*names).repartition("key").sortWithinPartitions("key", "gram", "around").mapInArrow(_sorted_groups, COVER)
+    )
 
 
 def _merged(runs: Column) -> Column:
@@ -373,10 +427,6 @@ def _merged(runs: Column) -> Column:
     return F.aggregate(runs, empty, step)
 
 
-def _maybe_broadcast(df: DataFrame, rows: int) -> DataFrame:
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
-
-
 def repeated_runs(df: DataFrame, text: str = "text") -> DataFrame:
     """Rows (id, runs): for the texts that lose bytes, known by ``text_id``, the runs in bytes."""
     texts = df.select(text_id(text).alias("id"), whole_text(text).cast("binary").alias("text")).where(
@@ -404,20 +454,13 @@ def repeated_runs(df: DataFrame, text: str = "text") -> DataFrame:
         ),
         "substring-wanted",
     )
-    read = wanted.agg(F.coalesce(F.sum(F.size("wanted")), F.lit(0))).first()[0]
-    contexts = _contexts(texts.join(_maybe_broadcast(wanted, read), "id").select("id", "text", "wanted"))
-    large = sizes.where(F.col("m") > SPLIT).limit(1).count() > 0
-    if large:
+    contexts = _contexts(texts.join(wanted, "id").select("id", "text", "wanted"))
+    split = not sizes.where(F.col("m") > SPLIT).isEmpty()
+    if split:
         contexts = stage(contexts, "substring-contexts")
-    runs = (
-        contexts.where(F.col("m") <= SPLIT).repartition("gram").sortWithinPartitions("gram", "around")
-        .mapInArrow(_sorted_groups, "gram long, around long, runs array<struct<b:int,e:int>>")
-    )
-    if large:
-        runs = runs.unionByName(_large_groups(contexts.where(F.col("m") > SPLIT)))
-    runs = stage(runs.where(F.size("runs") > 0), "substring-runs")
-    mixed = shared.where("not alike").join(runs, ["gram", "around"]).select("id", "place", F.explode("runs").alias("r")).select(
-        "id", (F.col("place") + F.col("r.b")).alias("b"), (F.col("place") + F.col("r.e")).alias("e")
+    covers = stage(_covers(contexts, split), "substring-covers")
+    mixed = shared.where("not alike").join(covers, ["gram", "around"]).select(
+        "id", (F.col("place") + F.col("b")).alias("b"), (F.col("place") + F.col("e")).alias("e")
     )
     each = alike.unionByName(mixed).distinct()
     return each.groupBy("id").agg(_merged(F.sort_array(F.collect_list(F.struct("b", "e")))).alias("runs"))
@@ -430,9 +473,8 @@ def text_id(text: str = "text") -> Column:
 def without_repeats(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, n_bytes, removed: runs in bytes, kept: remaining bytes)."""
     runs = stage(repeated_runs(df, text), "substring-removed")
-    size = runs.agg(F.coalesce(F.sum(F.size("runs")), F.lit(0))).first()[0]
     docs = df.select(key, whole_text(text).cast("binary").alias("_text"), text_id(text).alias("id"))
-    joined = docs.join(_maybe_broadcast(runs, size), "id", "left")
+    joined = docs.join(runs, "id", "left")
     removed = F.coalesce("runs", F.array().cast("array<struct<b:bigint,e:bigint>>"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<b:bigint,e:bigint>>").alias("gaps"))
 

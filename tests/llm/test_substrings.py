@@ -64,10 +64,11 @@ def texts(seed):
     return rows
 
 
-@pytest.mark.parametrize("split", [4096, 3])
-def test_planted(spark, monkeypatch, split):
+@pytest.mark.parametrize(("split", "largest"), [(2048, 32_768), (3, 32_768), (3, 2)])
+def test_planted(spark, monkeypatch, split, largest):
     monkeypatch.setattr(substrings, "SPLIT", split)
-    rows = texts(split)
+    monkeypatch.setattr(substrings, "LARGEST", largest)
+    rows = texts(split + largest)
     assert run(spark, rows) == brute(rows)
 
 
