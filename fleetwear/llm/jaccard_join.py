@@ -36,7 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -116,6 +116,20 @@ def _survivors(rows: DataFrame, percent: int) -> DataFrame:
     return joined.where(F.coalesce("alone", F.lit(0)) < _prefix(F.col("n"), percent, 1)).select("node", "n", "key")
 
 
+def _numbered(counts: DataFrame) -> DataFrame:
+    """Add ``id``: numbers from 0 without gaps, half as wide as the hashes while they fit."""
+    rows = stage(counts.withColumn("_i", F.monotonically_increasing_id()), "jaccard-counts")
+    part = F.shiftright("_i", 33)
+    sizes = rows.groupBy(part.alias("_p")).agg((F.max(F.col("_i").bitwiseAND(F.lit((1 << 33) - 1))) + 1).alias("m"))
+    sizes = stage(sizes, "jaccard-parts")  # a row per partition
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(sizes.select("_p", F.coalesce(F.sum("m").over(before), F.lit(0)).alias("_o")))
+    total = sizes.agg(F.coalesce(F.sum("m"), F.lit(0))).first()[0]
+    number = F.col("_i").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_o")
+    kind = "int" if total < 1 << 31 else "long"
+    return rows.withColumn("_p", part).join(offsets, "_p").select("h", "df", number.cast(kind).alias("id"))
+
+
 def _boundary(ordered: DataFrame, percent: int) -> int:
     """Largest size whose sets use pairs of shingles, by estimated rows: keys made, and list entries compared."""
     wide = F.greatest(_prefix(F.col("n"), percent, 2) - F.col("alone"), F.lit(0))
@@ -215,7 +229,7 @@ def _compared(percent: int):
                 nodes.append(node)
                 sides.append(side)
                 sizes.append(n)
-                sets.append(tokens[i].values.to_numpy().view(np.uint64))
+                sets.append(tokens[i].values.to_numpy())
         if nodes:
             yield done()
 
@@ -225,7 +239,7 @@ def _compared(percent: int):
 def links(postings: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
     """Rows (a, b): links that connect the linked members of every list of ``postings``.
 
-    Only the shingles that several sets hold travel, with the full size of the set.
+    Only the shingles that several sets hold travel, as short numbers, with the full size of the set.
     """
     lists = postings.groupBy("k").agg(
         F.count(F.lit(1)).alias("members"),
@@ -241,7 +255,7 @@ def links(postings: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
     ).select(
         "k", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", (F.col("own") > F.col("other")).alias("side")
     )
-    sets = ordered.select("node", "n", F.transform("common", lambda x: x["h"]).alias("tokens"))
+    sets = ordered.select("node", "n", F.transform("common", lambda x: x["id"]).alias("tokens"))
     filled = spread.join(sets, "node").select("k", "i", "j", "node", "side", "n", "tokens")
     runs = filled.repartition("k", "i", "j").sortWithinPartitions("k", "i", "j", "node")
     return runs.mapInArrow(_compared(percent), "a long, b long")
@@ -267,9 +281,9 @@ def grouped(
     sets = sets_of(texts, key, text, width, False).join(rest.select("node"), "node", "left_semi")
     sets = stage(sets.dropDuplicates(["node"]).select("node", "n", "tokens"), "jaccard-sets")
     held = sets.select("node", "n", F.explode("tokens").alias("h"))
-    counts = held.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    counts = _numbered(held.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
     ordered = held.join(counts, "h").groupBy("node").agg(
-        F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h"))).alias("common")
+        F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("df", "h", "id"))).alias("common")
     ).withColumn("alone", F.col("n") - F.size("common"))
     ordered = stage(ordered.where(F.col("alone") < _prefix(F.col("n"), percent, 2)), "jaccard-ordered")
     release(sets)
