@@ -1,15 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Seeds are the word 3-grams of the test items (shorter items: the whole
-sequence). One pass over the corpus finds in every document the seeds it holds
-and the windows where an item has seeds close together; seeds and windows are
-written to the shared folder, texts are not. Document counts of the seeds over
-the whole corpus tell which are rare: those in few documents, and of every item
-the rarest half, so that an item copied everywhere still has seeds. A window
-with a rare seed is aligned with its item word by word (match +1, mismatch and
-gap -1/2); the best score over the number of words of the item is 1 for an
-exact copy and falls with every edit. From ``THRESHOLD`` on the document is
-contaminated.
+sequence). One pass over the corpus finds in every document the windows where
+an item has two different seeds close together (one if it has no more), and
+aligns each with its item word by word (match +1, mismatch and gap -1/2); the
+best score over the number of words of the item is 1 for an exact copy and
+falls with every edit. From ``THRESHOLD`` on the document is contaminated.
+A window is aligned however many documents hold its seeds: an edited passage
+has only part of them, and copies of it make that part frequent. Equal windows
+of a slice of documents are aligned once.
 
 Items are taken in blocks of at most ``BLOCK`` seeds, so what a worker holds
 does not grow with the benchmark; every block sees every document.
@@ -32,11 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fleetwear.llm.common import python_workers
-from fleetwear.session import stage
 
 N = 3  # words of a seed
 BLOCK = 500_000  # seeds of a block of items
-RARE = 0.0005  # share of documents up to which a seed is rare
 THRESHOLD = 0.5
 GAP = MISMATCH = 0.5
 SLICE = 256  # documents handled at once
@@ -99,8 +96,8 @@ class Seeds:
             seeds.append(p[right])
         return np.concatenate(at or [np.zeros(0, np.int64)]), np.concatenate(seeds or [np.zeros(0, np.int64)])
 
-    def windows(self, at: np.ndarray, seeds: np.ndarray, n_words: int) -> list[tuple[int, int, int, list[int]]]:
-        """(item, first word, end word, seeds) where seeds of an item stand within its length of each other.
+    def windows(self, at: np.ndarray, seeds: np.ndarray, n_words: int) -> list[tuple[int, int, int]]:
+        """(item, first word, end word) where seeds of an item stand within its length of each other.
 
         At least two different seeds are needed, one if the item has no more.
         """
@@ -117,7 +114,7 @@ class Seeds:
                 if k == len(found) or found[k][0] - found[k - 1][0] > m:
                     own = {s for _, s in found[begin:k]}
                     if len(own) >= need:
-                        out.append((i, max(0, found[begin][0] - m), min(n_words, found[k - 1][0] + N + m), sorted(own)))
+                        out.append((i, max(0, found[begin][0] - m), min(n_words, found[k - 1][0] + N + m)))
                     begin = k
         return out
 
@@ -167,86 +164,47 @@ def _blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, l
             yield parsed
 
 
-def windows(docs: DataFrame, seeds: Seeds, key: str, text: str) -> DataFrame:
-    """Rows (key, seeds, windows) of the documents with seeds; a window is (item, words, seeds)."""
+def aligned(docs: DataFrame, seeds: Seeds, key: str, text: str) -> DataFrame:
+    """Rows (key, item_id, score): the best score of every document and item with a window."""
     python_workers(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
-    number = pa.list_(pa.int32())
-    window = pa.list_(pa.struct([("item", pa.int32()), ("words", pa.string()), ("seeds", number)]))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first in range(0, batch.num_rows, SLICE):
                 rows = batch.slice(first, SLICE)
-                source, held, found = [], [], []
+                source, item_ids, scores = [], [], []
+                known: dict[tuple[int, str], float] = {}
                 for i, t in enumerate(rows.column(1).to_pylist()):
                     words = words_of(t)
-                    at, s = seeds.hits(words)
-                    if len(s):
+                    best: dict[int, float] = {}
+                    for place, b, e in seeds.windows(*seeds.hits(words), len(words)):
+                        item, own = seeds.items[place]
+                        window = (place, " ".join(words[b:e]))
+                        if window not in known:
+                            known[window] = align_words(own, words[b:e])
+                        best[item] = max(best.get(item, 0.0), known[window])
+                    for item, s in best.items():
                         source.append(i)
-                        held.append(np.unique(s).tolist())
-                        found.append([
-                            {"item": item, "words": " ".join(words[b:e]), "seeds": own}
-                            for item, b, e, own in seeds.windows(at, s, len(words))
-                        ])
+                        item_ids.append(item)
+                        scores.append(s)
+                keys = rows.column(0).take(pa.array(source, pa.int64()))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0).take(pa.array(source, pa.int64())), pa.array(held, number), pa.array(found, window)],
-                    ["key", "seeds", "windows"],
+                    [keys, pa.array(item_ids, pa.int64()), pa.array(scores, pa.float64())], ["key", "item_id", "score"]
                 )
 
-    schema = f"key {kind}, seeds array<int>, windows array<struct<item:int,words:string,seeds:array<int>>>"
-    return docs.select(key, text).mapInArrow(search, schema)
-
-
-def rare_seeds(found: DataFrame, seeds: Seeds, documents: int) -> set[int]:
-    """Seeds in few documents, and the rarest half of every item's. At most a block's seeds reach the driver."""
-    counts = dict.fromkeys(range(len(seeds.keys)), 0)
-    rows = found.select(F.explode("seeds").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    counts.update({r["s"]: r["n"] for r in rows.collect()})
-    rare = {s for s, n in counts.items() if n <= RARE * documents}
-    for own in seeds.of_item:
-        rare.update(sorted(own, key=lambda s: (counts[s], s))[: (len(own) + 1) // 2])
-    return rare
+    return docs.select(key, text).mapInArrow(search, f"key {kind}, item_id long, score double")
 
 
 def matches(
     docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
     item_key: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
-    """Rows (key, item_id, score): every document and item whose windows were aligned, with the best score."""
-    spark = docs.sparkSession
-    documents = docs.count()
+    """Rows (key, item_id, score): every document and item with a window, with the best score."""
     kind, item_kind = dict(docs.dtypes)[key], dict(items.dtypes)[item_key]
-    parts = []
-    for block in _blocks(items, item_key, item_text):
-        seeds = Seeds(block)
-        found = stage(windows(docs, seeds, key, text), "decontamination-windows")
-        rare = rare_seeds(found, seeds, documents)
-
-        def aligned(batches: Iterator[pa.RecordBatch], seeds: Seeds = seeds, rare: set[int] = rare) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                source, item_ids, scores = [], [], []
-                for i, found_here in enumerate(batch.column(1).to_pylist()):
-                    best: dict[int, float] = {}
-                    for w in found_here:
-                        if not rare.isdisjoint(w["seeds"]):
-                            item, words = seeds.items[w["item"]]
-                            best[item] = max(best.get(item, 0.0), align_words(words, w["words"].split(" ")))
-                    for item, s in best.items():
-                        source.append(i)
-                        item_ids.append(item)
-                        scores.append(s)
-                keys = batch.column(0).take(pa.array(source, pa.int64()))
-                yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(item_ids, pa.int64()), pa.array(scores, pa.float64())], ["key", "item_id", "score"]
-                )
-
-        parts.append(
-            found.where(F.size("windows") > 0).select("key", "windows")
-            .mapInArrow(aligned, f"key {kind}, item_id long, score double")
-        )
+    parts = [aligned(docs, Seeds(block), key, text) for block in _blocks(items, item_key, item_text)]
     if not parts:
-        return spark.createDataFrame([], f"{key} {kind}, item_id {item_kind}, score double")
+        return docs.sparkSession.createDataFrame([], f"{key} {kind}, item_id {item_kind}, score double")
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

@@ -69,3 +69,15 @@ def test_edited_copies_and_odd_rows(spark, monkeypatch):
     assert again == by
     assert D.judged(d.limit(0), b).count() == 0
     assert not D.judged(d, b.limit(0)).where("contaminated").count()
+
+
+def test_edited_copies_in_many_documents(spark):
+    item = [f"w{i}" for i in range(40)]
+    edited = [w if i % 6 else f"other{i}" for i, w in enumerate(item)]
+    assert D.align_words(item, edited) >= D.THRESHOLD
+    docs = [(i, " ".join([f"a{i}", *edited, f"b{i}"])) for i in range(300)] + [(1000 + i, f"z{i} w1 w2 w3 w4") for i in range(300)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame([(10, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: r for r in D.judged(d, b).collect()}
+    assert all(got[k]["contaminated"] == (k < 1000) and got[k]["item_ids"] == [10] * (k < 1000) for k, _ in docs)
+    assert got[0]["score"] == D.align_words(item, edited) and got[1000]["score"] == 0.1
