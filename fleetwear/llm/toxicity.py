@@ -109,7 +109,7 @@ class Automaton:
             n = self.child[node].get(c)
             if n is not None:
                 out.add((n, edits, other))
-            if not edits and node and self.length[node] >= EDIT_FROM:
+            if not edits and self.length[node] >= EDIT_FROM:
                 out.add((node, 1, letter))  # a letter too many
                 for n in self.child[node].values():
                     out.add((n, 1, letter))  # another letter

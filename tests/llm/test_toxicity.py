@@ -41,6 +41,20 @@ def test_automaton_equals_edit_distance():
             assert got == (0.0, 1.0, 0.0), w
 
 
+def test_first_letters():
+    terms = ["idiot", "scum", "loser", "asshole", "pathetic"]
+    automaton = Automaton(terms, {})
+    for term in terms:
+        if len(term) >= 5:
+            for c in "xzq":
+                for word in (c + term[1:], c + term, term[1:]):
+                    assert automaton.match(word) == (0.0, 1.0, 0.0), word
+            for c in "$1@*":
+                for word in (c + term[1:], c + term):
+                    assert automaton.match(word) == (1.0, 0.0, 0.0), word
+            assert automaton.match("xy" + term) is None
+
+
 def test_forms_and_context():
     automaton = Automaton(list(TERMS), {"lowei": 0.5})
     assert automaton.match("st*pid") == (1.0, 0.0, 0.0)
