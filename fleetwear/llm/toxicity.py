@@ -1,8 +1,8 @@
 """Toxicity of texts: a lexicon met with spelling errors, judged in context.
 
 Terms live in a trie: given ones, and stems and words learned from labelled
-rows. A Levenshtein automaton (one edit; none for short terms) is intersected
-with the trie: a state is a set of (trie node, edits spent), made when first
+rows. A Levenshtein automaton (one edit; in short terms only a sign or digit in
+place of a letter) is intersected with the trie: a state is a set of (trie node, edits spent), made when first
 needed, and a word is one walk through the states that ends early when the set
 is empty. Every hit is weighted by its form (exact, masked such as ``st*pid``,
 or another edit) and by its context window: inside quotation marks or after
@@ -62,12 +62,14 @@ class Automaton:
 
     A state is a frozen set of (node, edits, letters): ``letters`` tells whether
     the edit concerned a letter. Given words are matched whole; a learned stem,
-    with its weight, matches any word that begins with it.
+    with its weight, matches any word that begins with it, and the edit is one of
+    the stem.
     """
 
     def __init__(self, words: list[str], stems: dict[str, float]):
         self.child: list[dict[str, int]] = [{}]
-        self.length: list[int] = [0]  # longest given term through the node
+        self.length: list[int] = [0]  # longest term through the node
+        self.depth: list[int] = [0]
         self.word: list[bool] = [False]
         self.stem: list[float] = [0.0]
         for term, weight in [*((w, 0.0) for w in words), *stems.items()]:
@@ -77,11 +79,11 @@ class Automaton:
                     self.child[node][c] = len(self.child)
                     self.child.append({})
                     self.length.append(0)
+                    self.depth.append(self.depth[node] + 1)
                     self.word.append(False)
                     self.stem.append(0.0)
                 node = self.child[node][c] if c else node
-                if not weight:
-                    self.length[node] = max(self.length[node], len(term))
+                self.length[node] = max(self.length[node], len(term))
             if weight:
                 self.stem[node] = weight
             else:
@@ -104,22 +106,25 @@ class Automaton:
         out = set()
         letter = c.isalpha()
         for node, edits, other in state:
-            if self.stem[node] and not edits:
-                out.add((node, 0, False))  # the rest of the word does not matter
+            if self.stem[node]:
+                out.add((node, edits, other))  # the rest of the word does not matter
             n = self.child[node].get(c)
             if n is not None:
                 out.add((n, edits, other))
             if not edits and self.length[node] >= EDIT_FROM:
                 out.add((node, 1, letter))  # a letter too many
+            if not edits:
                 for n in self.child[node].values():
-                    out.add((n, 1, letter))  # another letter
+                    if not letter or self.length[n] >= EDIT_FROM:
+                        out.add((n, 1, letter))  # another letter
         return self._closed(out)
 
     def match(self, word: str) -> tuple[float, float, float] | None:
         """What the word adds to the certain, doubtful and learned sums; None if it meets no term.
 
-        Certain are given terms, also if one letter is masked by a sign or
-        digit; doubtful are given terms with another edit of one letter.
+        Certain are given terms, and learned are stems, also if one letter is
+        masked by a sign or digit; doubtful are both with another edit of one
+        letter, a stem by its weight.
         """
         if word in self.known:
             return self.known[word]
@@ -136,15 +141,17 @@ class Automaton:
             state = after
             if not state:
                 break
-        near = [x for x in state if self.word[x[0]] and (not x[1] or self.length[x[0]] >= EDIT_FROM)]
-        learned = max((self.stem[node] for node, edits, _ in state if not edits), default=0.0)
+        near = [x for x in state if not x[1] or not x[2] or self.depth[x[0]] >= EDIT_FROM]
+        sure = [node for node, edits, letters in near if not edits or not letters]
+        learned = max((self.stem[node] for node in sure), default=0.0)
+        doubtful = max((1.0 if self.word[node] else self.stem[node] for node, _, _ in near), default=0.0)
         found = None
-        if any(not edits or not letters for _, edits, letters in near):
+        if any(self.word[node] for node in sure):
             found = (1.0, 0.0, 0.0)
         elif learned:
             found = (0.0, 0.0, learned)
-        elif near:
-            found = (0.0, 1.0, 0.0)
+        elif doubtful:
+            found = (0.0, doubtful, 0.0)
         if len(self.known) >= STATES:
             self.known.clear()
         self.known[word] = found

@@ -55,6 +55,35 @@ def test_first_letters():
             assert automaton.match("xy" + term) is None
 
 
+def test_edits_of_stems_and_masks_of_short_terms():
+    terms, stems = ["scum", "shit", "pathetic"], {"lowei": 0.5, "grum": 0.4, "bocoo": 0.7}
+    automaton = Automaton(terms, stems)
+    for word in ("sc*m", "$cum", "sh1t", "shi7", "5hit"):
+        assert automaton.match(word) == (1.0, 0.0, 0.0), word
+    for word in ("scam", "shot", "sh1ts", "s**m", "gram", "grams"):
+        assert automaton.match(word) is None, word
+    assert automaton.match("gr*ms") == automaton.match("9rum") == (0.0, 0.0, 0.4)
+    assert automaton.match("l0wei") == automaton.match("low*ischaft") == automaton.match("lo-weis") == (0.0, 0.0, 0.5)
+    rng = np.random.default_rng(2)
+    for _ in range(3000):
+        w = list([*stems, *terms][rng.integers(6)]) + list("ab"[: rng.integers(3)])
+        for _ in range(rng.integers(0, 3)):
+            i, c = rng.integers(len(w) + 1), "abcegilmorstuw"[rng.integers(14)]
+            w = [w[:i] + [c] + w[i:], w[:i] + w[i + 1:], w[:i] + [c] + w[i + 1:]][rng.integers(3)] or ["a"]
+        word = "".join(w)
+        exact = max((v for s, v in stems.items() if word.startswith(s)), default=0.0)
+        near = max((v for s, v in stems.items() if len(s) >= 5 and any(edits(word[:n], s) <= 1 for n in range(len(word) + 1))), default=0.0)
+        if word in terms:
+            want = (1.0, 0.0, 0.0)
+        elif exact:
+            want = (0.0, 0.0, exact)
+        elif edits(word, "pathetic") <= 1:
+            want = (0.0, 1.0, 0.0)
+        else:
+            want = (0.0, near, 0.0) if near else None
+        assert automaton.match(word) == want, word
+
+
 def test_forms_and_context():
     automaton = Automaton(list(TERMS), {"lowei": 0.5})
     assert automaton.match("st*pid") == (1.0, 0.0, 0.0)
