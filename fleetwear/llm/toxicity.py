@@ -7,11 +7,14 @@ needed, and a word is one walk through the states that ends early when the set
 is empty. Every hit is weighted by its form (exact, masked such as ``st*pid``,
 or another edit) and by its context window: inside quotation marks or after
 words of reporting it counts less, beside an address to the reader more. The
-sums of a text are the features of a logistic classifier.
+sums of a text are the features of a logistic classifier. A misspelled term is
+doubtful alone, since other words come near it; several together, or beside an
+address, decide. Ordinary words that come near a term count nothing: given ones,
+and those that labelled rows hold as often without toxicity as with it.
 
 Learning uses at most ``SAMPLE`` labelled rows, chosen by the digest of their
 key; scoring covers every text whole. The model is a few kilobytes: at most
-``LEARNED`` terms, whatever the input.
+``LEARNED`` terms and as many ordinary words, whatever the input.
 
 Nulls and ties: a null text is empty; empty texts have the score of a text
 without hits; rows with a null label are not learned from, and a document with
@@ -47,9 +50,16 @@ REPORTING = frozenset(
     "dit écrit appelé mot terme sagte schrieb nannte wort dijo escribió llamó palabra término".split()
 )
 ADDRESS = frozenset("you your you're youre u ur yourself du dich dein ihr tu toi vous votre tú usted vosotros".split())
+#: Words of the languages one edit from a term.
+ORDINARY = frozenset(
+    "idiom idioms boron mormon mormons loner loners lover lovers lower lowers laser lasers loses lose closer closers poser "
+    "leser lesers lesen loger doser crash brash thrash rash crown crowns blown flown clow filth regard regards reward retards retardé "
+    "retarde batch botch butch ditch hitch pitch witch birch itch ducking sucking tucking bucking lucking mucking rucking "
+    "whole where whose shore chore wore stupidly verein canard salade dastard".split()
+)
 
 SAMPLE = 20_000  # labelled rows learned from, at most
-LEARNED = 2_000  # learned terms, at most
+LEARNED = 2_000  # learned terms, and ordinary words, at most
 STEMS = (4, 8)  # lengths of learned stems
 PRECISION, SUPPORT = 0.95, 5  # of a learned stem among labelled rows, both classes weighted alike
 REACH = 8  # words on either side of a hit
@@ -63,10 +73,11 @@ class Automaton:
     A state is a frozen set of (node, edits, letters): ``letters`` tells whether
     the edit concerned a letter. Given words are matched whole; a learned stem,
     with its weight, matches any word that begins with it, and the edit is one of
-    the stem.
+    the stem. ``features`` takes ``ordinary`` words for no misspelled terms.
     """
 
-    def __init__(self, words: list[str], stems: dict[str, float]):
+    def __init__(self, words: list[str], stems: dict[str, float], ordinary: frozenset[str] = ORDINARY):
+        self.ordinary = ordinary
         self.child: list[dict[str, int]] = [{}]
         self.length: list[int] = [0]  # longest term through the node
         self.depth: list[int] = [0]
@@ -159,14 +170,19 @@ class Automaton:
 
 
 EDGE = ".,;:!?()[]{}<>…*_~'`´’‘" + QUOTES
-FEATURES = 6
+FEATURES = 8
+REPEATED = 0.25  # what a doubtful word adds to a window when it stands there again
 
 
 def features(text: str, automaton: Automaton) -> list[float]:
-    """Logs of the certain, doubtful and learned sums, the largest certain sum of a window, certain and learned sums per 100 words."""
+    """What the classifier looks at.
+
+    Logs of the certain, doubtful and learned sums; the largest certain sum of a window; certain and learned sums per
+    100 words; the largest doubtful sum of a window over that of one word, and doubtful sums per 100 words.
+    """
     words = text.lower().split()
     clean = {w: w.strip(EDGE) for w in set(words)}
-    hits = {w: f for w, c in clean.items() if (f := automaton.match(c))}
+    hits = {w: f for w, c in clean.items() if (f := automaton.match(c)) and not (f[1] and c in automaton.ordinary)}
     if not hits:
         return [0.0] * FEATURES
     found: list[tuple[int, float, float, float]] = []
@@ -187,21 +203,29 @@ def features(text: str, automaton: Automaton) -> list[float]:
             # A mark without its partner within reach opens nothing.
             inside = not inside and any(marks[i + 1:i + 1 + 4 * REACH])
     certain, doubtful, learned = (sum(f[k] for f in found) for k in (1, 2, 3))
-    window, first, top = 0.0, 0, 0.0
-    for i, c, _, _ in found:
+    window, first, top, several = 0.0, 0, 0.0, 0.0
+    unsure: dict[str, list[float]] = {}  # doubtful words of the window, and what each place adds
+    for i, c, d, _ in found:
         window += c
+        if d:
+            unsure.setdefault(clean[words[i]], []).append(d)
         while found[first][0] < i - REACH:
             window -= found[first][1]
+            if found[first][2]:
+                unsure[clean[words[found[first][0]]]].pop(0)
             first += 1
         top = max(top, window)
+        if d:
+            several = max(several, sum(max(x) + REPEATED * (sum(x) - max(x)) for x in unsure.values() if x) - 1)
     return [
         math.log1p(certain), math.log1p(doubtful), math.log1p(learned), min(top, 3.0),
         *(min(100 * x / len(words), 10.0) / 10 for x in (certain, learned)),
+        min(several, 3.0), min(100 * doubtful / len(words), 10.0) / 10,
     ]
 
 
-#: Weights before anything is learned: one certain hit outside quotation is toxic, a doubtful one is not.
-START = np.array([-3.0, 4.0, 0.4, 1.5, 1.5, 1.0, 3.0])
+#: Weights before anything is learned: one certain hit outside quotation is toxic, a doubtful one is not, several together are.
+START = np.array([-3.0, 4.0, 0.4, 1.5, 1.5, 1.0, 3.0, 2.0, 1.5])
 
 
 def fit(x: np.ndarray, y: np.ndarray, pull: float = 5.0, rounds: int = 25) -> np.ndarray:
@@ -279,11 +303,11 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
 class Model:
     """Terms and weights; the automaton is built again in every worker."""
 
-    def __init__(self, words: list[str], stems: dict[str, float], weights: list[float]):
-        self.words, self.stems, self.weights = words, stems, weights
+    def __init__(self, words: list[str], stems: dict[str, float], weights: list[float], ordinary: frozenset[str] = ORDINARY):
+        self.words, self.stems, self.weights, self.ordinary = words, stems, weights, ordinary
 
     def key(self) -> tuple:
-        return tuple(self.words), tuple(self.stems.items())
+        return tuple(self.words), tuple(self.stems.items()), self.ordinary
 
 
 _automata: dict[tuple, Automaton] = {}
@@ -294,16 +318,39 @@ def automaton_of(model: Model) -> Automaton:
     key = model.key()
     if key not in _automata:
         _automata.clear()
-        _automata[key] = Automaton(model.words, model.stems)
+        _automata[key] = Automaton(model.words, model.stems, model.ordinary)
     return _automata[key]
 
 
+def learn_ordinary(sample: DataFrame, stems: dict[str, float]) -> frozenset[str]:
+    """``ORDINARY`` and the words near a term or stem that are at least as frequent in clean rows, in two or more, as in toxic ones."""
+    sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not sizes.get(0):
+        return ORDINARY
+    model = Model(list(TERMS), stems, START.tolist())
+
+    @pandas_udf("array<string>")
+    def near(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        automaton = automaton_of(model)
+        for t in texts:
+            yield t.map(lambda x: sorted(w for w in {w.strip(EDGE) for w in x.lower().split()} if (automaton.match(w) or (0, 0))[1]))
+
+    counts = sample.select("toxic", F.explode(near("text")).alias("word")).groupBy("word").agg(
+        F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")
+    )
+    common = F.col("good") / sizes[0] >= F.col("bad") / max(sizes.get(1, 0), 1)
+    rows = counts.where((F.col("good") >= 2) & common).orderBy(F.desc("good"), "word").limit(LEARNED).select("word").collect()
+    return ORDINARY | {r["word"] for r in rows}
+
+
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     python_workers(docs.sparkSession)
     sample = stage(labelled(docs, labels, key), "toxicity-sample")
     # Stems look better on the rows they were learned from, so the weights are
     # fitted on the half that the stems of this step have not seen.
-    model = Model(list(TERMS), learn_stems(sample.where("half = 0")), START.tolist())
+    half = sample.where("half = 0")
+    stems = learn_stems(half)
+    model = Model(list(TERMS), stems, START.tolist(), learn_ordinary(half, stems))
 
     @pandas_udf("array<double>")
     def measured(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -314,7 +361,8 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     rows = sample.where("half = 1").select(measured("text").alias("x"), "toxic").collect()  # at most SAMPLE short rows
     rows.sort()
     weights = fit(np.array([r["x"] for r in rows]), np.array([float(r["toxic"]) for r in rows]))
-    return Model(list(TERMS), learn_stems(sample), weights.tolist())
+    stems = learn_stems(sample)
+    return Model(list(TERMS), stems, weights.tolist(), learn_ordinary(sample, stems))
 
 
 def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -> DataFrame:

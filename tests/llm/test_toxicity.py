@@ -98,6 +98,21 @@ def test_forms_and_context():
     assert features('a " lone mark ' + "fine " * 100 + "idiot", automaton)[0] == plain[0]
 
 
+def test_misspelled_terms_decide_together(spark):
+    bad = ["you stupiid mooron", "stupiid " * 12, "what a stupiid patheticc filthhy lot " + "and so on it goes " * 8, "you are a worthles imbecille"]
+    good = ["a stupiid thing", "where the whole crown of the shore is lower", "you are closer to the pitch", "plain talk of harbours and mills",
+            "oron vellis oron tamber " + "ditto velum carda " * 9]
+    rows = list(enumerate(bad + good))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    odd = [(100 + i, f"oron number {i} whore stupid idiot" if i % 2 else f"oron velum {i} verein") for i in range(60)]
+    for labelled in (docs.limit(0), spark.createDataFrame(odd, "doc_id long, text string")):
+        labels = labelled.selectExpr("doc_id", "cast(doc_id % 2 as int) as toxic")
+        model = toxicity.train(labelled, labels)
+        got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, model).collect()}
+        for k, text in rows:
+            assert (got[k] > 0.5) == (k < len(bad)), (text, got[k])
+
+
 @pytest.fixture(scope="module")
 def scored(spark):
     return {r["doc_id"]: r for r in queries.QUERIES["op1_toxicity"](spark, FOLDER).collect()}
