@@ -24,9 +24,9 @@ What reaches the driver are counts by set size, for at most ``LIGHT_MOST`` sizes
 
 Nulls and ties: a null or empty text, or one of white space only, has an empty
 set and links with nothing; rows are documents of their own even if they share
-an id, and a null id is never the smallest; a component of null ids only has a
-null id; an empty table gives an empty result; texts are taken whole; other
-columns are ignored.
+an id; rows with a null id link like others, a null id is never the smallest,
+and a component of null ids only has a null id; an empty table gives an empty
+result; texts are taken whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -77,8 +77,13 @@ def _lists(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))
 
 
+def _row(key: str, text: str) -> Column:
+    """Digest by which a row is found again, also one with a null id."""
+    return F.xxhash64(key, text)
+
+
 def sets_of(df: DataFrame, key: str, text: str, width: int, sample: bool) -> DataFrame:
-    """Rows (key, n, node, tokens): size, class and shingles (``sample``: those of the counted part of the hash space)."""
+    """Rows (key, row, n, node, tokens): digest of key and text, size, class and shingles (``sample``: those of the counted part of the hash space)."""
     python_workers(df.sparkSession)
     kind = dict(df.dtypes)[key]
 
@@ -89,11 +94,12 @@ def sets_of(df: DataFrame, key: str, text: str, width: int, sample: bool) -> Dat
                 nodes = [_class_of(s) if len(s) else 0 for s in sets]
                 kept = [s[: np.searchsorted(s, np.uint64(1 << 64 - SAMPLE_BITS))] for s in sets] if sample else sets
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), _lists(kept)],
-                    ["key", "n", "node", "tokens"],
+                    [*(batch.column(c).slice(at, len(texts)) for c in (0, 2)), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.int64()), _lists(kept)],
+                    ["key", "row", "n", "node", "tokens"],
                 )
 
-    return df.select(key, text).mapInArrow(hashed, f"key {kind}, n long, node long, tokens array<long>")
+    rows = df.select(key, text, _row(key, text).alias("_row"))
+    return rows.mapInArrow(hashed, f"key {kind}, row long, n long, node long, tokens array<long>")
 
 
 def _least_overlap(n: Column, percent: int) -> Column:
@@ -105,15 +111,17 @@ def _prefix(n: Column, percent: int, share: int) -> Column:
 
 
 def _survivors(rows: DataFrame, percent: int) -> DataFrame:
-    """Rows (node, n, key) of the classes that may link: node, size and a row's id."""
-    classes = rows.where("n > 0").groupBy("node").agg(F.max("n").alias("n"), F.min("key").alias("key")).where(F.col("key").isNotNull())
+    """Rows (node, n, row) of the classes that may link: node, size and a row's digest, of one with an id if there is any."""
+    classes = rows.where("n > 0").groupBy("node").agg(
+        F.max("n").alias("n"), F.min(F.struct(F.col("key").isNull().alias("u"), "row"))["row"].alias("row")
+    )
     alone = (
         rows.where("n > 0").select("node", F.explode("tokens").alias("h"))
         .groupBy("h").agg(F.min("node").alias("node"), F.max("node").alias("other"))
         .where("node = other").groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
     )
     joined = classes.join(alone, "node", "left")
-    return joined.where(F.coalesce("alone", F.lit(0)) < _prefix(F.col("n"), percent, 1)).select("node", "n", "key")
+    return joined.where(F.coalesce("alone", F.lit(0)) < _prefix(F.col("n"), percent, 1)).select("node", "n", "row")
 
 
 def _numbered(counts: DataFrame) -> DataFrame:
@@ -274,10 +282,10 @@ def grouped(
     rows = stage(sampled.select("key", "n", "node"), "jaccard-rows")
     rest = stage(_survivors(sampled, percent), "jaccard-rest")
     release(sampled)
-    ids = rest.select(F.col("key").alias("_key")).distinct()
+    ids = rest.select("row").distinct()
     if rest.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    texts = df.select(key, text).join(ids, F.col(key) == F.col("_key")).select(key, text)
+    texts = df.select(key, text).join(ids, _row(key, text) == F.col("row")).select(key, text)
     sets = sets_of(texts, key, text, width, False).join(rest.select("node"), "node", "left_semi")
     sets = stage(sets.dropDuplicates(["node"]).select("node", "n", "tokens"), "jaccard-sets")
     held = sets.select("node", "n", F.explode("tokens").alias("h"))

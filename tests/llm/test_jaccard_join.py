@@ -83,6 +83,21 @@ def test_odd_rows(spark):
     assert run(spark, [], 4, 85) == []
 
 
+def test_near_copies_with_null_ids(spark):
+    base = [f"w{i}" for i in range(60)]
+    rows = [
+        (4, " ".join(["x1", "x2", *base])), (None, " ".join(base)), (2, " ".join([*base, "y1", "y2"])),
+        (7, " ".join(f"v{i}" for i in range(60))), (None, " ".join(f"v{i}" for i in range(61))), (None, " ".join(f"v{i}" for i in range(62))),
+        (None, " ".join(f"u{i}" for i in range(60))), (None, " ".join(f"u{i}" for i in range(61))),
+    ]
+    got = run(spark, rows, 5, 95)
+    assert got == brute(rows, 5, 95)
+    assert (4, 58, 2) in got
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [r["doc_id"] for r in J.one_of_each(df, percent=95).collect()]
+    assert sorted(kept, key=repr) == [2, 7, None]
+
+
 def test_one_of_each(spark):
     near = " ".join(f"w{i}" for i in range(60))
     rows = [(3, near), (3, near), (2, near + " x"), (7, near + " y"), (None, near), (5, ""), (5, None), (9, "other text entirely"), (3, "third text here"), (None, "null id alone")]
