@@ -13,7 +13,8 @@ of a slice of documents are aligned once.
 Items are taken in blocks of at most ``BLOCK`` seeds, so what a worker holds
 does not grow with the benchmark; every block sees every document.
 
-Nulls and ties: null or empty texts and items without words match nothing;
+Nulls and ties: null or empty texts and items without words match nothing; items
+with a null id are left out;
 documents that share an id are judged together and the repeated rows stay; a
 null id is an id of its own; an empty table of documents gives an empty
 result, one of items leaves all documents clean; whole texts are searched;
