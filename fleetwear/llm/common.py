@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import os
 import pathlib
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,3 +41,14 @@ def whole_text(name: str = "text") -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_bytes(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into slices of at most ``most`` bytes of one text column; a longer text is a slice of its own."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        used = ends[at - 1] if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, used + most, "right")))
+        yield batch.slice(at, stop - at)
+        at = stop

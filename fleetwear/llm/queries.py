@@ -6,7 +6,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from fleetwear.llm import decontamination, imatch, jaccard_join, packing, pii, secrets, sharding, spans, substrings, token_counts, toxicity
+from fleetwear.llm import (
+    decontamination,
+    imatch,
+    jaccard_join,
+    packing,
+    phrases,
+    pii,
+    quality,
+    secrets,
+    sharding,
+    spans,
+    substrings,
+    token_counts,
+    toxicity,
+    whitening,
+)
 from fleetwear.llm.common import documents, table
 
 
@@ -83,6 +98,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.place(documents(spark, sf_dir), ["doc_id"]).select("doc_id", "slot", "shard")
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir)).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "reason"
+    )
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.phrases(documents(spark, sf_dir))
+
+
 OP10_SQL = f"""
 with owners as (select [{",".join(map(str, sharding.fill(sharding.SHARDS)))}] as o),
 slots as (
@@ -91,6 +120,50 @@ slots as (
 select doc_id, slot, 'shard-' || lpad(cast(o[slot + 1] as varchar), 2, '0') as shard from slots, owners
 """
 
+OP13_SQL = """
+with texts as (
+  select doc_id, row_number() over () as doc, coalesce(lang, 'und') as lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t
+  from documents),
+pieces as (
+  select lang, doc, generate_subscripts(p, 1) as piece, unnest(p) as s
+  from (select lang, doc, regexp_split_to_array(t, '[.,;:!?\\x0A-\\x0D]') as p from texts)),
+words as (
+  select lang, doc, piece, generate_subscripts(w, 1) as pos, unnest(w) as w
+  from (select lang, doc, piece, regexp_extract_all(s, '[^\\x20\\x09]+') as w from pieces)),
+runs as (
+  select lang, w, lead(w, 1) over o as w2, lead(w, 2) over o as w3
+  from words window o as (partition by lang, doc, piece order by pos)),
+f1 as (select lang, w as phrase, count(*) as a from runs group by all),
+f2 as (select lang, w as x, w2 as y, w || ' ' || w2 as phrase, count(*) as a from runs where w2 is not null group by all having count(*) >= 10),
+f3 as (
+  select lang, w as x, w2 as y, w3 as z, w || ' ' || w2 || ' ' || w3 as phrase, count(*) as a
+  from runs where w3 is not null group by all having count(*) >= 10),
+cuts as (
+  select f2.lang, f2.phrase, f2.a, 1 as k, p.a as l, q.a as r
+  from f2 join f1 p on p.lang = f2.lang and p.phrase = x join f1 q on q.lang = f2.lang and q.phrase = y
+  union all
+  select f3.lang, f3.phrase, f3.a, 1, p.a, q.a
+  from f3 join f1 p on p.lang = f3.lang and p.phrase = f3.x join f2 q on q.lang = f3.lang and q.phrase = f3.y || ' ' || f3.z
+  union all
+  select f3.lang, f3.phrase, f3.a, 2, p.a, q.a
+  from f3 join f2 p on p.lang = f3.lang and p.phrase = f3.x || ' ' || f3.y join f1 q on q.lang = f3.lang and q.phrase = f3.z),
+scores as (
+  select *, cast(1000000 * cast(a as hugeint) * cast(a as hugeint) // (cast(l as hugeint) * cast(r as hugeint)) as bigint) as score
+  from cuts),
+best as (select * from scores qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+inside as (
+  select lang, phrase, max(a) as longer
+  from (select lang, x || ' ' || y as phrase, a from f3 union all select lang, y || ' ' || z, a from f3) group by all),
+left_over as (
+  select best.* from best left join inside using (lang, phrase) where longer is null or 100 * longer < 50 * a),
+ranked as (
+  select *, row_number() over (partition by lang order by score desc, a desc, phrase) as rank from left_over)
+select lang, rank, phrase, a, l, r, cast(n as bigint) as n, score
+from ranked join (select lang, sum(a) as n from f1 group by all) using (lang)
+where rank <= 2000
+"""
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_secrets": op2_secrets,
@@ -102,10 +175,14 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_packing": op9_packing,
     "op10_sharding": op10_sharding,
+    "op11_quality": op11_quality,
+    "op12_whitening": op12_whitening,
+    "op13_phrases": op13_phrases,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op10_sharding": OP10_SQL,
+    "op13_phrases": OP13_SQL,
 }
 if corpus_pipeline.ORACLE_SQL:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
