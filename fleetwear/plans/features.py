@@ -16,6 +16,7 @@ All of them are one plan:
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -165,8 +166,9 @@ def _features(
     active: Column,
     lookback: int | None,
     keep_null: bool,
+    only: Callable[[str], Column] | None = None,
 ) -> DataFrame:
-    """Features on ``lo, lo + step .. hi``.
+    """Features on ``lo, lo + step .. hi``, of these only where ``only`` holds of the date.
 
     ``near`` is 0 if the feature date itself belongs to the windows, else 1.
     A device must have missions in the 90 days back, and, if ``ahead`` is
@@ -174,7 +176,10 @@ def _features(
     """
     daily = _daily(inputs, lo, hi, lookback, keep_null)
     daily = daily.withColumn("active", F.when(active, F.col("missions")))
-    sums = _windowed_sums(_fan_out(daily, lo, hi, step, near, ahead), inputs, near, ahead)
+    rows = _fan_out(daily, lo, hi, step, near, ahead)
+    if only is not None:
+        rows = rows.where(F.col("feature_date").isNull() | only("feature_date"))
+    sums = _windowed_sums(rows, inputs, near, ahead)
     return _carry(sums, inputs, near, lookback, keep_null).select(*inputs.names())
 
 
@@ -324,11 +329,13 @@ def features_range(
     lookback: int | None = None,
     closed_end: bool = True,
     keep_null: bool = True,
+    only: Callable[[str], Column] | None = None,
 ) -> DataFrame:
     """Features for each date of ``lo..hi`` of the devices active in the 90
-    days up to it. With ``closed_end`` the date itself belongs to the windows."""
+    days up to it. With ``closed_end`` the date itself belongs to the windows.
+    ``only`` makes a condition of a date column: other dates are not built."""
     near = 0 if closed_end else 1
-    return _features(inputs, lo, hi, 1, near, 0, F.lit(True), lookback, keep_null)
+    return _features(inputs, lo, hi, 1, near, 0, F.lit(True), lookback, keep_null, only)
 
 
 def asof_features(inputs: Inputs, day: dt.date, lookback: int | None = None, **flags: bool) -> DataFrame:

@@ -126,3 +126,6 @@ FEATURES = table(
     "failure_count_90d bigint, corrective_count_90d bigint, battery_cycle_times_last int,"
     "battery_health_last string, avg_battery_soc_7d double, has_failure_next_30d int, dt date"
 )
+
+#: The ledger: what of Bronze has been loaded, as it was listed then.
+LOADS = table("dataset string, load_dt date, files bigint, bytes bigint, newest bigint, noted_at timestamp_ntz")

@@ -1,3 +1,17 @@
-from fleetwear.sinks.partitions import merge_partitions, table_report, write_partitions
+from fleetwear.sinks.journal import recover
+from fleetwear.sinks.partitions import (
+    merge_changes,
+    merge_partitions,
+    replace_partitions,
+    table_report,
+    write_partitions,
+)
 
-__all__ = ["merge_partitions", "table_report", "write_partitions"]
+__all__ = [
+    "merge_changes",
+    "merge_partitions",
+    "recover",
+    "replace_partitions",
+    "table_report",
+    "write_partitions",
+]

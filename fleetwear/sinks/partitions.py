@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fleetwear.operators.dedup import dedup
-from fleetwear.sources.tables import read_partitions, read_window
+from fleetwear.sinks.journal import recover, swap_partitions
+from fleetwear.sources.tables import among, read_partitions, read_window
 
 
 def write_partitions(
@@ -50,7 +51,22 @@ def merge_partitions(
     sort: Sequence[str] = (),
     lasting: bool = False,
 ) -> int:
-    """Merge ``df`` into the partitions it touches and return the rows of ``df``.
+    """Merge ``df`` into the partitions it touches and return the rows of ``df``; see ``merge_changes``."""
+    return merge_changes(df, path, schema, keys, order, key, sort, lasting)[0]
+
+
+def merge_changes(
+    df: DataFrame,
+    path: str,
+    schema: T.StructType,
+    keys: Sequence[str],
+    order: Sequence[Column],
+    key: str = "dt",
+    sort: Sequence[str] = (),
+    lasting: bool = False,
+    announce: Callable[[set], None] | None = None,
+) -> tuple[int, set]:
+    """Merge ``df`` into the partitions it touches: rows of ``df``, and the partitions whose rows are not what they were.
 
     A load may hold rows of neighbouring dates, so a plain replacement of the
     touched partitions would lose rows that came with other loads. The old rows
@@ -59,41 +75,61 @@ def merge_partitions(
     ``lasting`` keys are unique over all dates: the dates where incoming keys
     already stand are rewritten too, and a date left without rows is removed.
 
-    The old files are replaced when the new ones are complete; a merge that
-    was broken off can be repeated.
+    The partitions are swapped by the journal: a merge that was broken off is
+    finished or undone when the next one begins, and can be repeated. Partitions
+    that come out as they were are not written; a repeated load changes nothing.
+
+    ``announce`` is told the changed partitions before the first of them changes.
     """
     spark = df.sparkSession
+    recover(spark, path)
     incoming = df.select(*schema.fieldNames()).persist()
     try:
         # Distinct calendar dates of one load: bounded by the calendar.
         days = {r[0] for r in incoming.select(key).distinct().collect()}
         if not days:
-            return 0
+            return 0, set()
         if lasting:
             held = read_window(spark, path, schema).select(*keys, key)
             moved = held.join(incoming.select(*keys).distinct(), list(keys), "left_semi")
             days |= {r[0] for r in moved.select(key).distinct().collect()}
         old = read_partitions(spark, path, schema, days, key).select(*schema.fieldNames())
         unique = list(keys) if lasting or key in keys else [*keys, key]
-        merged = dedup(old.unionByName(incoming), unique, order)
-        if lasting:
-            merged = merged.persist()
-            left = {r[0] for r in merged.select(key).distinct().collect()}
-            write_partitions(merged, path, key, order=sort)
+        merged = dedup(old.unionByName(incoming), unique, order).persist()
+        try:
+            before, after = _content(old, key), _content(merged, key)
+            changed = {d for d in days if before.get(d) != after.get(d)}
+            if changed:
+                if announce is not None:
+                    announce(changed)
+                fresh = merged.where(among(key, changed))
+                swap_partitions(
+                    spark, path, key, changed, lambda place: write_partitions(fresh, place, key, "rebuild", sort)
+                )
+        finally:
             merged.unpersist()
-            remove_partitions(spark, path, days - left, key)
-        else:
-            write_partitions(merged, path, key, order=sort)
-        return incoming.count()
+        return incoming.count(), changed
     finally:
         incoming.unpersist()
 
 
-def remove_partitions(spark: SparkSession, path: str, days: Iterable[object], key: str = "dt") -> None:
-    """Delete the partitions of the given values; absent ones are no error."""
-    for day in days:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{key}={day}")
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+def replace_partitions(
+    df: DataFrame, path: str, values: Iterable[object], key: str = "dt", order: Sequence[str] = ()
+) -> None:
+    """The partitions ``values`` become the rows of ``df``; those without rows are removed."""
+    recover(df.sparkSession, path)
+    swap_partitions(
+        df.sparkSession, path, key, values, lambda place: write_partitions(df, place, key, "rebuild", order)
+    )
+
+
+def _content(df: DataFrame, key: str) -> dict:
+    """Per partition: rows and two sums that depend on every value of every row, not on their order."""
+    columns = [c for c in df.columns if c != key]
+    one = F.xxhash64(*columns, *[F.col(c).isNull() for c in columns])
+    two = F.xxhash64(F.lit(1), *reversed(columns), *[F.col(c).isNull() for c in columns])
+    found = df.groupBy(key).agg(F.count(F.lit(1)), F.sum(one.cast("decimal(20,0)")), F.bit_xor(two))
+    return {r[0]: tuple(r)[1:] for r in found.collect()}
 
 
 def table_report(spark: SparkSession, path: str, key: str = "dt", name: str | None = None) -> DataFrame:

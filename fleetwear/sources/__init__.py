@@ -9,12 +9,21 @@ from fleetwear.sources.bronze import (
     read_paged,
     require_rows,
 )
-from fleetwear.sources.tables import date_window, read_partitions, read_window
+from fleetwear.sources.tables import (
+    date_window,
+    listing,
+    partition_dates,
+    read_partitions,
+    read_spans,
+    read_window,
+)
 
 __all__ = [
     "MissingData",
     "date_window",
     "day_paths",
+    "listing",
+    "partition_dates",
     "path_exists",
     "read_envelope",
     "read_jsonl",
@@ -22,6 +31,7 @@ __all__ = [
     "read_or_none",
     "read_paged",
     "read_partitions",
+    "read_spans",
     "read_window",
     "require_rows",
 ]
