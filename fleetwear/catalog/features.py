@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -26,6 +27,7 @@ from fleetwear.operators.profile import latest
 from fleetwear.plans.features import (
     KEYS,
     LABEL,
+    LONGEST,
     MAINTENANCE_FEATURES,
     STATUS_FEATURES,
     USAGE_FEATURES,
@@ -93,14 +95,15 @@ _MONDAYS = f"""grid as (
   select robot_serial_number as serial_number, date_trunc('week', start_time::date)::date as feature_date
   from usage where start_time::date >= date '{FIRST}' and start_time::date <= date '{LAST}' group by all)"""
 
-_EVERY_DAY = f"""grid as (
+def _every_day(lo: dt.date, hi: dt.date) -> str:
+    return f"""grid as (
   select robot_serial_number as serial_number, asked.d::date as feature_date
   from (select distinct robot_serial_number, start_time::date as worked from usage),
-    generate_series(date '{FIRST}', date '{LAST}', interval 1 day) as asked(d)
+    generate_series(date '{lo}', date '{hi}', interval 1 day) as asked(d)
   where date_diff('day', worked, asked.d::date) between 0 and 90 group by all)"""
 
 
-def _features(near: int, nulls: bool) -> dict[str, str]:
+def _features(near: int, nulls: bool, lookback: int | None = None) -> dict[str, str]:
     """Name of each feature and its aggregate; windows begin ``near`` days before the date."""
 
     def within(kind: str, far: int, also: str = "") -> str:
@@ -113,7 +116,8 @@ def _features(near: int, nulls: bool) -> dict[str, str]:
         return f"{aggregate} filter (where {within(kind, far)})"
 
     def age(also: str) -> str:
-        return f"coalesce(min(gap) filter (where kind = 'service' and gap >= {near}{also}), 999)::int"
+        far = "" if lookback is None else f" and gap <= {lookback}"
+        return f"coalesce(min(gap) filter (where kind = 'service' and gap >= {near}{far}{also}), 999)::int"
 
     newest = {
         "brush_residual_last": ("brush", "work", 90), "filter_residual_last": ("sieve", "work", 90),
@@ -145,8 +149,10 @@ def _with(*parts: str) -> str:
     return "with " + ",\n".join(parts)
 
 
-def _expected(grid: str, names: Sequence[str], near: int, nulls: bool, *tables: str, kinds: Sequence[str]) -> str:
-    made = _features(near, nulls)
+def _expected(
+    grid: str, names: Sequence[str], near: int, nulls: bool, *tables: str, kinds: Sequence[str], lookback: int | None = None
+) -> str:
+    made = _features(near, nulls, lookback)
     columns = ",\n  ".join(f"{made[c]} as {c}" for c in names)
     sources = [*tables, *([_polled(nulls)] if _POLL in kinds else []), grid, _moments(*kinds), _SEEN]
     active = f" having count(*) filter (where kind = 'work' and gap between {near} and 90) > 0" if _WORK in kinds else ""
@@ -158,7 +164,12 @@ _TABLES = (USAGE, MAINTENANCE, status_sql(True))
 _KINDS = (_WORK, _SERVICE, _POLL)
 ASOF_SQL = _expected(_grid(), _EVERY, 0, True, *_TABLES, kinds=_KINDS)
 WEEKLY_SQL = _expected(_MONDAYS, _EVERY, 1, False, *_TABLES, kinds=_KINDS)
-BACKFILL_SQL = _expected(_EVERY_DAY, _EVERY, 0, True, *_TABLES, kinds=_KINDS)
+BACKFILL_SQL = _expected(_every_day(FIRST, LAST), _EVERY, 0, True, *_TABLES, kinds=_KINDS)
+
+
+def backfill_sql(lo: dt.date, hi: dt.date, lookback: int = LONGEST) -> str:
+    """Features of every date of a range, as the runs build them."""
+    return _expected(_every_day(lo, hi), _EVERY, 0, True, *_TABLES, kinds=_KINDS, lookback=lookback)
 
 # ----------------------------------------------------------------- queries
 
