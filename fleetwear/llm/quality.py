@@ -14,8 +14,9 @@ between its neighbours. A text is out of its band below ``BELOW`` or above
 ``CHUNK_ABOVE`` above.
 
 Groups of fewer than ``OWN`` texts are judged by the bands of the whole corpus;
-half octaves with fewer than ``NODE`` texts lean on their neighbours; where
-there are no such counts at all, ``OUTER`` alone holds.
+half octaves with fewer than ``NODE`` texts lean on their neighbours, and beyond
+the outermost ones the band goes on along its slope, wider by a spread an octave;
+where there are no such counts at all, ``OUTER`` alone holds.
 
 Base rules: fewer than 50 words, or over half of the words in three-word windows
 that the text has twice or more.
@@ -49,6 +50,8 @@ OUTER = (0.15, 1.0)
 OWN, NODE = 200, 30
 LEAST_SPREAD = 6.0  # thousandths
 FINE = 16  # lengths an octave
+BEYOND = 20 * FINE  # how far the band is carried on
+SLOPE = -40 / FINE  # thousandths a length, where a corpus shows one half octave only
 BROADCAST_GROUPS = 10_000
 #: White space between words, and the characters counted as symbols.
 SPACES, SYMBOLS = " \t\n\x0b\x0c\r", "#*$%&|<>"
@@ -135,11 +138,21 @@ def fit_bands(fine: np.ndarray, bins: np.ndarray, n: np.ndarray) -> tuple[list[f
         return [], [], []
     at = [float(np.average(fine[half == k] + 0.5, weights=n[half == k])) for k in nodes]
     middle = [weighted_median(bins[half == k], n[half == k]) for k in nodes]
-    off = np.abs(bins - np.interp(fine + 0.5, at, middle))
+    # Lengths beyond the nodes follow the slope of the outermost two.
+    first, last = (_slope(at, middle, 0), _slope(at, middle, len(at) - 2)) if len(at) > 1 else (SLOPE, SLOPE)
+    far_at = [at[0] - BEYOND, *at, at[-1] + BEYOND]
+    far_middle = [middle[0] - first * BEYOND, *middle, middle[-1] + last * BEYOND]
+    off = np.abs(bins - np.interp(fine + 0.5, far_at, far_middle))
     spread = [1.4826 * weighted_median(off[half == k], n[half == k]) for k in nodes]
     # A length where copies of one text abound has a spread of almost nothing: its neighbours speak for it.
     spread = [max(s, float(np.median(spread[max(0, i - 2):i + 3])), LEAST_SPREAD) for i, s in enumerate(spread)]
-    return at, middle, spread
+    # The less is known of a length, the wider its band: one more spread an octave.
+    wide = 1 + BEYOND / FINE
+    return far_at, far_middle, [spread[0] * wide, *spread, spread[-1] * wide]
+
+
+def _slope(at: list[float], middle: list[float], i: int) -> float:
+    return (middle[i + 1] - middle[i]) / (at[i + 1] - at[i])
 
 
 def bands(measures: DataFrame) -> DataFrame:
