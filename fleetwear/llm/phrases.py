@@ -3,9 +3,9 @@
 Phrases are counted level by level: words, then pairs, then triples. In a task
 the words of a text become ids, and a trie over the ids holds the counts: the
 first word leads to a hash container, which bursts into one container for each
-second word when it grows too large. When the trie holds too much, its largest
-subtrees are spilled whole, each a run sorted by phrase. Runs are staged in the
-shared folder, dealt out by ranges of (language, phrase), which are ranges of
+second word when it grows too large. When the trie holds too much, subtrees are
+spilled whole, as runs sorted by their words: those whose phrases have recurred
+least, as they gain least from staying. Runs are staged in the shared folder, dealt out by ranges of (language, phrase), which are ranges of
 prefixes, and merged there: a prefix with very many phrases lies across several
 ranges, and one that is in every run has one row a run.
 
@@ -27,13 +27,13 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
-import heapq
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,7 +44,7 @@ LEAST, TOP, INSIDE = 10, 2000, 50
 BITS = 1 << 27
 BURST = 4096  # entries of a container before it bursts
 HELD = 400_000  # entries of a trie before it spills
-WORDS = 1_000_000  # words a task remembers
+WORDS = 500_000  # words a task remembers
 CHUNK = 4 << 20  # bytes of text handled at once
 RUN = 50_000  # rows of a batch
 #: What ends a piece, and what lies between words.
@@ -81,17 +81,23 @@ def bit_of(lang: str, phrase: str) -> Column:
 
 
 class HatTrie:
-    """Counts of id tuples of one length (1 to 3): first id, then hash containers that burst by the second."""
+    """Counts of pairs or triples of ids: first id, then hash containers that burst by the second."""
 
     def __init__(self) -> None:
         self.root: dict[int, dict] = {}
         self.sizes: dict[int, int] = {}
+        self.seen: dict[int, int] = {}
         self.burst: set[int] = set()
         self.held = 0
 
     def add(self, first: int, rests: list[int], counts: list[int]) -> None:
-        """``rests``: what follows the first id, as one number (32 bits an id, 0 for nothing)."""
-        node = self.root.setdefault(first, {})
+        """``rests``: what follows the first id, as one number of 32 bits an id."""
+        node = self.root.get(first)
+        if node is None:
+            self.root[first] = dict(zip(rests, counts, strict=True))
+            self.sizes[first], self.seen[first] = len(rests), sum(counts)
+            self.held += len(rests)
+            return
         new = 0
         if first in self.burst:
             for rest, n in zip(rests, counts, strict=True):
@@ -106,30 +112,37 @@ class HatTrie:
             for rest, n in zip(rests, counts, strict=True):
                 node[rest] = node.get(rest, 0) + n
             new = len(node) - had
-            if len(node) > BURST and max(node) >> 32:
+            if len(node) > BURST and rests[0] >> 32:
                 leaves: dict[int, dict] = {}
                 for rest, n in node.items():
                     leaves.setdefault(rest >> 32, {})[rest] = n
                 self.root[first] = leaves
                 self.burst.add(first)
-        self.sizes[first] = self.sizes.get(first, 0) + new
+        self.sizes[first] += new
+        self.seen[first] += sum(counts)
         self.held += new
 
-    def take(self, first: int) -> Iterator[tuple[int, int]]:
-        """Remove a subtree; its entries (rest, count)."""
-        node = self.root.pop(first)
-        self.held -= self.sizes.pop(first)
-        if first in self.burst:
+    def take(self, firsts: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Remove whole subtrees; their entries as arrays (first, rest, count)."""
+        rests: list[int] = []
+        counts: list[int] = []
+        sizes = [self.sizes.pop(f) for f in firsts]
+        for first in firsts:
+            node = self.root.pop(first)
+            del self.seen[first]
+            for leaf in node.values() if first in self.burst else (node,):
+                rests += leaf.keys()
+                counts += leaf.values()
             self.burst.discard(first)
-            for leaf in node.values():
-                yield from leaf.items()
-        else:
-            yield from node.items()
+        self.held -= len(rests)
+        return np.repeat(np.array(firsts, np.int64), sizes), np.array(rests, np.int64), np.array(counts, np.int64)
 
-    def largest(self, share: float) -> list[int]:
-        """First ids of the largest subtrees that together hold this share."""
+    def coldest(self, share: float) -> list[int]:
+        """First ids of subtrees that together hold this share: those whose entries recur least go."""
+        if share >= 1:
+            return list(self.root)
         out, gone = [], 0
-        for first in heapq.nlargest(len(self.sizes), self.sizes, key=self.sizes.get):
+        for first in sorted(self.sizes, key=lambda f: self.seen[f] / self.sizes[f]):
             if gone >= share * self.held:
                 break
             out.append(first)
@@ -154,6 +167,7 @@ class Language:
         self.codes[b"."]
         self.words: list[bytes] = []
         self.hashes = np.zeros(0, np.uint64)
+        self.ones = np.zeros(0, np.int64)
 
     def ids(self, data: bytes) -> np.ndarray:
         """Ids of the words, 0 for an end of a piece."""
@@ -168,6 +182,11 @@ class Language:
 
     def count(self, data: bytes, size: int, bitmap: np.ndarray | None) -> None:
         ids = self.ids(data)
+        if size == 1:
+            new = np.bincount(ids, minlength=len(self.words))
+            new[:len(self.ones)] += self.ones
+            self.ones = new
+            return
         at = np.arange(max(0, len(ids) - size + 1))
         good = np.ones(len(at), bool)
         for k in range(size):
@@ -199,32 +218,29 @@ class Language:
             self.trie.add(int(first[a]), rest[a:b], counts[a:b])
 
     def spill(self, share: float, size: int) -> Iterator[pa.RecordBatch]:
-        """The largest subtrees as runs, each sorted by phrase."""
-        words = self.words
-        out: list[tuple[bytes, int]] = []
-        for first in sorted(self.trie.largest(share), key=words.__getitem__):
-            head, run = words[first], []
-            for rest, n in self.trie.take(first):
-                if size == 1:
-                    run.append((head, n))
-                elif size == 2:
-                    run.append((head + b" " + words[rest], n))
-                else:
-                    run.append((b" ".join((head, words[rest >> 32], words[rest & 0xFFFFFFFF])), n))
-            run.sort()
-            out += run
-            while len(out) >= RUN:
-                yield self.batch(out[:RUN])
-                out = out[RUN:]
-        if out:
-            yield self.batch(out)
-
-    def batch(self, rows: list[tuple[bytes, int]]) -> pa.RecordBatch:
-        phrases, n = zip(*rows, strict=True)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([self.name] * len(n)), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())],
-            ["lang", "phrase", "n"],
-        )
+        """Subtrees as a run, sorted by their words."""
+        if size == 1:
+            self.ones[:1] = 0
+            ids = [np.flatnonzero(self.ones)]
+            counts, self.ones = self.ones[ids[0]], np.zeros(0, np.int64)
+        else:
+            first, rest, counts = self.trie.take(self.trie.coldest(share))
+            ids = [first, rest] if size == 2 else [first, rest >> 32, rest & 0xFFFFFFFF]
+        used = np.unique(np.concatenate(ids))
+        words = pa.array([self.words[i] for i in used.tolist()], pa.binary())
+        order = pc.array_sort_indices(words)
+        words = words.take(order)
+        rank = np.zeros(len(self.words), np.int64)
+        rank[used[order.to_numpy()]] = np.arange(len(used))
+        ids = [rank[i] for i in ids]
+        order = np.lexsort(ids[::-1])
+        for at in range(0, len(order), RUN):
+            part = order[at:at + RUN]
+            run = [words.take(pa.array(i[part])) for i in ids]
+            phrase = pc.binary_join_element_wise(*run, pa.scalar(b" ", pa.binary())) if size > 1 else run[0]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([self.name] * len(part)), phrase.cast(pa.string()), pa.array(counts[part])], ["lang", "phrase", "n"]
+            )
 
 
 def chunks(data: bytes, size: int) -> Iterator[bytes]:
@@ -268,9 +284,10 @@ def runs(df: DataFrame, size: int, bitmap: bytes | None) -> DataFrame:
                     language = languages.setdefault(lang, Language(lang))
                     for chunk in chunks(b".".join(own), size):
                         language.count(chunk, size, bits)
-                        if len(language.words) > WORDS:
-                            yield from language.spill(1, size)
-                            language.forget()
+                        if sum(len(x.words) for x in languages.values()) > WORDS:
+                            for x in languages.values():
+                                yield from x.spill(1, size)
+                                x.forget()
                         elif sum(x.trie.held for x in languages.values()) > HELD:
                             for x in languages.values():
                                 yield from x.spill(0.5, size)
