@@ -259,6 +259,17 @@ def _fit_gbt(train):
     return models.fit_gbt(train, MODEL_COLUMNS, LABEL)
 
 
+_models: dict[tuple[str, str], models.Fitted] = {}
+
+
+def _boosted(t) -> models.Fitted:
+    """The boosted model of a folder, fitted once an application: several queries ask about the same one."""
+    key = (t.spark.sparkContext.applicationId, t.folder)
+    if key not in _models:
+        _models[key] = _fit_gbt(_split(t)[0])
+    return _models[key]
+
+
 @query("lr_scores")
 def lr_scores(t):
     train, test = _split(t)
@@ -289,7 +300,7 @@ from marked, (values ('Logistic Regression'), ('Gradient Boosting')) m(name) whe
 def model_facts(t):
     """What must hold for the scores of both classifiers, row by row."""
     train, test = _split(t)
-    boosted = _fit_gbt(train)
+    boosted = _boosted(t)
     total = sum(w for _, w in models.importance(boosted))
     parts = [
         models.score(fitted, test).select(
@@ -305,28 +316,139 @@ def model_facts(t):
 
 @query("top_importance")
 def top_importance(t):
-    train, _ = _split(t)
-    ranked = models.importance(_fit_gbt(train))[:5]
+    ranked = models.importance(_boosted(t))[:5]
     return t.spark.createDataFrame(ranked, "column_name string, importance double")
 
 
 @query("risk_surface")
 def risk_surface(t):
-    rows = _matrix(t)
-    train, _ = prepare.temporal_split(rows)
-    return models.risk_surface(_fit_gbt(train), rows, KEYS)
+    return models.risk_surface(_boosted(t), _matrix(t), KEYS)
 
 
 @query("model_comparison")
 def model_comparison(t):
     train, test = _split(t)
-    fitted = {"Logistic Regression": _fit_lr(train), "Gradient Boosting": _fit_gbt(train)}
+    fitted = {"Logistic Regression": _fit_lr(train), "Gradient Boosting": _boosted(t)}
     return models.compare(fitted, test, LABEL)
 
 
+# ------------------------------------------------- what the classifiers must satisfy
+#
+# A fitted model cannot be said in SQL. What can be said of it: the rows it
+# answers for, and that its answers follow from its stored trees.
+
+
+def _off(a: str, b: str):
+    return (F.round(F.col(a) - F.col(b), 9) + 0.0).alias("difference")
+
+
+@query("gbt_replay", _with(GOLD, _SPLIT) + f"""select serial_number, feature_date, {LABEL}, 0.0::double as difference
+from marked where is_test""")
+def gbt_replay(t):
+    """Scores of the test rows less those that the stored node table gives."""
+    fitted = _boosted(t)
+    scored = models.score(fitted, _split(t)[1])
+    return models.replay(models.node_table(fitted), scored).select(*KEYS, LABEL, _off("score", "replayed"))
+
+
+@query("gbt_trees", f"""select i::int as tree, case when i = 0 then 1.0 else {models.STEP} end::double as weight, true as rooted,
+  true as within_depth, true as leaf_size, true as rows_add_up, true as gains from range({models.ROUNDS}) r(i)""")
+def gbt_trees(t):
+    """Every round is a tree of the given depth, weight and leaf size, whose children share their parent's rows."""
+    nodes = models.node_table(_boosted(t))
+    child = nodes.select("tree", F.col("node").alias("child"), F.col("n").alias("child_n"))
+    inner = nodes.where(F.col("column_name").isNotNull())
+    sides = inner.select("tree", "node", "n", F.explode(F.array("left_node", "right_node")).alias("child"))
+    shared = sides.join(child, ["tree", "child"]).groupBy("tree", "node").agg((F.sum("child_n") == F.max("n")).alias("fits"))
+    up = sides.select("tree", "child", F.col("node").alias("up"))
+    level = nodes.select("tree", "node", F.lit(0).alias("depth")).where("node = 0")
+    levels = [level]
+    for _ in range(models.DEPTH):
+        below = levels[-1].join(up, (up["up"] == levels[-1]["node"]) & (up["tree"] == levels[-1]["tree"]))
+        levels.append(below.select(up["tree"], F.col("child").alias("node"), (F.col("depth") + 1).alias("depth")))
+    reached = levels[0]
+    for more in levels[1:]:
+        reached = reached.unionByName(more)
+    met = reached.groupBy("tree").agg(F.count(F.lit(1)).alias("met"))
+    leaf = F.col("column_name").isNull()
+    facts = nodes.groupBy("tree").agg(
+        F.max("weight").alias("weight"), F.count(F.lit(1)).alias("held"), F.bool_or(F.col("node") == 0).alias("rooted"),
+        F.bool_and(F.col("n") >= models.LEAF).alias("leaf_size"), F.bool_and(leaf | (F.col("gain") >= 0)).alias("gains"),
+    )
+    sums = shared.groupBy("tree").agg(F.bool_and("fits").alias("fits"))
+    return facts.join(met, "tree").join(sums, "tree", "left").select(
+        "tree", "weight", "rooted", (F.col("met") == F.col("held")).alias("within_depth"), "leaf_size",
+        F.coalesce("fits", F.lit(True)).alias("rows_add_up"), "gains",
+    )
+
+
+@query("gbt_importance", "select unnest([" + ", ".join(f"'{c}'" for c in MODEL_COLUMNS) + "]) as column_name, 0.0::double as difference")
+def gbt_importance(t):
+    """Importances of all columns less those recomputed from the gains in the node table."""
+    fitted = _boosted(t)
+    told = t.spark.createDataFrame(models.importance(fitted), "column_name string, importance double")
+    found = models.importance_of(models.node_table(fitted)).withColumnRenamed("importance", "recomputed")
+    both = told.join(found, "column_name", "full").na.fill(0.0, ["importance", "recomputed"])
+    return both.select("column_name", _off("importance", "recomputed"))
+
+
+@query("risk_replay", _with(GOLD) + "select serial_number, feature_date, 0.0::double as difference, true as strongest from gold")
+def risk_replay(t):
+    """The risk surface of all rows follows from the node table: scores, and which two columns are shown."""
+    fitted, rows = _boosted(t), _matrix(t)
+    nodes = models.node_table(fitted)
+    filled = models.replay(nodes, prepare.impute(rows, fitted.fills)).select(*KEYS, "replayed", *MODEL_COLUMNS)
+    ranked = models.importance_of(nodes).orderBy(F.desc("importance"), "column_name").limit(2)
+    top = [r["column_name"] for r in ranked.collect()]
+    surface = models.risk_surface(fitted, rows, KEYS)
+    strongest = (
+        (F.col("feature_1") == top[0]) & (F.col("feature_2") == top[1])
+        & F.col("value_1").eqNullSafe(F.col(top[0])) & F.col("value_2").eqNullSafe(F.col(top[1]))
+    )
+    return surface.join(filled, list(KEYS)).select(*KEYS, _off("score", "replayed"), strongest.alias("strongest"))
+
+
+def _area(scored, label):
+    """The area under the curve by the library's own evaluator."""
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+
+    rows = scored.select(F.col("score"), F.col(label).cast("double").alias("label"))
+    return BinaryClassificationEvaluator(rawPredictionCol="score", labelCol="label", numBins=0).evaluate(rows)
+
+
+@query("comparison_check", "select unnest(['Logistic Regression', 'Gradient Boosting']) as model, 0.0::double as difference")
+def comparison_check(t):
+    """Areas of the model comparison less those of another evaluator."""
+    train, test = _split(t)
+    fitted = {"Logistic Regression": _fit_lr(train), "Gradient Boosting": _boosted(t)}
+    other = [(name, _area(models.score(f, test), LABEL)) for name, f in fitted.items()]
+    told = models.compare(fitted, test, LABEL)
+    return told.join(t.spark.createDataFrame(other, "model string, area double"), "model").select("model", _off("roc_auc", "area"))
+
+
+def _folds(t, rows):
+    return stage(prepare.stratified_folds(rows, LABEL, KEYS), "folds")
+
+
+@query("cv_rows", _with(GOLD, _SPLIT) + f"""select serial_number, feature_date, {LABEL}, 1::bigint as times, true as in_range
+from marked where not is_test""")
+def cv_rows(t):
+    """Every training row is scored once out of fold."""
+    scored = models.out_of_fold(_fit_lr, _folds(t, _split(t)[0]), LABEL, KEYS)
+    return scored.groupBy(*KEYS, LABEL).agg(F.count(F.lit(1)).alias("times"), F.bool_and(F.col("score").between(0.0, 1.0)).alias("in_range"))
+
+
+@query("cv_fold_areas", "select unnest(range(5))::int as fold, 0.0::double as difference")
+def cv_fold_areas(t):
+    """Areas of the folds less those of another evaluator on the same scores."""
+    scored = models.out_of_fold(_fit_lr, _folds(t, _split(t)[0]), LABEL)
+    other = [(i, _area(scored.where(F.col("fold") == i), LABEL)) for i in range(5)]
+    areas = models.fold_areas(scored, LABEL)
+    return areas.join(t.spark.createDataFrame(other, "fold int, area double"), "fold").select("fold", _off("roc_auc", "area"))
+
+
 def _cross_validated(t, name, rows, fit):
-    folded = stage(prepare.stratified_folds(rows, LABEL, KEYS), "folds")
-    found = models.cross_validate(fit, folded, LABEL)
+    found = models.cross_validate(fit, _folds(t, rows), LABEL)
     return t.spark.createDataFrame([(name, *found)], "model string, mean_auc double, sd_auc double")
 
 

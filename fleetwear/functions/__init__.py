@@ -3,6 +3,7 @@ from fleetwear.functions.columns import (
     model_line,
     narrow_int,
     newest_int,
+    newest_text,
     parse_ts,
     positive_zero,
     ratio,
@@ -18,6 +19,7 @@ __all__ = [
     "model_line",
     "narrow_int",
     "newest_int",
+    "newest_text",
     "parse_ts",
     "positive_zero",
     "ratio",

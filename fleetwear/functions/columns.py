@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Serial prefix of the second model line, and both line names.
@@ -97,3 +97,26 @@ def newest_int(at: Column, value: Column, keep_null: bool) -> Column:
     best = F.max(code if keep_null else F.when(value.isNotNull(), code))
     low = F.pmod(best, F.lit(_SPAN).cast("decimal(11,0)")).cast("long")
     return F.when(low > 0, low - F.lit((1 << 31) + 1)).cast("int")
+
+
+CODES = 1024  # distinct texts that get a code
+
+
+def codes(df: DataFrame, column: str, most: int = CODES) -> list[str] | None:
+    """The distinct texts of a column in byte order; None if there are more than ``most``. One pass over that column."""
+    found = df.select(column).where(F.col(column).isNotNull()).distinct().limit(most + 1).collect()
+    return None if len(found) > most else sorted((r[0] for r in found), key=lambda v: v.encode())
+
+
+def newest_text(df: DataFrame, at: Column, column: str, keep_null: bool) -> Column:
+    """Aggregate: the text at the newest ``at``, with the rules of ``latest_part``.
+
+    Texts travel as numbers in their order, so that the buffer has a fixed
+    width. A column of very many texts has no such table and is sorted instead.
+    """
+    known = codes(df, column)
+    if known is None:
+        return F.max(latest_part(at, F.col(column), keep_null))["value"]
+    table = F.array(*map(F.lit, known)).cast("array<string>")
+    place = F.array_position(table, F.col(column)).cast("int")  # null for null
+    return F.get(table, newest_int(at, place, keep_null) - 1)

@@ -6,6 +6,8 @@ counted per distinct value; ranks and curves come from running totals.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,18 +21,18 @@ COST_CHECK = 60
 LOWEST, HIGHEST, STEPS = 0.1, 0.9, 50
 
 
-def _ranked(df: DataFrame, score: str, label: str, descending: bool) -> DataFrame:
+def _ranked(df: DataFrame, score: str, label: str, descending: bool, by: Sequence[str] = ()) -> DataFrame:
     positive = F.coalesce(F.col(label) == 1, F.lit(False)).cast("long")
-    counts = value_counts(df, F.col(score), pos=positive, neg=F.lit(1) - positive)
-    return running_totals(counts, ["pos", "neg"], descending=descending)
+    counts = value_counts(df, F.col(score), by, pos=positive, neg=F.lit(1) - positive)
+    return running_totals(counts, ["pos", "neg"], by, descending=descending)
 
 
-def roc_auc(df: DataFrame, score: str, label: str) -> DataFrame:
-    """Probability that a positive outranks a negative; ties count half."""
-    ranked = _ranked(df, score, label, descending=False)
+def roc_auc(df: DataFrame, score: str, label: str, by: Sequence[str] = ()) -> DataFrame:
+    """Probability that a positive outranks a negative, per group of ``by``; ties count half."""
+    ranked = _ranked(df, score, label, False, by)
     below = (F.col("cum_neg") - F.col("neg")).cast("double")
     wins = F.sum(F.col("pos") * (below + F.col("neg") / F.lit(2.0)))
-    return ranked.agg(
+    return ranked.groupBy(*by).agg(
         F.try_divide(wins, F.max("all_pos").cast("double") * F.max("all_neg")).alias("roc_auc")
     )
 

@@ -10,18 +10,19 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from fleetwear.operators import prepare
 from fleetwear.operators.evaluate import ranking_summary, roc_auc
-from fleetwear.session import shared_folder
+from fleetwear.session import scratch_path, shared_folder, stage
 
 SEED = 42
 # Boosting rounds, depth, step, leaf size, row sample.
@@ -142,21 +143,93 @@ def gradient(fitted: Fitted, train: DataFrame, label: str) -> DataFrame:
     return sums.select(F.inline(F.array(*cells)))
 
 
-def cross_validate(fit, folded: DataFrame, label: str, k: int = 5) -> tuple[float, float]:
-    """(mean, population deviation) of the exact AUC over ``fold``.
+def out_of_fold(fit, folded: DataFrame, label: str, keys: Sequence[str] = (), k: int = 5) -> DataFrame:
+    """Rows (keys, label, fold, score), staged: one score a row, by a model that was fitted without its fold.
 
-    ``fit`` is called with the training rows of each fold, so preparation, class
-    weights and penalty come from those rows alone. Folds run side by side.
+    ``fit`` is called once a fold with the rows of the others, so preparation,
+    class weights and penalty too come from rows that the model scores none of.
+    Fits run side by side; all folds are scored in one job.
     """
-    def one(i: int) -> float:
-        fitted = fit(folded.where(F.col("fold") != i))
-        scored = score(fitted, folded.where(F.col("fold") == i))
-        return roc_auc(scored, "score", label).first()[0]
+    def one(i: int) -> DataFrame:
+        scored = score(fit(folded.where(F.col("fold") != i)), folded.where(F.col("fold") == i))
+        return scored.select(*keys, label, "fold", "score")
 
     with ThreadPoolExecutor(k) as pool:
-        areas = [a for a in pool.map(inheritable_thread_target(folded.sparkSession)(one), range(k)) if a is not None]
-    mean = sum(areas) / len(areas)
-    return mean, (sum((a - mean) ** 2 for a in areas) / len(areas)) ** 0.5
+        parts = list(pool.map(inheritable_thread_target(folded.sparkSession)(one), range(k)))
+    return stage(reduce(DataFrame.unionByName, parts), "out-of-fold")
+
+
+def fold_areas(scored: DataFrame, label: str) -> DataFrame:
+    """(fold, roc_auc) of the scores of ``out_of_fold``, all folds in one ranking; no area for a fold of one class."""
+    return roc_auc(scored, "score", label, by=["fold"])
+
+
+def cross_validate(fit, folded: DataFrame, label: str, k: int = 5) -> tuple[float, float]:
+    """(mean, population deviation) of the exact AUC over ``fold``, from the scores out of fold."""
+    areas = fold_areas(out_of_fold(fit, folded, label, k=k), label)
+    found = areas.agg(F.avg("roc_auc"), F.stddev_pop("roc_auc")).first()
+    return found[0], found[1]
+
+
+# ------------------------------------------------------- boosted trees as rows
+
+
+def node_table(fitted: Fitted) -> DataFrame:
+    """The trees as rows: tree, weight, node, column_name, threshold, left_node, right_node, prediction, gain, n.
+
+    A leaf has no column. Read back from the stored form of the model: at most
+    rounds x 2^(depth + 1) rows.
+    """
+    spark = SparkSession.active()
+    path = scratch_path(spark, "boosted")
+    fitted.model.write().save(path)
+    node, split = F.col("nodeData"), F.col("nodeData.split")
+    names = F.array(*map(F.lit, fitted.columns))
+    inner = split["featureIndex"] >= 0
+    rows = spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"), node["id"].alias("node"),
+        F.when(inner, F.get(names, split["featureIndex"])).alias("column_name"),
+        F.when(inner, F.get(split["leftCategoriesOrThreshold"], F.lit(0))).alias("threshold"),
+        F.when(inner, node["leftChild"]).alias("left_node"), F.when(inner, node["rightChild"]).alias("right_node"),
+        node["prediction"].alias("prediction"), F.when(inner, node["gain"]).alias("gain"), node["rawCount"].alias("n"),
+    )
+    weights = spark.createDataFrame(list(enumerate(map(float, fitted.model.treeWeights))), "tree int, weight double")
+    return rows.join(F.broadcast(weights), "tree")  # a row a round
+
+
+def _number(v: float) -> str:
+    return f"cast('{v!r}' as double)"
+
+
+def tree_sql(nodes: dict[int, Row], at: int = 0) -> str:
+    """One tree as a conditional expression over its columns."""
+    n = nodes[at]
+    if n["column_name"] is None:
+        return _number(n["prediction"])
+    left, right = (tree_sql(nodes, n[side]) for side in ("left_node", "right_node"))
+    return f"if(`{n['column_name']}` <= {_number(n['threshold'])}, {left}, {right})"
+
+
+def replay(nodes: DataFrame, filled: DataFrame, out: str = "replayed") -> DataFrame:
+    """Add the probability that the node table gives to rows with filled columns.
+
+    The trees become one expression; the model itself is not asked. The margin
+    is the weighted sum of the leaves, the probability its logistic of twice
+    the margin.
+    """
+    trees: dict[int, dict[int, Row]] = {}
+    for r in nodes.collect():  # bounded by rounds and depth
+        trees.setdefault(r["tree"], {})[r["node"]] = r
+    terms = [f"{_number(t[0]['weight'])} * {tree_sql(t)}" for _, t in sorted(trees.items())]
+    margin = F.expr(f"aggregate(array({', '.join(terms)}), cast(0 as double), (a, x) -> a + x)")
+    return filled.withColumn(out, 1 / (1 + F.exp(-2 * margin)))
+
+
+def importance_of(nodes: DataFrame) -> DataFrame:
+    """(column_name, importance) from the gains in the node table, weighted by the rows split; the sum is 1."""
+    gains = nodes.where(F.col("column_name").isNotNull()).groupBy("column_name").agg(F.sum(F.col("gain") * F.col("n")).alias("g"))
+    total = gains.agg(F.sum("g")).scalar()
+    return gains.select("column_name", (F.col("g") / total).alias("importance"))
 
 
 def importance(fitted: Fitted) -> list[tuple[str, float]]:

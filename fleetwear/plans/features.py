@@ -6,11 +6,17 @@ All of them are one plan:
    aggregation in the map tasks. Nothing after this depends on how many raw
    rows a device has, only on its number of days.
 2. The days are shuffled once by device; all later steps keep that layout.
-3. Each day is sent to the feature dates whose windows reach it, and summed per
-   (device, date) in a hash aggregation over numbers only. Besides, each day
-   keeps a row of its own for the values that are carried, not summed.
-4. One ordered pass per device carries the newest residuals, battery state and
-   service days to the feature dates, whatever the distance.
+3. A day enters a window at one feature date and leaves it at a later one. Both
+   become rows, a plus and a minus; besides, each day keeps a row of its own for
+   the values that are carried, not summed.
+4. One ordered pass per device makes running totals of the pluses and minuses,
+   and carries the newest residuals, battery state and service days along,
+   whatever the distance. The totals hold until the next row, so only then a row
+   is repeated for every feature date that it stands for: nothing before the
+   result grows with the length of the windows.
+
+Whole numbers are exact. Of other measures a running total can be off in the last
+bits; where a window holds no mission, its area is 0 all the same.
 """
 
 from __future__ import annotations
@@ -22,7 +28,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetwear.functions import latest_part, newest_int, ratio, whole_days
+from fleetwear.functions import latest_part, newest_int, newest_text, ratio, whole_days
 
 NEVER = 999  # fixed value: days since an event that never happened
 LONGEST = 90
@@ -96,7 +102,7 @@ def status_daily(status: DataFrame, keep_null: bool = True) -> DataFrame:
     return status.groupBy("serial_number", F.to_date("poll_ts").alias("day")).agg(
         ratio(F.sum(soc), F.count(soc)).alias("avg_battery_soc"),
         newest_int(at, F.col("battery_cycle_times"), keep_null).alias("battery_cycle_times"),
-        F.max(latest_part(at, F.col("battery_health"), keep_null))["value"].alias("battery_health"),
+        newest_text(status, at, "battery_health", keep_null).alias("battery_health"),
     )
 
 
@@ -104,7 +110,6 @@ def status_daily(status: DataFrame, keep_null: bool = True) -> DataFrame:
 
 # Which table a daily row comes from.
 MISSION, SERVICE, POLL = 1, 2, 3
-_CARRIED = (*_LATEST_USAGE, "battery_cycle_times", "battery_health")
 _DAY = dt.timedelta(days=1)
 
 
@@ -148,7 +153,7 @@ def _daily(inputs: Inputs, lo: dt.date, hi: dt.date, lookback: int | None, keep_
             {"kind": F.lit(POLL), "soc_n": F.col("avg_battery_soc").isNotNull().cast("int")}
         )
         rows = rows.unionByName(polls, allowMissingColumns=True)
-    # A fixed number: the fan-out multiplies what the adaptive coalescing sees.
+    # A fixed number: the rows grow again after the shuffle, which the adaptive coalescing does not see.
     spark = inputs.usage.sparkSession
     return rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "serial_number")
 
@@ -176,107 +181,119 @@ def _features(
     """
     daily = _daily(inputs, lo, hi, lookback, keep_null)
     daily = daily.withColumn("active", F.when(active, F.col("missions")))
-    rows = _fan_out(daily, lo, hi, step, near, ahead)
+    windows = _windows(inputs, near, ahead)
+    steps = _steps(daily, windows, lo, hi, step, near)
+    rows = _running(steps, windows, inputs, lo, hi, step, keep_null)
     if only is not None:
-        rows = rows.where(F.col("feature_date").isNull() | only("feature_date"))
-    sums = _windowed_sums(rows, inputs, near, ahead)
-    return _carry(sums, inputs, near, lookback, keep_null).select(*inputs.names())
+        rows = rows.where(only("feature_date"))
+    return _read_off(rows, inputs, lookback).select(*inputs.names())
 
 
-def _fan_out(daily: DataFrame, lo: dt.date, hi: dt.date, step: int, near: int, ahead: int) -> DataFrame:
-    """A row per day and feature date that sees it, and the day's own row.
+@dataclass(frozen=True)
+class _Span:
+    """A window: days of one kind from ``start`` to ``far`` days before the feature date, and what is summed in it."""
+
+    kind: int
+    start: int
+    far: int
+    parts: tuple[str, ...]
+
+    def total(self, part: str) -> str:
+        return f"_{part}_{self.start}_{self.far}"
+
+
+def _windows(inputs: Inputs, near: int, ahead: int) -> list[_Span]:
+    found = [
+        _Span(MISSION, near, WEEK, ("missions", "done_sum", "done_n")),
+        _Span(MISSION, near, RECENT, ("missions", "area", "done_sum", "done_n", "drop_sum", "drop_n")),
+        _Span(MISSION, near, LONGEST, ("missions", "area")),
+    ]
+    if ahead:
+        found.append(_Span(MISSION, -ahead, 0, ("active",)))
+    if inputs.maintenance is not None:
+        found += [
+            _Span(SERVICE, near, RECENT, ("services", "downtime")),
+            _Span(SERVICE, near, LONGEST, ("services", "failures", "corrective")),
+            _Span(SERVICE, -HORIZON, -1, ("failures",)),
+        ]
+    if inputs.status is not None:
+        found.append(_Span(POLL, near, WEEK, ("avg_battery_soc", "soc_n")))
+    return found
 
-    Own rows have no ``feature_date``; only they hold the carried values.
-    """
+
+def _steps(daily: DataFrame, windows: list[_Span], lo: dt.date, hi: dt.date, step: int, near: int) -> DataFrame:
+    """Rows (device, i, w, sign): window ``w`` gains or loses the day at the i-th feature date; w is null in own rows."""
     offset = F.date_diff(F.col("day"), F.lit(lo))
+    last_i = (hi - lo).days // step
     kind = F.col("kind")
-    earliest = F.when(kind == SERVICE, -HORIZON).when(kind == MISSION, -ahead if ahead else near)
-    latest = F.when(kind == POLL, WEEK).otherwise(LONGEST)
-    first = F.ceil((offset + earliest.otherwise(near)) / F.lit(step)).cast("int")
-    last = F.floor((offset + latest) / F.lit(step)).cast("int")
-    first = F.greatest(first, F.lit(0))
-    last = F.least(last, F.lit((hi - lo).days // step))
-    own = F.array(F.lit(None).cast("int"))
-    targets = F.when(first <= last, F.concat(own, F.sequence(first, last))).otherwise(own)
-    rows = daily.withColumn("_i", F.explode(targets))
-    rows = rows.withColumn("feature_date", F.date_add(F.lit(lo), F.col("_i") * step))
-    is_own = F.col("_i").isNull()
-    carried = [c for c in _CARRIED if c in daily.columns]
-    if "failures" in daily.columns:
-        rows = rows.withColumn("failed", F.when(is_own, F.col("failures") > 0))
-    return rows.withColumns(
-        {
-            "age": F.date_diff("feature_date", "day"),
-            "own_day": F.when(is_own, F.col("day")),
-            "own_kind": F.when(is_own, kind),
-            **{c: F.when(is_own, F.col(c)) for c in carried},
-        }
-    )
 
+    def index(days: int) -> Column:
+        return F.ceil((offset + days) / F.lit(step)).cast("int")
 
-def _windowed_sums(rows: DataFrame, inputs: Inputs, near: int, ahead: int) -> DataFrame:
-    """Sums per (device, feature date) over the windows; own rows stay apart."""
+    def at(w: int | None, sign: int, i: Column, when: Column) -> Column:
+        return F.when(when & (i <= last_i), F.struct(i.alias("i"), F.lit(w).cast("int").alias("w"), F.lit(sign).alias("sign")))
 
-    def total(part: str, far: int, start: int = near) -> Column:
-        return F.sum(F.when(F.col("age").between(start, far), F.col(part)))
+    cells = [at(None, 1, F.greatest(index(near), F.lit(0)), F.lit(True))]
+    for w, span in enumerate(windows):
+        first, gone = F.greatest(index(span.start), F.lit(0)), index(span.far + 1)
+        held = (kind == span.kind) & (first < gone)
+        cells += [at(w, 1, first, held), at(w, -1, gone, held)]
+    return daily.select("*", F.inline(F.array_compact(F.array(*cells))))
 
-    def count(part: str, far: int) -> Column:
-        return F.coalesce(total(part, far), F.lit(0)).cast("long")
-
-    def mean(part: str, n: str, far: int) -> Column:
-        return ratio(total(part, far), total(n, far))
 
-    seen = total("missions", LONGEST)
-    sums = {
-        "_seen": seen,
-        "_spine": total("active", 0, -ahead) if ahead else seen,
-        "missions_7d": count("missions", WEEK),
-        "missions_30d": count("missions", RECENT),
-        "area_30d": F.coalesce(total("area", RECENT), F.lit(0.0)),
-        "area_90d": F.coalesce(total("area", LONGEST), F.lit(0.0)),
-        "avg_completion_7d": mean("done_sum", "done_n", WEEK),
-        "avg_completion_30d": mean("done_sum", "done_n", RECENT),
-        "avg_battery_drop_30d": mean("drop_sum", "drop_n", RECENT),
+def _running(
+    steps: DataFrame, windows: list[_Span], inputs: Inputs, lo: dt.date, hi: dt.date, step: int, keep_null: bool
+) -> DataFrame:
+    """Totals of every window and the newest carried values, at each feature date of a device with missions."""
+    order = Window.partitionBy("serial_number").orderBy("i")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w, is_own = F.col("w"), F.col("w").isNull()
+    totals = {
+        span.total(part): F.coalesce(F.sum(F.when(w == n, F.col(part) * F.col("sign"))).over(so_far), F.lit(0))
+        for n, span in enumerate(windows)
+        for part in span.parts
     }
-    keys = ["own_day", "own_kind", *(c for c in (*_CARRIED, "failed") if c in rows.columns)]
-    if inputs.maintenance is not None:
-        sums |= {
-            "maint_count_30d": count("services", RECENT),
-            "maint_count_90d": count("services", LONGEST),
-            "downtime_30d": count("downtime", RECENT),
-            "failure_count_90d": count("failures", LONGEST),
-            "corrective_count_90d": count("corrective", LONGEST),
-            LABEL: (F.coalesce(total("failures", -1, -HORIZON), F.lit(0)) > 0).cast("int"),
-        }
-    if inputs.status is not None:
-        sums["avg_battery_soc_7d"] = mean("avg_battery_soc", "soc_n", WEEK)
-    # The carried values are keys, not aggregates: text in a buffer would turn
-    # the hash aggregation into a sort.
-    return rows.groupBy(*KEYS, *keys).agg(*[c.alias(name) for name, c in sums.items()])
-
-
-def _carry(rows: DataFrame, inputs: Inputs, near: int, lookback: int | None, keep_null: bool) -> DataFrame:
-    """Bring the newest own values to the feature dates after them."""
-    date, is_date = F.col("feature_date"), F.col("feature_date").isNotNull()
-    visible = F.coalesce(date, F.date_add("own_day", near))
-    so_far = Window.partitionBy("serial_number").orderBy(visible, is_date)
-    so_far = so_far.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
     def day_of(kind: int) -> Column:
-        return F.when(F.col("own_kind") == kind, F.col("own_day"))
+        return F.when(is_own & (F.col("kind") == kind), F.col("day"))
 
     def pair(kind: int, value: str) -> Column:
         return F.max(latest_part(day_of(kind), F.col(value), keep_null)).over(so_far)
 
-    carried = {name: pair(MISSION, name) for name in _LATEST_USAGE}
+    carried = {f"_{name}": pair(MISSION, name) for name in _LATEST_USAGE}
     if inputs.status is not None:
         carried["_cycles"] = pair(POLL, "battery_cycle_times")
         carried["_health"] = pair(POLL, "battery_health")
     if inputs.maintenance is not None:
-        service = day_of(SERVICE)
-        carried["_service"] = F.max(service).over(so_far)
-        carried["_failure"] = F.max(F.when(F.col("failed"), service)).over(so_far)
-    rows = rows.withColumns(carried)
+        carried["_service"] = F.max(day_of(SERVICE)).over(so_far)
+        carried["_failure"] = F.max(F.when(F.col("failures") > 0, day_of(SERVICE))).over(so_far)
+    rows = steps.select(
+        "serial_number", "i", F.lead("i").over(order).alias("next"),
+        *[c.alias(name) for name, c in (totals | carried).items()],
+    )
+    until = F.coalesce(F.col("next") - 1, F.lit((hi - lo).days // step))
+    seen = [F.col(x.total(p)) > 0 for x in windows for p in x.parts if p == "active" or p == "missions" and x.far == LONGEST]
+    # The last row of an index has all of its pluses and minuses.
+    rows = rows.where((F.col("i") <= until) & seen[0] & seen[-1])
+    rows = rows.withColumn("i", F.explode(F.sequence(F.col("i"), until)))
+    return rows.withColumn("feature_date", F.date_add(F.lit(lo), F.col("i") * step))
+
+
+def _read_off(rows: DataFrame, inputs: Inputs, lookback: int | None) -> DataFrame:
+    """The features of a date from its totals and carried values."""
+    date = F.col("feature_date")
+
+    def total(part: str, far: int) -> Column:
+        return F.col(next(c for c in rows.columns if c.startswith(f"_{part}_") and c.endswith(f"_{far}")))
+
+    def count(part: str, far: int) -> Column:
+        return total(part, far).cast("long")
+
+    def area(far: int) -> Column:
+        return F.when(total("missions", far) > 0, total("area", far)).otherwise(0.0)
+
+    def mean(part: str, n: str, far: int) -> Column:
+        return ratio(total(part, far), total(n, far))
 
     def within(name: str, far: int) -> Column:
         at = F.col(name)["at"]
@@ -288,14 +305,34 @@ def _carry(rows: DataFrame, inputs: Inputs, near: int, lookback: int | None, kee
             days = F.when(days <= lookback, days)
         return F.coalesce(days, F.lit(NEVER))
 
-    found = {name: within(name, LONGEST) for name in _LATEST_USAGE}
-    if inputs.status is not None:
-        found["battery_cycle_times_last"] = within("_cycles", WEEK)
-        found["battery_health_last"] = within("_health", WEEK)
+    found = {
+        **{name: within(f"_{name}", LONGEST) for name in _LATEST_USAGE},
+        "missions_7d": count("missions", WEEK),
+        "missions_30d": count("missions", RECENT),
+        "area_30d": area(RECENT),
+        "area_90d": area(LONGEST),
+        "avg_completion_7d": mean("done_sum", "done_n", WEEK),
+        "avg_completion_30d": mean("done_sum", "done_n", RECENT),
+        "avg_battery_drop_30d": mean("drop_sum", "drop_n", RECENT),
+    }
     if inputs.maintenance is not None:
-        found["days_since_last_maintenance"] = age("_service")
-        found["days_since_last_failure"] = age("_failure")
-    return rows.where(is_date & (F.col("_seen") > 0) & (F.col("_spine") > 0)).withColumns(found)
+        found |= {
+            "days_since_last_maintenance": age("_service"),
+            "days_since_last_failure": age("_failure"),
+            "maint_count_30d": count("services", RECENT),
+            "maint_count_90d": count("services", LONGEST),
+            "downtime_30d": count("downtime", RECENT),
+            "failure_count_90d": count("failures", LONGEST),
+            "corrective_count_90d": count("corrective", LONGEST),
+            LABEL: (total("failures", -1) > 0).cast("int"),
+        }
+    if inputs.status is not None:
+        found |= {
+            "battery_cycle_times_last": within("_cycles", WEEK),
+            "battery_health_last": within("_health", WEEK),
+            "avg_battery_soc_7d": mean("avg_battery_soc", "soc_n", WEEK),
+        }
+    return rows.withColumns(found)
 
 
 # ------------------------------------------------------------ entry points

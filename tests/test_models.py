@@ -74,3 +74,49 @@ def test_gradient_vanishes_only_at_the_optimum(split):
     assert all(abs(r.gradient) < 1e-6 for r in models.gradient(model, train, "label").collect())
     other = models.gradient(model, train.where("x1 < 0.8"), "label").collect()
     assert any(abs(r.gradient) > 1e-3 for r in other)
+
+
+def test_scores_out_of_fold_come_from_models_that_have_not_seen_the_rows(matrix):
+    folded = prepare.stratified_folds(matrix, "label", ["id"], k=3).cache()
+    fits = []
+
+    def fit(rows):
+        fits.append({r["id"] for r in rows.select("id").collect()})
+        return models.fit_lr(rows, COLS, "label")
+
+    scored = models.out_of_fold(fit, folded, "label", ["id"], k=3).collect()
+    assert sorted(r["id"] for r in scored) == list(range(2000))
+    every = set(range(2000))
+    held = {i: {r["id"] for r in scored if r["fold"] == i} for i in range(3)}
+    assert sorted(map(sorted, fits)) == sorted(sorted(every - h) for h in held.values())
+
+
+def test_fold_areas_equal_those_one_by_one(spark, matrix):
+    rows = matrix.select("id", "label", F.round("x1", 1).alias("score"), (F.col("id") % 4).cast("int").alias("fold"))
+    found = {r["fold"]: r["roc_auc"] for r in models.fold_areas(rows, "label").collect()}
+    for i in range(4):
+        assert found[i] == pytest.approx(roc_auc(rows.where(F.col("fold") == i), "score", "label").first()[0])
+    one_class = rows.where("fold > 0 or label = 1")
+    assert {r["fold"]: r["roc_auc"] for r in models.fold_areas(one_class, "label").collect()}[0] is None
+
+
+def test_replay_follows_the_node_table(split):
+    train, test = split
+    fitted = models.fit_gbt(train, COLS, "label", rounds=7)
+    nodes = models.node_table(fitted)
+    scored = models.score(fitted, test).cache()
+
+    def off(table):
+        return models.replay(table, scored).agg(F.max(F.abs(F.col("score") - F.col("replayed")))).first()[0]
+
+    assert off(nodes) < 1e-12
+    # One leaf of one tree changed a little, or one threshold, is seen.
+    leaf = nodes.where("tree = 3 and column_name is null").agg(F.min("node")).first()[0]
+    changed = nodes.withColumn("prediction", F.when((F.col("tree") == 3) & (F.col("node") == leaf), F.col("prediction") + 0.01).otherwise(F.col("prediction")))
+    assert off(changed) > 1e-6
+    moved = nodes.withColumn("threshold", F.when((F.col("tree") == 0) & (F.col("node") == 0), F.col("threshold") * 0.8).otherwise(F.col("threshold")))
+    assert off(moved) > 1e-6
+    told = dict(models.importance(fitted))
+    found = {r["column_name"]: r["importance"] for r in models.importance_of(nodes).collect()}
+    assert all(found.get(c, 0.0) == pytest.approx(told[c], abs=1e-12) for c in COLS)
+    assert {c for c, v in told.items() if v} == set(found)
