@@ -5,9 +5,9 @@ the words of a text become ids, and a trie over the ids holds the counts: the
 first word leads to a hash container, which bursts into one container for each
 second word when it grows too large. When the trie holds too much, subtrees are
 spilled whole, as runs sorted by their words: those whose phrases have recurred
-least, as they gain least from staying. Runs are staged in the shared folder, dealt out by ranges of (language, phrase), which are ranges of
-prefixes, and merged there: a prefix with very many phrases lies across several
-ranges, and one that is in every run has one row a run.
+least, as they gain least from staying. Runs are dealt out by prefix and added up
+there. A first word is 64 prefixes, told apart by its other words, so a frequent
+one is spread over partitions; a phrase that is in every run has one row a run.
 
 A phrase can be frequent only if the phrases in it are. The frequent phrases of
 a level are written into a bitmap of ``BITS`` bits (16 MB, whatever the corpus),
@@ -226,6 +226,11 @@ class Language:
         else:
             first, rest, counts = self.trie.take(self.trie.coldest(share))
             ids = [first, rest] if size == 2 else [first, rest >> 32, rest & 0xFFFFFFFF]
+        # The first word, and which of its 64 parts the others belong to.
+        prefix = self.hashes[ids[0]] << np.uint64(6)
+        for other in ids[1:]:
+            prefix ^= self.hashes[other] & np.uint64(63)
+        prefix = prefix.astype(np.int32)
         used = np.unique(np.concatenate(ids))
         words = pa.array([self.words[i] for i in used.tolist()], pa.binary())
         order = pc.array_sort_indices(words)
@@ -239,7 +244,8 @@ class Language:
             run = [words.take(pa.array(i[part])) for i in ids]
             phrase = pc.binary_join_element_wise(*run, pa.scalar(b" ", pa.binary())) if size > 1 else run[0]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([self.name] * len(part)), phrase.cast(pa.string()), pa.array(counts[part])], ["lang", "phrase", "n"]
+                [pa.array([self.name] * len(part)), pa.array(prefix[part]), phrase.cast(pa.string()), pa.array(counts[part])],
+                ["lang", "prefix", "phrase", "n"],
             )
 
 
@@ -266,7 +272,7 @@ def chunks(data: bytes, size: int) -> Iterator[bytes]:
 
 
 def runs(df: DataFrame, size: int, bitmap: bytes | None) -> DataFrame:
-    """Rows (lang, phrase, n): counts of phrases of ``size`` words, in sorted runs of the tasks' tries."""
+    """Rows (lang, prefix, phrase, n): counts of phrases of ``size`` words, in sorted runs of the tasks' tries."""
     spark = df.sparkSession
     python_workers(spark)
     sent = None if bitmap is None else spark.sparkContext.broadcast(bitmap)  # BITS / 8 bytes
@@ -294,13 +300,13 @@ def runs(df: DataFrame, size: int, bitmap: bytes | None) -> DataFrame:
         for language in languages.values():
             yield from language.spill(1, size)
 
-    return df.mapInArrow(count, "lang string, phrase string, n long")
+    return df.mapInArrow(count, "lang string, prefix int, phrase string, n long")
 
 
-def merged(staged: DataFrame) -> DataFrame:
-    """The runs added up, each range of prefixes in a partition of its own."""
-    dealt = staged.repartitionByRange("lang", "phrase")
-    return dealt.groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
+def merged(spilled: DataFrame) -> DataFrame:
+    """The runs added up, all of a prefix in one partition; a first word is 64 prefixes, so a frequent one is spread."""
+    dealt = spilled.repartition("lang", "prefix")
+    return dealt.groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("n")).select("lang", "phrase", "n")
 
 
 def bitmap_of(frequent: DataFrame) -> bytes:
@@ -322,11 +328,14 @@ def counted(df: DataFrame, least: int = LEAST, longest: int = 3, by: str | None
     levels: list[DataFrame] = []
     totals, bitmap = None, None
     for size in range(1, longest + 1):
-        spilled = stage(runs(rows, size, bitmap), f"phrases-runs-{size}")
-        if totals is None:
-            totals = stage(spilled.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
-        levels.append(stage(merged(spilled).where(F.col("n") >= least), f"phrases-{size}"))
-        release(spilled)
+        found = merged(runs(rows, size, bitmap))
+        if size == 1:
+            words = stage(found, "phrases-words")
+            totals = stage(words.groupBy("lang").agg(F.sum("n").alias("n")), "phrases-totals")
+            levels.append(stage(words.where(F.col("n") >= least), "phrases-1"))
+            release(words)
+        else:
+            levels.append(stage(found.where(F.col("n") >= least), f"phrases-{size}"))
         if size < longest:
             bitmap = bitmap_of(levels[-1])
     return levels, totals
