@@ -199,6 +199,24 @@ def downtime_box(t):
     return distribution.box_summary(stopped, F.col("downtime_minutes"), "severity")
 
 
+@query(
+    "downtime_box_unknown",
+    _with(MAINTENANCE, """known as (select nullif(severity, 'low') as severity, downtime_minutes from maint where downtime_minutes > 0)""",
+          """q as (select severity, count(*) as n, quantile_cont(downtime_minutes, 0.25) as q1,
+    quantile_cont(downtime_minutes, 0.5) as median, quantile_cont(downtime_minutes, 0.75) as q3 from known group by 1)""")
+    + """select q.severity, n, q1, median, q3,
+  least(min(downtime_minutes)::double, any_value(q1)) as whisker_lo,
+  greatest(max(downtime_minutes)::double, any_value(q3)) as whisker_hi
+from q join known k on k.severity is not distinct from q.severity
+where downtime_minutes between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1)
+group by q.severity, n, q1, median, q3""",
+)
+def downtime_box_unknown(t):
+    """Events of unknown severity are a group of their own."""
+    stopped = maintenance(t).where("downtime_minutes > 0").withColumn("severity", F.nullif("severity", F.lit("low")))
+    return distribution.box_summary(stopped, F.col("downtime_minutes"), "severity")
+
+
 # ---------------------------------------------------------------- missions
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fleetwear.catalog.features import WEEKLY_SQL, all_inputs, rounded
 from fleetwear.catalog.registry import query
-from fleetwear.catalog.roles import FIRST, LAST, SCORED, scored
+from fleetwear.catalog.roles import FIRST, LAST, SCORED, maintenance, scored
 from fleetwear.operators import evaluate, models, prepare, profile
 from fleetwear.operators.correlation import corr_matrix, corr_target
 from fleetwear.plans.features import (
@@ -212,6 +212,43 @@ def best_threshold(t):
     return evaluate.best_threshold(evaluate.threshold_sweep(scored(t), "score", "label"))
 
 
+_DATED = """dated as (select event_id, value / (value + 50.0) as score, (event_type = 'error')::int as label,
+    dense_rank() over (order by ts::date desc) as back from events)"""
+
+
+_ON_VALID = _SWEEP.replace(SCORED, f"{_DATED},\nscored as (select * from dated where back between 5 and 8)").rstrip()
+
+
+@query("threshold_holdout", _ON_VALID + """,
+best as (select threshold, net_saving from sweep order by net_saving desc, threshold limit 1),
+cells as (select threshold, best.net_saving as valid_saving, count(*) filter (where score >= threshold and label = 1) as tp,
+  count(*) filter (where score >= threshold and label = 0) as fp, count(*) filter (where score < threshold and label = 1) as fn,
+  count(*) filter (where score < threshold and label = 0) as tn from dated, best where back <= 4 group by all)
+select *, tp * 239 - fp * 60 - fn * 239 as net_saving, (tp * 239 - fp * 60 - fn * 239) / 60::double as net_h from cells""")
+def threshold_holdout(t):
+    """Chosen on four days, judged on the four after them."""
+    rows = scored(t).join(t.events.select("event_id", F.to_date("ts").alias("day")), "event_id")
+    parts = prepare.three_way_split(rows, "day")
+    return evaluate.held_out_threshold(parts.where("part = 'valid'"), parts.where("part = 'test'"), "score", "label")
+
+
+@query("label_frontier", _with(GOLD) + f"""select serial_number, feature_date, {LABEL}, feature_date + 30 <= reached as label_complete
+from gold, (select max(l_shipdate::date) as reached from lineitem where l_returnflag = 'R')""")
+def label_frontier(t):
+    reached = prepare.frontier(maintenance(t), "completed_at")
+    return prepare.with_label_complete(gold(t), reached).select(*KEYS, LABEL, "label_complete")
+
+
+@query("complete_split", _with(GOLD, """known as (
+  select g.* from gold g, (select max(l_shipdate::date) as reached from lineitem where l_returnflag = 'R') where feature_date + 30 <= reached)""",
+  """cut as (select min(d) as cutoff from (select distinct feature_date as d from known order by d desc limit 4))""")
+  + f"select serial_number, feature_date, {LABEL}, feature_date >= cutoff as is_test from known, cut")
+def complete_split(t):
+    """Training and test rows when labels that are not decided yet are left out of both."""
+    rows = prepare.with_label_complete(gold(t), prepare.frontier(maintenance(t), "completed_at"))
+    return prepare.with_split(rows.where("label_complete")).select(*KEYS, LABEL, "is_test")
+
+
 # ------------------------------------------------------------- classifiers
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,7 +18,7 @@ from fleetwear.catalog.roles import Tables
 from fleetwear.operators.dedup import dedup
 from fleetwear.plans.silver import MAINTENANCE, MISSIONS, STATUS, silver
 from fleetwear.session import scratch_path
-from fleetwear.sinks import merge_partitions, table_report, write_partitions
+from fleetwear.sinks import merge_partitions, report, table_report, write_partitions, write_reported
 from fleetwear.sources import (
     date_window,
     read_envelope,
@@ -390,9 +390,34 @@ def sink_merge_moved(t):
     return _totals(read_window(t.spark, path, _STORED))
 
 
-@query("load_report", f"""select 'missions' as table_name, count(*) as rows,
-  count(distinct {_MONTH}) as partitions from lineitem""")
+_REPORT = f"""tables as (
+  select 1 as place, 'missions' as table_name, count(*) as rows, count(distinct {_MONTH}) as partitions from lineitem
+  union all select 2, 'polls', count(*), count(distinct ts::date) from events),
+lines as (select * from tables union all select 3, 'total', sum(rows)::bigint, sum(partitions)::bigint from tables)"""
+
+
+@query("load_report", f"""with {_REPORT}
+select table_name, rows, partitions, partitions as files, true as bytes_as_stored from lines""")
 def load_report(t):
-    path = scratch_path(t.spark, "table")
-    write_partitions(_stored(t), path)
-    return table_report(t.spark, path, name="missions").select("table_name", "rows", "partitions")
+    """What two writes put down, told by the writes; the bytes are those that a scan of the tables finds."""
+    paths = {name: scratch_path(t.spark, "table") for name in ("missions", "polls")}
+    rows = {"missions": _stored(t), "polls": t.events.withColumn("dt", F.to_date("ts"))}
+    told = report(t.spark, {name: write_reported(df, paths[name], order=df.columns[:1]) for name, df in rows.items()})
+    found = [table_report(t.spark, path, name=name) for name, path in paths.items()]
+    stored = found[0].unionByName(found[1]).rollup("table_name").agg(F.sum("bytes").alias("stored"))
+    stored = stored.na.fill("total", ["table_name"])
+    return told.join(stored, "table_name").select(
+        "table_name", "rows", "partitions", "files", (F.col("bytes") == F.col("stored")).alias("bytes_as_stored")
+    )
+
+
+@query("lines_dropped", "select count(*) * 2 as lines, count(*) as dropped, count(*) as kept from events")
+def lines_dropped(t):
+    """Every line stands there whole and cut short; the scan counts both."""
+    path = scratch_path(t.spark, "lines")
+    records = status_records(t)
+    line = F.to_json(F.struct(*records.columns))
+    records.select(F.explode(F.array(line, F.left(line, F.lit(10)))).alias("value")).write.text(path)
+    seen = Observation()
+    kept = read_jsonl(t.spark, path, schemas.STATUS_RECORD, dropped=seen).agg(F.count("serialNumber")).first()[0]
+    return t.spark.createDataFrame([(seen.get["lines"], seen.get["dropped"], kept)], "lines bigint, dropped bigint, kept bigint")

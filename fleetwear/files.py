@@ -25,6 +25,12 @@ class Folder:
             return []
         return sorted(s.getPath().getName() for s in self.fs.listStatus(path))
 
+    def sizes(self, name: str) -> list[int]:
+        """Bytes of the data files of a folder."""
+        path = self.path(name)
+        found = self.fs.listStatus(path) if self.fs.exists(path) else []
+        return [s.getLen() for s in found if not s.getPath().getName().startswith(("_", "."))]
+
     def exists(self, name: str) -> bool:
         return self.fs.exists(self.path(name))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetwear.functions import ratio
-from fleetwear.operators.ordered import quantiles, value_counts
+from fleetwear.operators.ordered import beside_quantiles, quantiles, value_counts
 
 WHISKER = 1.5  # fixed value: whisker reach in interquartile ranges
 
@@ -90,17 +90,12 @@ def _binned(rows: DataFrame, groups: Sequence[str], bins: int) -> DataFrame:
 
 def box_summary(df: DataFrame, value: Column, by: str) -> DataFrame:
     """Quartiles, and the extreme values within 1.5 IQR of them, per group."""
-    counts = value_counts(df, value, [by])
-    points = quantiles(
-        counts, [0.25, 0.5, 0.75], ["q1", "median", "q3"], [by], n_values=F.max("all_n")
-    )
+    rows = beside_quantiles(value_counts(df, value, [by]), [0.25, 0.5, 0.75], ["q1", "median", "q3"], [by])
     reach = (F.col("q3") - F.col("q1")) * WHISKER
     inside = F.col("value").between(F.col("q1") - reach, F.col("q3") + reach)
     seen = F.when(inside, F.col("value")).cast("double")
-    ends = (
-        counts.join(points, by)
-        .groupBy(by, "n_values", "q1", "median", "q3")
-        .agg(F.min(seen).alias("lo"), F.max(seen).alias("hi"))
+    ends = rows.groupBy(by, F.col("all_n").alias("n_values"), "q1", "median", "q3").agg(
+        F.min(seen).alias("lo"), F.max(seen).alias("hi")
     )
     return ends.select(
         by,

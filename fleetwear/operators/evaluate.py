@@ -239,3 +239,26 @@ def best_threshold(
         hours(F.col("fn") * cost_miss).alias("missed_h"),
         hours(F.col("net_saving")).alias("net_h"),
     )
+
+
+def held_out_threshold(
+    valid: DataFrame, test: DataFrame, score: str, label: str, cost_miss: int = COST_MISS, cost_check: int = COST_CHECK
+) -> DataFrame:
+    """The best threshold of ``valid``, what it saves there (``valid_saving``), and what it does on ``test``."""
+    chosen = threshold_sweep(valid, score, label, cost_miss=cost_miss, cost_check=cost_check)
+    best = best_threshold(chosen, cost_miss, cost_check).agg(
+        F.struct(F.first("threshold").alias("threshold"), F.first("net_saving").alias("net_saving"))
+    ).scalar()
+    flagged, failed = F.col(score) >= best["threshold"], F.col(label) == 1
+
+    def n(c: Column) -> Column:
+        return F.count_if(c)
+
+    cells = test.where(F.col(score).isNotNull()).agg(
+        n(flagged & failed).alias("tp"), n(flagged & ~failed).alias("fp"), n(~flagged & failed).alias("fn"), n(~flagged & ~failed).alias("tn")
+    )
+    saved = F.col("tp") * cost_miss - F.col("fp") * cost_check - F.col("fn") * cost_miss
+    return cells.select(
+        best["threshold"].alias("threshold"), best["net_saving"].alias("valid_saving"), "tp", "fp", "fn", "tn",
+        saved.alias("net_saving"), (saved / F.lit(60.0)).alias("net_h"),
+    )

@@ -29,8 +29,9 @@ def running_totals(
     by: Sequence[str] = (),
     descending: bool = False,
     buckets: int = BUCKETS,
+    keep_piece: bool = False,
 ) -> DataFrame:
-    """Add ``cum_<m>`` (sums up to and including the row) and ``all_<m>``.
+    """Add ``cum_<m>`` (sums up to and including the row) and ``all_<m>``; with ``keep_piece`` also ``_piece``.
 
     ``counts`` has one row per (by, value). A single ordered window would sort
     everything in one task, so the value range is cut at approximate quantiles
@@ -73,15 +74,16 @@ def running_totals(
     inside = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     totals = rows.select("*", *[F.sum(m).over(inside).alias(f"_cum_{m}") for m in measures])
     keys = [*by, "_piece"]
-    joined = _null_safe_join(totals, offsets, keys)
+    joined = null_safe_join(totals, offsets, keys)
     return joined.select(
         *counts.columns,
+        *(["_piece"] if keep_piece else []),
         *[(F.col(f"_cum_{m}") + F.col(f"_off_{m}")).alias(f"cum_{m}") for m in measures],
         *[F.col(f"all_{m}") for m in measures],
     )
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     right = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
     same = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
     return left.join(right, same)
@@ -101,23 +103,49 @@ def quantiles(
     are further aggregates over ``value`` and ``n``.
     """
     ranked = running_totals(counts, ["n"], by)
+    bounds = ranked.groupBy(*by).agg(*_bounds(points, names), *[c.alias(name) for name, c in others.items()])
+    return bounds.select(*by, *_between(points, names), *others)
+
+
+def _bounds(points: Sequence[float], names: Sequence[str]) -> list[Column]:
+    """Aggregates over ranked values: the row count and the neighbours of each quantile."""
     rank = [(F.col("all_n") - 1) * F.lit(p) for p in points]
 
     def value_at(position: Column) -> Column:
         # Smallest value whose running count exceeds the 0-based position.
         return F.min(F.when(F.col("cum_n") > position, F.col("value")))
 
-    bounds = ranked.groupBy(*by).agg(
+    return [
         F.max("all_n").alias("_n"),
         *[value_at(F.floor(r)).alias(f"_lo_{n}") for r, n in zip(rank, names, strict=True)],
         *[value_at(F.ceil(r)).alias(f"_hi_{n}") for r, n in zip(rank, names, strict=True)],
-        *[c.alias(name) for name, c in others.items()],
-    )
+    ]
 
+
+def _between(points: Sequence[float], names: Sequence[str]) -> list[Column]:
     def between(name: str, p: float) -> Column:
         exact = (F.col("_n") - 1) * F.lit(p)
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         return (lo + (hi - lo) * (exact - F.floor(exact))).cast("double").alias(name)
 
-    found = [between(n, p) for n, p in zip(names, points, strict=True)]
-    return bounds.select(*by, *found, *others)
+    return [between(n, p) for n, p in zip(names, points, strict=True)]
+
+
+def beside_quantiles(
+    counts: DataFrame, points: Sequence[float], names: Sequence[str], by: Sequence[str]
+) -> DataFrame:
+    """``counts`` with its group's exact quantiles and ``all_n`` beside every value.
+
+    The quantiles are found from the pieces of a group (at most ``BUCKETS``
+    rows) and come back to the values by group and piece, so that a group with
+    very many values is not gathered for it. A null group is a group.
+    """
+    ranked = running_totals(counts, ["n"], by, keep_piece=True)
+    columns = _bounds(points, names)
+    each = ranked.groupBy(*by, "_piece").agg(*columns)
+    whole = Window.partitionBy(*by)
+    made = [c for c in each.columns if c not in (*by, "_piece")]
+    each = each.select(*by, "_piece", *[(F.max(c) if c == "_n" else F.min(c)).over(whole).alias(c) for c in made])
+    each = each.select(*by, "_piece", *_between(points, names))
+    joined = null_safe_join(ranked, each, [*by, "_piece"])
+    return joined.select(*counts.columns, "all_n", *names)

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetwear.operators.distribution import medians
 from fleetwear.operators.ordered import running_totals
+from fleetwear.plans.features import HORIZON
 
 FULL = 100.0  # fixed value: residual of a part nothing is known about
 AGING = "AGING"
@@ -38,6 +39,35 @@ def temporal_split(
     return marked.where(~F.col("is_test")).drop("is_test"), marked.where("is_test").drop("is_test")
 
 
+def three_way_split(
+    df: DataFrame, date: str = "feature_date", valid: int = LAST_DATES, test: int = LAST_DATES
+) -> DataFrame:
+    """Add ``part``: the ``test`` most recent dates are ``test``, the ``valid`` before them ``valid``, the rest ``train``.
+
+    A threshold chosen on ``valid`` has not seen the rows that it is judged by.
+    """
+    newest = df.select(date).distinct().orderBy(F.desc(date)).limit(valid + test)
+    order = newest.agg(F.sort_array(F.collect_list(date), asc=False)).scalar()  # that many dates at most
+    first_test = F.get(order, F.least(F.lit(test), F.size(order)) - 1)
+    first_valid = F.get(order, F.size(order) - 1)
+    part = F.when(F.col(date) >= first_test, "test") if test else F.when(F.lit(False), "test")
+    return df.withColumn("part", part.when(F.col(date) >= first_valid, "valid").otherwise("train") if valid else part.otherwise("train"))
+
+
+def frontier(df: DataFrame, at: str) -> Column:
+    """The newest date a source has reached, as one scalar."""
+    return df.agg(F.max(F.to_date(at))).scalar()
+
+
+def with_label_complete(features: DataFrame, reached: Column, date: str = "feature_date", horizon: int = HORIZON) -> DataFrame:
+    """Add ``label_complete``: all days that the label looks at are loaded.
+
+    Later rows have a label of 0 that may only mean that the failure is not
+    known yet; they can be scored, but are left out of training and test.
+    """
+    return features.withColumn("label_complete", F.coalesce(F.date_add(date, horizon) <= reached, F.lit(False)))
+
+
 def fit_medians(train: DataFrame, cols: Sequence[str]) -> dict[str, float]:
     """Exact median per column; 0 for a column without any value."""
     found = {r["column_name"]: r["median"] for r in medians(train, cols).collect()}

@@ -19,7 +19,7 @@ from fleetwear.plans.features import LONGEST, Inputs, features_range
 from fleetwear.plans.silver import SilverTable, silver
 from fleetwear.plans.spans import Span, clipped, merged, of_dates, reach, shifted, stale
 from fleetwear.session import release, stage
-from fleetwear.sinks import merge_changes, recover, replace_partitions
+from fleetwear.sinks import drop_partitions, merge_changes, recover, replace_partitions
 from fleetwear.sources import (
     listing,
     partition_dates,
@@ -96,7 +96,9 @@ class Loaded(dict):
         self.changed: dict[str, set[dt.date]] = {}
 
 
-def run_silver(spark: SparkSession, layout: Layout, lo: dt.date, hi: dt.date | None = None) -> Loaded:
+def run_silver(
+    spark: SparkSession, layout: Layout, lo: dt.date, hi: dt.date | None = None, empties: bool = False
+) -> Loaded:
     """Load the dates ``lo..hi`` of all datasets; rows merged per table.
 
     Every load date is deduplicated by itself and a range gives the same rows as
@@ -105,23 +107,35 @@ def run_silver(spark: SparkSession, layout: Layout, lo: dt.date, hi: dt.date | N
     noted in the ledger once the rows are in place; which dates change is noted
     before they do, for ``refresh_gold``, so that a run lost in between leaves
     no stale features behind.
+
+    With ``empties`` a load date whose files hold no usable row is an answer
+    too: the date has no rows, its partition goes, whichever load it came with.
     """
     loaded = Loaded()
     # As listed before reading: what arrives meanwhile is still missing afterwards.
     found = stage(bronze_listing(spark, layout, lo, hi or lo), "bronze-listing")
     for table in tables.TABLES:
         raw = read_load_dates(spark, _reader(spark, table), layout.raw(table.name), lo, hi or lo, [LOAD_DATE])
-        if table.required:
+        if table.required and not (empties and raw is not None):
             raw = require_rows(raw, table.name)
         if raw is None:
             loaded[table.name], loaded.changed[table.name] = 0, set()
             continue
         keys = layout.keys.get(table.name, table.keys)
+        rows, announce = silver(raw, table, keys, [LOAD_DATE]), partial(note_changes, spark, layout, table.name)
         loaded[table.name], loaded.changed[table.name] = merge_changes(
-            silver(raw, table, keys, [LOAD_DATE]), layout.table(table.name), table.schema, keys,
-            table.order(), sort=table.sort, lasting=table.name in layout.lasting,
-            announce=partial(note_changes, spark, layout, table.name),
+            rows, layout.table(table.name), table.schema, keys,
+            table.order(), sort=table.sort, lasting=table.name in layout.lasting, announce=announce,
         )
+        if empties:
+            named = found.where(F.col("dataset") == table.name).select(LOAD_DATE)
+            filled = rows.select(F.col("dt").alias(LOAD_DATE)).distinct()
+            gone = {r[0] for r in named.join(filled, LOAD_DATE, "left_anti").collect()}  # bounded by the calendar
+            gone &= set(partition_dates(spark, layout.table(table.name)))
+            if gone:
+                announce(gone)
+                drop_partitions(spark, layout.table(table.name), gone)
+                loaded.changed[table.name] |= gone
     note_loads(found, layout)
     release(found)
     return loaded

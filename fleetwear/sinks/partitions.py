@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fleetwear.files import Folder
 from fleetwear.operators.dedup import dedup
-from fleetwear.sinks.journal import recover, swap_partitions
+from fleetwear.sinks.journal import folder_name, recover, swap_partitions
 from fleetwear.sources.tables import among, read_partitions, read_window
 
 
@@ -19,8 +21,9 @@ def write_partitions(
     key: str = "dt",
     mode: str = "dynamic",
     order: Sequence[str] = (),
+    seen: Observation | None = None,
 ) -> None:
-    """Write ``df`` partitioned by ``key``.
+    """Write ``df`` partitioned by ``key``; ``seen`` gets ``rows`` and ``values`` (of the key) as they are written.
 
     ``dynamic`` replaces only the partitions present in ``df`` (none if it is
     empty); ``rebuild`` replaces the table. The adaptive rebalance packs a small
@@ -31,10 +34,12 @@ def write_partitions(
     overwrite = "dynamic" if mode == "dynamic" else "static"
     adaptive = df.sparkSession.conf.get("spark.sql.adaptive.enabled") == "true"
     # Without adaptive execution the hint does nothing, so the key is dealt out plainly.
+    dealt = (df.hint("rebalance", key) if adaptive else df.repartition(key)).sortWithinPartitions(key, *order)
+    if seen is not None:
+        # In the last stage, so that no row counts twice when a task is repeated.
+        dealt = dealt.observe(seen, F.count(F.lit(1)).alias("rows"), F.collect_set(key).alias("values"))
     (
-        (df.hint("rebalance", key) if adaptive else df.repartition(key))
-        .sortWithinPartitions(key, *order)
-        .write.mode("overwrite")
+        dealt.write.mode("overwrite")
         .option("partitionOverwriteMode", overwrite)
         .partitionBy(key)
         .parquet(path)
@@ -123,6 +128,41 @@ def replace_partitions(
     )
 
 
+def drop_partitions(spark: SparkSession, path: str, values: Iterable[object], key: str = "dt") -> None:
+    """Remove partitions; absent ones are no error."""
+    recover(spark, path)
+    swap_partitions(spark, path, key, values, lambda place: None)
+
+
+@dataclass(frozen=True)
+class Written:
+    """What one write has put down."""
+
+    rows: int
+    partitions: int
+    files: int
+    bytes: int
+
+
+def write_reported(
+    df: DataFrame, path: str, key: str = "dt", mode: str = "dynamic", order: Sequence[str] = ()
+) -> Written:
+    """``write_partitions``, and what it wrote: counted on the way and listed afterwards, the table is not read again."""
+    seen = Observation()
+    write_partitions(df, path, key, mode, order, seen)
+    found = seen.get
+    folder = Folder(df.sparkSession, path)
+    sizes = [size for v in found["values"] for size in folder.sizes(folder_name(key, v))]
+    return Written(found["rows"], len(found["values"]), len(sizes), sum(sizes))
+
+
+def report(spark: SparkSession, written: Mapping[str, Written], total: str = "total") -> DataFrame:
+    """A row per table in the given order: table_name, rows, partitions, files, bytes; the last one sums them up."""
+    lines = [(name, w.rows, w.partitions, w.files, w.bytes) for name, w in written.items()]
+    lines.append((total, *(sum(line[i] for line in lines) for i in range(1, 5))))
+    return spark.createDataFrame(lines, "table_name string, rows bigint, partitions bigint, files bigint, bytes bigint")
+
+
 def _content(df: DataFrame, key: str) -> dict:
     """Per partition: rows and two sums that depend on every value of every row, not on their order."""
     columns = [c for c in df.columns if c != key]

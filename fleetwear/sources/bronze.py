@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, DataFrameReader, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -71,12 +71,23 @@ def read_jsonl(
     root: str | None = None,
     where=None,
     keep: Sequence[str] = (),
+    dropped: Observation | None = None,
 ) -> DataFrame:
-    """One row per line; lines that are no JSON object are dropped."""
-    reader = spark.read.schema(record).option("mode", "DROPMALFORMED")
-    raw = _json(reader, paths, root)
+    """One row per line; lines that are no JSON object are dropped.
+
+    ``dropped`` gets ``lines`` and ``dropped``, counted as the scan runs.
+    """
+    if dropped is None:
+        raw = _json(spark.read.schema(record).option("mode", "DROPMALFORMED"), paths, root)
+    else:
+        broken = "_broken_line"
+        marked = T.StructType([*record.fields, T.StructField(broken, T.StringType())])
+        raw = _json(spark.read.schema(marked).option("columnNameOfCorruptRecord", broken), paths, root)
     if where is not None:
         raw = raw.where(where)
+    if dropped is not None:
+        bad = F.col(broken).isNotNull()
+        raw = raw.observe(dropped, F.count(F.lit(1)).alias("lines"), F.count_if(bad).alias("dropped")).where(~bad)
     return raw.select(*keep, *record.fieldNames())
 
 

@@ -1,6 +1,8 @@
 """Ranking, quantiles and metrics against brute force."""
 
+import datetime as dt
 import random
+import re
 
 import numpy as np
 import pytest
@@ -164,3 +166,81 @@ def test_postprocess(spark):
     )
     rows = {tuple(r) for r in prepare.postprocess(df).collect()}
     assert rows == {(100.0, 5.0, 100.0, 1), (1.0, 100.0, 2.0, 0)}
+
+
+def test_box_keeps_null_groups_and_joins_by_piece(spark):
+    from fleetwear.operators import distribution
+
+    rows = [(g, v) for g, values in ((None, [1, 2, 3, 100]), ("a", [5] * 9 + [500]), ("b", [7])) for v in values]
+    df = spark.createDataFrame(rows, "g string, v int")
+    box = distribution.box_summary(df, F.col("v"), "g")
+    found = {r["g"]: r for r in box.collect()}
+    assert set(found) == {None, "a", "b"}
+    assert (found[None]["n"], found[None]["median"], found[None]["whisker_hi"]) == (4, 2.5, 27.25)
+    assert (found["a"]["whisker_lo"], found["a"]["whisker_hi"]) == (5.0, 5.0) and found["b"]["q3"] == 7.0
+    plan = box._jdf.queryExecution().executedPlan().toString()
+    for keys in re.findall(r"(?:SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin) \[([^\]]*)\]", plan):
+        assert "_piece" in keys
+
+
+def test_three_way_split(spark):
+    from fleetwear.operators import prepare
+
+    days = [dt.date(2026, 1, d) for d in (1, 2, 3, 4, 5, 5, 6)]
+    df = spark.createDataFrame([(d,) for d in days] + [(None,)], "feature_date date")
+    found = {}
+    for r in prepare.three_way_split(df, valid=2, test=1).collect():
+        found.setdefault(r["part"], set()).add(r["feature_date"])
+    assert found == {"test": {days[6]}, "valid": {days[4], days[3]}, "train": {days[0], days[1], days[2], None}}
+    short = prepare.three_way_split(df.where("feature_date >= '2026-01-06'"), valid=2, test=3)
+    assert [r["part"] for r in short.collect()] == ["test"]
+    assert prepare.three_way_split(df.limit(0)).count() == 0
+
+
+def test_labels_past_the_frontier_are_not_complete(spark):
+    from fleetwear.operators import prepare
+
+    df = spark.createDataFrame([(dt.date(2026, 1, 1),), (dt.date(2026, 1, 2),), (None,)], "feature_date date")
+    source = spark.createDataFrame([(dt.datetime(2026, 1, 31, 23),), (dt.datetime(2025, 1, 1),)], "completed_at timestamp_ntz")
+    found = prepare.with_label_complete(df, prepare.frontier(source, "completed_at")).collect()
+    assert [r["label_complete"] for r in found] == [True, False, False]
+    empty = prepare.frontier(source.limit(0), "completed_at")
+    assert not any(r["label_complete"] for r in prepare.with_label_complete(df, empty).collect())
+
+
+def test_threshold_is_chosen_without_the_test_rows(spark):
+    from fleetwear.operators import evaluate
+
+    rng = random.Random(4)
+    rows = [(i, rng.random(), int(rng.random() < 0.3)) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, score double, label int")
+    valid, test = df.where("id < 200"), df.where("id >= 200")
+    one = evaluate.held_out_threshold(valid, test, "score", "label").first()
+    best = evaluate.best_threshold(evaluate.threshold_sweep(valid, "score", "label")).first()
+    assert (one["threshold"], one["valid_saving"]) == (best["threshold"], best["net_saving"])
+    flagged = [(s >= one["threshold"], y) for i, s, y in rows if i >= 200]
+    assert (one["tp"], one["fp"]) == (flagged.count((True, 1)), flagged.count((True, 0)))
+    assert one["net_saving"] == one["tp"] * 239 - one["fp"] * 60 - one["fn"] * 239
+    other = evaluate.held_out_threshold(valid, test.withColumn("label", 1 - F.col("label")), "score", "label").first()
+    assert other["threshold"] == one["threshold"]
+
+
+def test_newest_text_by_code_and_without(spark, monkeypatch):
+    from fleetwear.functions import columns
+    from fleetwear.functions.columns import latest_part, newest_text
+
+    rng = random.Random(5)
+    t0 = dt.datetime(2026, 1, 1)
+    rows = [(rng.randrange(20), t0 + dt.timedelta(hours=rng.randrange(6)), rng.choice([None, "", "a", "B", "é", "日本", "aa"])) for _ in range(600)]
+    rows += [(99, None, "x"), (98, t0, None)]
+    df = spark.createDataFrame(rows, "k int, at timestamp_ntz, v string")
+    for keep in (True, False):
+        want = df.groupBy("k").agg(F.max(latest_part(F.col("at"), F.col("v"), keep))["value"].alias("v"))
+        want = sorted(map(tuple, want.collect()))
+        coded = df.groupBy("k").agg(newest_text(df, F.col("at"), "v", keep).alias("v"))
+        assert sorted(map(tuple, coded.collect())) == want
+        assert "SortAggregate" not in coded._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(columns.codes, "__defaults__", (3,))
+    plain = df.groupBy("k").agg(newest_text(df, F.col("at"), "v", True).alias("v"))
+    assert columns.codes(df, "v") is None
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, df.groupBy("k").agg(F.max(latest_part(F.col("at"), F.col("v"), True))["value"].alias("v")).collect()))

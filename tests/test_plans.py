@@ -54,12 +54,15 @@ def test_rollup_aggregates_before_the_shuffle(tables):
 def test_newest_values_are_hashed(spark, tables):
     for df in (usage_daily(usage(tables)), QUERIES["latest_value"](spark, FOLDER)):
         assert "SortAggregate" not in plan(df)
+    for key in ("status_daily", "asof_features", "weekly_features", "features_backfill"):
+        assert "SortAggregate" not in plan(QUERIES[key](spark, FOLDER))
 
 
 @pytest.mark.parametrize("key", sorted(set(QUERIES) - {
     "lr_scores", "lr_gradient", "gbt_scores", "model_facts", "top_importance", "risk_surface", "model_comparison", "cv_auc", "cv_auc_gbt",
     "scan_envelope", "scan_paged", "scan_jsonl_malformed", "scan_partitions", "scan_date_window",
-    "sink_dynamic_overwrite", "sink_rebuild", "sink_merge", "sink_merge_moved", "load_report",
+    "sink_dynamic_overwrite", "sink_rebuild", "sink_merge", "sink_merge_moved", "load_report", "lines_dropped", "loads_missed",
+    "features_refresh", "gbt_replay", "gbt_trees", "gbt_importance", "risk_replay", "comparison_check", "cv_rows", "cv_fold_areas",
 }))
 def test_no_cross_join_and_no_python(spark, key):
     text = plan(entry.queries()[key](spark, FOLDER))

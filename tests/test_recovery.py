@@ -292,3 +292,58 @@ def test_dates_without_a_required_dataset_wait(spark, bronze):
     assert catch_up(spark, bronze.layout) == [(D1, D1)]
     assert [(r["dataset"], r["load_dt"]) for r in missed(spark, bronze.layout).collect()] == [("robot_status", D2)]
     assert missed(spark, Layout(f"{bronze.root}/none", f"{bronze.root}/x", f"{bronze.root}/y")).count() == 0
+
+
+# ------------------------------------------------------------- empty loads
+
+
+def test_empty_loads_are_an_answer_only_when_asked(spark, bronze):
+    layout = bronze.layout
+    fill(bronze, days(D1, 3))
+    run_range(spark, layout, D1, D3)
+    bronze.day(D2, [], [], [])
+    with pytest.raises(Exception, match="task_reports"):
+        run_silver(spark, layout, D2)
+    assert partition_dates(spark, layout.table("task_reports")) == [D1, D2, D3]
+    loaded = run_silver(spark, layout, D2, empties=True)
+    assert loaded["task_reports"] == 0 and loaded.changed["task_reports"] == {D2}
+    for name in ("task_reports", "robot_status"):
+        assert partition_dates(spark, layout.table(name)) == [D1, D3]
+    refresh_gold(spark, layout)
+    assert features(spark, layout) == rebuilt(spark, bronze, layout)
+    assert run_silver(spark, layout, D2, empties=True).changed["task_reports"] == set()
+    # A date with rows, and one without files, are left alone.
+    run_silver(spark, layout, D1, D3, empties=True)
+    assert partition_dates(spark, layout.table("task_reports")) == [D1, D3]
+
+
+# ------------------------------------------------------------------- reports
+
+
+def test_reports_are_told_by_the_write(spark, tmp_path):
+    from fleetwear.sinks import report, table_report, write_reported
+
+    path = str(tmp_path / "t")
+    written = write_reported(frame(spark, OLD), path)
+    stored = table_report(spark, path).first()
+    assert (written.rows, written.partitions, written.files, written.bytes) == tuple(stored)[1:]
+    second = write_reported(frame(spark, NEW), path)  # only what this load wrote
+    assert (second.rows, second.partitions, second.files) == (3, 2, 2)
+    empty = write_reported(frame(spark, []), str(tmp_path / "none"))
+    assert (empty.rows, empty.partitions, empty.files, empty.bytes) == (0, 0, 0, 0)
+    lines = report(spark, {"a": written, "b": second, "c": empty}).collect()
+    assert [r["table_name"] for r in lines] == ["a", "b", "c", "total"]
+    assert lines[-1]["rows"] == 7 and lines[-1]["bytes"] == written.bytes + second.bytes
+
+
+def test_dropped_lines_are_counted(spark, tmp_path):
+    from pyspark.sql import Observation
+
+    from fleetwear.sources import read_jsonl
+
+    (tmp_path / "s.jsonl").write_text('{"serialNumber": "a"}\n{"serialNumber": \n\n{"serialNumber": "b", "battery": "x"}\n[1]\nnull\n')
+    plain = sorted(map(str, read_jsonl(spark, str(tmp_path), schemas.STATUS_RECORD).collect()))
+    seen = Observation()
+    counted = sorted(map(str, read_jsonl(spark, str(tmp_path), schemas.STATUS_RECORD, dropped=seen).collect()))
+    assert counted == plain
+    assert seen.get["lines"] - seen.get["dropped"] == len(plain) and seen.get["dropped"] >= 1
