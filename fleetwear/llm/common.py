@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import pathlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +35,24 @@ def python_workers(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *filter(None, paths)])
 
 
+_tables: dict[str, Callable[[], None]] = {}
+
+
+def working(owner: str, drop: Callable[[], None] = lambda: None) -> None:
+    """Begin a task of ``owner`` in a Python worker: what other operators' tasks remember here is dropped.
+
+    Workers live on from stage to stage. An operator keeps its tables for its
+    next task, but not beside those of the operator after it.
+    """
+    others = [n for n in _tables if n != owner]
+    for name in others:
+        _tables.pop(name)()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    _tables[owner] = drop
+
+
 def whole_text(name: str = "text") -> Column:
     """The text, empty where it is null."""
     return F.coalesce(F.col(name), F.lit(""))
@@ -45,10 +64,21 @@ def partitions(spark: SparkSession) -> int:
 
 def by_bytes(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch into slices of at most ``most`` bytes of one text column; a longer text is a slice of its own."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    for at, stop in _cuts(batch.column(column), most):
+        yield batch.slice(at, stop - at)
+
+
+def texts_by_bytes(texts: pa.Array, most: int = 4 << 20) -> Iterator[list[str | None]]:
+    """The same of a column of texts alone."""
+    for at, stop in _cuts(texts, most):
+        yield texts.slice(at, stop - at).to_pylist()
+
+
+def _cuts(texts: pa.Array, most: int) -> Iterator[tuple[int, int]]:
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
-    while at < batch.num_rows:
+    while at < len(texts):
         used = ends[at - 1] if at else 0
         stop = max(at + 1, int(np.searchsorted(ends, used + most, "right")))
-        yield batch.slice(at, stop - at)
+        yield at, stop
         at = stop

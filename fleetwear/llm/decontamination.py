@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetwear.llm.common import python_workers
+from fleetwear.llm.common import python_workers, working
 
 N = 3  # words of a seed
 BLOCK = 500_000  # seeds of a block of items
@@ -171,6 +171,7 @@ def aligned(docs: DataFrame, seeds: Seeds, key: str, text: str) -> DataFrame:
     kind = dict(docs.dtypes)[key]
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("decontamination")
         for batch in batches:
             for first in range(0, batch.num_rows, SLICE):
                 rows = batch.slice(first, SLICE)

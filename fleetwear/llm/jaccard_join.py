@@ -40,9 +40,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from fleetwear.llm.common import python_workers
+from fleetwear.llm.common import python_workers, working
 from fleetwear.llm.components import components
-from fleetwear.llm.shingles import mix, shingle_sets
+from fleetwear.llm.shingles import forget, mix, shingle_sets
 from fleetwear.session import release, stage
 
 WIDTH, PERCENT = 5, 80
@@ -88,6 +88,7 @@ def sets_of(df: DataFrame, key: str, text: str, width: int, sample: bool) -> Dat
     kind = dict(df.dtypes)[key]
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("shingles", forget)
         for batch in batches:
             for at, texts in _slices(batch.column(1)):
                 sets = shingle_sets(texts, width)
@@ -216,6 +217,7 @@ def _compared(percent: int):
         return out
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        working("jaccard_join")
         current, nodes, sides, sizes, sets = None, [], [], [], []
 
         def done() -> pa.RecordBatch:

@@ -16,6 +16,12 @@ SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers = {BASE: np.ones(1, np.uint64), INVERSE: np.ones(1, np.uint64)}
 
 
+def forget() -> None:
+    """Drop the powers, which are as long as the longest slab."""
+    for base in _powers:
+        _powers[base] = np.ones(1, np.uint64)
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 ... base**(n-1) modulo 2**64."""
     have = _powers[base]

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
-from fleetwear.llm.common import python_workers, whole_text
+from fleetwear.llm.common import python_workers, whole_text, working
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
@@ -253,6 +253,7 @@ _loaded: dict[str, Transducer] = {}
 
 def transducer(folder: str | None = None) -> Transducer:
     """One transducer a worker process."""
+    working("token_counts", _loaded.clear)
     path = os.path.join(folder, MODEL) if folder else public_tokenizers.path(MODEL)
     if path not in _loaded:
         _loaded[path] = compiled(path)

@@ -9,6 +9,8 @@ import struct
 
 import public_tokenizers
 
+from fleetwear.llm.common import working
+
 BYTE_BPE, BYTE_BPE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: The split pattern of the vocabulary, for texts of the plain
 #: characters below, where the standard ``re`` classes agree with Unicode's.
@@ -65,6 +67,7 @@ _loaded: dict[str | None, ByteBpe] = {}
 
 def byte_bpe(folder: str | None = None) -> ByteBpe:
     """One tokenizer a worker process."""
+    working("tokens", _loaded.clear)
     if folder not in _loaded:
         _loaded[folder] = ByteBpe(folder)
     return _loaded[folder]

@@ -13,8 +13,8 @@ address, decide. Ordinary words that come near a term count nothing: given ones,
 and those that labelled rows hold as often without toxicity as with it.
 
 Learning uses at most ``SAMPLE`` labelled rows, chosen by the digest of their
-key; scoring covers every text whole. The model is a few kilobytes: at most
-``LEARNED`` terms and as many ordinary words, whatever the input.
+key; scoring covers every text whole. Every stem and ordinary word that these
+rows give enough support for is kept, so the sample alone bounds the model.
 
 Nulls and ties: a null text is empty; empty texts have the score of a text
 without hits; rows with a null label are not learned from, and a document with
@@ -26,15 +26,15 @@ an empty result. Other columns are kept; one named like the added column is repl
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql.functions import arrow_udf
 
-from fleetwear.llm.common import python_workers, whole_text
+from fleetwear.llm.common import python_workers, texts_by_bytes, whole_text, working
 from fleetwear.session import stage
 
 #: Terms of abuse that need no learning.
@@ -59,7 +59,6 @@ ORDINARY = frozenset(
 )
 
 SAMPLE = 20_000  # labelled rows learned from, at most
-LEARNED = 2_000  # learned terms, and ordinary words, at most
 STEMS = (4, 8)  # lengths of learned stems
 PRECISION, SUPPORT = 0.95, 5  # of a learned stem among labelled rows, both classes weighted alike
 REACH = 8  # words on either side of a hit
@@ -192,11 +191,11 @@ def features(text: str, automaton: Automaton) -> list[float]:
         form = hits.get(w)
         if form:
             quoted = inside or (marks[i] >= 2) or (marks[i] == 1 and w[0] in QUOTES)
-            near = [clean[x] for x in words[max(0, i - REACH):i + REACH + 1]]
+            before, after = words[max(0, i - REACH):i], words[i + 1:i + REACH + 1]
             factor = 1.0
-            if quoted or any(x in REPORTING for x in near[:REACH]):
+            if quoted or any(clean[x] in REPORTING for x in before):
                 factor = 0.3 if quoted else 0.6
-            if any(x in ADDRESS for x in near):
+            if any(clean[x] in ADDRESS for x in before + after):
                 factor *= 1.5
             found.append((i, *(factor * x for x in form)))
         if marks[i] % 2:
@@ -265,7 +264,7 @@ def held_out(key: str = "doc_id"):
 
 
 def learn_stems(sample: DataFrame) -> dict[str, float]:
-    """Stems that mark the toxic rows of the sample, with weights up to 1, the most frequent first.
+    """Stems that mark the toxic rows of the sample, with weights up to 1.
 
     Words that meet a given term are left out: they need no learning. Of stems
     that contain each other the shortest that is precise enough is kept.
@@ -288,8 +287,6 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
     bad, good = F.col("bad") / sizes[1], (F.col("good") + 2) / sizes[0]
     top = (
         counts.where((F.col("bad") >= max(SUPPORT, 0.004 * sizes[1])) & (bad / (bad + good) >= PRECISION))
-        .orderBy(F.desc("bad"), F.length("stem"), "stem")
-        .limit(LEARNED)
         .select("stem", F.least(F.log(bad / good) / 5, F.lit(1.0)).alias("weight"))
         .collect()
     )
@@ -313,8 +310,19 @@ class Model:
 _automata: dict[tuple, Automaton] = {}
 
 
+def _each(texts: Iterator[pa.Array], model: Model, of: Callable, kind: pa.DataType) -> Iterator[pa.Array]:
+    """``of(text, automaton)`` of every text, a few megabytes at a time."""
+    automaton = automaton_of(model)
+    for batch in texts:
+        found: list = []
+        for part in texts_by_bytes(batch):
+            found += [of(t or "", automaton) for t in part]
+        yield pa.array(found, kind)
+
+
 def automaton_of(model: Model) -> Automaton:
     """One automaton a worker process for a model's terms."""
+    working("toxicity", _automata.clear)
     key = model.key()
     if key not in _automata:
         _automata.clear()
@@ -329,17 +337,18 @@ def learn_ordinary(sample: DataFrame, stems: dict[str, float]) -> frozenset[str]
         return ORDINARY
     model = Model(list(TERMS), stems, START.tolist())
 
-    @pandas_udf("array<string>")
-    def near(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = automaton_of(model)
-        for t in texts:
-            yield t.map(lambda x: sorted(w for w in {w.strip(EDGE) for w in x.lower().split()} if (automaton.match(w) or (0, 0))[1]))
+    def doubtful(text: str, automaton: Automaton) -> list[str]:
+        return sorted(w for w in {w.strip(EDGE) for w in text.lower().split()} if (automaton.match(w) or (0, 0))[1])
+
+    @arrow_udf("array<string>")
+    def near(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _each(texts, model, doubtful, pa.list_(pa.string()))
 
     counts = sample.select("toxic", F.explode(near("text")).alias("word")).groupBy("word").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")
     )
     common = F.col("good") / sizes[0] >= F.col("bad") / max(sizes.get(1, 0), 1)
-    rows = counts.where((F.col("good") >= 2) & common).orderBy(F.desc("good"), "word").limit(LEARNED).select("word").collect()
+    rows = counts.where((F.col("good") >= 2) & common).select("word").collect()
     return ORDINARY | {r["word"] for r in rows}
 
 
@@ -352,11 +361,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> Model:
     stems = learn_stems(half)
     model = Model(list(TERMS), stems, START.tolist(), learn_ordinary(half, stems))
 
-    @pandas_udf("array<double>")
-    def measured(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = automaton_of(model)
-        for t in texts:
-            yield t.map(lambda x: features(x, automaton))
+    @arrow_udf("array<double>")
+    def measured(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _each(texts, model, features, pa.list_(pa.float64()))
 
     rows = sample.where("half = 1").select(measured("text").alias("x"), "toxic").collect()  # at most SAMPLE short rows
     rows.sort()
@@ -369,16 +376,13 @@ def score(df: DataFrame, model: Model, text: str = "text", out: str = "score") -
     """Add the probability ``out`` that the text is toxic."""
     python_workers(df.sparkSession)
 
-    @pandas_udf("double")
-    def scored(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        automaton = automaton_of(model)
+    def one(x: str, automaton: Automaton) -> float:
         w = model.weights
+        z = w[0] + sum(a * b for a, b in zip(w[1:], features(x, automaton), strict=True))
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
-        def one(x: str) -> float:
-            z = w[0] + sum(a * b for a, b in zip(w[1:], features(x, automaton), strict=True))
-            return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
-
-        for t in texts:
-            yield t.map(one).astype("float64")
+    @arrow_udf("double")
+    def scored(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _each(texts, model, one, pa.float64())
 
     return df.withColumn(out, scored(whole_text(text)))

@@ -142,3 +142,33 @@ def test_odd_rows(spark):
     assert len(got) == len(rows) and all(len(v) == 1 for v in by.values())
     assert by[None] == by[""] == by["plain"] and max(by["plain"]) < 0.5 < min(by["you stupid idiot"])
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels.limit(0))).count() == 0
+
+
+def test_reporting_words_count_only_before_the_hit():
+    automaton = toxicity.Automaton(["idiot"], {})
+    filler = " ".join(f"word{i}" for i in range(12))
+    for lead in ("", "so ", filler + " "):
+        after = toxicity.features(f"{lead}they idiot he said", automaton)
+        before = toxicity.features(f"{lead}he said they idiot", automaton)
+        assert after[3] == 1.0 and before[3] == pytest.approx(0.6), lead
+        assert toxicity.features(f"{lead}you idiot he said", automaton)[3] == 1.5
+
+
+def test_tables_of_other_operators_are_dropped():
+    from fleetwear.llm import common
+
+    gone = []
+    common.working("one", lambda: gone.append(1))
+    common.working("one", lambda: gone.append(1))
+    assert not gone
+    common.working("two", lambda: gone.append(2))
+    assert gone == [1]
+    common.working("three")
+    assert gone == [1, 2]
+
+
+def test_every_supported_stem_is_kept(spark):
+    rows = [(1, " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}qzx" for i in range(3000)), 0)] * 8
+    rows += [(0, "plain words only", 0)] * 50
+    sample = spark.createDataFrame(rows, "toxic int, text string, half int")
+    assert len(toxicity.learn_stems(sample)) == 3000
