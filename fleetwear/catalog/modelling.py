@@ -397,12 +397,12 @@ def gbt_trees(t):
     inner = nodes.where(F.col("column_name").isNotNull())
     sides = inner.select("tree", "node", "n", F.explode(F.array("left_node", "right_node")).alias("child"))
     shared = sides.join(child, ["tree", "child"]).groupBy("tree", "node").agg((F.sum("child_n") == F.max("n")).alias("fits"))
-    up = sides.select("tree", "child", F.col("node").alias("up"))
+    up = sides.select(F.col("tree").alias("of"), "child", F.col("node").alias("up"))
     level = nodes.select("tree", "node", F.lit(0).alias("depth")).where("node = 0")
     levels = [level]
     for _ in range(models.DEPTH):
-        below = levels[-1].join(up, (up["up"] == levels[-1]["node"]) & (up["tree"] == levels[-1]["tree"]))
-        levels.append(below.select(up["tree"], F.col("child").alias("node"), (F.col("depth") + 1).alias("depth")))
+        below = levels[-1].join(up, (F.col("of") == F.col("tree")) & (F.col("up") == F.col("node")))
+        levels.append(below.select("tree", F.col("child").alias("node"), (F.col("depth") + 1).alias("depth")))
     reached = levels[0]
     for more in levels[1:]:
         reached = reached.unionByName(more)

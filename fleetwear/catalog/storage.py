@@ -66,6 +66,18 @@ def maintenance_records(t: Tables) -> DataFrame:
         downtime_minutes=F.when(F.col("l_linenumber") == 7, "unknown").otherwise(F.col("l_extendedprice").cast("string")),
         updated_at=_iso("l_shipdate"),
         parts_replaced=F.array(F.col("l_partkey").cast("string")),
+        service_ticket_id=F.concat(F.lit("T"), F.col("l_partkey").cast("string")),
+        service_source=F.col("l_linestatus"),
+        maintenance_category=F.when(F.col("l_linenumber") <= 3, "near").otherwise("far"),
+        reported_at=_iso("l_shipdate"),
+        started_at=F.when(F.col("l_linenumber") != 2, _iso("l_shipdate")),
+        severity=F.col("l_returnflag"),
+        failure_code=F.when(F.col("l_returnflag") == "R", F.concat(F.lit("E"), F.col("l_linenumber").cast("string"))),
+        component=F.concat(F.lit("part_"), (F.col("l_partkey") % 11).cast("string")),
+        action_taken=F.lit("swap"),
+        technician_id=F.col("l_suppkey"),
+        comment=F.when(F.col("l_linenumber") == 3, "note"),
+        created_at=_iso("l_shipdate"),
     )
 
 
@@ -86,6 +98,15 @@ def mission_records(t: Tables) -> DataFrame:
             F.col("l_tax").cast("string").alias("filter"),
             F.lit("3000000000").alias("suctionBlade"),
         ),
+        robot=F.concat(F.lit("R"), F.col("l_suppkey").cast("string")),
+        operator=F.concat(F.lit("op"), F.col("l_linenumber").cast("string")),
+        areaNameList=F.lit("hall"),
+        cleaningMode=F.col("l_linestatus"),
+        durationSeconds=F.col("l_partkey"),
+        plannedCleaningAreaSquareMeter=F.col("l_quantity") + 1,
+        efficiencySquareMeterPerHour=F.col("l_extendedprice"),
+        waterConsumptionLiter=F.col("l_tax"),
+        endTime=F.when(F.col("l_linenumber") > 1, _iso("l_shipdate")),
     )
 
 
@@ -101,14 +122,25 @@ def status_records(t: Tables) -> DataFrame:
     k = F.get_json_object("props", "$.k")
     place = F.struct(k.alias("x"), F.lit("x").alias("y"))
     area = F.struct(F.col("user_id").cast("string").alias("id"), F.lit("hall").alias("name"))
+    value = F.col("value").cast("string")
+    level, used = F.struct(k.alias("level")), F.struct(value.alias("usedLife"))
     return _records(
         t.events, schemas.STATUS_RECORD,
         serialNumber=F.col("user_id"),
         _poll_ts=F.when(F.col("event_type") != "view", _iso("ts")),
         taskState=F.col("event_type"),
         online=F.when(F.col("event_type") == "error", "false").otherwise("true"),
-        battery=filled("battery", soc=F.col("value").cast("string"), cycleTimes=k),
-        localizationInfo=filled("localizationInfo", map=area, mapPosition=place),
+        speedKilometerPerHour=value,
+        navStatus=F.concat(F.lit("n"), k),
+        battery=filled(
+            "battery", soc=value, cycleTimes=k, charging=F.when(F.col("event_type") == "purchase", "true"),
+            soh=F.when(F.col("event_type") == "error", "AGING"), temperature1=k, temperature2=F.concat(F.lit("1"), k), totalVoltage=value,
+        ),
+        localizationInfo=filled("localizationInfo", localizationState=F.lit("ok"), map=area, mapPosition=place),
+        device=filled(
+            "device", cleanWaterTank=level, recoveryWaterTank=level, rollingBrush=F.struct(value.alias("usedLife"), k.alias("lifeSpan")),
+            rightSideBrush=used, softSqueegee=used, cleanWaterFilter=used, hepaSensor=used,
+        ),
     )
 
 
@@ -141,31 +173,42 @@ def write_paged(records: DataFrame, path: str, items: str) -> None:
 
 
 _MAINT_ROWS = """rows as (
-  select l_orderkey::varchar as maintenance_id, l_suppkey::varchar as robot_id,
-    l_returnflag as maintenance_type, 'completed' as maintenance_status, l_shipdate as completed_at,
-    l_returnflag = 'R' as failure_detected,
+  select l_orderkey::varchar as maintenance_id, l_suppkey::varchar as robot_id, 'T' || l_partkey::varchar as service_ticket_id,
+    l_linestatus as service_source, l_returnflag as maintenance_type,
+    case when l_linenumber <= 3 then 'near' else 'far' end as maintenance_category, 'completed' as maintenance_status,
+    l_shipdate as reported_at, case when l_linenumber <> 2 then l_shipdate end as started_at, l_shipdate as completed_at,
+    l_returnflag as severity, l_returnflag = 'R' as failure_detected,
+    case when l_returnflag = 'R' then 'E' || l_linenumber::varchar end as failure_code,
+    'part_' || (l_partkey % 11)::varchar as component, 'swap' as action_taken, [l_partkey::varchar] as parts_replaced,
     case when l_linenumber = 7 then null else trunc(l_extendedprice)::int end as downtime_minutes,
-    l_shipdate as updated_at, [l_partkey::varchar] as parts_replaced, l_shipdate::date as dt
+    l_suppkey::varchar as technician_id, case when l_linenumber = 3 then 'note' end as comment,
+    l_shipdate as created_at, l_shipdate as updated_at, l_shipdate::date as dt
   from lineitem where l_linestatus = 'F' and l_linenumber > 1)"""
 
 _MISSION_ROWS = """rows as (
   select l_orderkey::varchar || '-' || l_linenumber::varchar as report_id,
-    l_suppkey::varchar as robot_serial_number, trunc(l_extendedprice)::int as task_end_status,
-    l_discount + 0.0::double as completion_percentage, l_quantity as actual_area_m2,
-    90 as start_battery_pct,
+    l_suppkey::varchar as robot_serial_number, 'R' || l_suppkey::varchar as robot_display_name,
+    'op' || l_linenumber::varchar as operator, 'hall' as map_name, l_linestatus as cleaning_mode,
+    trunc(l_extendedprice)::int as task_end_status, l_discount + 0.0::double as completion_percentage,
+    l_partkey::int as duration_seconds, l_quantity + 1 as planned_area_m2, l_quantity as actual_area_m2,
+    l_extendedprice as efficiency_m2_per_hour, l_tax as water_consumption_l, 90 as start_battery_pct,
     case when l_linenumber < 7 then l_quantity::int end as end_battery_pct,
     case when l_linenumber < 7 then l_quantity::int - 90 end as battery_delta_pct,
     l_linenumber as brush_residual_pct, 0 as filter_residual_pct,
-    null::int as suction_blade_residual_pct, l_shipdate as start_time, l_shipdate::date as dt
+    null::int as suction_blade_residual_pct, l_shipdate as start_time,
+    case when l_linenumber > 1 then l_shipdate end as end_time, l_shipdate::date as dt
   from lineitem where l_quantity < 50 and l_returnflag <> 'N')"""
 
 _STATUS_ROWS = r"""rows as (
   select user_id::varchar as serial_number, ts as poll_ts, event_type as task_state,
-    event_type <> 'error' as online, trunc(value)::int as battery_soc,
-    regexp_extract(props, '\d+')::int as battery_cycle_times,
-    user_id::varchar as map_id, 'hall' as map_name,
-    regexp_extract(props, '\d+')::int as pos_x, null::int as pos_y, ts::date as dt
-  from events where event_type <> 'view')"""
+    event_type <> 'error' as online, value as speed_kmh, trunc(value)::int as battery_soc,
+    case when event_type = 'purchase' then true end as battery_charging, k as battery_cycle_times,
+    case when event_type = 'error' then 'AGING' end as battery_health, k as battery_temp1, ('1' || k::varchar)::int as battery_temp2,
+    trunc(value)::int as total_voltage_mv, 'ok' as localization_state, user_id::varchar as map_id, 'hall' as map_name,
+    k as pos_x, null::int as pos_y, 'n' || k::varchar as nav_status, k as clean_water_tank_pct, k as recovery_water_tank_pct,
+    value as rolling_brush_used_life_h, k as rolling_brush_lifespan_h, value as right_side_brush_used_life_h,
+    value as soft_squeegee_used_life_h, value as clean_water_filter_used_life_h, value as hepa_sensor_used_life_h, ts::date as dt
+  from (select *, regexp_extract(props, '\d+')::int as k from events) where event_type <> 'view')"""
 
 
 def _first(rows: str, keys: str, order: str, columns: str = "*") -> str:
@@ -173,18 +216,9 @@ def _first(rows: str, keys: str, order: str, columns: str = "*") -> str:
   from {rows}) where _rank = 1"""
 
 
-_MAINT_COLS = (
-    "maintenance_id", "robot_id", "maintenance_type", "maintenance_status", "completed_at",
-    "failure_detected", "downtime_minutes", "parts_replaced", "updated_at", "dt",
-)
-_MISSION_COLS = (
-    "report_id", "robot_serial_number", "task_end_status", "completion_percentage", "actual_area_m2",
-    "start_battery_pct", "end_battery_pct", "battery_delta_pct", "brush_residual_pct",
-    "filter_residual_pct", "suction_blade_residual_pct", "start_time", "dt",
-)
-_STATUS_COLS = (
-    "serial_number", "poll_ts", "task_state", "online", "battery_soc", "battery_cycle_times",
-    "map_id", "map_name", "pos_x", "pos_y", "dt",
+# All columns of the tables, in their order: it decides between rows of equal rank.
+_MAINT_COLS, _MISSION_COLS, _STATUS_COLS = (
+    tuple(x.fieldNames()) for x in (schemas.MAINTENANCE, schemas.MISSIONS, schemas.STATUS)
 )
 
 
