@@ -27,15 +27,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 BATCH, TEXTS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 2_000
 
 
-def python_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package from where the driver has it, and send them texts in smaller batches.
+def small_batches(spark: SparkSession) -> None:
+    """Send texts to Python in batches of 2,000 from now on.
 
-    Where the path does not exist on the executors the package must be installed there.
-    Ten thousand whole texts a batch, Spark's default, are tens of megabytes on both sides
-    of every task; another number that the session has chosen stays.
+    Ten thousand whole texts, Spark's default, are tens of megabytes on both
+    sides of every task, which a session keeps from stage to stage. Another
+    number that the session has chosen stays.
     """
     if spark.conf.get(BATCH) == "10000":
         spark.conf.set(BATCH, str(TEXTS_A_BATCH))
+
+
+def python_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it.
+
+    Where the path does not exist on the executors the package must be installed there.
+    """
     env = spark.sparkContext.environment
     paths = env.get("PYTHONPATH", "").split(os.pathsep)
     if ROOT not in paths:

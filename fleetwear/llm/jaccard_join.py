@@ -34,11 +34,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
 
 from fleetwear.llm.common import python_workers, working
 from fleetwear.llm.components import components
@@ -48,6 +46,7 @@ from fleetwear.session import release, stage
 WIDTH, PERCENT = 5, 80
 SLICE_BYTES = 500_000  # text hashed at once
 BLOCK = 256  # members compared at once with as many others
+WORD = r"[^\x20\x09-\x0D]"  # fixed value: what words are made of
 LIGHT_MOST = 64  # largest size for which pairs of shingles may be keys
 BROADCAST_IDS = 1_000_000
 SAMPLE_BITS = 2  # a quarter of the hash space
@@ -274,14 +273,15 @@ def links(postings: DataFrame, ordered: DataFrame, percent: int) -> DataFrame:
 def grouped(
     df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
-    """Rows (key, n_shingles, component_id, node, label), one for every row of ``df``.
+    """Rows (key, n_shingles, component_id, node, label, row), one for every row of ``df``.
 
     ``node`` is the class of the row's set, ``label`` names its component; both are null for empty sets.
+    ``row`` is the digest of key and text.
     """
     if not 50 < percent <= 100:
         raise ValueError("percent must be over 50 and at most 100")
     sampled = stage(sets_of(df, key, text, width, True), "jaccard-sample")
-    rows = stage(sampled.select("key", "n", "node"), "jaccard-rows")
+    rows = stage(sampled.select("key", "row", "n", "node"), "jaccard-rows")
     rest = stage(_survivors(sampled, percent), "jaccard-rest")
     release(sampled)
     ids = rest.select("row").distinct()
@@ -303,13 +303,13 @@ def grouped(
     labelled = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
     of_node = labelled.join(least, "label").select("node", "label", "component_id")
-    linked = rows.where("n > 0").select("key", "n", "node").join(of_node, "node")
+    linked = rows.where("n > 0").select("key", "row", "n", "node").join(of_node, "node")
     none = F.lit(None).cast("long")
     empty = rows.where("n = 0").select(
-        "key", "n", none.alias("node"), none.alias("label"), F.col("key").alias("component_id")
+        "key", "row", "n", none.alias("node"), none.alias("label"), F.col("key").alias("component_id")
     )
-    return linked.select("key", "n", "node", "label", "component_id").unionByName(empty).select(
-        F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "node", "label"
+    return linked.select("key", "row", "n", "node", "label", "component_id").unionByName(empty).select(
+        F.col("key").alias(key), F.col("n").alias("n_shingles"), "component_id", "node", "label", "row"
     )
 
 
@@ -317,21 +317,15 @@ def one_of_each(
     df: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
     """``df`` with one row of each component: that of the smallest id. Rows with an empty set all stay."""
-    python_workers(df.sparkSession)
     groups = grouped(df, key, text, width, percent)
     chosen = groups.where(F.col("label").isNotNull()).groupBy("label").agg(
-        F.min(F.struct(F.col(key).isNull().alias("u"), F.col(key).alias("k"), "node")).alias("c")
-    ).select(F.xxhash64("c.k", "c.node").alias("_row"))
-
-    @pandas_udf("long")
-    def class_of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for t in texts:
-            found = []
-            for _, some in _slices(pa.array(t, pa.string())):
-                found += [_class_of(s) if len(s) else None for s in shingle_sets(some, width)]
-            yield pd.Series(found, dtype="Int64")
-
-    marked = df.withColumn("_node", class_of(text))
-    same = marked.where(F.col("_node").isNotNull()).withColumn("_row", F.xxhash64(key, "_node"))
-    kept = same.join(chosen, "_row", "left_semi").dropDuplicates(["_row"])
-    return kept.select(*df.columns).unionByName(marked.where(F.col("_node").isNull()).select(*df.columns))
+        F.min(F.struct(F.col(key).isNull().alias("u"), F.col(key).alias("k"), "node", "row")).alias("c")
+    ).select("c.row")
+    worded = F.coalesce(F.rlike(text, F.lit(WORD)), F.lit(False))
+    # Equal rows have one digest: one of them stays.
+    digest = "row"
+    while digest in df.columns:
+        digest += "_"
+    same = df.where(worded).withColumn(digest, _row(key, text))
+    kept = same.join(chosen.withColumnRenamed("row", digest), digest, "left_semi").dropDuplicates([digest])
+    return kept.select(*df.columns).unionByName(df.where(~worded))
