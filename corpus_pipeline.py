@@ -13,12 +13,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fleetwear.llm import decontamination, jaccard_join, packing, secrets, toxicity
-from fleetwear.llm.common import documents, table
+from fleetwear.llm.common import documents, small_batches, table
 from fleetwear.session import stage
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go."""
+    small_batches(spark)
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(docs, model, out="_toxic")
     return scored.where(F.col("_toxic") < 0.5).select(*docs.columns)
@@ -26,11 +27,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: five-word shingles, similarity of 0.8 or more."""
+    small_batches(spark)
     return jaccard_join.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
+    small_batches(spark)
     judged = decontamination.judged(docs, table(spark, sf_dir, "benchmark"))
     return judged.where(~F.col("contaminated")).select(*docs.columns)
 
@@ -46,6 +49,7 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 2048 tokens, with a checksum in place of the ids."""
+    small_batches(spark)
     return packing.digest(packing.pack(docs))
 
 
