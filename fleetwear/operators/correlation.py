@@ -29,28 +29,32 @@ def corr_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     has nulls looks at the rows where both are present. Constant columns have
     a null r.
     """
-    gone = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    full = [c for c in cols if not gone[c]]
-    found = {}
-    if full:
-        ready = VectorAssembler(inputCols=full, outputCol="v").transform(
-            df.select(*[F.col(c).cast("double").alias(c) for c in full])
-        ).select("v").persist()
-        if not ready.isEmpty():
+    # The columns asked for, once: every later pass reads these.
+    values = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).persist()
+    try:
+        facts = values.agg(
+            *[F.count_if(F.col(c).isNull()).alias(f"gone_{i}") for i, c in enumerate(cols)],
+            *[(F.min(c) == F.max(c)).alias(f"flat_{i}") for i, c in enumerate(cols)],
+            F.count(F.lit(1)).alias("rows"),
+        ).first()
+        full = [c for i, c in enumerate(cols) if facts["rows"] and not facts[f"gone_{i}"]]
+        # A constant column has no correlation, with itself neither; the matrix holds 1 there.
+        constant = {c for i, c in enumerate(cols) if facts[f"flat_{i}"]}
+        found = {}
+        if full:
+            ready = VectorAssembler(inputCols=full, outputCol="v").transform(values.select(*full)).select("v")
             matrix = Correlation.corr(ready, "v").first()[0].toArray()
-            # A constant column has no correlation, with itself neither; the matrix holds 1 there.
-            spread = df.agg(*[(F.min(c) == F.max(c)).alias(c) for c in full]).first()
-            constant = {c for c in full if spread[c]}
             for i, a in enumerate(full):
                 for j, b in enumerate(full):
                     r = float(matrix[i][j])
                     found[a, b] = None if r != r or a in constant or b in constant else r
-        ready.unpersist()
-    pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:] if (a, b) not in found]
-    if pairs:
-        row = df.agg(*[pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
-        for i, (a, b) in enumerate(pairs):
-            found[a, b] = found[b, a] = row[i]
+        pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:] if (a, b) not in found]
+        if pairs:
+            row = values.agg(*[pearson(a, b).alias(f"r{i}") for i, (a, b) in enumerate(pairs)]).first()
+            for i, (a, b) in enumerate(pairs):
+                found[a, b] = found[b, a] = row[i]
+    finally:
+        values.unpersist()
     cells = [(a, b, found[a, b]) for a in cols for b in cols]
     return df.sparkSession.createDataFrame(cells, "col_a string, col_b string, r double")
 
