@@ -1,10 +1,14 @@
 from fleetwear.functions.columns import (
+    codes,
+    dated_int,
+    dated_parts,
     latest_part,
     model_line,
     narrow_int,
     newest_int,
     newest_text,
     parse_ts,
+    place_of,
     positive_zero,
     ratio,
     share_pct,
@@ -15,12 +19,16 @@ from fleetwear.functions.columns import (
 )
 
 __all__ = [
+    "codes",
+    "dated_int",
+    "dated_parts",
     "latest_part",
     "model_line",
     "narrow_int",
     "newest_int",
     "newest_text",
     "parse_ts",
+    "place_of",
     "positive_zero",
     "ratio",
     "share_pct",

@@ -99,6 +99,19 @@ def newest_int(at: Column, value: Column, keep_null: bool) -> Column:
     return F.when(low > 0, low - F.lit((1 << 31) + 1)).cast("int")
 
 
+def dated_int(day: Column, value: Column, keep_null: bool) -> Column:
+    """``latest_part`` of a date and an int as one long, which aggregates by hash; ``dated_parts`` takes it apart."""
+    code = F.unix_date(day).cast("long") * F.lit(_SPAN) + F.coalesce(value.cast("long") + F.lit((1 << 31) + 1), F.lit(0))
+    return F.when(day.isNotNull() if keep_null else day.isNotNull() & value.isNotNull(), code)
+
+
+def dated_parts(code: Column) -> tuple[Column, Column]:
+    """(date, int) of a ``dated_int``."""
+    low = code.bitwiseAND(F.lit(_SPAN - 1))
+    value = F.when(low > 0, low - F.lit((1 << 31) + 1)).cast("int")
+    return F.date_from_unix_date(F.shiftright(code, 33).cast("int")), value
+
+
 CODES = 1024  # distinct texts that get a code
 
 
@@ -108,6 +121,11 @@ def codes(df: DataFrame, column: str, most: int = CODES) -> list[str] | None:
     return None if len(found) > most else sorted((r[0] for r in found), key=lambda v: v.encode())
 
 
+def place_of(text: Column, known: list[str]) -> Column:
+    """Place of a text in the list, from 1; null for null."""
+    return F.array_position(F.array(*map(F.lit, known)).cast("array<string>"), text).cast("int")
+
+
 def newest_text(df: DataFrame, at: Column, column: str, keep_null: bool) -> Column:
     """Aggregate: the text at the newest ``at``, with the rules of ``latest_part``.
 
@@ -118,5 +136,4 @@ def newest_text(df: DataFrame, at: Column, column: str, keep_null: bool) -> Colu
     if known is None:
         return F.max(latest_part(at, F.col(column), keep_null))["value"]
     table = F.array(*map(F.lit, known)).cast("array<string>")
-    place = F.array_position(table, F.col(column)).cast("int")  # null for null
-    return F.get(table, newest_int(at, place, keep_null) - 1)
+    return F.get(table, newest_int(at, place_of(F.col(column), known), keep_null) - 1)

@@ -6,14 +6,15 @@ All of them are one plan:
    aggregation in the map tasks. Nothing after this depends on how many raw
    rows a device has, only on its number of days.
 2. The days are shuffled once by device; all later steps keep that layout.
-3. A day enters a window at one feature date and leaves it at a later one. Both
-   become rows, a plus and a minus; besides, each day keeps a row of its own for
-   the values that are carried, not summed.
-4. One ordered pass per device makes running totals of the pluses and minuses,
-   and carries the newest residuals, battery state and service days along,
-   whatever the distance. The totals hold until the next row, so only then a row
-   is repeated for every feature date that it stands for: nothing before the
-   result grows with the length of the windows.
+3. A day enters a window at one feature date and leaves it at a later one: a plus
+   and a minus. They are summed by hash per device and feature date, beside the
+   newest of the values that are carried, so that what is ordered has one row
+   per device and date at which anything changes.
+4. One ordered pass per device makes running totals of the changes, and carries
+   the newest residuals, battery state and service days along, whatever the
+   distance. The totals hold until the next row, so only then a row is repeated
+   for every feature date that it stands for: nothing before the result grows
+   with the length of the windows.
 
 Whole numbers are exact. Of other measures a running total can be off in the last
 bits; where a window holds no mission, its area is 0 all the same.
@@ -28,7 +29,17 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fleetwear.functions import latest_part, newest_int, newest_text, ratio, whole_days
+from fleetwear.functions import (
+    codes,
+    dated_int,
+    dated_parts,
+    latest_part,
+    newest_int,
+    newest_text,
+    place_of,
+    ratio,
+    whole_days,
+)
 
 NEVER = 999  # fixed value: days since an event that never happened
 LONGEST = 90
@@ -95,14 +106,18 @@ def maintenance_daily(maintenance: DataFrame) -> DataFrame:
     )
 
 
-def status_daily(status: DataFrame, keep_null: bool = True) -> DataFrame:
-    """(device, day) mean charge and last cycle count and health."""
+def status_daily(status: DataFrame, keep_null: bool = True, texts: list[str] | None = None) -> DataFrame:
+    """(device, day) mean charge and last cycle count and health; with ``texts`` health is its place among them, from 1."""
     at = F.col("poll_ts")
     soc = F.col("battery_soc")
+    health = (
+        newest_text(status, at, "battery_health", keep_null) if texts is None
+        else newest_int(at, place_of(F.col("battery_health"), texts), keep_null)
+    )
     return status.groupBy("serial_number", F.to_date("poll_ts").alias("day")).agg(
         ratio(F.sum(soc), F.count(soc)).alias("avg_battery_soc"),
         newest_int(at, F.col("battery_cycle_times"), keep_null).alias("battery_cycle_times"),
-        newest_text(status, at, "battery_health", keep_null).alias("battery_health"),
+        health.alias("battery_health"),
     )
 
 
@@ -138,7 +153,9 @@ def _days(df: DataFrame, time_col: str, lo: dt.date, back: int | None, hi: dt.da
     return df if back is None else df.where(day >= F.lit(lo - _DAY * back))
 
 
-def _daily(inputs: Inputs, lo: dt.date, hi: dt.date, lookback: int | None, keep_null: bool) -> DataFrame:
+def _daily(
+    inputs: Inputs, lo: dt.date, hi: dt.date, lookback: int | None, keep_null: bool, texts: list[str] | None = None
+) -> DataFrame:
     """Roll-ups of all days that can matter to the dates ``lo..hi``, by device."""
     rows = usage_daily(_days(inputs.usage, "start_time", lo, LONGEST, hi), keep_null)
     rows = rows.withColumn("kind", F.lit(MISSION))
@@ -148,7 +165,7 @@ def _daily(inputs: Inputs, lo: dt.date, hi: dt.date, lookback: int | None, keep_
         events = maintenance_daily(events).withColumn("kind", F.lit(SERVICE))
         rows = rows.unionByName(events, allowMissingColumns=True)
     if inputs.status is not None:
-        polls = status_daily(_days(inputs.status, "poll_ts", lo, WEEK, hi), keep_null)
+        polls = status_daily(_days(inputs.status, "poll_ts", lo, WEEK, hi), keep_null, texts)
         polls = polls.withColumns(
             {"kind": F.lit(POLL), "soc_n": F.col("avg_battery_soc").isNotNull().cast("int")}
         )
@@ -179,14 +196,15 @@ def _features(
     A device must have missions in the 90 days back, and, if ``ahead`` is
     positive, an ``active`` day within the date and ``ahead`` days after it.
     """
-    daily = _daily(inputs, lo, hi, lookback, keep_null)
+    texts = codes(inputs.status, "battery_health") if inputs.status is not None else None
+    daily = _daily(inputs, lo, hi, lookback, keep_null, texts)
     daily = daily.withColumn("active", F.when(active, F.col("missions")))
     windows = _windows(inputs, near, ahead)
-    steps = _steps(daily, windows, lo, hi, step, near)
-    rows = _running(steps, windows, inputs, lo, hi, step, keep_null)
+    steps = _steps(daily, windows, inputs, lo, hi, step, near, keep_null, texts is not None)
+    rows = _running(steps, windows, lo, hi, step)
     if only is not None:
         rows = rows.where(only("feature_date"))
-    return _read_off(rows, inputs, lookback).select(*inputs.names())
+    return _read_off(rows, inputs, lookback, texts).select(*inputs.names())
 
 
 @dataclass(frozen=True)
@@ -221,65 +239,76 @@ def _windows(inputs: Inputs, near: int, ahead: int) -> list[_Span]:
     return found
 
 
-def _steps(daily: DataFrame, windows: list[_Span], lo: dt.date, hi: dt.date, step: int, near: int) -> DataFrame:
-    """Rows (device, i, w, sign): window ``w`` gains or loses the day at the i-th feature date; w is null in own rows."""
+def _carried(inputs: Inputs, coded: bool) -> dict[str, tuple[int, Column, Column, bool]]:
+    """What is carried along: kind, day and value (null for the day itself) of each name, and whether it is a number."""
+    found = {f"_{name}": (MISSION, F.col("day"), F.col(name), True) for name in _LATEST_USAGE}
+    if inputs.status is not None:
+        found["_cycles"] = (POLL, F.col("day"), F.col("battery_cycle_times"), True)
+        found["_health"] = (POLL, F.col("day"), F.col("battery_health"), coded)
+    if inputs.maintenance is not None:
+        found["_service"] = (SERVICE, F.col("day"), None, True)
+        found["_failure"] = (SERVICE, F.when(F.col("failures") > 0, F.col("day")), None, True)
+    return found
+
+
+def _steps(
+    daily: DataFrame, windows: list[_Span], inputs: Inputs, lo: dt.date, hi: dt.date, step: int, near: int,
+    keep_null: bool, coded: bool,
+) -> DataFrame:
+    """One row per device and feature date i at which a window gains or loses a day: the changes, and the newest values."""
     offset = F.date_diff(F.col("day"), F.lit(lo))
     last_i = (hi - lo).days // step
-    kind = F.col("kind")
+    kind, shift = F.col("kind"), F.col("shift")
 
     def index(days: int) -> Column:
         return F.ceil((offset + days) / F.lit(step)).cast("int")
 
-    def at(w: int | None, sign: int, i: Column, when: Column) -> Column:
-        return F.when(when & (i <= last_i), F.struct(i.alias("i"), F.lit(w).cast("int").alias("w"), F.lit(sign).alias("sign")))
+    # Windows that begin or end at the same distance share a row of the day.
+    kinds: dict[int, set[int]] = {}
+    for span in windows:
+        for days in (span.start, span.far + 1):
+            kinds.setdefault(days, set()).add(span.kind)
 
-    cells = [at(None, 1, F.greatest(index(near), F.lit(0)), F.lit(True))]
-    for w, span in enumerate(windows):
-        first, gone = F.greatest(index(span.start), F.lit(0)), index(span.far + 1)
-        held = (kind == span.kind) & (first < gone)
-        cells += [at(w, 1, first, held), at(w, -1, gone, held)]
-    return daily.select("*", F.inline(F.array_compact(F.array(*cells))))
+    def at(days: int) -> Column:
+        i = F.greatest(index(days), F.lit(0))
+        when = kind.isin(sorted(kinds[days])) & (i <= last_i)
+        return F.when(when, F.struct(i.alias("i"), F.lit(days).alias("shift")))
 
+    rows = daily.select("*", F.inline(F.array_compact(F.array(*map(at, sorted(kinds))))))
 
-def _running(
-    steps: DataFrame, windows: list[_Span], inputs: Inputs, lo: dt.date, hi: dt.date, step: int, keep_null: bool
-) -> DataFrame:
-    """Totals of every window and the newest carried values, at each feature date of a device with missions."""
-    order = Window.partitionBy("serial_number").orderBy("i")
-    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    w, is_own = F.col("w"), F.col("w").isNull()
-    totals = {
-        span.total(part): F.coalesce(F.sum(F.when(w == n, F.col(part) * F.col("sign"))).over(so_far), F.lit(0))
-        for n, span in enumerate(windows)
-        for part in span.parts
-    }
+    def change(span: _Span, part: str) -> Column:
+        held = (kind == span.kind) & (F.greatest(index(span.start), F.lit(0)) < index(span.far + 1))
+        came = F.when(held & (shift == span.start), F.col(part)).when(held & (shift == span.far + 1), -F.col(part))
+        return F.sum(came).alias(span.total(part))
 
-    def day_of(kind: int) -> Column:
-        return F.when(is_own & (F.col("kind") == kind), F.col("day"))
+    def newest(of: int, day: Column, value: Column | None, number: bool) -> Column:
+        day = F.when((kind == of) & (shift == near), day)
+        if value is None:
+            return F.max(day)
+        return F.max(dated_int(day, value, keep_null) if number else latest_part(day, value, keep_null))
 
-    def pair(kind: int, value: str) -> Column:
-        return F.max(latest_part(day_of(kind), F.col(value), keep_null)).over(so_far)
+    carried = [newest(*parts).alias(name) for name, parts in _carried(inputs, coded).items()]
+    return rows.groupBy("serial_number", "i").agg(*[change(x, part) for x in windows for part in x.parts], *carried)
 
-    carried = {f"_{name}": pair(MISSION, name) for name in _LATEST_USAGE}
-    if inputs.status is not None:
-        carried["_cycles"] = pair(POLL, "battery_cycle_times")
-        carried["_health"] = pair(POLL, "battery_health")
-    if inputs.maintenance is not None:
-        carried["_service"] = F.max(day_of(SERVICE)).over(so_far)
-        carried["_failure"] = F.max(F.when(F.col("failures") > 0, day_of(SERVICE))).over(so_far)
+
+def _running(steps: DataFrame, windows: list[_Span], lo: dt.date, hi: dt.date, step: int) -> DataFrame:
+    """Totals of every window and the newest carried values, at each feature date of a device with missions."""
+    order = Window.partitionBy("serial_number").orderBy("i")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = {x.total(part): F.coalesce(F.sum(x.total(part)).over(so_far), F.lit(0)) for x in windows for part in x.parts}
+    carried = {c: F.max(c).over(so_far) for c in steps.columns if c not in ("serial_number", "i", *totals)}
     rows = steps.select(
         "serial_number", "i", F.lead("i").over(order).alias("next"),
         *[c.alias(name) for name, c in (totals | carried).items()],
     )
     until = F.coalesce(F.col("next") - 1, F.lit((hi - lo).days // step))
     seen = [F.col(x.total(p)) > 0 for x in windows for p in x.parts if p == "active" or p == "missions" and x.far == LONGEST]
-    # The last row of an index has all of its pluses and minuses.
     rows = rows.where((F.col("i") <= until) & seen[0] & seen[-1])
     rows = rows.withColumn("i", F.explode(F.sequence(F.col("i"), until)))
     return rows.withColumn("feature_date", F.date_add(F.lit(lo), F.col("i") * step))
 
 
-def _read_off(rows: DataFrame, inputs: Inputs, lookback: int | None) -> DataFrame:
+def _read_off(rows: DataFrame, inputs: Inputs, lookback: int | None, texts: list[str] | None) -> DataFrame:
     """The features of a date from its totals and carried values."""
     date = F.col("feature_date")
 
@@ -296,8 +325,13 @@ def _read_off(rows: DataFrame, inputs: Inputs, lookback: int | None) -> DataFram
         return ratio(total(part, far), total(n, far))
 
     def within(name: str, far: int) -> Column:
-        at = F.col(name)["at"]
-        return F.when(whole_days(date, at) <= far, F.col(name)["value"])
+        at, value = dated_parts(F.col(name))
+        return F.when(whole_days(date, at) <= far, value)
+
+    def health() -> Column:
+        if texts is not None:
+            return F.get(F.array(*map(F.lit, texts)).cast("array<string>"), within("_health", WEEK) - 1)
+        return F.when(whole_days(date, F.col("_health")["at"]) <= WEEK, F.col("_health")["value"])
 
     def age(name: str) -> Column:
         days = whole_days(date, F.col(name))
@@ -329,7 +363,7 @@ def _read_off(rows: DataFrame, inputs: Inputs, lookback: int | None) -> DataFram
     if inputs.status is not None:
         found |= {
             "battery_cycle_times_last": within("_cycles", WEEK),
-            "battery_health_last": within("_health", WEEK),
+            "battery_health_last": health(),
             "avg_battery_soc_7d": mean("avg_battery_soc", "soc_n", WEEK),
         }
     return rows.withColumns(found)

@@ -202,3 +202,12 @@ def test_newest_int(spark):
     for keep, first in ((True, None), (False, 5)):
         got = dict(df.groupBy("k").agg(newest_int(F.col("at"), F.col("v"), keep).alias("v")).collect())
         assert got == {1: first, 2: -(2**31), 3: 2**31 - 1, 4: None, 5: 0}
+
+
+def test_changes_are_summed_by_hash_before_they_are_ordered(inputs):
+    """What is ordered has a row per device and date of a change, not one per day, window and end."""
+    rows = weekly_features(inputs([mission(-3), mission(-2)], [event(-2)], [poll(-2, 50)]), D, D + DAY * 20)
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    above = plan[plan.index("Window"):plan.index("Generate inline")]
+    assert "HashAggregate(keys=[serial_number" in above.replace("ObjectHashAggregate", "")
+    assert "SortAggregate" not in plan
