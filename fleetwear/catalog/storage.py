@@ -30,6 +30,7 @@ from fleetwear.sources import (
 
 PAGE_ROWS = 1000
 PAGES_PER_FILE = 100
+CODEC = "lz4"  # of the documents written here
 
 
 def _with(*parts: str) -> str:
@@ -144,28 +145,32 @@ def status_records(t: Tables) -> DataFrame:
     )
 
 
-def _nest(records: DataFrame, rows: int, name: str) -> DataFrame:
-    """Arrays of at most ``rows`` consecutive records, numbered by ``page``."""
-    record = F.struct(*records.columns).alias("rec")
-    page = F.floor(F.monotonically_increasing_id() / rows).alias("page")
-    paged = records.select(page, record)
-    return paged.groupBy("page").agg(F.collect_list("rec").alias(name))
+def _dealt(records: DataFrame, rows: int, name: str) -> DataFrame:
+    """Records as ``rec``, ``rows`` consecutive ones under one number, and about as many tasks as numbers.
+
+    Dealt out before they are gathered: a map task that gathered for itself
+    would hold all of its records at once.
+    """
+    number = F.floor(F.monotonically_increasing_id() / PAGE_ROWS)
+    tasks = max(1, -(-records.count() // rows))
+    numbered = records.select(number.alias("page"), F.struct(*records.columns).alias("rec"))
+    return numbered.withColumn(name, F.floor(F.col("page") / (rows // PAGE_ROWS))).repartition(tasks, name)
 
 
 def _write_documents(docs: DataFrame, path: str) -> None:
-    docs.write.option("maxRecordsPerFile", 1).json(path)
+    docs.write.option("maxRecordsPerFile", 1).option("compression", CODEC).json(path)
 
 
 def write_envelopes(records: DataFrame, path: str) -> None:
-    docs = _nest(records, PAGE_ROWS * PAGES_PER_FILE, "data")
+    docs = _dealt(records, PAGE_ROWS * PAGES_PER_FILE, "file").groupBy("file").agg(F.collect_list("rec").alias("data"))
     _write_documents(docs.select(F.struct(F.lit("v1").alias("schema")).alias("_meta"), "data"), path)
 
 
 def write_paged(records: DataFrame, path: str, items: str) -> None:
-    pages = _nest(records, PAGE_ROWS, items)
+    dealt = _dealt(records, PAGE_ROWS * PAGES_PER_FILE, "file")
+    pages = dealt.groupBy("file", "page").agg(F.collect_list("rec").alias(items))
     page = F.struct(items, F.col("page").alias("number")).alias("one")
-    files = pages.select(F.floor(F.col("page") / PAGES_PER_FILE).alias("file"), page)
-    _write_documents(files.groupBy("file").agg(F.collect_list("one").alias("data")).drop("file"), path)
+    _write_documents(pages.select("file", page).groupBy("file").agg(F.collect_list("one").alias("data")).drop("file"), path)
 
 
 # -------------------------------------------------------------- oracle texts

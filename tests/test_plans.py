@@ -68,3 +68,20 @@ def test_no_cross_join_and_no_python(spark, key):
     text = plan(entry.queries()[key](spark, FOLDER))
     for bad in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonUDF", "ArrowEvalPython"):
         assert bad not in text
+
+
+@pytest.mark.parametrize("write", ["envelopes", "paged"])
+def test_records_are_gathered_into_documents_after_they_are_dealt_out(spark, monkeypatch, write):
+    """A map task holds no documents, and records are shuffled once."""
+    from fleetwear.catalog import storage
+
+    seen = []
+    monkeypatch.setattr(storage, "_write_documents", lambda docs, path: seen.append(docs))
+    records = spark.range(2500).select(F.col("id").cast("string"))
+    storage.write_envelopes(records, "x") if write == "envelopes" else storage.write_paged(records, "x", "items")
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+    assert "ObjectHashAggregate" not in plan[plan.index("Exchange"):]
+    found = seen[0].select(F.explode("data").alias("x"))
+    found = found.select("x.id") if write == "envelopes" else found.select(F.explode("x.items").alias("r")).select("r.id")
+    assert sorted(int(r[0]) for r in found.collect()) == list(range(2500))
