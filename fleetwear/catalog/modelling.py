@@ -299,11 +299,15 @@ def _fit_gbt(train):
 _models: dict[tuple[str, str], models.Fitted] = {}
 
 
-def _boosted(t) -> models.Fitted:
-    """The boosted model of a folder, fitted once an application: several queries ask about the same one."""
+def _boosted(t, rows=None) -> models.Fitted:
+    """The boosted model of a folder, fitted once an application: several queries ask about the same one.
+
+    ``rows`` is the matrix where the query has staged it already.
+    """
     key = (t.spark.sparkContext.applicationId, t.folder)
     if key not in _models:
-        _models[key] = _fit_gbt(_split(t)[0])
+        train, _ = prepare.temporal_split(_matrix(t) if rows is None else rows)
+        _models[key] = _fit_gbt(train)
     return _models[key]
 
 
@@ -324,8 +328,9 @@ def lr_gradient(t):
 
 @query("gbt_scores")
 def gbt_scores(t):
-    train, test = _split(t)
-    return models.score(_fit_gbt(train), test).select(*KEYS, LABEL, "score", "predicted")
+    rows = _matrix(t)
+    _, test = prepare.temporal_split(rows)
+    return models.score(_boosted(t, rows), test).select(*KEYS, LABEL, "score", "predicted")
 
 
 _FACTS = _with(GOLD, _SPLIT) + f"""select name as model, serial_number, feature_date, {LABEL},
@@ -336,8 +341,9 @@ from marked, (values ('Logistic Regression'), ('Gradient Boosting')) m(name) whe
 @query("model_facts", _FACTS)
 def model_facts(t):
     """What must hold for the scores of both classifiers, row by row."""
-    train, test = _split(t)
-    boosted = _boosted(t)
+    rows = _matrix(t)
+    train, test = prepare.temporal_split(rows)
+    boosted = _boosted(t, rows)
     total = sum(w for _, w in models.importance(boosted))
     parts = [
         models.score(fitted, test).select(
@@ -359,13 +365,15 @@ def top_importance(t):
 
 @query("risk_surface")
 def risk_surface(t):
-    return models.risk_surface(_boosted(t), _matrix(t), KEYS)
+    rows = _matrix(t)
+    return models.risk_surface(_boosted(t, rows), rows, KEYS)
 
 
 @query("model_comparison")
 def model_comparison(t):
-    train, test = _split(t)
-    fitted = {"Logistic Regression": _fit_lr(train), "Gradient Boosting": _boosted(t)}
+    rows = _matrix(t)
+    train, test = prepare.temporal_split(rows)
+    fitted = {"Logistic Regression": _fit_lr(train), "Gradient Boosting": _boosted(t, rows)}
     return models.compare(fitted, test, LABEL)
 
 
@@ -383,8 +391,9 @@ def _off(a: str, b: str):
 from marked where is_test""")
 def gbt_replay(t):
     """Scores of the test rows less those that the stored node table gives."""
-    fitted = _boosted(t)
-    scored = models.score(fitted, _split(t)[1])
+    rows = _matrix(t)
+    fitted = _boosted(t, rows)
+    scored = models.score(fitted, prepare.temporal_split(rows)[1])
     return models.replay(models.node_table(fitted), scored).select(*KEYS, LABEL, _off("score", "replayed"))
 
 
@@ -432,7 +441,8 @@ def gbt_importance(t):
 @query("risk_replay", _with(GOLD) + "select serial_number, feature_date, 0.0::double as difference, true as strongest from gold")
 def risk_replay(t):
     """The risk surface of all rows follows from the node table: scores, and which two columns are shown."""
-    fitted, rows = _boosted(t), _matrix(t)
+    rows = _matrix(t)
+    fitted = _boosted(t, rows)
     nodes = models.node_table(fitted)
     filled = models.replay(nodes, prepare.impute(rows, fitted.fills)).select(*KEYS, "replayed", *MODEL_COLUMNS)
     ranked = models.importance_of(nodes).orderBy(F.desc("importance"), "column_name").limit(2)
@@ -456,8 +466,9 @@ def _area(scored, label):
 @query("comparison_check", "select unnest(['Logistic Regression', 'Gradient Boosting']) as model, 0.0::double as difference")
 def comparison_check(t):
     """Areas of the model comparison less those of another evaluator."""
-    train, test = _split(t)
-    fitted = {"Logistic Regression": _fit_lr(train), "Gradient Boosting": _boosted(t)}
+    rows = _matrix(t)
+    train, test = prepare.temporal_split(rows)
+    fitted = {"Logistic Regression": _fit_lr(train), "Gradient Boosting": _boosted(t, rows)}
     other = [(name, _area(models.score(f, test), LABEL)) for name, f in fitted.items()]
     told = models.compare(fitted, test, LABEL)
     return told.join(t.spark.createDataFrame(other, "model string, area double"), "model").select("model", _off("roc_auc", "area"))

@@ -85,3 +85,15 @@ def test_records_are_gathered_into_documents_after_they_are_dealt_out(spark, mon
     found = seen[0].select(F.explode("data").alias("x"))
     found = found.select("x.id") if write == "envelopes" else found.select(F.explode("x.items").alias("r")).select("r.id")
     assert sorted(int(r[0]) for r in found.collect()) == list(range(2500))
+
+
+def test_a_boosting_query_stages_its_matrix_once(spark, monkeypatch):
+    from fleetwear.catalog import modelling
+
+    staged, build = [], modelling._matrix
+    monkeypatch.setattr(modelling, "_models", {})
+    monkeypatch.setattr(modelling, "_matrix", lambda t: staged.append(t) or build(t))
+    monkeypatch.setattr(modelling, "_fit_gbt", lambda train: None)
+    monkeypatch.setattr(modelling.models, "risk_surface", lambda fitted, rows, keys: rows)
+    QUERIES["risk_surface"](spark, FOLDER)
+    assert len(staged) == 1
