@@ -6,6 +6,7 @@ from fleetwear.functions.columns import (
     model_line,
     narrow_int,
     newest_int,
+    newest_int_of_day,
     newest_text,
     parse_ts,
     place_of,
@@ -26,6 +27,7 @@ __all__ = [
     "model_line",
     "narrow_int",
     "newest_int",
+    "newest_int_of_day",
     "newest_text",
     "parse_ts",
     "place_of",

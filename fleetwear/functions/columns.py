@@ -99,6 +99,32 @@ def newest_int(at: Column, value: Column, keep_null: bool) -> Column:
     return F.when(low > 0, low - F.lit((1 << 31) + 1)).cast("int")
 
 
+_DAY_MICROS = 86_400_000_000
+_NEAR = 1 << 26  # room beside the microseconds of a day in a long
+
+
+def newest_int_of_day(at: Column, value: Column, keep_null: bool) -> Column:
+    """Aggregate: ``newest_int`` where all rows of a group have the same date.
+
+    Time of day and value share one long as long as the value has 25 bits; only
+    larger values, which readings rarely are, take the decimal.
+    """
+    epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    since = F.pmod(F.timestamp_diff("MICROSECOND", epoch, at.cast("timestamp_ntz")), F.lit(_DAY_MICROS))
+    number = value.cast("long")
+    fits = number.between(1 - _NEAR // 2, _NEAR // 2 - 1)
+    near = F.max(F.when(F.coalesce(fits, F.lit(keep_null)), since * F.lit(_NEAR) + F.coalesce(number + F.lit(_NEAR // 2), F.lit(0))))
+    near_at, low = F.shiftright(near, 26), near.bitwiseAND(F.lit(_NEAR - 1))
+    near_value = F.when(low > 0, low - F.lit(_NEAR // 2))
+    span = F.lit(_SPAN).cast("decimal(11,0)")
+    shifted = (number + F.lit((1 << 31) + 1)).cast("decimal(11,0)")
+    far = F.max(F.when(~fits, since.cast("decimal(20,0)") * span + shifted))
+    far_value = F.pmod(far, span).cast("long") - F.lit((1 << 31) + 1)
+    far_at = F.floor(far / span).cast("long")
+    later = near.isNull() | (far_at > near_at) | (far_at == near_at) & F.coalesce(far_value > near_value, F.lit(True))
+    return F.when(far.isNull(), near_value).when(later, far_value).otherwise(near_value).cast("int")
+
+
 def dated_int(day: Column, value: Column, keep_null: bool) -> Column:
     """``latest_part`` of a date and an int as one long, which aggregates by hash; ``dated_parts`` takes it apart."""
     code = F.unix_date(day).cast("long") * F.lit(_SPAN) + F.coalesce(value.cast("long") + F.lit((1 << 31) + 1), F.lit(0))

@@ -34,7 +34,7 @@ from fleetwear.functions import (
     dated_int,
     dated_parts,
     latest_part,
-    newest_int,
+    newest_int_of_day,
     newest_text,
     place_of,
     ratio,
@@ -86,7 +86,7 @@ def usage_daily(usage: DataFrame, keep_null: bool = True) -> DataFrame:
         F.sum(drop).cast("double").alias("drop_sum"),
         F.count(drop).alias("drop_n"),
         *[
-            newest_int(F.col("start_time"), F.col(c), keep_null).alias(name)
+            newest_int_of_day(F.col("start_time"), F.col(c), keep_null).alias(name)
             for name, c in _LATEST_USAGE.items()
         ],
     )
@@ -112,11 +112,11 @@ def status_daily(status: DataFrame, keep_null: bool = True, texts: list[str] | N
     soc = F.col("battery_soc")
     health = (
         newest_text(status, at, "battery_health", keep_null) if texts is None
-        else newest_int(at, place_of(F.col("battery_health"), texts), keep_null)
+        else newest_int_of_day(at, place_of(F.col("battery_health"), texts), keep_null)
     )
     return status.groupBy("serial_number", F.to_date("poll_ts").alias("day")).agg(
         ratio(F.sum(soc), F.count(soc)).alias("avg_battery_soc"),
-        newest_int(at, F.col("battery_cycle_times"), keep_null).alias("battery_cycle_times"),
+        newest_int_of_day(at, F.col("battery_cycle_times"), keep_null).alias("battery_cycle_times"),
         health.alias("battery_health"),
     )
 
@@ -266,15 +266,15 @@ def _steps(
     # Windows that begin or end at the same distance share a row of the day.
     kinds: dict[int, set[int]] = {}
     for span in windows:
-        for days in (span.start, span.far + 1):
-            kinds.setdefault(days, set()).add(span.kind)
+        kinds.setdefault(span.kind, set()).update((span.start, span.far + 1))
 
     def at(days: int) -> Column:
         i = F.greatest(index(days), F.lit(0))
-        when = kind.isin(sorted(kinds[days])) & (i <= last_i)
-        return F.when(when, F.struct(i.alias("i"), F.lit(days).alias("shift")))
+        return F.struct(F.when(i <= last_i, i).alias("i"), F.lit(days).alias("shift"))
 
-    rows = daily.select("*", F.inline(F.array_compact(F.array(*map(at, sorted(kinds))))))
+    # An array of its own for each kind, and a plain filter: with a higher-order function Spark would not compile this step.
+    ends = F.coalesce(*[F.when(kind == k, F.array(*map(at, sorted(kinds[k])))) for k in sorted(kinds)])
+    rows = daily.select("*", F.inline(ends)).where(F.col("i").isNotNull())
 
     def change(span: _Span, part: str) -> Column:
         held = (kind == span.kind) & (F.greatest(index(span.start), F.lit(0)) < index(span.far + 1))

@@ -211,3 +211,27 @@ def test_changes_are_summed_by_hash_before_they_are_ordered(inputs):
     above = plan[plan.index("Window"):plan.index("Generate inline")]
     assert "HashAggregate(keys=[serial_number" in above.replace("ObjectHashAggregate", "")
     assert "SortAggregate" not in plan
+
+
+def test_newest_int_of_day_equals_newest_int(spark):
+    from fleetwear.functions import newest_int, newest_int_of_day
+
+    values = [None, 0, -1, 7, (1 << 25) - 1, 1 << 25, -(1 << 25), 1 - (1 << 25), 2**31 - 1, -(2**31)]
+    times = ["00:00:00", "00:00:00.000001", "12:30:00", "23:59:59.999999"]
+    rows = [
+        (i, f"{day} {at}", v) for i, (a, b, c) in enumerate((a, b, c) for a in values for b in values for c in values)
+        for day in (("1969-12-30", "2024-02-29")[i % 2],)
+        for at, v in ((times[i % 4], a), (times[i % 4], b), (times[i // 4 % 4], c))
+    ]
+    df = spark.createDataFrame(rows, "k int, at string, v int").withColumn("at", F.col("at").cast("timestamp_ntz"))
+    for keep in (True, False):
+        both = df.groupBy("k").agg(
+            newest_int(F.col("at"), F.col("v"), keep).alias("a"), newest_int_of_day(F.col("at"), F.col("v"), keep).alias("b")
+        )
+        assert both.where(~F.col("a").eqNullSafe(F.col("b"))).isEmpty()
+
+
+def test_changes_are_made_in_compiled_code(inputs):
+    rows = weekly_features(inputs([mission(-3), mission(-2)], [event(-2)], [poll(-2, 50)]), D, D + DAY * 20)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "inline(" in plan and "lambda" not in plan
