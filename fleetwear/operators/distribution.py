@@ -30,8 +30,11 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    counts = value_counts(long_form(df, cols), F.col("value"), ["column_name"])
-    return quantiles(counts, [0.5], ["median"], ["column_name"])
+    """(column_name, median); columns go by their place while values are counted, names are longer than the values."""
+    pairs = [F.struct(F.lit(i).alias("place"), F.col(c).cast("double").alias("value")) for i, c in enumerate(cols)]
+    counts = value_counts(df.select(F.inline(F.array(*pairs))), F.col("value"), ["place"])
+    name = F.get(F.array(*map(F.lit, cols)), F.col("place"))
+    return quantiles(counts, [0.5], ["median"], ["place"]).select(name.alias("column_name"), "median")
 
 
 def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:

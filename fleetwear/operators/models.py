@@ -66,8 +66,8 @@ def with_class_weight(df: DataFrame, label: str) -> DataFrame:
 
 
 def _held(df: DataFrame, rows: int) -> DataFrame:
-    """Persisted in partitions of a useful size."""
-    return df.coalesce(max(1, -(-rows // ROWS_A_PARTITION))).persist(StorageLevel.MEMORY_AND_DISK)
+    """Persisted in partitions of a useful size, on disk: a fit reads it a few times and holds its own form of it in memory."""
+    return df.coalesce(max(1, -(-rows // ROWS_A_PARTITION))).persist(StorageLevel.DISK_ONLY)
 
 
 def _checkpoints(df: DataFrame) -> None:

@@ -244,3 +244,12 @@ def test_newest_text_by_code_and_without(spark, monkeypatch):
     plain = df.groupBy("k").agg(newest_text(df, F.col("at"), "v", True).alias("v"))
     assert columns.codes(df, "v") is None
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, df.groupBy("k").agg(F.max(latest_part(F.col("at"), F.col("v"), True))["value"].alias("v")).collect()))
+
+
+def test_medians_count_values_by_the_place_of_a_column(spark):
+    from fleetwear.operators.distribution import medians
+
+    df = spark.createDataFrame([(1.0, 4, None), (3.0, None, None), (8.0, 7, None)], "a double, `b c` int, d double")
+    found = medians(df.withColumnRenamed("b c", "b"), ["b", "a", "d"])
+    assert {r["column_name"]: r["median"] for r in found.collect()} == {"a": 3.0, "b": 5.5}
+    assert "hashpartitioning(column_name" not in found._jdf.queryExecution().executedPlan().toString()

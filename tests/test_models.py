@@ -120,3 +120,11 @@ def test_replay_follows_the_node_table(split):
     found = {r["column_name"]: r["importance"] for r in models.importance_of(nodes).collect()}
     assert all(found.get(c, 0.0) == pytest.approx(told[c], abs=1e-12) for c in COLS)
     assert {c for c, v in told.items() if v} == set(found)
+
+
+def test_rows_of_a_fit_are_held_on_disk_only(matrix):
+    held = models._held(matrix, 2000)
+    try:
+        assert held.storageLevel.useDisk and not held.storageLevel.useMemory
+    finally:
+        held.unpersist()
