@@ -30,6 +30,7 @@ ROUNDS, DEPTH, STEP, LEAF, SAMPLE = 200, 3, 0.05, 5, 0.8
 MAX_ITER = 1000
 TOLERANCE = 1e-8
 ROWS_A_PARTITION = 100_000
+ROWS_AT_ONCE = 50_000_000  # of fits that run side by side
 CHECKPOINT_EVERY = 25  # rounds
 
 WEIGHT = "class_weight"
@@ -148,13 +149,15 @@ def out_of_fold(fit, folded: DataFrame, label: str, keys: Sequence[str] = (), k:
 
     ``fit`` is called once a fold with the rows of the others, so preparation,
     class weights and penalty too come from rows that the model scores none of.
-    Fits run side by side; all folds are scored in one job.
+    Fits run side by side while their rows together are few: each holds its own
+    in memory, and many rows keep all cores busy with one fit. All folds are
+    scored in one job.
     """
     def one(i: int) -> DataFrame:
         scored = score(fit(folded.where(F.col("fold") != i)), folded.where(F.col("fold") == i))
         return scored.select(*keys, label, "fold", "score")
 
-    with ThreadPoolExecutor(k) as pool:
+    with ThreadPoolExecutor(max(1, min(k, ROWS_AT_ONCE // max(1, folded.count())))) as pool:
         parts = list(pool.map(inheritable_thread_target(folded.sparkSession)(one), range(k)))
     return stage(reduce(DataFrame.unionByName, parts), "out-of-fold")
 

@@ -128,3 +128,19 @@ def test_rows_of_a_fit_are_held_on_disk_only(matrix):
         assert held.storageLevel.useDisk and not held.storageLevel.useMemory
     finally:
         held.unpersist()
+
+
+def test_fits_of_many_rows_run_one_after_the_other(matrix, monkeypatch):
+    folded = prepare.stratified_folds(matrix, "label", ["id"], k=3).cache()
+    running, most = [], []
+
+    def fit(rows):
+        running.append(1)
+        most.append(len(running))
+        found = models.fit_lr(rows, COLS, "label")
+        running.pop()
+        return found
+
+    monkeypatch.setattr(models, "ROWS_AT_ONCE", 3000)
+    assert models.out_of_fold(fit, folded, "label", k=3).count() == 2000
+    assert max(most) == 1
