@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetwear.functions import ratio
 from fleetwear.operators.ordered import beside_quantiles, quantiles, value_counts
+from fleetwear.session import stage
 
 WHISKER = 1.5  # fixed value: whisker reach in interquartile ranges
 
@@ -29,12 +30,40 @@ def describe(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """(column_name, median); columns go by their place while values are counted, names are longer than the values."""
+def _by_place(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Value counts; columns go by their place, names are longer than the values."""
     pairs = [F.struct(F.lit(i).alias("place"), F.col(c).cast("double").alias("value")) for i, c in enumerate(cols)]
-    counts = value_counts(df.select(F.inline(F.array(*pairs))), F.col("value"), ["place"])
+    return value_counts(df.select(F.inline(F.array(*pairs))), F.col("value"), ["place"])
+
+
+def medians(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """(column_name, median)."""
     name = F.get(F.array(*map(F.lit, cols)), F.col("place"))
-    return quantiles(counts, [0.5], ["median"], ["place"]).select(name.alias("column_name"), "median")
+    return quantiles(_by_place(df, cols), [0.5], ["median"], ["place"]).select(name.alias("column_name"), "median")
+
+
+def cut_points(df: DataFrame, cols: Sequence[str], bins: int) -> tuple[dict[str, float], dict[str, list[float]]]:
+    """Exact median of each column with values, and where to cut it into at most ``bins`` bins of like size.
+
+    A column of no more distinct values is cut between them all. Cuts lie below
+    the largest value, and a value that equals one is in the bin below it.
+    """
+    counts = stage(_by_place(df, cols), "value-counts")
+    points = [0.5, *(i / bins for i in range(1, bins))]
+    names = [f"q{i}" for i in range(bins)]
+    value = F.col("value")
+    found = quantiles(counts, points, names, ["place"], most=F.max(value), distinct=F.count(value)).collect()
+    few = [r["place"] for r in found if r["distinct"] <= bins]
+    seen: dict[int, list[float]] = {}
+    for r in counts.where(F.col("place").isin(few)).collect():  # at most bins a column
+        seen.setdefault(r["place"], []).append(r["value"])
+    middle, cuts = {}, {c: [] for c in cols}
+    for r in found:
+        middle[cols[r["place"]]] = r["q0"]
+        own = sorted(seen.get(r["place"], []))
+        at = [a + (b - a) / 2 for a, b in zip(own, own[1:])] if own else sorted({r[n] for n in names[1:] if r[n] < r["most"]})
+        cuts[cols[r["place"]]] = at
+    return middle, cuts
 
 
 def histogram(df: DataFrame, value: Column, bins: int) -> DataFrame:

@@ -14,15 +14,16 @@ from functools import reduce
 
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
-from fleetwear.operators import prepare
+from fleetwear.operators import boosting, prepare
+from fleetwear.operators.distribution import cut_points
 from fleetwear.operators.evaluate import ranking_summary, roc_auc
-from fleetwear.session import scratch_path, shared_folder, stage
+from fleetwear.session import scratch_path, stage
 
 SEED = 42
 # Boosting rounds, depth, step, leaf size, row sample.
@@ -31,7 +32,7 @@ MAX_ITER = 1000
 TOLERANCE = 1e-8
 ROWS_A_PARTITION = 100_000
 ROWS_AT_ONCE = 50_000_000  # of fits that run side by side
-CHECKPOINT_EVERY = 25  # rounds
+BINS = 32  # of a column when trees are grown
 
 WEIGHT = "class_weight"
 
@@ -71,13 +72,6 @@ def _held(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(max(1, -(-rows // ROWS_A_PARTITION))).persist(StorageLevel.DISK_ONLY)
 
 
-def _checkpoints(df: DataFrame) -> None:
-    """Long boosting cuts its lineage in the folder all executors share."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(f"{shared_folder(df.sparkSession)}/fleetwear")
-
-
 def fit_lr(train: DataFrame, cols: Sequence[str], label: str) -> Fitted:
     """Impute, scale, logistic regression with balanced classes. The weights sum
     up to the row count, so unit penalty on the summed loss is 1 / rows on
@@ -98,17 +92,11 @@ def fit_lr(train: DataFrame, cols: Sequence[str], label: str) -> Fitted:
 
 def fit_gbt(train: DataFrame, cols: Sequence[str], label: str, rounds: int = ROUNDS) -> Fitted:
     """Impute, boosted trees."""
-    _checkpoints(train)
-    fills = prepare.fit_medians(train, cols)
-    ready = _held(_vectors(prepare.impute(train, fills), cols).select("features", label), train.count())
-    clf = GBTClassifier(
-        labelCol=label, maxIter=rounds, maxDepth=DEPTH, stepSize=STEP, minInstancesPerNode=LEAF,
-        subsamplingRate=SAMPLE, seed=SEED, checkpointInterval=CHECKPOINT_EVERY,
-    )
-    try:
-        return Fitted(clf.fit(ready), tuple(cols), fills)
-    finally:
-        ready.unpersist()
+    found, cuts = cut_points(train, cols, BINS)
+    fills = {c: found.get(c) or 0.0 for c in cols}
+    told = boosting.Settings(rounds, DEPTH, STEP, LEAF, SAMPLE, SEED)
+    trees = boosting.grow(prepare.impute(train, fills), cols, label, cuts, train.count(), told)
+    return Fitted(boosting.as_model(trees, cols, label, cuts, told, train.sparkSession), tuple(cols), fills)
 
 
 def score(fitted: Fitted, df: DataFrame, threshold: float = 0.5) -> DataFrame:
