@@ -39,17 +39,22 @@ def gold(t):
     return rounded(weekly_features(all_inputs(t), FIRST, LAST))
 
 
+def labels(t):
+    """The rows of ``gold`` with their labels only."""
+    return weekly_features(all_inputs(t), FIRST, LAST, columns=[*KEYS, LABEL])
+
+
 @query("class_balance", _with(GOLD) + f"""select {LABEL}, count(*) as n,
   count(*) * 100::double / sum(count(*)) over () as pct from gold group by 1""")
 def class_balance(t):
-    return profile.share(gold(t), [LABEL])
+    return profile.share(labels(t), [LABEL])
 
 
 @query("positive_rate", _with(GOLD) + f"""select serial_number, feature_date, avg({LABEL}) as positive_rate
 from gold group by grouping sets ((serial_number), (feature_date))""")
 def positive_rate(t):
     serial, date = F.col("serial_number"), F.col("feature_date")
-    sets = gold(t).groupingSets([[serial], [date]], serial, date)
+    sets = labels(t).groupingSets([[serial], [date]], serial, date)
     return sets.agg(F.avg(LABEL).alias("positive_rate"))
 
 
@@ -65,7 +70,7 @@ def gold_postprocess(t):
 
 @query("temporal_split", _with(GOLD, _SPLIT) + f"select serial_number, feature_date, {LABEL}, is_test from marked")
 def temporal_split(t):
-    return prepare.with_split(gold(t)).select(*KEYS, LABEL, "is_test")
+    return prepare.with_split(stage(labels(t), "labels")).select(*KEYS, LABEL, "is_test")
 
 
 _READY = f"""ready as (select * exclude (battery_health_last, brush_residual_last, filter_residual_last,
@@ -116,7 +121,7 @@ def null_profile(t):
 @query("stratified_folds", _with(GOLD, f"sizes as (select {LABEL}, count(*) as n from gold group by 1)") + f"""
 select {LABEL}, f::int as fold, n // 5 + (f < n % 5)::int as n_rows from sizes, range(5) r(f)""")
 def stratified_folds(t):
-    folded = prepare.stratified_folds(stage(gold(t), "gold"), LABEL, KEYS)
+    folded = prepare.stratified_folds(stage(labels(t), "labels"), LABEL, KEYS)
     return profile.profile(folded, [LABEL, "fold"], n_rows=F.count(F.lit(1)))
 
 
@@ -236,7 +241,7 @@ def threshold_holdout(t):
 from gold, (select max(l_shipdate::date) as reached from lineitem where l_returnflag = 'R')""")
 def label_frontier(t):
     reached = prepare.frontier(maintenance(t), "completed_at")
-    return prepare.with_label_complete(gold(t), reached).select(*KEYS, LABEL, "label_complete")
+    return prepare.with_label_complete(labels(t), reached).select(*KEYS, LABEL, "label_complete")
 
 
 @query("complete_split", _with(GOLD, """known as (
@@ -245,7 +250,7 @@ def label_frontier(t):
   + f"select serial_number, feature_date, {LABEL}, feature_date >= cutoff as is_test from known, cut")
 def complete_split(t):
     """Training and test rows when labels that are not decided yet are left out of both."""
-    rows = prepare.with_label_complete(gold(t), prepare.frontier(maintenance(t), "completed_at"))
+    rows = prepare.with_label_complete(stage(labels(t), "labels"), prepare.frontier(maintenance(t), "completed_at"))
     return prepare.with_split(rows.where("label_complete")).select(*KEYS, LABEL, "is_test")
 
 

@@ -23,8 +23,8 @@ bits; where a window holds no mission, its area is 0 all the same.
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable
-from dataclasses import dataclass
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -189,38 +189,68 @@ def _features(
     lookback: int | None,
     keep_null: bool,
     only: Callable[[str], Column] | None = None,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """Features on ``lo, lo + step .. hi``, of these only where ``only`` holds of the date.
 
+    With ``columns`` only these are built: a table that none of them needs is not
+    read, and a day is changed into rows for their windows only.
+
     ``near`` is 0 if the feature date itself belongs to the windows, else 1.
     A device must have missions in the 90 days back, and, if ``ahead`` is
     positive, an ``active`` day within the date and ``ahead`` days after it.
     """
+    names = list(columns or inputs.names())
+    inputs = _needed(inputs, names)
     texts = codes(inputs.status, "battery_health") if inputs.status is not None else None
     daily = _daily(inputs, lo, hi, lookback, keep_null, texts)
     daily = daily.withColumn("active", F.when(active, F.col("missions")))
-    windows = _windows(inputs, near, ahead)
-    steps = _steps(daily, windows, inputs, lo, hi, step, near, keep_null, texts is not None)
+    windows = _windows(inputs, near, ahead, step, names)
+    steps = _steps(daily, windows, inputs, lo, hi, step, near, keep_null, texts is not None, names)
     rows = _running(steps, windows, lo, hi, step)
     if only is not None:
         rows = rows.where(only("feature_date"))
-    return _read_off(rows, inputs, lookback, texts).select(*inputs.names())
+    return _read_off(rows, inputs, lookback, texts, names).select(*names)
+
+
+def _needed(inputs: Inputs, names: Sequence[str]) -> Inputs:
+    """The tables that the columns come from; the missions always tell the active devices."""
+    served = {*MAINTENANCE_FEATURES, LABEL} & set(names)
+    return Inputs(
+        inputs.usage, inputs.maintenance if served else None, inputs.status if {*STATUS_FEATURES} & set(names) else None
+    )
 
 
 @dataclass(frozen=True)
 class _Span:
-    """A window: days of one kind from ``start`` to ``far`` days before the feature date, and what is summed in it."""
+    """A window: days of one kind from ``start`` to ``far`` days before the feature date, and what is summed in it.
+
+    A ``whole`` window is as long as the distance of two feature dates: what enters
+    at a date is all it holds there, and nothing needs to leave it.
+    """
 
     kind: int
     start: int
     far: int
     parts: tuple[str, ...]
+    whole: bool = False
 
     def total(self, part: str) -> str:
         return f"_{part}_{self.start}_{self.far}"
 
 
-def _windows(inputs: Inputs, near: int, ahead: int) -> list[_Span]:
+# Features that are read off the windows of each length.
+_READ = {
+    (MISSION, WEEK): ("missions_7d", "avg_completion_7d"),
+    (MISSION, RECENT): ("missions_30d", "area_30d", "avg_completion_30d", "avg_battery_drop_30d"),
+    (SERVICE, RECENT): ("maint_count_30d", "downtime_30d"),
+    (SERVICE, LONGEST): ("maint_count_90d", "failure_count_90d", "corrective_count_90d"),
+    (SERVICE, -1): (LABEL,),
+    (POLL, WEEK): ("avg_battery_soc_7d",),
+}
+
+
+def _windows(inputs: Inputs, near: int, ahead: int, step: int, names: Sequence[str]) -> list[_Span]:
     found = [
         _Span(MISSION, near, WEEK, ("missions", "done_sum", "done_n")),
         _Span(MISSION, near, RECENT, ("missions", "area", "done_sum", "done_n", "drop_sum", "drop_n")),
@@ -236,24 +266,28 @@ def _windows(inputs: Inputs, near: int, ahead: int) -> list[_Span]:
         ]
     if inputs.status is not None:
         found.append(_Span(POLL, near, WEEK, ("avg_battery_soc", "soc_n")))
-    return found
+    if ahead + 1 == step:  # only dates with an active day of their own are asked for
+        found = [replace(x, whole=x.far + 1 - x.start == step) for x in found]
+    return [x for x in found if (x.kind, x.far) not in _READ or set(_READ[x.kind, x.far]) & set(names)]
 
 
-def _carried(inputs: Inputs, coded: bool) -> dict[str, tuple[int, Column, Column, bool]]:
+def _carried(inputs: Inputs, coded: bool, names: Sequence[str]) -> dict[str, tuple[int, Column, Column, bool]]:
     """What is carried along: kind, day and value (null for the day itself) of each name, and whether it is a number."""
-    found = {f"_{name}": (MISSION, F.col("day"), F.col(name), True) for name in _LATEST_USAGE}
+    found = {f"_{name}": (MISSION, F.col("day"), F.col(name), True) for name in _LATEST_USAGE if name in names}
     if inputs.status is not None:
         found["_cycles"] = (POLL, F.col("day"), F.col("battery_cycle_times"), True)
         found["_health"] = (POLL, F.col("day"), F.col("battery_health"), coded)
     if inputs.maintenance is not None:
-        found["_service"] = (SERVICE, F.col("day"), None, True)
-        found["_failure"] = (SERVICE, F.when(F.col("failures") > 0, F.col("day")), None, True)
+        if "days_since_last_maintenance" in names:
+            found["_service"] = (SERVICE, F.col("day"), None, True)
+        if "days_since_last_failure" in names:
+            found["_failure"] = (SERVICE, F.when(F.col("failures") > 0, F.col("day")), None, True)
     return found
 
 
 def _steps(
     daily: DataFrame, windows: list[_Span], inputs: Inputs, lo: dt.date, hi: dt.date, step: int, near: int,
-    keep_null: bool, coded: bool,
+    keep_null: bool, coded: bool, names: Sequence[str],
 ) -> DataFrame:
     """One row per device and feature date i at which a window gains or loses a day: the changes, and the newest values."""
     offset = F.date_diff(F.col("day"), F.lit(lo))
@@ -263,10 +297,13 @@ def _steps(
     def index(days: int) -> Column:
         return F.ceil((offset + days) / F.lit(step)).cast("int")
 
+    carried = _carried(inputs, coded, names)
     # Windows that begin or end at the same distance share a row of the day.
     kinds: dict[int, set[int]] = {}
     for span in windows:
-        kinds.setdefault(span.kind, set()).update((span.start, span.far + 1))
+        kinds.setdefault(span.kind, set()).update((span.start,) if span.whole else (span.start, span.far + 1))
+    for of, *_ in carried.values():
+        kinds.setdefault(of, set()).add(near)
 
     def at(days: int) -> Column:
         i = F.greatest(index(days), F.lit(0))
@@ -278,7 +315,9 @@ def _steps(
 
     def change(span: _Span, part: str) -> Column:
         held = (kind == span.kind) & (F.greatest(index(span.start), F.lit(0)) < index(span.far + 1))
-        came = F.when(held & (shift == span.start), F.col(part)).when(held & (shift == span.far + 1), -F.col(part))
+        came = F.when(held & (shift == span.start), F.col(part))
+        if not span.whole:
+            came = came.when(held & (shift == span.far + 1), -F.col(part))
         return F.sum(came).alias(span.total(part))
 
     def newest(of: int, day: Column, value: Column | None, number: bool) -> Column:
@@ -287,29 +326,38 @@ def _steps(
             return F.max(day)
         return F.max(dated_int(day, value, keep_null) if number else latest_part(day, value, keep_null))
 
-    carried = [newest(*parts).alias(name) for name, parts in _carried(inputs, coded).items()]
-    return rows.groupBy("serial_number", "i").agg(*[change(x, part) for x in windows for part in x.parts], *carried)
+    newest_values = [newest(*parts).alias(name) for name, parts in carried.items()]
+    return rows.groupBy("serial_number", "i").agg(*[change(x, part) for x in windows for part in x.parts], *newest_values)
 
 
 def _running(steps: DataFrame, windows: list[_Span], lo: dt.date, hi: dt.date, step: int) -> DataFrame:
     """Totals of every window and the newest carried values, at each feature date of a device with missions."""
     order = Window.partitionBy("serial_number").orderBy("i")
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = {x.total(part): F.coalesce(F.sum(x.total(part)).over(so_far), F.lit(0)) for x in windows for part in x.parts}
+
+    def held(x: _Span, part: str) -> Column:
+        return F.coalesce(F.col(x.total(part)) if x.whole else F.sum(x.total(part)).over(so_far), F.lit(0))
+
+    totals = {x.total(part): held(x, part) for x in windows for part in x.parts}
     carried = {c: F.max(c).over(so_far) for c in steps.columns if c not in ("serial_number", "i", *totals)}
+    once = any(x.whole for x in windows)  # a date has a row of its own or is not asked for
     rows = steps.select(
-        "serial_number", "i", F.lead("i").over(order).alias("next"),
+        "serial_number", "i", *([] if once else [F.lead("i").over(order).alias("next")]),
         *[c.alias(name) for name, c in (totals | carried).items()],
     )
-    until = F.coalesce(F.col("next") - 1, F.lit((hi - lo).days // step))
     seen = [F.col(x.total(p)) > 0 for x in windows for p in x.parts if p == "active" or p == "missions" and x.far == LONGEST]
+    if once:
+        return rows.where(seen[0] & seen[-1]).withColumn("feature_date", F.date_add(F.lit(lo), F.col("i") * step))
+    until = F.coalesce(F.col("next") - 1, F.lit((hi - lo).days // step))
     rows = rows.where((F.col("i") <= until) & seen[0] & seen[-1])
     rows = rows.withColumn("i", F.explode(F.sequence(F.col("i"), until)))
     return rows.withColumn("feature_date", F.date_add(F.lit(lo), F.col("i") * step))
 
 
-def _read_off(rows: DataFrame, inputs: Inputs, lookback: int | None, texts: list[str] | None) -> DataFrame:
-    """The features of a date from its totals and carried values."""
+def _read_off(
+    rows: DataFrame, inputs: Inputs, lookback: int | None, texts: list[str] | None, names: Sequence[str]
+) -> DataFrame:
+    """The named features of a date from its totals and carried values."""
     date = F.col("feature_date")
 
     def total(part: str, far: int) -> Column:
@@ -340,33 +388,27 @@ def _read_off(rows: DataFrame, inputs: Inputs, lookback: int | None, texts: list
         return F.coalesce(days, F.lit(NEVER))
 
     found = {
-        **{name: within(f"_{name}", LONGEST) for name in _LATEST_USAGE},
-        "missions_7d": count("missions", WEEK),
-        "missions_30d": count("missions", RECENT),
-        "area_30d": area(RECENT),
-        "area_90d": area(LONGEST),
-        "avg_completion_7d": mean("done_sum", "done_n", WEEK),
-        "avg_completion_30d": mean("done_sum", "done_n", RECENT),
-        "avg_battery_drop_30d": mean("drop_sum", "drop_n", RECENT),
+        **{name: lambda name=name: within(f"_{name}", LONGEST) for name in _LATEST_USAGE},
+        "missions_7d": lambda: count("missions", WEEK),
+        "missions_30d": lambda: count("missions", RECENT),
+        "area_30d": lambda: area(RECENT),
+        "area_90d": lambda: area(LONGEST),
+        "avg_completion_7d": lambda: mean("done_sum", "done_n", WEEK),
+        "avg_completion_30d": lambda: mean("done_sum", "done_n", RECENT),
+        "avg_battery_drop_30d": lambda: mean("drop_sum", "drop_n", RECENT),
+        "days_since_last_maintenance": lambda: age("_service"),
+        "days_since_last_failure": lambda: age("_failure"),
+        "maint_count_30d": lambda: count("services", RECENT),
+        "maint_count_90d": lambda: count("services", LONGEST),
+        "downtime_30d": lambda: count("downtime", RECENT),
+        "failure_count_90d": lambda: count("failures", LONGEST),
+        "corrective_count_90d": lambda: count("corrective", LONGEST),
+        LABEL: lambda: (total("failures", -1) > 0).cast("int"),
+        "battery_cycle_times_last": lambda: within("_cycles", WEEK),
+        "battery_health_last": health,
+        "avg_battery_soc_7d": lambda: mean("avg_battery_soc", "soc_n", WEEK),
     }
-    if inputs.maintenance is not None:
-        found |= {
-            "days_since_last_maintenance": age("_service"),
-            "days_since_last_failure": age("_failure"),
-            "maint_count_30d": count("services", RECENT),
-            "maint_count_90d": count("services", LONGEST),
-            "downtime_30d": count("downtime", RECENT),
-            "failure_count_90d": count("failures", LONGEST),
-            "corrective_count_90d": count("corrective", LONGEST),
-            LABEL: (total("failures", -1) > 0).cast("int"),
-        }
-    if inputs.status is not None:
-        found |= {
-            "battery_cycle_times_last": within("_cycles", WEEK),
-            "battery_health_last": health(),
-            "avg_battery_soc_7d": mean("avg_battery_soc", "soc_n", WEEK),
-        }
-    return rows.withColumns(found)
+    return rows.withColumns({name: found[name]() for name in names if name not in KEYS})
 
 
 # ------------------------------------------------------------ entry points
@@ -420,12 +462,13 @@ def weekly_features(
     hi: dt.date,
     lookback: int | None = None,
     keep_null: bool = False,
+    columns: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Features on every Monday whose week has a mission dated ``lo..hi``.
+    """Features on every Monday whose week has a mission dated ``lo..hi``; with ``columns`` only these.
 
     Windows end the day before the Monday; devices without a mission in the 90
     days before it are left out.
     """
     monday = lo - _DAY * lo.weekday()
     active = F.col("day").between(F.lit(lo), F.lit(hi))
-    return _features(inputs, monday, hi, WEEK, 1, WEEK - 1, active, lookback, keep_null)
+    return _features(inputs, monday, hi, WEEK, 1, WEEK - 1, active, lookback, keep_null, columns=columns)

@@ -97,3 +97,32 @@ def test_a_boosting_query_stages_its_matrix_once(spark, monkeypatch):
     monkeypatch.setattr(modelling.models, "risk_surface", lambda fitted, rows, keys: rows)
     QUERIES["risk_surface"](spark, FOLDER)
     assert len(staged) == 1
+
+
+@pytest.mark.parametrize("key", ["class_balance", "positive_rate"])
+def test_label_queries_read_and_window_only_what_a_label_needs(spark, key):
+    text = plan(entry.queries()[key](spark, FOLDER))
+    assert "events.parquet" not in text and "l_discount" not in text
+    # A mission day changes three windows' ends: the week itself, 1 and 91 days on.
+    assert not re.search(r"31 AS shift|8 AS shift", text)
+
+
+def test_columns_asked_for_are_those_of_the_whole_table(spark, tables):
+    from fleetwear.catalog.features import FIRST, LAST, all_inputs
+    from fleetwear.plans.features import KEYS, LABEL, weekly_features
+
+    every = weekly_features(all_inputs(tables), FIRST, LAST)
+    for chosen in ([LABEL], ["avg_completion_7d", "brush_residual_last"], ["days_since_last_failure", "battery_health_last", "area_90d"]):
+        some = weekly_features(all_inputs(tables), FIRST, LAST, columns=[*KEYS, *chosen])
+        assert some.columns == [*KEYS, *chosen]
+        assert sorted(map(repr, some.collect())) == sorted(map(repr, every.select(*some.columns).collect()))
+
+
+def test_split_and_folds_build_the_labels_once(spark, monkeypatch):
+    from fleetwear.catalog import modelling
+
+    staged = []
+    monkeypatch.setattr(modelling, "stage", lambda df, name: staged.append(df.columns) or df.limit(50).cache())
+    QUERIES["temporal_split"](spark, FOLDER)
+    QUERIES["stratified_folds"](spark, FOLDER)
+    assert staged == [["serial_number", "feature_date", "has_failure_next_30d"]] * 2
