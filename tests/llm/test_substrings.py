@@ -1,10 +1,12 @@
 import hashlib
+import pathlib
 import random
 
 import numpy as np
 import pytest
 
 from fleetwear.llm import queries, substrings
+from fleetwear.session import shared_folder
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -93,3 +95,51 @@ def test_deep_shallow_sorts():
     order = substrings.deep_shallow(group, rows)
     keys = [(int(group[i]), rows[i].tobytes()) for i in order]
     assert sorted(order.tolist()) == list(range(300)) and keys == sorted(keys)
+
+
+def text_rows_moved(df):
+    """Rows with texts that went through a shuffle while ``df`` was collected."""
+    found, nodes = {}, [df._jdf.queryExecution().executedPlan()]
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            node = node.executedPlan()
+        while "QueryStage" in node.nodeName():
+            node = node.plan()
+        if node.nodeName() == "Exchange" and "_text#" in node.output().mkString(" "):
+            found[node.id()] = node.metrics().get("shuffleRecordsWritten").get().value()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return sum(found.values())
+
+
+def test_only_texts_that_lose_bytes_move(spark):
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    shared = word(600)
+    rows = [(i, word(900)) for i in range(60)] + [(90 + i, word(100) + shared + word(100)) for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    folder = pathlib.Path(shared_folder(spark).removeprefix("file:")) / "fleetwear" / spark.sparkContext.applicationId
+    before = set(folder.glob("substring-*"))
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = substrings.without_repeats(df)
+        lost = {r["doc_id"]: sum(x["e"] - x["b"] for x in r["removed"]) for r in found.collect()}
+        assert lost == {i: 600 if i >= 90 else 0 for i, _ in rows}
+        assert text_rows_moved(found) == 3
+        left = {p.name.rsplit("-", 1)[0] for p in set(folder.glob("substring-*")) - before}
+        assert left == {"substring-removed"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+@pytest.mark.parametrize("bits", [1 << 25, 1 << 15])
+def test_among(spark, monkeypatch, bits):
+    monkeypatch.setattr(substrings, "BITS", bits)
+    texts = spark.range(3000).selectExpr("xxhash64(id) id").union(spark.sql("select -1L id union all select 0L"))
+    ids = texts.where("id % 3 = 0 or id = -1")
+    kept = {r["id"] for r in substrings.among(texts, ids).collect()}
+    rest = {r["id"] for r in substrings.among(texts, ids, "left_anti").collect()}
+    wanted = {r["id"] for r in ids.collect()}
+    assert wanted <= kept and not kept & rest and len(kept) + len(rest) == 3002
+    assert len(kept - wanted) <= (0 if bits > 1 << 15 else 150)
