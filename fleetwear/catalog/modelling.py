@@ -500,8 +500,8 @@ def cv_fold_areas(t):
     return areas.join(t.spark.createDataFrame(other, "fold int, area double"), "fold").select("fold", _off("roc_auc", "area"))
 
 
-def _cross_validated(t, name, rows, fit):
-    found = models.cross_validate(fit, _folds(t, rows), LABEL)
+def _cross_validated(t, name, rows, fit, at_once=None):
+    found = models.cross_validate(fit, _folds(t, rows), LABEL, at_once=at_once)
     return t.spark.createDataFrame([(name, *found)], "model string, mean_auc double, sd_auc double")
 
 
@@ -514,4 +514,4 @@ def cv_auc(t):
 @query("cv_auc_gbt")
 def cv_auc_gbt(t):
     """On all dates."""
-    return _cross_validated(t, "Gradient Boosting", _matrix(t), _fit_gbt)
+    return _cross_validated(t, "Gradient Boosting", _matrix(t), _fit_gbt, models.PACKED_AT_ONCE)

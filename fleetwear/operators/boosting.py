@@ -6,17 +6,20 @@ loss, by variance, on a random part of the rows. The result is a model of Spark
 ML; only the growing is done here, because there each round costs several
 microseconds a row.
 
-1. Values become bin numbers of one byte, once, at exact quantiles of all rows
-   (at every value of a column with few). Rows are packed into blocks, which are
-   dealt out evenly and kept, at 29 bytes a row. They are kept as an RDD, whose
-   bytes go to Python as they are and without a plan for each of the many passes.
-2. A level of a tree is one pass. Each task counts its rows and sums their
-   gradients per node and bin, some columns at a time under one key, of the
-   smaller child of each split only: the other is the difference.
+1. Values become bin numbers, once, at exact quantiles of all rows (at every
+   value of a column with few). Columns share keys of 16 bits, each with bits of
+   its own. Rows are packed into blocks, which are dealt out evenly and kept, at
+   9 bytes a row and 2 a key. They are kept as an RDD, whose bytes go to Python
+   as they are and without a plan for each of the many passes.
+2. A level of a tree is one pass. Each task picks the drawn rows of the smaller
+   child of each split, works out the gradients of these alone, and counts rows
+   and gradients per key; the other child is the difference.
 3. A pass returns one histogram a task, some 10 kB a node whatever the rows. The
    best split of each node is read off their sum.
 4. Blocks know their margins up to some rounds ago and add the trees since; from
    time to time the margins are written into the blocks.
+5. Few rows (``ALONE``) are one task's work: it grows all trees in one job, by
+   the same passes over the same blocks.
 
 Ties: the first column, then the lowest threshold. The rows of a round are drawn
 by block and round, so equal inputs in equal partitions give equal trees.
@@ -28,7 +31,7 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -41,13 +44,15 @@ from pyspark.sql import functions as F
 from fleetwear.session import python_workers, scratch_path
 
 BLOCK = 1 << 15  # rows
-KEYS = 2048  # bins under one key
-ROWS_A_TASK = 1 << 20
+KEY_BITS = 15  # of the columns under one key
+GATHERED = 1 << 17  # rows counted at a time
+ROWS_A_TASK = 1 << 22  # at most: a pass costs every task some 50 ms besides its rows
+ALONE = 1 << 19  # rows up to which one task grows the trees by itself
 MERGE = 10  # rounds after which margins are written into the blocks
-NOISE = 1e-12  # gain below which a split is rounding
+NOISE = 1e-12  # gain, or difference of two, that is rounding
 
-BLOCKS = "part int, seq int, n int, bins binary, y binary"
-_FIELDS = ["part", "seq", "n", "bins", "y"]
+BLOCKS = "part int, seq int, n int, keys binary, y binary"
+_FIELDS = ["part", "seq", "n", "keys", "y"]
 _KINDS = [pa.int32()] * 3 + [pa.binary()] * 2
 
 
@@ -66,6 +71,59 @@ class Settings:
         return 1.0 if tree == 0 else self.step
 
 
+@dataclass(frozen=True)
+class Keys:
+    """Which key holds a column's bin number, and from which bit on in how many."""
+
+    sizes: tuple[int, ...]
+    groups: tuple[tuple[int, ...], ...]
+    at: tuple[tuple[int, int, int], ...]
+
+    @staticmethod
+    def of(sizes: Sequence[int]) -> Keys:
+        """Columns are dealt to keys by falling width, each to the first with room."""
+        bits = [(n - 1).bit_length() for n in sizes]
+        groups: list[list[int]] = []
+        at: list[tuple[int, int, int]] = [(0, 0, 0)] * len(bits)
+        for c in sorted(range(len(bits)), key=lambda c: -bits[c]):
+            used = [sum(bits[x] for x in g) for g in groups]
+            g = next((i for i, n in enumerate(used) if n + bits[c] <= KEY_BITS), len(groups))
+            if g == len(groups):
+                groups.append([])
+                used.append(0)
+            groups[g].append(c)
+            at[c] = (g, used[g], bits[c])
+        return Keys(tuple(sizes), tuple(map(tuple, groups)), tuple(at))
+
+    def packed(self, bins: Iterable[np.ndarray], n: int) -> np.ndarray:
+        keys = np.zeros((len(self.groups), n), np.uint16)
+        for (g, shift, _), own in zip(self.at, bins, strict=True):
+            keys[g] |= own.astype(np.uint16) << np.uint16(shift)
+        return keys
+
+    def above(self, keys: np.ndarray, column: int, at: int) -> np.ndarray:
+        """Rows whose bin number of a column is larger."""
+        g, shift, bits = self.at[column]
+        mask = np.uint16(((1 << bits) - 1) << shift)
+        return (keys[g] & mask) > np.uint16(at << shift)
+
+    def per_column(self, totals: list[np.ndarray]) -> np.ndarray:
+        """Totals per key (two measures each) to totals per column and bin."""
+        out = np.zeros((2, len(self.sizes), max(self.sizes)))
+        for g, total in zip(self.groups, totals, strict=True):
+            cube = total.reshape(2, *[1 << self.at[c][2] for c in reversed(g)])
+            for i, c in enumerate(reversed(g)):
+                out[:, c, : self.sizes[c]] = cube.sum(axis=tuple(1 + j for j in range(len(g)) if j != i))[:, : self.sizes[c]]
+        return out
+
+
+def _either(by: np.ndarray, no: np.ndarray | None, yes: np.ndarray | None) -> np.ndarray | None:
+    """Per row one of two flags; None stands for False."""
+    if no is None:
+        return None if yes is None else yes & by
+    return no & ~by if yes is None else no ^ ((no ^ yes) & by)
+
+
 class Tree:
     """A tree by places: the children of place p are 2 p + 1 and 2 p + 2; ``column`` is -1 where nothing is split."""
 
@@ -78,15 +136,22 @@ class Tree:
         self.n = np.zeros(size, np.int64)
         self.total = np.zeros(size)
 
-    def below(self, bins: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
-        """Numbers of the rows' nodes on the next level from those on this one; below a leaf, rows go left."""
-        right = np.zeros(len(at), bool)
-        for k in range(1 << level):
-            p = (1 << level) - 1 + k
-            if self.column[p] >= 0:
-                over = bins[self.column[p]] > self.bin[p]
-                right |= over & (at == k) if level else over
-        return (at << 1) | right
+    def places(self, rows: np.ndarray, keys: Keys, levels: int) -> np.ndarray:
+        """Numbers of the rows' nodes on a level; below a leaf, rows go left."""
+        at = np.zeros(rows.shape[1], np.uint8)
+        turns: list[np.ndarray] = []
+        for level in range(levels):
+            first = (1 << level) - 1
+            right = [
+                keys.above(rows, int(self.column[p]), int(self.bin[p])) if self.column[p] >= 0 else None
+                for p in range(first, 2 * first + 1)
+            ]
+            for by in reversed(turns):
+                right = [_either(by, *right[i : i + 2]) for i in range(0, len(right), 2)]
+            turn = np.zeros(len(at), bool) if right[0] is None else right[0]
+            turns.append(turn)
+            at = (at << 1) | turn
+        return at
 
     def values(self) -> np.ndarray:
         """Predictions of the places on the last level; those below a leaf have its own."""
@@ -97,19 +162,19 @@ class Tree:
         return own[len(self.column) // 2:]
 
 
-def _pack(batches: Iterator[pa.RecordBatch], cuts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], cuts: list[np.ndarray], keys: Keys) -> Iterator[pa.RecordBatch]:
     """Blocks of the rows (columns, then label)."""
     part, seq, held, size = TaskContext.get().partitionId(), 0, [], 0
 
     def block(at: int, parts: list) -> pa.RecordBatch:
-        bins, y = (np.concatenate(x, axis=-1) for x in zip(*parts, strict=True))
-        row = (part, at, len(y), bins.tobytes(), y.tobytes())
+        rows, y = (np.concatenate(x, axis=-1) for x in zip(*parts, strict=True))
+        row = (part, at, len(y), rows.tobytes(), y.tobytes())
         return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, _KINDS, strict=True)], _FIELDS)
 
     for batch in batches:
         values = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
-        bins = np.stack([np.searchsorted(t, v, "left").astype(np.uint8) for t, v in zip(cuts, values, strict=False)])
-        held.append((bins, np.where(values[-1] > 0, 1, -1).astype(np.int8)))
+        bins = (np.searchsorted(t, v, "left") for t, v in zip(cuts, values, strict=False))
+        held.append((keys.packed(bins, batch.num_rows), np.where(values[-1] > 0, 1, -1).astype(np.int8)))
         size += batch.num_rows
         if size >= BLOCK:
             yield block(seq, held)
@@ -118,73 +183,97 @@ def _pack(batches: Iterator[pa.RecordBatch], cuts: list[np.ndarray]) -> Iterator
         yield block(seq, held)
 
 
+_Added = list[tuple[np.ndarray, Tree]]  # trees that stored margins lack, with the values of their places
+
+
+def _gained(rows: np.ndarray, keys: Keys, added: _Added) -> np.ndarray | float:
+    """What trees add to the margins of rows; two trees are looked up at a time."""
+    total: np.ndarray | float = 0.0
+    for i in range(0, len(added), 2):
+        (leaves, tree), *more = added[i : i + 2]
+        at = tree.places(rows, keys, tree.depth)
+        for other, second in more:
+            if tree.depth + second.depth > 8:
+                total = total + other.take(second.places(rows, keys, second.depth))
+            else:
+                at = (at << second.depth) | second.places(rows, keys, second.depth)
+                leaves = np.add.outer(leaves, other).ravel()
+        total = total + leaves.take(at)
+    return total
+
+
 class _Block:
-    """Some rows of a task: bins, label as -1 and 1, margin; ``draw`` adds the drawn rows of a round and their gradients."""
+    """Some rows of a task: keys, label as -1 and 1, margin."""
 
-    def __init__(self, record: tuple, trees: list[tuple[np.ndarray, Tree]]):
-        part, seq, bins, y, margin = record
+    def __init__(self, record: tuple):
+        part, seq, rows, y, margin = record
         self.name = (part, seq)
         self.y = np.frombuffer(y, np.int8)
-        self.bins = np.frombuffer(bins, np.uint8).reshape(-1, len(self.y))
+        self.rows = np.frombuffer(rows, np.uint16).reshape(-1, len(self.y))
         self.margin = np.frombuffer(margin)
-        for leaves, tree in trees:
-            self.margin = self.margin + leaves[self.places(tree, tree.depth)]
 
-    def places(self, tree: Tree, levels: int) -> np.ndarray:
-        at = np.zeros(len(self.y), np.uint8)
-        for level in range(levels):
-            at = tree.below(self.bins, at, level)
-        return at
+    def add(self, keys: Keys, added: _Added) -> None:
+        self.margin = self.margin + _gained(self.rows, keys, added)
+
+    def drawn(self, number: int, told: Settings) -> np.ndarray:
+        """The rows of a round."""
+        if told.sample >= 1:
+            return np.ones(len(self.y), bool)
+        raw = np.random.SFC64([told.seed, number, *self.name]).random_raw(-(-len(self.y) // 4))
+        return raw.astype("<u8").view("<u2")[: len(self.y)] < round(told.sample * (1 << 16))
 
-    def draw(self, number: int, told: Settings) -> None:
-        self.drawn = np.ones(len(self.y), bool)
-        if told.sample < 1:
-            rng = np.random.Generator(np.random.SFC64([told.seed, number, *self.name]))
-            self.drawn = rng.integers(0, 1 << 16, len(self.y), np.uint16) < round(told.sample * (1 << 16))
-        sign = self.y.astype(np.float64)
-        self.want = sign if number == 0 else 4 * sign / (1 + np.exp(2 * sign * self.margin))
+    def picked(self, at: np.ndarray, number: int, keys: Keys, added: _Added) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and gradients of the rows at some positions."""
+        rows, sign = self.rows.take(at, axis=1), self.y.take(at).astype(np.float64)
+        if number == 0:
+            return rows, sign
+        margin = self.margin.take(at) + _gained(rows, keys, added)
+        return rows, 4 * sign / (1 + np.exp(2 * sign * margin))
 
     def record(self) -> tuple:
-        return *self.name, self.bins.tobytes(), self.y.tobytes(), self.margin.tobytes()
+        return *self.name, self.rows.tobytes(), self.y.tobytes(), self.margin.tobytes()
 
 
-def _groups(sizes: Sequence[int]) -> list[list[int]]:
-    """Columns that are counted under one key, the product of their bins bounded."""
-    groups: list[list[int]] = []
-    for c in sorted(range(len(sizes)), key=lambda c: -sizes[c]):
-        for g in groups:
-            if int(np.prod([sizes[x] for x in g])) * sizes[c] <= KEYS:
-                g.append(c)
-                break
-        else:
-            groups.append([c])
-    return groups
+class _Totals:
+    """Rows and gradients of one node, counted per key."""
+
+    def __init__(self, keys: Keys):
+        self.keys = keys
+        self.found = [np.zeros((2, 1 << sum(keys.at[c][2] for c in g))) for g in keys.groups]
+        self.held: list[tuple[np.ndarray, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, rows: np.ndarray, want: np.ndarray) -> None:
+        self.held.append((rows, want))
+        self.size += len(want)
+        if self.size >= GATHERED:
+            self.count()
 
+    def count(self) -> None:
+        if self.held:
+            want = np.concatenate([w for _, w in self.held])
+            for g, total in enumerate(self.found):
+                key = np.concatenate([rows[g] for rows, _ in self.held]).astype(np.intp)
+                total[0] += np.bincount(key, minlength=total.shape[1])
+                total[1] += np.bincount(key, want, total.shape[1])
+            self.held, self.size = [], 0
 
-def _count(blocks: Iterable[_Block], tree: Tree, level: int, wanted: list[int], sizes: list[int]) -> np.ndarray:
+    def per_column(self) -> np.ndarray:
+        self.count()
+        return self.keys.per_column(self.found)
+
+
+def _count(
+    blocks: Iterable[_Block], tree: Tree, level: int, wanted: list[int], number: int, keys: Keys, told: Settings, added: _Added
+) -> np.ndarray:
     """Of the wanted nodes of a level, per column and bin: the drawn rows, and the sum of their gradients."""
-    groups = _groups(sizes)
-    spans = [int(np.prod([sizes[c] for c in g])) for g in groups]
-    found = [np.zeros((2, len(wanted) * s)) for s in spans]
-    slot = np.full(1 << level, 255, np.uint8)
-    slot[wanted] = np.arange(len(wanted), dtype=np.uint8)
+    totals = [_Totals(keys) for _ in wanted]
     for block in blocks:
-        of = slot[block.places(tree, level)]
-        at = np.flatnonzero(block.drawn & (of != 255))
-        want, base = block.want[at], of[at].astype(np.int64)
-        for g, span, total in zip(groups, spans, found, strict=True):
-            key = np.zeros(len(of), np.uint16)
-            for c in g:
-                key = key * np.uint16(sizes[c]) + block.bins[c]
-            keys = key[at] + base * span
-            total[0] += np.bincount(keys, minlength=total.shape[1])
-            total[1] += np.bincount(keys, want, total.shape[1])
-    out = np.zeros((2, len(wanted), len(sizes), max(sizes)))
-    for g, total in zip(groups, found, strict=True):
-        cube = total.reshape(2, len(wanted), *[sizes[c] for c in g])
-        for i, c in enumerate(g):
-            out[:, :, c, : sizes[c]] = cube.sum(axis=tuple(2 + j for j in range(len(g)) if j != i))
-    return out
+        drawn = block.drawn(number, told)
+        at = tree.places(block.rows, keys, level)
+        for k, total in zip(wanted, totals, strict=True):
+            total.add(*block.picked(np.flatnonzero(drawn & (at == k) if level else drawn), number, keys, added))
+    return np.stack([t.per_column() for t in totals], axis=1)
 
 
 def _best(counts: np.ndarray, least: int) -> tuple[int, int, float]:
@@ -197,28 +286,18 @@ def _best(counts: np.ndarray, least: int) -> tuple[int, int, float]:
     gain[(left[0] < least) | (right_n < least)] = -1
     if not gain.size or gain.max() <= NOISE:
         return -1, 0, 0.0
-    column, at = divmod(int(gain.argmax()), gain.shape[1])
+    column, at = divmod(int((gain >= gain.max() - NOISE).argmax()), gain.shape[1])
     return column, at, float(gain[column, at])
 
 
-def _grow(rows: RDD, since: list[tuple[np.ndarray, Tree]], number: int, sizes: list[int], told: Settings) -> Tree:
-    """One tree, a pass a level."""
-
-    def drawn(records: Iterable[tuple]) -> Iterator[_Block]:
-        for record in records:
-            block = _Block(record, since)
-            block.draw(number, told)
-            yield block
-
+def _grow(passed: Callable[[Tree, int, list[int]], np.ndarray], told: Settings) -> Tree:
+    """One tree, a pass a level: ``passed`` is ``_count`` over all rows."""
     tree, counts = Tree(told.depth), {}
     wanted = [0]
     for level in range(told.depth):
         first = (1 << level) - 1
         if wanted:
-            def counted(records: Iterable[tuple], level: int = level, wanted: list[int] = wanted) -> Iterator[np.ndarray]:
-                yield _count(drawn(records), tree, level, wanted, sizes)
-
-            found = sum(rows.mapPartitions(counted).collect())  # in the order of the tasks
+            found = passed(tree, level, wanted)
             for i, k in enumerate(wanted):
                 counts[first + k] = found[:, i]
                 if level:
@@ -250,35 +329,63 @@ def grow(train: DataFrame, cols: Sequence[str], label: str, cuts: dict[str, list
     spark = train.sparkSession
     python_workers(spark)
     at = [np.array(cuts[c], np.float64) for c in cols]
-    sizes = [len(t) + 1 for t in at]
+    keys = Keys.of([len(t) + 1 for t in at])
     own = train.select(*[F.col(c).cast("double") for c in cols], F.col(label).cast("double"))
     cores = spark.sparkContext.defaultParallelism
-    tasks = min(-(-rows // BLOCK), -(-rows // (ROWS_A_TASK * cores)) * cores)
+    tasks = 1 if rows <= ALONE else min(-(-rows // BLOCK), -(-rows // (ROWS_A_TASK * cores)) * cores)
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _pack(batches, at)
+        return _pack(batches, at, keys)
 
     def ordered(blocks: Iterable[Row]) -> list[tuple]:
-        found = [(b["part"], b["seq"], bytes(b["bins"]), bytes(b["y"]), bytes(8 * b["n"])) for b in blocks]
+        found = [(b["part"], b["seq"], bytes(b["keys"]), bytes(b["y"]), bytes(8 * b["n"])) for b in blocks]
         return sorted(found, key=lambda r: r[:2])
 
-    dealt = own.mapInArrow(packed, BLOCKS).repartition(tasks)
-    blocks = dealt.rdd.mapPartitions(ordered).persist(StorageLevel.MEMORY_AND_DISK)
+    dealt = own.mapInArrow(packed, BLOCKS).repartition(tasks).rdd.mapPartitions(ordered)
+    if tasks > 1:
+        return _passes(dealt, keys, told)
+    return dealt.mapPartitions(lambda records: _alone(records, keys, told)).collect()
+
+
+def _alone(records: Iterable[tuple], keys: Keys, told: Settings) -> Iterator[Tree]:
+    """The trees from rows that are all in one task."""
+    blocks = [_Block(r) for r in records]
+    for number in range(told.rounds):
+        def passed(tree: Tree, level: int, wanted: list[int], number: int = number) -> np.ndarray:
+            return _count(blocks, tree, level, wanted, number, keys, told, [])
+
+        tree = _grow(passed, told)
+        yield tree
+        for block in blocks:
+            block.add(keys, [(told.weight(number) * tree.values(), tree)])
+
+
+def _passes(dealt: RDD, keys: Keys, told: Settings) -> list[Tree]:
+    """The trees from rows in many tasks, a job a level."""
+    blocks = dealt.persist(StorageLevel.MEMORY_AND_DISK_DESER)
     trees: list[Tree] = []
-    since: list[tuple[np.ndarray, Tree]] = []
+    added: _Added = []
     try:
         for number in range(told.rounds):
-            tree = _grow(blocks, since, number, sizes, told)
-            trees.append(tree)
-            since = [*since, (told.weight(number) * tree.values(), tree)]
-            if len(since) == MERGE and number + 1 < told.rounds:
-                def settled(records: Iterable[tuple], added: list = since) -> Iterator[tuple]:
-                    return (_Block(r, added).record() for r in records)
+            def passed(tree: Tree, level: int, wanted: list[int], number: int = number) -> np.ndarray:
+                def counted(records: Iterable[tuple]) -> Iterator[np.ndarray]:
+                    yield _count(map(_Block, records), tree, level, wanted, number, keys, told, added)
+
+                return sum(blocks.mapPartitions(counted).collect())  # in the order of the tasks
 
-                older, blocks = blocks, blocks.mapPartitions(settled).persist(StorageLevel.MEMORY_AND_DISK)
+            tree = _grow(passed, told)
+            trees.append(tree)
+            added = [*added, (told.weight(number) * tree.values(), tree)]
+            if len(added) == MERGE and number + 1 < told.rounds:
+                def settled(records: Iterable[tuple], added: _Added = added) -> Iterator[tuple]:
+                    for block in map(_Block, records):
+                        block.add(keys, added)
+                        yield block.record()
+
+                older, blocks = blocks, blocks.mapPartitions(settled).persist(StorageLevel.MEMORY_AND_DISK_DESER)
                 blocks.count()
                 older.unpersist()
-                since = []
+                added = []
     finally:
         blocks.unpersist()
     return trees

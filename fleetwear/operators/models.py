@@ -32,6 +32,7 @@ MAX_ITER = 1000
 TOLERANCE = 1e-8
 ROWS_A_PARTITION = 100_000
 ROWS_AT_ONCE = 50_000_000  # of fits that run side by side
+PACKED_AT_ONCE = 400_000_000  # the same of boosted trees, whose rows are some 21 bytes each
 BINS = 32  # of a column when trees are grown
 
 WEIGHT = "class_weight"
@@ -132,20 +133,22 @@ def gradient(fitted: Fitted, train: DataFrame, label: str) -> DataFrame:
     return sums.select(F.inline(F.array(*cells)))
 
 
-def out_of_fold(fit, folded: DataFrame, label: str, keys: Sequence[str] = (), k: int = 5) -> DataFrame:
+def out_of_fold(
+    fit, folded: DataFrame, label: str, keys: Sequence[str] = (), k: int = 5, at_once: int | None = None
+) -> DataFrame:
     """Rows (keys, label, fold, score), staged: one score a row, by a model that was fitted without its fold.
 
     ``fit`` is called once a fold with the rows of the others, so preparation,
     class weights and penalty too come from rows that the model scores none of.
-    Fits run side by side while their rows together are few: each holds its own
-    in memory, and many rows keep all cores busy with one fit. All folds are
-    scored in one job.
+    Fits run side by side while their rows together are few (``at_once``): each
+    holds its own in memory, and many rows keep all cores busy with one fit. All
+    folds are scored in one job.
     """
     def one(i: int) -> DataFrame:
         scored = score(fit(folded.where(F.col("fold") != i)), folded.where(F.col("fold") == i))
         return scored.select(*keys, label, "fold", "score")
 
-    with ThreadPoolExecutor(max(1, min(k, ROWS_AT_ONCE // max(1, folded.count())))) as pool:
+    with ThreadPoolExecutor(max(1, min(k, (at_once or ROWS_AT_ONCE) // max(1, folded.count())))) as pool:
         parts = list(pool.map(inheritable_thread_target(folded.sparkSession)(one), range(k)))
     return stage(reduce(DataFrame.unionByName, parts), "out-of-fold")
 
@@ -155,9 +158,9 @@ def fold_areas(scored: DataFrame, label: str) -> DataFrame:
     return roc_auc(scored, "score", label, by=["fold"])
 
 
-def cross_validate(fit, folded: DataFrame, label: str, k: int = 5) -> tuple[float, float]:
+def cross_validate(fit, folded: DataFrame, label: str, k: int = 5, at_once: int | None = None) -> tuple[float, float]:
     """(mean, population deviation) of the exact AUC over ``fold``, from the scores out of fold."""
-    areas = fold_areas(out_of_fold(fit, folded, label, k=k), label)
+    areas = fold_areas(out_of_fold(fit, folded, label, k=k, at_once=at_once), label)
     found = areas.agg(F.avg("roc_auc"), F.stddev_pop("roc_auc")).first()
     return found[0], found[1]
 

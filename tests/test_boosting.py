@@ -82,3 +82,52 @@ def test_a_column_that_cannot_be_split_and_no_rows(rows):
     assert [int(t.column.max()) for t in trees] == [-1, -1] and all(0 < t.n[0] < 3000 for t in trees)
     with pytest.raises(ValueError, match="no rows"):
         boosting.grow(rows.limit(0), COLS, "label", {c: [] for c in COLS}, 0, told)
+
+
+def test_one_task_and_many_grow_the_same_trees(rows, monkeypatch):
+    _, cuts = cut_points(rows, COLS, 8)
+    told = boosting.Settings(4, 3, 0.3, 20, 0.7, 1)
+    jobs = rows.sparkSession.sparkContext.statusTracker()
+    rows.sparkSession.sparkContext.setJobGroup("alone", "")
+    alone = boosting.grow(rows, COLS, "label", cuts, 3000, told)
+    # One job for the trees, not one a level; the shuffle is a stage of it.
+    assert len(jobs.getJobIdsForGroup("alone")) <= 2
+    monkeypatch.setattr(boosting, "BLOCK", 500)
+    monkeypatch.setattr(boosting, "MERGE", 3)
+    monkeypatch.setattr(boosting, "ALONE", 0)
+    rows.sparkSession.sparkContext.setJobGroup("many", "")
+    many = boosting.grow(rows, COLS, "label", cuts, 3000, told)
+    assert len(jobs.getJobIdsForGroup("many")) > 4 * 3
+    for a, b in zip(alone, many, strict=True):
+        assert a.column.tolist() == b.column.tolist() and a.bin.tolist() == b.bin.tolist() and a.n.tolist() == b.n.tolist()
+        assert a.values() == pytest.approx(b.values(), abs=1e-12)
+
+
+def test_trees_in_many_tasks_are_those_grown_row_by_row(spark, rows, monkeypatch):
+    monkeypatch.setattr(boosting, "ALONE", 0)
+    test_trees_are_those_grown_row_by_row(spark, rows, monkeypatch)
+
+
+def test_columns_share_keys():
+    sizes = [7, 32, 1, 200, 32, 2, 32, 11]
+    keys = boosting.Keys.of(sizes)
+    assert len(keys.groups) == 3 and all(sum(keys.at[c][2] for c in g) <= boosting.KEY_BITS for g in keys.groups)
+    rng = np.random.default_rng(1)
+    bins = [rng.integers(0, n, 1000) for n in sizes]
+    rows = keys.packed(bins, 1000)
+    for c, own in enumerate(bins):
+        assert all((keys.above(rows, c, at) == (own > at)).all() for at in range(sizes[c]))
+    totals = boosting._Totals(keys)
+    want = rng.random(1000)
+    totals.add(rows, want)
+    found = totals.per_column()
+    for c, own in enumerate(bins):
+        assert found[0, c, : sizes[c]].tolist() == np.bincount(own, minlength=sizes[c]).tolist()
+        assert found[1, c, : sizes[c]] == pytest.approx(np.bincount(own, want, sizes[c]))
+
+
+def test_equal_gains_go_to_the_first_column():
+    counts = np.zeros((2, 2, 4))
+    counts[0], counts[1] = 10, [[-3.0, 1.0, 4.0, -2.0], [-3.0, 1.0 + 1e-14, 4.0, -2.0]]
+    assert boosting._best(counts, 1)[0] == 0
+    assert boosting._best(counts[:, ::-1], 1)[0] == 0
