@@ -12,6 +12,8 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml import Model
 from pyspark.ml.classification import LogisticRegression
@@ -23,7 +25,7 @@ from pyspark.sql import functions as F
 from fleetwear.operators import boosting, prepare
 from fleetwear.operators.distribution import cut_points
 from fleetwear.operators.evaluate import ranking_summary, roc_auc
-from fleetwear.session import scratch_path, stage
+from fleetwear.session import python_workers, scratch_path, stage
 
 SEED = 42
 # Boosting rounds, depth, step, leaf size, row sample.
@@ -191,32 +193,39 @@ def node_table(fitted: Fitted) -> DataFrame:
     return rows.join(F.broadcast(weights), "tree")  # a row a round
 
 
-def _number(v: float) -> str:
-    return f"cast('{v!r}' as double)"
-
-
-def tree_sql(nodes: dict[int, Row], at: int = 0) -> str:
-    """One tree as a conditional expression over its columns."""
+def _leaves(nodes: dict[int, Row], values: Mapping[str, np.ndarray], at: int = 0) -> np.ndarray | float:
+    """What one tree says of each row; a null is on the right of every threshold."""
     n = nodes[at]
     if n["column_name"] is None:
-        return _number(n["prediction"])
-    left, right = (tree_sql(nodes, n[side]) for side in ("left_node", "right_node"))
-    return f"if(`{n['column_name']}` <= {_number(n['threshold'])}, {left}, {right})"
+        return n["prediction"]
+    left, right = (_leaves(nodes, values, n[side]) for side in ("left_node", "right_node"))
+    return np.where(values[n["column_name"]] <= n["threshold"], left, right)
 
 
 def replay(nodes: DataFrame, filled: DataFrame, out: str = "replayed") -> DataFrame:
     """Add the probability that the node table gives to rows with filled columns.
 
-    The trees become one expression; the model itself is not asked. The margin
-    is the weighted sum of the leaves, the probability its logistic of twice
-    the margin.
+    The trees are followed for a batch of rows at a time; the model itself is
+    not asked. The margin is the weighted sum of the leaves, the probability its
+    logistic of twice the margin.
     """
     trees: dict[int, dict[int, Row]] = {}
     for r in nodes.collect():  # bounded by rounds and depth
         trees.setdefault(r["tree"], {})[r["node"]] = r
-    terms = [f"{_number(t[0]['weight'])} * {tree_sql(t)}" for _, t in sorted(trees.items())]
-    margin = F.expr(f"aggregate(array({', '.join(terms)}), cast(0 as double), (a, x) -> a + x)")
-    return filled.withColumn(out, 1 / (1 + F.exp(-2 * margin)))
+    weighted = [(t[0]["weight"], t) for _, t in sorted(trees.items())]
+    used = sorted({n["column_name"] for _, t in weighted for n in t.values()} - {None})
+    python_workers(filled.sparkSession)
+
+    @F.arrow_udf("double")
+    def margin(*columns: pa.Array) -> pa.Array:
+        values = {c: v.to_numpy(zero_copy_only=False) for c, v in zip(used, columns, strict=False)}
+        total = np.zeros(len(columns[0]))
+        for weight, tree in weighted:
+            total += weight * _leaves(tree, values)
+        return pa.array(total)
+
+    asked = [F.col(c).cast("double") for c in used] or [F.lit(0.0)]
+    return filled.withColumn(out, 1 / (1 + F.exp(-2 * margin(*asked))))
 
 
 def importance_of(nodes: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Classifiers on separable data: better than chance, repeatable."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -122,6 +124,24 @@ def test_replay_follows_the_node_table(split):
     assert {c for c, v in told.items() if v} == set(found)
 
 
+def test_replay_of_odd_rows_and_trees(spark):
+    """Nulls and NaN go right, whole numbers are compared as such, a tree may be a single leaf."""
+    node = "tree int, weight double, node int, column_name string, threshold double, left_node int, right_node int, prediction double"
+    table = spark.createDataFrame(
+        [(0, 1.0, 0, "a", 2.0, 1, 2, 0.0), (0, 1.0, 1, None, None, None, None, -0.5), (0, 1.0, 2, "b", 0.5, 3, 4, 0.0),
+         (0, 1.0, 3, None, None, None, None, 0.25), (0, 1.0, 4, None, None, None, None, 0.75), (1, 0.1, 0, None, None, None, None, 2.0)],
+        node,
+    )
+    rows = spark.createDataFrame([(0, 2, 0.0), (1, 3, 0.5), (2, 3, 0.6), (3, None, 0.1), (4, 9, None), (5, 9, float("nan"))], "id int, a int, b double")
+    replayed = models.replay(table, rows)
+    assert "aggregate(" not in replayed._jdf.queryExecution().optimizedPlan().toString()  # interpreted row by row
+    got = {r["id"]: r["replayed"] for r in replayed.collect()}
+    leaf = [-0.5, 0.25, 0.75, 0.25, 0.75, 0.75]
+    assert got == {i: pytest.approx(1 / (1 + math.exp(-2 * (v + 0.2)))) for i, v in enumerate(leaf)}
+    alone = models.replay(table.where("tree = 1"), rows).collect()
+    assert [r["replayed"] for r in alone] == [pytest.approx(1 / (1 + math.exp(-0.4)))] * 6
+
+
 def test_rows_of_a_fit_are_held_on_disk_only(matrix):
     held = models._held(matrix, 2000)
     try:
